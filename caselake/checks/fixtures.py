@@ -7,8 +7,24 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import NBSP
 
 
+# Declared, so that opening a table reads no file footers and starts no job.
+TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +50,7 @@ def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_name as location",
         """case when o_orderkey % 23 = 0 then 'n/a'
                 when o_orderkey % 19 = 0 then date_format(o_orderdate, 'dd/MM/yyyy')
-                else date_format(o_orderdate, 'yyyy-MM-dd') end as date_raw""",
+                else cast(cast(o_orderdate as date) as string) end as date_raw""",
         """case when o_orderkey % 31 = 0 then '' when o_orderkey % 37 = 0 then '-5'
                 else cast(o_custkey % 500 as string) end as new_cases""",
         "cast(o_orderkey % 7 - 1 as string) as new_deaths",
@@ -70,7 +86,7 @@ def timeline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cum.selectExpr(
         "series",
         """case when day(dt) = 1 then concat('Month ', cast(month(dt) as string))
-                else date_format(dt, 'yyyy-MM-dd') end as date_text""",
+                else cast(dt as string) end as date_text""",
         """case when day(dt) = 13 then 'n.a.'
                 else concat(replace(format_number(cum, 0), ',', '.'), '[3]') end as total_cases_text""",
         "cast(cum div 40 as string) as total_deaths_text",

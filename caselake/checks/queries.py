@@ -51,8 +51,10 @@ def newest_day(spark, sf):
 
 
 def summary(spark, sf) -> DataFrame:
-    return serving.country_summary_from_clean(clean(spark, sf), newest_day(spark, sf)).withColumnRenamed(
-        "last_date", "last_updated")
+    rows = typed(spark, sf)
+    newest = rows.agg(F.max("full_date")).scalar()
+    cleaned = cleaning.with_measures(cleaning.deduplicate(rows))
+    return serving.country_summary_from_clean(cleaned, newest).withColumnRenamed("last_date", "last_updated")
 
 
 def localities(spark, sf) -> DataFrame:
@@ -81,7 +83,7 @@ def first_and_restated(spark, sf) -> tuple[DataFrame, DataFrame]:
     """An older delivery (up to a cut, first row per key) and a newer one (the recent days,
     last row per key); they overlap, so both new and restated keys occur."""
     rows = typed(spark, sf)
-    newest = newest_day(spark, sf)
+    newest = rows.agg(F.max("full_date")).scalar()
     key = ["iso_code", "full_date"]
     older = rows.filter(F.col("full_date") <= F.date_sub(newest, DELIVERY_CUT_DAYS))
     recent = rows.filter(F.col("full_date") >= F.date_sub(newest, landing.DAYS_TO_KEEP))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from ..fixed_values import DAY_FIRST_DATE, ISO_DATE, PROVINCE_DATES, TIMELINE_DATE_PATTERN
@@ -13,10 +15,25 @@ def strict_date(c: Column, fmt: str = ISO_DATE) -> Column:
     return F.to_date(c, fmt)
 
 
+def _shape(fmt: str) -> str:
+    """Digits-and-separators pattern of a numeric date format."""
+    sizes = {"yyyy": "[0-9]{4}", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}"}
+    return "^" + re.sub("yyyy|MM|dd|M|d|[^yMd]+", lambda m: sizes.get(m[0], re.escape(m[0])), fmt) + "$"
+
+
+def _parsed(text: Column, fmt: str) -> Column:
+    """Text of the format's shape as a date. A failed parse raises and catches an exception
+    per row inside Spark; the shape test keeps other text away from it. ISO text takes the
+    plain cast, which neither throws nor goes through a timestamp."""
+    if fmt == ISO_DATE:
+        return F.when(text.rlike(_shape(fmt)), text.try_cast("date"))
+    return F.when(text.rlike(_shape(fmt)), F.try_to_date(text, fmt))
+
+
 def tolerant_date(c: Column, formats=(ISO_DATE, DAY_FIRST_DATE)) -> Column:
     """Trim, then the first format that parses; null when none does."""
     text = strip(c)
-    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
+    return F.coalesce(*[_parsed(text, f) for f in formats])
 
 
 def province_date(c: Column) -> Column:
@@ -30,7 +47,7 @@ def is_timeline_date(c: Column) -> Column:
 
 def timeline_date(c: Column) -> Column:
     """A date only where the whole cell is ``yyyy-mm-dd`` (month headings give null)."""
-    return F.when(is_timeline_date(c), F.try_to_date(strip(c), ISO_DATE))
+    return F.when(is_timeline_date(c), strip(c).try_cast("date"))
 
 
 def date_id(d: Column) -> Column:

@@ -21,8 +21,9 @@ def tolerant_number(c: Column) -> Column:
 
 
 def tolerant_count(c: Column) -> Column:
-    """Whole number by way of double ('12.0' is 12); null for junk."""
-    return tolerant_number(c).try_cast("bigint")
+    """Whole number; '12.0' is 12; null for junk. Plain integers take the exact and cheap
+    cast, only other text goes through the numeral check and double."""
+    return F.coalesce(strip(c).try_cast("bigint"), tolerant_number(c).try_cast("bigint"))
 
 
 def dotted_thousands(c: Column) -> Column:
@@ -43,7 +44,9 @@ def dotted_thousands(c: Column) -> Column:
 def _plain_text(c: Column) -> Column:
     text = strip(c)
     kept = F.when(~text.isin("", *BLANK_NUMBER_WORDS), text)
-    return strip(F.translate(kept, "," + NBSP + "%", ""))
+    for mark in (",", NBSP, "%"):
+        kept = F.replace(kept, F.lit(mark), F.lit(""))
+    return strip(kept)
 
 
 def clean_integer_text(c: Column) -> Column:

@@ -12,12 +12,12 @@ from ..fixed_values import (
 )
 
 NBSP = "\u00a0"
-_EDGE_SPACE = f"^[\\s{NBSP}]+|[\\s{NBSP}]+$"
+SPACES = " \t\n\r\x0b\x0c" + NBSP
 
 
 def strip(c: Column) -> Column:
-    """Remove white space at both ends, non-breaking spaces included."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    """Remove white space at both ends, non-breaking spaces included (no regex per row)."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def null_if_missing_word(c: Column, words=NULL_WORDS) -> Column:

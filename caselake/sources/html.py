@@ -1,9 +1,11 @@
 """Tables and lists out of a column of HTML pages.
 
-A page becomes nested arrays (tables -> rows -> cells) in one narrow pass; a table is
-picked inside its own row by header words or by position, so nothing is shuffled and a
-row never grows beyond its page. Tables nested inside a cell and ``rowspan`` are not
-resolved; ``colspan`` repeats the cell."""
+A page is cut into table, row and cell fragments by regular expressions. The wanted table
+is picked inside its page, by header words or by position, and only the cells of that table
+are turned into text, so nothing is shuffled and a row never grows beyond its page.
+``posexplode_outer`` plus a null filter is used on purpose: for the inner form Spark infers
+a size filter that evaluates the whole extraction a second time. Tables nested inside a
+cell and ``rowspan`` are not resolved; ``colspan`` repeats the cell."""
 
 from __future__ import annotations
 
@@ -28,61 +30,62 @@ ENTITIES = [
 
 def html_text(fragment: Column) -> Column:
     """Text of a fragment: tags dropped, common entities decoded, white space collapsed."""
-    text = F.regexp_replace(fragment, TAG, "")
+    text = F.when(fragment.contains("<"), F.regexp_replace(fragment, TAG, "")).otherwise(fragment)
+    decoded = text
     for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    text = F.when(text.contains("&"), decoded).otherwise(text)
     return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
 
 
-def _cells(row: Column) -> Column:
+def raw_tables(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(TABLE), F.lit(1))
+
+
+def raw_rows(table: Column) -> Column:
+    return F.regexp_extract_all(table, F.lit(ROW), F.lit(1))
+
+
+def raw_cells(row: Column) -> Column:
+    """Cell fragments of a row, a spanning cell repeated."""
+    cells = F.regexp_extract_all(row, F.lit(CELL), F.lit(0))
+
     def spread(cell: Column) -> Column:
-        body = html_text(F.regexp_extract(cell, CELL_BODY, 1))
         span = F.coalesce(F.regexp_extract(cell, COLSPAN, 1).try_cast("int"), F.lit(1))
-        return F.array_repeat(body, F.greatest(span, F.lit(1)))
+        return F.array_repeat(cell, F.greatest(span, F.lit(1)))
 
-    return F.flatten(F.transform(F.regexp_extract_all(row, F.lit(CELL), F.lit(0)), spread))
+    return F.when(row.rlike("(?i)colspan"), F.flatten(F.transform(cells, spread))).otherwise(cells)
 
 
-def _rows(table: Column) -> Column:
-    return F.transform(
-        F.regexp_extract_all(table, F.lit(ROW), F.lit(1)),
-        lambda row: F.struct((~row.rlike(DATA_CELL)).alias("is_header"), _cells(row).alias("cells")),
-    )
+def cell_text(cell: Column) -> Column:
+    return html_text(F.regexp_extract(cell, CELL_BODY, 1))
 
 
-def page_tables(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds ``tables``: array of tables, each an array of (is_header, cells) rows."""
-    tables = F.transform(F.regexp_extract_all(F.col(html), F.lit(TABLE), F.lit(1)), _rows)
-    return pages.withColumn("tables", tables).drop(html)
+def _numbered(df: DataFrame, keep: list[str], items: Column, number: str, name: str) -> DataFrame:
+    return df.select(*keep, F.posexplode_outer(items).alias(number, name)).filter(F.col(number).isNotNull())
 
 
 def html_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per cell: key, table_no, row_no, cell_no, cell (numbers from 0)."""
-    nested = page_tables(pages.select(key, html), html)
-    return (
-        nested.select(key, F.posexplode("tables").alias("table_no", "rows"))
-        .select(key, "table_no", F.posexplode("rows").alias("row_no", "row"))
-        .select(key, "table_no", "row_no", F.posexplode("row.cells").alias("cell_no", "cell"))
-    )
+    tables = _numbered(pages, [key], raw_tables(F.col(html)), "table_no", "t")
+    rows = _numbered(tables, [key, "table_no"], raw_rows(F.col("t")), "row_no", "r")
+    cells = _numbered(rows, [key, "table_no", "row_no"], raw_cells(F.col("r")), "cell_no", "c")
+    return cells.select(key, "table_no", "row_no", "cell_no", cell_text(F.col("c")).alias("cell"))
 
 
 def html_list_items(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per linked list item: key, item_no, item text."""
     items = F.regexp_extract_all(F.col(html), F.lit(LINK_ITEM), F.lit(1))
-    return pages.select(key, F.posexplode(items).alias("item_no", "item")).withColumn(
-        "item", html_text(F.col("item")))
-
-
-def _header_text(table: Column) -> Column:
-    return F.lower(F.array_join(table[0]["cells"], " "))
+    return _numbered(pages, [key], items, "item_no", "i").select(key, "item_no", html_text(F.col("i")).alias("item"))
 
 
 def table_with_words(tables: Column, words=tuple(LOCALITY_TABLE_WORDS)) -> Column:
-    """First table whose header row contains every word; null when there is none."""
+    """First table whose first row contains every word; null when there is none."""
     def has_all(table: Column) -> Column:
+        header = F.lower(html_text(F.regexp_extract(table, ROW, 1)))
         found = F.lit(True)
         for word in words:
-            found = found & _header_text(table).contains(word)
+            found = found & header.contains(word)
         return found
 
     return F.try_element_at(F.filter(tables, has_all), F.lit(1))
@@ -97,8 +100,9 @@ def header_role(cell: Column, rules=tuple(LOCALITY_HEADERS)) -> Column:
     return role
 
 
-def _body(table: Column) -> Column:
-    return F.filter(table, lambda row: ~row["is_header"])
+def _body(rows: Column) -> Column:
+    """Rows with at least one data cell (header rows go)."""
+    return F.filter(rows, lambda row: row.rlike(DATA_CELL))
 
 
 def _required(value: Column, strict: bool, message: str) -> Column:
@@ -110,30 +114,33 @@ def locality_rows(pages: DataFrame, key: str = "page_id", html: str = "html",
     """Rows of each page's locality table with columns named by its header words.
     ``strict`` fails the run on a page without the table or without a required column."""
     names = [name for _, name in LOCALITY_HEADERS]
-    picked = page_tables(pages.select(key, html), html).select(
-        key, _required(table_with_words(F.col("tables")), strict, "no locality table on the page").alias("t"))
-    placed = picked.select(
-        key, "t", F.transform(F.col("t")[0]["cells"], lambda cell: header_role(cell)).alias("roles"))
+    table = _required(
+        table_with_words(raw_tables(F.col(html))), strict, "no locality table on the page")
+    rows = pages.select(key, raw_rows(table).alias("rows"))
+    headed = rows.select(key, "rows", F.transform(
+        raw_cells(F.try_element_at("rows", F.lit(1))), lambda cell: header_role(cell_text(cell))).alias("roles"))
     for name in LOCALITY_REQUIRED if strict else []:
-        placed = placed.withColumn("roles", F.when(F.array_contains(F.col("roles"), name), F.col("roles"))
+        headed = headed.withColumn("roles", F.when(F.array_contains(F.col("roles"), name), F.col("roles"))
                                    .otherwise(F.raise_error(F.lit(f"no column for {name}"))))
-    rows = placed.select(key, "roles", F.explode(_body(F.col("t"))).alias("row"))
-    return rows.select(key, *[
-        F.try_element_at("row.cells", F.nullif(F.array_position("roles", F.lit(name)), F.lit(0).cast("bigint"))
-                         .cast("int")).alias(name)
-        for name in names
-    ])
+    body = _numbered(headed, [key, "roles"], _body(F.col("rows")), "row_no", "r")
+    cells = body.select(key, "roles", raw_cells(F.col("r")).alias("cells"))
+
+    def named(name: str) -> Column:
+        position = F.array_position("roles", F.lit(name)).cast("int")
+        return F.when(position > 0, cell_text(F.try_element_at("cells", position)))
+
+    return cells.select(key, *[named(name).alias(name) for name in names])
 
 
 def positional_rows(pages: DataFrame, table_no: int, columns: dict[str, int], key: str = "page_id",
                     html: str = "html", skip: int = 0, min_tables: int = 4, strict: bool = True) -> DataFrame:
     """Body rows of the table at ``table_no`` (from 0) with cells picked by position.
     ``skip`` body rows are left out; ``strict`` fails on a page with too few tables."""
-    nested = page_tables(pages.select(key, html), html)
+    found = pages.select(key, raw_tables(F.col(html)).alias("tables"))
     enough = F.when(F.size("tables") >= min_tables, F.try_element_at("tables", F.lit(table_no + 1)))
-    picked = nested.select(key, _required(enough, strict, "too few tables on the page").alias("t"))
-    rows = picked.select(key, F.posexplode(_body(F.col("t"))).alias("row_no", "row")).filter(
-        F.col("row_no") >= skip)
-    return rows.select(key, "row_no", *[
-        F.try_element_at("row.cells", F.lit(position + 1)).alias(name) for name, position in columns.items()
+    table = _required(enough, strict, "too few tables on the page")
+    body = _numbered(found, [key], _body(raw_rows(table)), "row_no", "r").filter(F.col("row_no") >= skip)
+    cells = body.select(key, "row_no", raw_cells(F.col("r")).alias("cells"))
+    return cells.select(key, "row_no", *[
+        cell_text(F.try_element_at("cells", F.lit(position + 1))).alias(name) for name, position in columns.items()
     ])

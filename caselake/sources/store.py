@@ -1,8 +1,8 @@
 """Named Parquet tables below one root folder.
 
 Small tables (dimensions, serving) are replaced as a whole: each write goes to a new
-version folder and one appended row in ``_versions`` makes it current, so a reader never
-sees a half-written table and a table may be rebuilt from itself. Facts are partitioned by
+version folder that counts once its write has committed, so a reader never sees a
+half-written table and a table may be rebuilt from itself. Facts are partitioned by
 year and merged per partition, so a daily delta rewrites the years it touches and no more."""
 
 from __future__ import annotations
@@ -15,27 +15,28 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from ..operators.merge import upsert
 from ..schemas import SCHEMAS, conform
 
-_VERSIONS = "table_name string, version long, folder string"
-
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
-        self._log = os.path.join(root, "_versions_log")
-
-    def _versions(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_VERSIONS).parquet(self._log).filter(F.col("table_name") == name)
-
-    def _exists(self, path: str) -> bool:
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
-    def _current(self, name: str):
-        """(version, folder) of the newest write, or None. One row comes to the driver."""
-        if not self._exists(self._log):
+    def _current(self, name: str) -> tuple[int, str] | None:
+        """(version, folder) of the newest finished write, or None. Lists one folder; the
+        marker file that Spark writes on commit tells a finished version from a broken one."""
+        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        base = hadoop_path(os.path.join(self.root, name))
+        fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(base):
             return None
-        return self._versions(name).agg(F.max_by(F.struct("version", "folder"), "version").alias("v")).first()["v"]
+        finished = [
+            status.getPath().getName() for status in fs.listStatus(base)
+            if fs.exists(hadoop_path(status.getPath(), "_SUCCESS"))
+        ]
+        if not finished:
+            return None
+        folder = max(finished)
+        return int(folder[1:].split("-")[0]), os.path.join(self.root, name, folder)
 
     def exists(self, name: str) -> bool:
         return self._current(name) is not None
@@ -45,21 +46,15 @@ class TableStore:
         current = self._current(name)
         if current is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(current["folder"])
-
-    def _publish(self, name: str, folder: str, version: int) -> None:
-        self.spark.createDataFrame([(name, version, folder)], _VERSIONS).coalesce(1).write.mode(
-            "append").parquet(self._log)
+        return self.spark.read.schema(SCHEMAS[name]).parquet(current[1])
 
     def replace(self, name: str, df: DataFrame, partition_by: str | None = None, sort_by=()) -> int:
         """Write a new version and make it current. Returns its row count, observed during
         the write (no second pass)."""
         current = self._current(name)
-        version = 1 if current is None else current["version"] + 1
+        version = 1 if current is None else current[0] + 1
         folder = os.path.join(self.root, name, f"v{version:06d}-{uuid.uuid4().hex[:8]}")
-        rows = self._write(conform(df, name), folder, "errorifexists", partition_by, sort_by)
-        self._publish(name, folder, version)
-        return rows
+        return self._write(conform(df, name), folder, "errorifexists", partition_by, sort_by)
 
     def merge(self, name: str, updates: DataFrame, keys: list[str], partition_by: str,
               sort_by=()) -> int:
@@ -75,7 +70,7 @@ class TableStore:
         touched = updates.select(partition_by).distinct()
         target = self.read(name).join(F.broadcast(touched), partition_by, "left_semi")  # calendar years
         merged = upsert(target, updates, keys)
-        return self._write(merged, current["folder"], "overwrite", partition_by, sort_by)
+        return self._write(merged, current[1], "overwrite", partition_by, sort_by)
 
     def _write(self, df: DataFrame, folder: str, mode: str, partition_by: str | None, sort_by) -> int:
         counted = Observation()
