@@ -12,7 +12,7 @@ from ..functions import accent_pairs
 from ..functions.numbers import NUMERAL
 from .queries import DELIVERY_CUT_DAYS, SNAPSHOT, SOURCE_URL
 
-NBSP = " "
+NBSP = "\u00a0"
 EDGE = f"^[\\s{NBSP}]+|[\\s{NBSP}]+$"
 
 
@@ -76,7 +76,7 @@ def dotted(x: str) -> str:
 
 def fold(x: str) -> str:
     accented, plain = accent_pairs()
-    return f"regexp_replace(translate(lower({x}), '{accented}', '{plain}'), '[̀-ͯ]', '', 'g')"
+    return f"regexp_replace(translate(lower({x}), '{accented}', '{plain}'), '[\u0300-\u036f]', '', 'g')"
 
 
 def without_kind(x: str) -> str:

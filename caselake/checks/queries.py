@@ -13,7 +13,7 @@ from ..operators import (
     audit, clean as cleaning, keys, latest, merge, places as place_ops, ranking, routing, series,
 )
 from ..plans import global_daily, province, reports, serving, timeline, vaccination
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import delimited, html, landing
 from ..sources.store import TableStore
 from . import fixtures as fx
@@ -71,10 +71,6 @@ def listed_provinces(spark, sf) -> DataFrame:
     return timeline.province_cases(timeline.page_province_text(fx.html_pages(spark, sf)))
 
 
-def numbered_countries(spark, sf) -> DataFrame:
-    return keys.number_keys(serving.country_attributes(clean(spark, sf)), "iso_code", "country_id")
-
-
 def days_of(spark, sf) -> DataFrame:
     return serving.dim_date(typed(spark, sf))
 
@@ -328,14 +324,19 @@ def rolling_7d_sums(spark, sf):
 
 @query
 def surrogate_key_lookup(spark, sf):
-    return serving.global_fact(clean(spark, sf), numbered_countries(spark, sf))
+    rows = materialize(clean(spark, sf), "clean")
+    attributes = materialize(serving.country_attributes(rows), "attributes")
+    countries = materialize(keys.number_keys(attributes, "iso_code", "country_id"), "countries")
+    return serving.global_fact(rows, countries)
 
 
 @query
 def scalar_subquery_count(spark, sf):
-    rows = clean(spark, sf)
-    countries = typed(spark, sf).agg(F.countDistinct("iso_code")).scalar()
-    return rows.filter(F.col("full_date") == newest_day(spark, sf)).select(
+    rows = typed(spark, sf)
+    countries = rows.agg(F.countDistinct("iso_code")).scalar()
+    newest = rows.agg(F.max("full_date")).scalar()
+    of_day = cleaning.clean_daily(fx.raw_daily(spark, sf)).filter(F.col("full_date") == newest)
+    return of_day.select(
         "iso_code", "full_date", "total_cases", countries.alias("country_count"))
 
 
@@ -420,16 +421,18 @@ def province_summary(spark, sf):
 
 @query
 def snapshot_summary(spark, sf):
-    rows = clean(spark, sf)
-    fact = rows.filter(F.col("full_date") == newest_day(spark, sf)).select(
+    rows = materialize(clean(spark, sf), "clean")
+    newest = rows.agg(F.max("full_date")).scalar()
+    fact = rows.filter(F.col("full_date") == newest).select(
         "iso_code", fn.date_id(F.col("full_date")).alias("date_id"), "people_vaccinated")
-    names = serving.country_attributes(rows)
+    names = materialize(serving.country_attributes(rows), "attributes")
     return fact.join(names, "iso_code").select("iso_code", "country_name", "date_id", "population", "people_vaccinated")
 
 
 @query
 def topn_vs_rest(spark, sf):
-    return ranking.top_n_versus_rest(summary(spark, sf), "latest_total_cases", "country_name")
+    return ranking.top_n_versus_rest(
+        materialize(summary(spark, sf), "summary"), "latest_total_cases", "country_name")
 
 
 def _continent_days(spark, sf) -> DataFrame:
@@ -566,7 +569,7 @@ def duplicate_keys(spark, sf):
 @query
 def orphan_rows(spark, sf):
     rows = fx.raw_daily(spark, sf).select("id", fn.strip(F.col("iso_code")).alias("iso_code"))
-    countries = typed(spark, sf).select("iso_code").distinct()
+    countries = materialize(typed(spark, sf).select("iso_code").distinct(), "countries")
     return audit.orphan_rows(rows, countries, "iso_code")
 
 

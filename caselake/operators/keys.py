@@ -18,7 +18,7 @@ def number_keys(df: DataFrame, natural: str, id_name: str, start=None, digits: i
     Rows are ranked inside hash buckets, and each bucket is shifted by the rows in the
     buckets before it. Only the bucket counts (at most 16^digits rows, a fixed bound) meet
     in one task; the rows never do. The order depends on the keys alone, so a re-run gives
-    the same ids."""
+    the same ids. ``df`` is read twice: pass a stored table, not a long plan."""
     start = F.lit(0) if start is None else start
     bucketed = df.withColumn("_bucket", key_bucket(natural, digits))
     ranked = bucketed.withColumn(

@@ -16,18 +16,19 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
 def upsert_columns(target: DataFrame, source: DataFrame, keys: list[str], update: list[str],
                    defaults: dict | None = None) -> DataFrame:
     """Existing keys get only the ``update`` columns (nulls included); new keys get the
-    source row, with ``defaults`` where the source has no such column."""
+    source row, with ``defaults`` where the source has no such column. Keys are not null,
+    so plain equality serves and sides already partitioned by the key are not moved again."""
     defaults = defaults or {}
     others = [c for c in target.columns if c not in keys and c not in update]
     t = target.withColumn("_in_target", F.lit(True)).alias("t")
     s = source.withColumn("_in_source", F.lit(True)).alias("s")
-    joined = t.join(s, [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], "full_outer")
+    joined = t.join(s, keys, "full_outer")
 
     def fresh(c: str):
         kind = target.schema[c].dataType
         return F.col(f"s.{c}").cast(kind) if c in source.columns else F.lit(defaults.get(c)).cast(kind)
 
-    columns = [F.coalesce(F.col(f"t.{k}"), F.col(f"s.{k}")).alias(k) for k in keys]
+    columns = [F.col(k) for k in keys]
     columns += [F.when(F.col("_in_source"), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in update]
     columns += [F.when(F.col("_in_target"), F.col(f"t.{c}")).otherwise(fresh(c)).alias(c) for c in others]
     return joined.select(*columns).select(*target.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 RATE = T.DecimalType(18, 2)
 _TYPES = {
@@ -85,10 +85,18 @@ REFERENCES = [
 ]
 
 
-def conform(df, table: str):
-    """Select and cast to the table's columns; a missing column becomes null."""
-    from pyspark.sql import functions as F
+def one_row(spark: SparkSession, table: str, **values) -> DataFrame:
+    """A single literal row of a table, without a detour through Python workers."""
+    return conform(spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]), table)
+
+
+def empty(spark: SparkSession, table: str) -> DataFrame:
+    """The table without rows, in a form the optimizer sees as empty and prunes around."""
+    return conform(spark.range(1).filter(F.lit(False)), table)
 
+
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """Select and cast to the table's columns; a missing column becomes null."""
     return df.select(*[
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in SCHEMAS[table].fields

@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..fixed_values import JOB_STATUSES
-from ..schemas import SCHEMAS
+from ..schemas import SCHEMAS, empty, one_row
 
 
 class JobLog:
@@ -22,14 +22,16 @@ class JobLog:
         if status not in JOB_STATUSES:
             raise ValueError(f"status must be one of {JOB_STATUSES}")
         last = self.read().agg(F.max("job_id")).first()[0] or 0
-        row = (last + 1, job_name, status, rows, started_at, finished_at, error)
-        self.spark.createDataFrame([row], SCHEMAS["job_log"]).coalesce(1).write.mode("append").parquet(self.path)
+        one_row(
+            self.spark, "job_log", job_id=last + 1, job_name=job_name, status=status, rows_processed=rows,
+            started_at=started_at, finished_at=finished_at, error_message=error,
+        ).coalesce(1).write.mode("append").parquet(self.path)
 
     def read(self) -> DataFrame:
         hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         fs = hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(hadoop_path):
-            return self.spark.createDataFrame([], SCHEMAS["job_log"])
+            return empty(self.spark, "job_log")
         return self.spark.read.schema(SCHEMAS["job_log"]).parquet(self.path)
 
     @contextmanager

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.merge import upsert
-from ..schemas import SCHEMAS, conform
+from ..schemas import SCHEMAS, conform, empty
 
 
 class TableStore:
@@ -45,7 +45,7 @@ class TableStore:
         """The table with its declared schema; an unwritten table reads as empty."""
         current = self._current(name)
         if current is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
+            return empty(self.spark, name)
         return self.spark.read.schema(SCHEMAS[name]).parquet(current[1])
 
     def replace(self, name: str, df: DataFrame, partition_by: str | None = None, sort_by=()) -> int:
