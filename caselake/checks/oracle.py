@@ -470,7 +470,7 @@ SELECTS = {
         from clean, newest where full_date > d - 14 and full_date <= d group by iso_code""",
     "surrogate_key_lookup": f"""
         select country_id, {date_id('full_date')} as date_id, new_cases, new_deaths, total_cases, total_deaths,
-          people_vaccinated, vaccination_rate, case_fatality_rate, cast(year(full_date) as integer) as year
+          people_vaccinated, vaccination_rate, case_fatality_rate, cast(year(full_date) * 100 + month(full_date) as integer) as month_id
         from clean join countries using (iso_code)""",
     "scalar_subquery_count": """
         select iso_code, full_date, total_cases, (select count(distinct iso_code) from typed) as country_count

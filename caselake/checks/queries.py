@@ -600,4 +600,4 @@ def load_vaccination(spark, sf):
 @query
 def load_timeline(spark, sf):
     loaded = timeline.load(new_store(spark), fx.timeline_text(spark, sf), SOURCE_URL, as_of())
-    return loaded.drop("year")
+    return loaded.drop("month_id")

@@ -1,5 +1,5 @@
 from .dates import (  # noqa: F401
-    date_attributes, date_from_id, date_id, is_timeline_date, province_date, strict_date, timeline_date,
+    date_attributes, date_from_id, date_id, is_timeline_date, month_id, province_date, strict_date, timeline_date,
     tolerant_date,
 )
 from .numbers import (  # noqa: F401

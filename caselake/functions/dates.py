@@ -55,6 +55,11 @@ def date_id(d: Column) -> Column:
     return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int")
 
 
+def month_id(d: Column) -> Column:
+    """yyyymm, the partition of a fact row."""
+    return (F.year(d) * 100 + F.month(d)).cast("int")
+
+
 def date_from_id(key: Column) -> Column:
     return F.make_date(
         F.floor(key / 10000).cast("int"), F.floor(key / 100).cast("int") % 100, key % 100)

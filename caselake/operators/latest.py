@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .clean import keep_last
 
@@ -28,11 +28,20 @@ def known_max_by(value: str, order: str) -> Column:
 def last_non_null(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """Per key and per column the newest non-null value (``order`` unique per key).
 
-    Attribute combinations are reduced to their newest date first. That step keeps text in
-    the grouping key and only dates in the buffer, so it stays a hash aggregate that shrinks
-    a hot key before the shuffle; the second step sees a handful of rows per key."""
-    combos = df.groupBy(key, *columns).agg(F.max(order).alias(order))
-    return combos.groupBy(key).agg(*[known_max_by(c, order).alias(c) for c in columns])
+    Text columns go into the key of a first grouping and fixed-width ones into its buffer.
+    That step stays a hash aggregate, which shrinks a hot key before the shuffle; with text
+    in the buffer it would sort all rows. The second step merges the few text combinations
+    of a key."""
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    fixed = [c for c in columns if c not in texts]
+    combos = df.groupBy(key, *texts).agg(
+        F.max(order).alias("_order"),
+        *[known_max_by(c, order).alias(c) for c in fixed],
+        *[F.max(F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_order_{c}") for c in fixed])
+    merged = combos.groupBy(key).agg(
+        *[known_max_by(c, "_order").alias(c) for c in texts],
+        *[F.max_by(c, f"_order_{c}").alias(c) for c in fixed])
+    return merged.select(key, *columns)
 
 
 __all__ = ["keep_last", "latest_row_per_key", "latest_known_value", "last_non_null", "known_max_by"]

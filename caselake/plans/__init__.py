@@ -1 +1 @@
-from . import global_daily, province, reports, serving, timeline, vaccination  # noqa: F401
+from . import global_daily, portal, province, reports, serving, timeline, vaccination  # noqa: F401

@@ -36,7 +36,7 @@ def transform_load(store: TableStore, as_of: Column) -> DataFrame:
             store.read("dim_country"), serving.country_attributes(clean), "iso_code", "country_id"))
         store.replace("dim_date", insert_if_absent(store.read("dim_date"), serving.dim_date(clean), ["date_id"]))
         fact = serving.global_fact(clean, store.read("dim_country"))
-        rows = store.merge(FACT, fact, ["country_id", "date_id"], "year", ["country_id", "date_id"])
+        rows = store.merge(FACT, fact, ["country_id", "date_id"], "month_id", ["country_id", "date_id"])
         refresh_serving(store, as_of)
         done(rows)
     return store.read("agg_country_summary")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import date_id, dotted_thousands, province_date, strip
+from ..functions import date_id, dotted_thousands, month_id, province_date, strip
 from ..operators.clean import check_clean, keep_last
 from ..operators.keys import lookup_key, with_new_keys
 from ..operators.merge import insert_if_absent
@@ -37,7 +37,7 @@ def province_fact(clean: DataFrame, provinces: DataFrame) -> DataFrame:
     return keyed.select(
         "province_id", date_id(F.col("full_date")).alias("date_id"), "new_cases", zero.alias("new_deaths"),
         "total_cases", "total_deaths", zero.alias("recovered"), zero.alias("active_cases"),
-        F.year("full_date").cast("int").alias("year"))
+        month_id(F.col("full_date")).alias("month_id"))
 
 
 def province_names(clean: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def load(store: TableStore, raw: DataFrame, as_of: Column) -> DataFrame:
             existing, keep_known_attributes(existing, province_names(clean)), "province_name", "province_id"))
         store.replace("dim_date", insert_if_absent(store.read("dim_date"), serving.dim_date(clean), ["date_id"]))
         provinces = store.read("dim_province")
-        rows = store.merge(FACT, province_fact(clean, provinces), ["province_id", "date_id"], "year",
+        rows = store.merge(FACT, province_fact(clean, provinces), ["province_id", "date_id"], "month_id",
                            ["province_id", "date_id"])
         fact = store.read(FACT)
         store.replace("agg_province_summary", serving.province_summary(fact, provinces, as_of))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import TREND_DAYS
-from ..functions import date_attributes, date_from_id, date_id, guarded_trend
+from ..functions import date_attributes, date_from_id, date_id, guarded_trend, month_id
 from ..operators.keys import lookup_key
 from ..operators.latest import known_max_by, last_non_null
 from ..operators.series import window_sums
@@ -48,7 +48,7 @@ def global_fact(clean: DataFrame, countries: DataFrame) -> DataFrame:
     keyed = lookup_key(clean, countries, "iso_code", "country_id")
     return keyed.select(
         "country_id", date_id(F.col("full_date")).alias("date_id"), *FACT_MEASURES,
-        F.year("full_date").cast("int").alias("year"))
+        month_id(F.col("full_date")).alias("month_id"))
 
 
 # --- serving ----------------------------------------------------------------------

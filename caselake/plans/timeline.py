@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import clean_place_name, date_id, first_digit_run, timeline_date
+from ..functions import clean_place_name, date_id, first_digit_run, month_id, timeline_date
 from ..operators.clean import check_clean, keep_last
 from ..operators.merge import insert_if_absent
 from ..operators.series import cumulative_to_daily
@@ -69,7 +69,7 @@ def load(store: TableStore, timeline_text: DataFrame, source_url: str, as_of: Co
         store.replace("dim_date", insert_if_absent(store.read("dim_date"), serving.dim_date(daily), ["date_id"]))
         rows = store.replace(FACT, daily.select(
             "*", date_id(F.col("full_date")).alias("date_id"), F.lit(source_url).alias("source_url"),
-            F.year("full_date").cast("int").alias("year")), "year", ["series", "date_id"])
+            month_id(F.col("full_date")).alias("month_id")), "month_id", ["series", "date_id"])
         if province_text is not None:
             listed = materialize(province_cases(province_text), "province-cases")
             rows += store.replace("raw_province_cases", listed.select(

@@ -57,7 +57,7 @@ def vaccination_fact(clean: DataFrame, provinces: DataFrame, snapshot: date) ->
     keyed = lookup_key(one_each, provinces, "province_name", "province_id")
     return keyed.select(
         "province_id", F.lit(int(snapshot.strftime("%Y%m%d"))).alias("date_id"), *COUNTS, "doses_per_100",
-        F.lit(snapshot.year).alias("year"))
+        F.lit(snapshot.year * 100 + snapshot.month).alias("month_id"))
 
 
 def load(store: TableStore, text: DataFrame, snapshot: date, source_url: str, as_of: Column) -> DataFrame:
@@ -79,7 +79,7 @@ def load(store: TableStore, text: DataFrame, snapshot: date, source_url: str, as
         day = store.spark.range(1).select(F.lit(snapshot).alias("full_date"))
         store.replace("dim_date", insert_if_absent(store.read("dim_date"), serving.dim_date(day), ["date_id"]))
         provinces = store.read("dim_province")
-        rows = store.replace(FACT, vaccination_fact(clean, provinces, snapshot), "year", ["province_id"])
+        rows = store.replace(FACT, vaccination_fact(clean, provinces, snapshot), "month_id", ["province_id"])
         store.replace("agg_vaccination_summary", serving.vaccination_summary(
             store.read(FACT), provinces, int(snapshot.strftime("%Y%m%d")), as_of))
         done(rows)

@@ -34,16 +34,16 @@ SCHEMAS: dict[str, T.StructType] = {
     "dim_date": _table("date_id:int full_date:date year:int month:int week:int quarter:int"),
     "fact_global_daily": _table(
         "country_id:int date_id:int new_cases:long new_deaths:long total_cases:long total_deaths:long "
-        "people_vaccinated:long vaccination_rate:rate case_fatality_rate:rate year:int"),
+        "people_vaccinated:long vaccination_rate:rate case_fatality_rate:rate month_id:int"),
     "fact_province_daily": _table(
         "province_id:int date_id:int new_cases:long new_deaths:long total_cases:long total_deaths:long "
-        "recovered:long active_cases:long year:int"),
+        "recovered:long active_cases:long month_id:int"),
     "fact_vaccination": _table(
         "province_id:int date_id:int population:long doses_distributed:long doses_administered:long "
-        "doses_per_100:rate year:int"),
+        "doses_per_100:rate month_id:int"),
     "fact_timeline_daily": _table(
         "series:string date_id:int total_cases:long total_deaths:long new_cases:long new_deaths:long "
-        "source_url:string year:int"),
+        "source_url:string month_id:int"),
     # serving
     "agg_country_summary": _table(
         "country_id:int country_name:string latest_total_cases:long latest_total_deaths:long "

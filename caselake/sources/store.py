@@ -3,7 +3,7 @@
 Small tables (dimensions, serving) are replaced as a whole: each write goes to a new
 version folder that counts once its write has committed, so a reader never sees a
 half-written table and a table may be rebuilt from itself. Facts are partitioned by
-year and merged per partition, so a daily delta rewrites the years it touches and no more."""
+month and merged per partition, so a daily delta rewrites the months it touches and no more."""
 
 from __future__ import annotations
 
@@ -60,27 +60,30 @@ class TableStore:
               sort_by=()) -> int:
         """Insert new keys and overwrite existing ones in the partitions the updates touch.
 
-        The semi join on the touched partition values prunes the target's scan to those
-        partitions, and the dynamic overwrite replaces only them. A key must not move to
-        another partition (the partition column follows from the date in the key)."""
+        The touched partition values (calendar months, a few hundred integers at most) come to
+        the driver and become a literal filter, so the target's scan is pruned to those
+        partitions before it starts; the dynamic overwrite replaces only them. A key must not
+        move to another partition (the partition follows from the date in the key)."""
         current = self._current(name)
         updates = conform(updates, name)
         if current is None:
             return self.replace(name, updates, partition_by, sort_by)
-        touched = updates.select(partition_by).distinct()
-        target = self.read(name).join(F.broadcast(touched), partition_by, "left_semi")  # calendar years
-        merged = upsert(target, updates, keys)
+        touched = [row[0] for row in updates.select(partition_by).distinct().collect()]
+        if not touched:
+            return 0
+        merged = upsert(self.read(name).filter(F.col(partition_by).isin(touched)), updates, keys)
         return self._write(merged, current[1], "overwrite", partition_by, sort_by)
 
     def _write(self, df: DataFrame, folder: str, mode: str, partition_by: str | None, sort_by) -> int:
-        counted = Observation()
-        df = df.observe(counted, F.count(F.lit(1)).alias("rows"))
         if partition_by:
             # One right-sized set of files per partition value; adaptive execution splits a hot
-            # year and joins small ones, where a plain repartition would leave one huge task.
+            # month and joins small ones, where a plain repartition would leave one huge task.
             df = df.hint("rebalance", partition_by)
         if sort_by:
             df = df.sortWithinPartitions(*([partition_by] if partition_by else []), *sort_by)
+        # Counted in the writing tasks themselves: a retried shuffle stage cannot count twice.
+        counted = Observation()
+        df = df.observe(counted, F.count(F.lit(1)).alias("rows"))
         writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
         if partition_by:
             writer = writer.partitionBy(partition_by)

@@ -148,21 +148,21 @@ def test_unfinished_version_is_ignored(spark, store):
 
 def fact(spark, *rows):
     return spark.createDataFrame(
-        [(p, d, n, d // 10000) for p, d, n in rows], "province_id int, date_id int, new_cases bigint, year int")
+        [(p, d, n, d // 100) for p, d, n in rows], "province_id int, date_id int, new_cases bigint, month_id int")
 
 
-def test_merge_rewrites_touched_years_only(spark, store):
+def test_merge_rewrites_touched_months_only(spark, store):
     keys = ["province_id", "date_id"]
     name = "fact_province_daily"
-    store.merge(name, fact(spark, (1, 20200101, 1), (1, 20210101, 2), (2, 20210101, 3)), keys, "year")
+    store.merge(name, fact(spark, (1, 20200101, 1), (1, 20210101, 2), (2, 20210101, 3)), keys, "month_id")
     folder = store._current(name)[1]
-    untouched = sorted(os.listdir(os.path.join(folder, "year=2020")))
+    untouched = sorted(os.listdir(os.path.join(folder, "month_id=202001")))
     delta = fact(spark, (1, 20210101, 20), (3, 20210102, 30))
-    store.merge(name, delta, keys, "year")
-    store.merge(name, delta, keys, "year")  # again: nothing changes
+    store.merge(name, delta, keys, "month_id")
+    store.merge(name, delta, keys, "month_id")  # again: nothing changes
     got = {(r.province_id, r.date_id): r.new_cases for r in store.read(name).collect()}
     assert got == {(1, 20200101): 1, (1, 20210101): 20, (2, 20210101): 3, (3, 20210102): 30}
-    assert sorted(os.listdir(os.path.join(folder, "year=2020"))) == untouched
+    assert sorted(os.listdir(os.path.join(folder, "month_id=202001"))) == untouched
 
 
 def test_run_log(spark, store):
