@@ -22,8 +22,8 @@ def tolerant_number(c: Column) -> Column:
 
 def tolerant_count(c: Column) -> Column:
     """Whole number; '12.0' is 12; null for junk. Plain integers take the exact and cheap
-    cast, only other text goes through the numeral check and double."""
-    return F.coalesce(strip(c).try_cast("bigint"), tolerant_number(c).try_cast("bigint"))
+    cast (it skips ordinary spaces itself), only other text goes on to the numeral check."""
+    return F.coalesce(c.try_cast("bigint"), tolerant_number(c).try_cast("bigint"))
 
 
 def dotted_thousands(c: Column) -> Column:

@@ -22,6 +22,8 @@ def build_session(app: str = "caselake", master: str | None = None, shuffle_part
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
+        # Beyond 8000 bytes HotSpot does not compile a method; such stages run faster as smaller pieces.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
     }
