@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from ..fixed_values import CLASS_CUTS, DAILY_MEASURES, NULL_WORDS
+from ..fixed_values import CLASS_CUTS, DAILY_MEASURES, DEFAULT_MESSAGE_RULE, MESSAGE_RULES, NULL_WORDS
 from ..functions import accent_pairs
 from ..functions.numbers import NUMERAL
 from .queries import DELIVERY_CUT_DAYS, SNAPSHOT, SOURCE_URL
@@ -359,6 +359,30 @@ def _recent_rows(source: str, day: str, n: int) -> str:
     return f"select * from (select * from {source} order by {day} desc limit {n}) order by {day}"
 
 
+def _chunks(step: int, short_label: str) -> str:
+    return f"""
+        select continent, chunk_no, min(full_date) as first_day, max(full_date) as last_day, count(*) as n_days,
+          {half_up_mean('new_cases')} as mean_new_cases, {half_up_mean('new_deaths')} as mean_new_deaths,
+          case when min(full_date) = max(full_date) then strftime(min(full_date), '%Y-%m-%d')
+               else strftime(min(full_date), '%Y-%m-%d') || ' - ' || strftime(max(full_date), '%Y-%m-%d') end as label,
+          strftime(min(full_date), '{short_label}') as short_label
+        from (select *, cast((row_number() over (partition by continent order by full_date) - 1) // {step} as integer)
+                     as chunk_no
+              from (select continent, full_date, sum(new_cases) as new_cases, sum(new_deaths) as new_deaths
+                    from clean group by all))
+        group by continent, chunk_no"""
+
+
+def _message_replies() -> str:
+    hits = [" or ".join(f"contains(lower(text), '{word}')" for word in words) for _, words, _ in MESSAGE_RULES]
+    labels = " ".join(f"when {hit} then '{label}'" for hit, (label, _, _) in zip(hits, MESSAGE_RULES))
+    replies = " ".join(f"when {hit} then '{reply}'" for hit, (_, _, reply) in zip(hits, MESSAGE_RULES))
+    return f"""
+        select conv_id, turn, case {labels} else '{DEFAULT_MESSAGE_RULE[0]}' end as label,
+          case {replies} else '{DEFAULT_MESSAGE_RULE[1]}' end as reply
+        from conversations"""
+
+
 _CLASSES = " ".join(f"when ratio >= {cut} then {level}" for level, cut in enumerate(CLASS_CUTS, 1))
 _NULLS = ", ".join(f"'{w}'" for w in NULL_WORDS)
 _LANDED = ", ".join(
@@ -534,21 +558,16 @@ SELECTS = {
         select 'rest', greatest((select sum(latest_total_cases) from summary) - (select sum(latest_total_cases) from (
             select latest_total_cases from summary
             order by latest_total_cases desc nulls last, country_name limit 5)), 0)::bigint""",
-    "chunk_downsample": f"""
-        select continent, chunk_no, min(full_date) as first_day, max(full_date) as last_day, count(*) as n_days,
-          {half_up_mean('new_cases')} as mean_new_cases, {half_up_mean('new_deaths')} as mean_new_deaths,
-          case when min(full_date) = max(full_date) then strftime(min(full_date), '%Y-%m-%d')
-               else strftime(min(full_date), '%Y-%m-%d') || ' - ' || strftime(max(full_date), '%Y-%m-%d') end as label
-        from (select *, cast((row_number() over (partition by continent order by full_date) - 1) // 30 as integer) as chunk_no
-              from (select continent, full_date, sum(new_cases) as new_cases, sum(new_deaths) as new_deaths
-                    from clean group by all))
-        group by continent, chunk_no""",
+    "chunk_downsample": _chunks(30, "%m/%Y"),
+    "chunk_weekly": _chunks(7, "%d/%m/%Y"),
+    "message_replies": _message_replies(),
     "chunk_mean_and_last": f"""
         select series, chunk_no, min(full_date) as first_day, max(full_date) as last_day, count(*) as n_days,
           {half_up_mean('new_cases')} as mean_new_cases, {half_up_mean('new_deaths')} as mean_new_deaths,
           arg_max(total_cases, full_date) as total_cases, arg_max(total_deaths, full_date) as total_deaths,
           case when min(full_date) = max(full_date) then strftime(min(full_date), '%Y-%m-%d')
-               else strftime(min(full_date), '%Y-%m-%d') || ' - ' || strftime(max(full_date), '%Y-%m-%d') end as label
+               else strftime(min(full_date), '%Y-%m-%d') || ' - ' || strftime(max(full_date), '%Y-%m-%d') end as label,
+          strftime(min(full_date), '%m/%Y') as short_label
         from (select *, cast((row_number() over (partition by series order by full_date) - 1) // 30 as integer) as chunk_no
               from timeline_days)
         group by series, chunk_no""",

@@ -551,6 +551,20 @@ def keyword_route_counts(spark, sf):
         fx.messages(spark, sf), "text", fx.MESSAGE_TEST_RULES, fx.MESSAGE_TEST_DEFAULT))
 
 
+@query
+def message_replies(spark, sf):
+    """The product's own message rules over every message."""
+    return routing.route_messages(fx.messages(spark, sf)).select("conv_id", "turn", "label", "reply")
+
+
+@query
+def chunk_weekly(spark, sf):
+    """The weekly form of the trend chart, for a horizon of 90 days and more history."""
+    return series.chunk_downsample(
+        _continent_days(spark, sf), ["continent"], "full_date", series.downsample_step(90),
+        {"new_cases": "mean_new_cases", "new_deaths": "mean_new_deaths"})
+
+
 @query
 def quality_counts(spark, sf):
     return cleaning.quality_counts(fx.raw_daily(spark, sf))

@@ -53,6 +53,8 @@ TREND_DAYS = 7
 CLASS_CUTS = [0.82, 0.64, 0.46, 0.28]
 DOWNSAMPLE_STEPS = [(45, 1), (120, 7)]
 DOWNSAMPLE_LAST_STEP = 30
+DAY_LABEL = "dd/MM/yyyy"
+MONTH_LABEL = "MM/yyyy"
 
 # --- fixed values: place key alias ------------------------------------------------
 PLACE_KEY_ALIASES = {"hochiminhcity": "hochiminh"}

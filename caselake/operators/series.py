@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..fixed_values import DOWNSAMPLE_LAST_STEP, DOWNSAMPLE_STEPS, TREND_DAYS
+from ..fixed_values import DAY_LABEL, DOWNSAMPLE_LAST_STEP, DOWNSAMPLE_STEPS, MONTH_LABEL, TREND_DAYS
 from ..functions import floor_div
 from .clean import keep_last
 
@@ -74,4 +74,7 @@ def chunk_downsample(daily: DataFrame, series: list[str], day: str, step: int, m
         *[F.max_by(c, day).alias(name) for c, name in (lasts or {}).items()],
     )
     first, last = F.date_format("first_day", "yyyy-MM-dd"), F.date_format("last_day", "yyyy-MM-dd")
-    return out.withColumn("label", F.when(first == last, first).otherwise(F.concat(first, F.lit(" - "), last)))
+    return out.withColumns({
+        "label": F.when(first == last, first).otherwise(F.concat(first, F.lit(" - "), last)),
+        "short_label": F.date_format("first_day", MONTH_LABEL if step == DOWNSAMPLE_LAST_STEP else DAY_LABEL),
+    })

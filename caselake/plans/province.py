@@ -8,6 +8,7 @@ from ..functions import date_id, dotted_thousands, month_id, province_date, stri
 from ..operators.clean import check_clean, keep_last
 from ..operators.keys import lookup_key, with_new_keys
 from ..operators.merge import insert_if_absent
+from ..operators.series import cumulative_to_daily
 from ..session import materialize
 from ..sources.joblog import JobLog
 from ..sources.store import TableStore
@@ -30,12 +31,17 @@ def clean_province(raw: DataFrame) -> DataFrame:
     return keep_last(typed, ["province_name", "full_date"], order)
 
 
-def province_fact(clean: DataFrame, provinces: DataFrame) -> DataFrame:
-    """Fact rows; the measures this source does not deliver are zero."""
-    keyed = lookup_key(clean, provinces, "province_name", "province_id")
+def province_fact(clean: DataFrame, provinces: DataFrame, derive_deaths: bool = False) -> DataFrame:
+    """Fact rows; the measures this source does not deliver are zero. ``derive_deaths`` fills
+    the daily deaths from the running total of a delivery instead."""
     zero = F.lit(0).cast("bigint")
+    if derive_deaths:
+        clean = cumulative_to_daily(clean, ["province_name"], "full_date", {"total_deaths": "new_deaths"})
+    else:
+        clean = clean.withColumn("new_deaths", zero)
+    keyed = lookup_key(clean, provinces, "province_name", "province_id")
     return keyed.select(
-        "province_id", date_id(F.col("full_date")).alias("date_id"), "new_cases", zero.alias("new_deaths"),
+        "province_id", date_id(F.col("full_date")).alias("date_id"), "new_cases", "new_deaths",
         "total_cases", "total_deaths", zero.alias("recovered"), zero.alias("active_cases"),
         month_id(F.col("full_date")).alias("month_id"))
 
@@ -54,7 +60,7 @@ def keep_known_attributes(existing: DataFrame, incoming: DataFrame) -> DataFrame
         F.coalesce("population", "_population").alias("population"))
 
 
-def load(store: TableStore, raw: DataFrame, as_of: Column) -> DataFrame:
+def load(store: TableStore, raw: DataFrame, as_of: Column, derive_deaths: bool = False) -> DataFrame:
     """Merge one delivery and rebuild the province serving tables. Province keys are stable:
     known names keep their id, so the vaccination fact's keys stay valid."""
     with JobLog(store.spark, store.root).run(JOB) as done:
@@ -65,7 +71,7 @@ def load(store: TableStore, raw: DataFrame, as_of: Column) -> DataFrame:
             existing, keep_known_attributes(existing, province_names(clean)), "province_name", "province_id"))
         store.replace("dim_date", insert_if_absent(store.read("dim_date"), serving.dim_date(clean), ["date_id"]))
         provinces = store.read("dim_province")
-        rows = store.merge(FACT, province_fact(clean, provinces), ["province_id", "date_id"], "month_id",
+        rows = store.merge(FACT, province_fact(clean, provinces, derive_deaths), ["province_id", "date_id"], "month_id",
                            ["province_id", "date_id"])
         fact = store.read(FACT)
         store.replace("agg_province_summary", serving.province_summary(fact, provinces, as_of))

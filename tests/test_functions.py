@@ -149,3 +149,30 @@ def test_null_words(spark):
 def test_floor_div(spark):
     df = spark.createDataFrame([(7, 2), (-7, 2), (8, 2), (2**60 + 1, 2)], "a bigint, b bigint")
     assert [r[0] for r in df.select(fn.floor_div(F.col("a"), F.col("b"))).collect()] == [3, -4, 4, 2**59]
+
+
+def test_percent_and_rounding_against_decimals(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    pick = random.Random(11)
+    pairs = [(pick.randrange(-10**pick.randrange(1, 12), 10**pick.randrange(1, 12)), pick.randrange(0, 10**pick.randrange(1, 10)))
+             for _ in range(2000)]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    cent = Decimal("0.01")
+    for r in df.select("a", "b", fn.percent(F.col("a"), F.col("b")).alias("p"),
+                       fn.percent_of_sums(F.col("a"), F.col("b")).alias("q")).collect():
+        want = None if r.b == 0 else float((Decimal(r.a) * 100 / Decimal(r.b)).quantize(cent, ROUND_HALF_UP))
+        assert r.p == r.q == want, r
+
+
+def test_dotted_thousands_round_trip(spark):
+    import random
+
+    pick = random.Random(5)
+    values = [pick.randrange(0, 10**pick.randrange(1, 7)) for _ in range(1000)]
+    texts = []
+    for v in values:
+        whole, rest = divmod(v, 1000)
+        texts.append(f"{whole}.{f'{rest:03d}'.rstrip('0') or '0'}" if whole else str(v))
+    assert apply(spark, fn.dotted_thousands, texts) == values

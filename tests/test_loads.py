@@ -101,6 +101,17 @@ def test_provinces_shared_by_two_loads(spark, store):
         assert orphan_rows(store.read(table), store.read(dimension), key).isEmpty(), (table, key)
 
 
+def test_daily_deaths_of_provinces(spark):
+    text = spark.createDataFrame(
+        [("A", "1", "5", d, f"01-{i:02d}-2021") for i, d in enumerate(["3", "7", "6", "9"], 1)],
+        "province_name string, new_cases string, total_cases string, total_deaths string, date_raw string")
+    names = spark.createDataFrame([("A", 1)], "province_name string, province_id int")
+    rows = province.clean_province(text)
+    assert {r.new_deaths for r in province.province_fact(rows, names).collect()} == {0}
+    derived = province.province_fact(rows, names, derive_deaths=True).orderBy("date_id").collect()
+    assert [r.new_deaths for r in derived] == [0, 4, 0, 3]
+
+
 def test_timeline_with_province_list(spark, store):
     text = spark.createDataFrame(
         [("vn", "2021-01-01", "100", "1"), ("vn", "2021-01-02", "1.150[2]", "3"), ("vn", "Month 2", "", "")],

@@ -6,16 +6,23 @@ import __spark_entry__ as entry_module
 from compare import differences
 
 QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
-LOADS = [name for name in QUERIES if name.startswith("load_")]
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+NOT_IN_A_PLAN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas",
+                 "FlatMapGroups")
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_matches_sql(spark, con, sf_dir, name):
-    assert differences(QUERIES[name](spark, sf_dir), con, SQL[name]) is None
+    """Same columns, types and values; no cross join and no Python in the plan."""
+    df = QUERIES[name](spark, sf_dir)
+    assert differences(df, con, SQL[name]) is None
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert [word for word in NOT_IN_A_PLAN if word in plan] == []
 
 
 def test_comparison_sees_a_difference(spark, con, sf_dir):
@@ -26,11 +33,3 @@ def test_comparison_sees_a_difference(spark, con, sf_dir):
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns[0] == "country_name" and df.count() == 10
-
-
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in LOADS])
-def test_plan_has_no_cross_join_and_no_python(spark, sf_dir, name):
-    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
-                 "MapInPandas", "FlatMapGroups"):
-        assert word not in plan
