@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .clean import keep_last
-
 
 def latest_row_per_key(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """All columns of the newest row per key, nulls included. ``order`` is unique per key.
@@ -42,6 +40,3 @@ def last_non_null(df: DataFrame, key: str, order: str, columns: list[str]) -> Da
         *[known_max_by(c, "_order").alias(c) for c in texts],
         *[F.max_by(c, f"_order_{c}").alias(c) for c in fixed])
     return merged.select(key, *columns)
-
-
-__all__ = ["keep_last", "latest_row_per_key", "latest_known_value", "last_non_null", "known_max_by"]

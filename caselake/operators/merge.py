@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .clean import keep_last
+
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Source rows replace target rows with the same key; other rows stay. ``source`` holds
@@ -37,12 +39,7 @@ def upsert_columns(target: DataFrame, source: DataFrame, keys: list[str], update
 def insert_if_absent(target: DataFrame, source: DataFrame, keys: list[str], order=None) -> DataFrame:
     """Add source rows whose key the target lacks; the first source row per key wins
     (``order`` says which is first; without it rows of one key must be equal)."""
-    if order:
-        from .clean import keep_last
-
-        source = keep_last(source, keys, order)
-    else:
-        source = source.dropDuplicates(keys)
+    source = keep_last(source, keys, order) if order else source.dropDuplicates(keys)
     new = source.join(target.select(*keys), keys, "left_anti")
     return target.unionByName(new.select(*target.columns))
 

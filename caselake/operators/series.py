@@ -47,6 +47,12 @@ def newest_rows(df: DataFrame, day: str, n: int) -> DataFrame:
     return df.orderBy(F.col(day).desc()).limit(n).orderBy(F.col(day).asc())
 
 
+def newest_rows_per_series(df: DataFrame, series: list[str], day: str, n: int) -> DataFrame:
+    """The newest ``n`` rows of every series; one row per (series, day) goes in."""
+    newest_first = Window.partitionBy(*series).orderBy(F.col(day).desc())
+    return df.withColumn("_rn", F.row_number().over(newest_first)).filter(F.col("_rn") <= n).drop("_rn")
+
+
 def downsample_step(horizon_days: int) -> int:
     """Rows per chunk for a horizon: single days, weeks, then 30 days."""
     for limit, step in DOWNSAMPLE_STEPS:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from ..operators.clean import check_clean, clean_daily, quality_counts
 from ..operators.keys import with_new_keys

@@ -115,22 +115,13 @@ def trend_chart(store, n=365):
 
 @report
 def timeline_chart(store, n=3000):
+    days = reports.checked("timeline_trend", n)
     return series.chunk_downsample(
-        _timeline_rows_per_series(store, n), ["series"], "full_date", DOWNSAMPLE_LAST_STEP,
+        series.newest_rows_per_series(_timeline(store, None), ["series"], "full_date", days), ["series"], "full_date", DOWNSAMPLE_LAST_STEP,
         {"new_cases": "mean_new_cases", "new_deaths": "mean_new_deaths"},
         {"total_cases": "total_cases", "total_deaths": "total_deaths"})
 
 
-def _timeline_rows_per_series(store, n):
-    """The newest ``n`` days of every series (a ranked window, cut before the shuffle)."""
-    from pyspark.sql import Window
-
-    reports.checked("timeline_trend", n)
-    newest_first = Window.partitionBy("series").orderBy(F.col("full_date").desc())
-    daily = _timeline(store, None).withColumn("_rn", F.row_number().over(newest_first))
-    return daily.filter(F.col("_rn") <= n).drop("_rn")
-
-
 @report
 def top_coverage(store, n=8):
     return reports.top_by_rate(store.read("agg_vaccination_summary"), "doses_per_100", n)

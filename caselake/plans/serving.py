@@ -9,7 +9,6 @@ from ..functions import date_attributes, date_from_id, date_id, guarded_trend, m
 from ..operators.keys import lookup_key
 from ..operators.latest import known_max_by, last_non_null
 from ..operators.series import window_sums
-from ..operators.clean import keep_last
 
 FACT_MEASURES = [
     "new_cases", "new_deaths", "total_cases", "total_deaths", "people_vaccinated", "vaccination_rate",
@@ -121,6 +120,3 @@ def vaccination_summary(fact: DataFrame, provinces: DataFrame, snapshot_date_id:
     return day.join(provinces.select("province_id", "province_name"), "province_id").select(
         "province_id", "province_name", fact["population"], "doses_distributed", "doses_administered",
         "doses_per_100", as_of.alias("last_updated"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]

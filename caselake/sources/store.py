@@ -63,7 +63,9 @@ class TableStore:
         The touched partition values (calendar months, a few hundred integers at most) come to
         the driver and become a literal filter, so the target's scan is pruned to those
         partitions before it starts; the dynamic overwrite replaces only them. A key must not
-        move to another partition (the partition follows from the date in the key)."""
+        move to another partition (the partition follows from the date in the key). One writer
+        at a time; a reader that opens the table while the partitions are being swapped should
+        read again."""
         current = self._current(name)
         updates = conform(updates, name)
         if current is None:
