@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselake.llm import exact_dedup
+from caselake.llm import decontaminate, exact_dedup
 
 
 def table(spark, sf_dir: str, name: str):
@@ -15,8 +15,16 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents")).drop("row_no")
 
 
+def op7_decontaminate(spark, sf_dir):
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op7_decontaminate": op7_decontaminate,
 }
 
 ORACLE_SQL = {
@@ -27,4 +35,26 @@ with h as (
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = min(doc_id) over w as kept, text_sha256
 from h window w as (partition by text_sha256)""",
+    "op7_decontaminate": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bw as (
+  select distinct item_id, least(10, len(w)) as size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as g
+  from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
+dw as (
+  select doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') as g
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i
+        from d, (select distinct size from bw) where len(w) >= size)),
+h as (select doc_id, i, size, item_id from dw join bw using (size, g)),
+n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + size)) as p from h) group by doc_id),
+t as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, cast(item_id as varchar) as item from h) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (doc_id) left join t using (doc_id)""",
 }
