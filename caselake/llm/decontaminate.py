@@ -233,7 +233,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def remove_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", max_words: int = 0,
                  max_coverage: float = 0.5) -> DataFrame:
     """``docs`` without spans of more than ``max_words`` hit words (0: every span goes) and without
-    documents whose hit words are more than ``max_coverage`` of all. ``found`` is ``find(docs, ...)``.
+    documents whose hit words are more than ``max_coverage`` of all. ``found`` is ``find(docs, ...)``;
+    ``docs`` is a stored table, as rows are matched by their number in its scan.
     Documents without hits come back unchanged, byte for byte."""
     hits = found.filter("n_hit > 0").select(
         F.col("row_no").alias("__row"), F.col("spans").alias("__spans"),

@@ -16,37 +16,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselake.llm import bloom
 from caselake.session import materialize
 
-BLOCK_BITS = 256
-LANES = 4
-#: The filter is a table of one row of 40 bytes for each block, so broadcasting it moves at most 20 MB.
-MAX_BLOCKS = 1 << 19
-
-
 def normalized(text: str) -> F.Column:
     return F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _addressed(keys: DataFrame, n_blocks: int) -> DataFrame:
-    """Block and one bit number for each of the four 64-bit lanes."""
-    second = F.xxhash64("text_sha256", F.lit(1))
-    bits = [F.shiftrightunsigned(second, 6 * i).bitwiseAND(63).cast("int").alias(f"bit{i}") for i in range(LANES)]
-    return keys.select("*", F.pmod(F.xxhash64("text_sha256"), F.lit(n_blocks)).cast("int").alias("block"), *bits)
-
-
-def repeated_bits(keys: DataFrame, n_blocks: int) -> DataFrame:
-    """Pass 1: per block, the bits that at least two rows set. At most ``n_blocks`` rows."""
-    slots = _addressed(keys, n_blocks).select("block", F.explode(F.array(*[
-        (F.lit(64 * i) + F.col(f"bit{i}")).cast("int") for i in range(LANES)])).alias("slot"))
-    twice = slots.groupBy("block", "slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    lane = [F.expr(f"bit_or(if(slot div 64 = {i}, shiftleft(1L, cast(slot % 64 as int)), 0L))").alias(f"lane{i}")
-            for i in range(LANES)]
-    return twice.groupBy("block").agg(*lane)
-
-
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16,
-                max_blocks: int = MAX_BLOCKS) -> DataFrame:
+                max_blocks: int = bloom.MAX_BLOCKS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, row_no.
 
     ``row_no`` tells rows apart that share an id; it follows the order of the scan."""
@@ -54,13 +32,9 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = materialize(docs.select(
         F.col(id_col).alias("doc_id"), F.sha2(normalized(text_col), 256).alias("text_sha256"),
         F.monotonically_increasing_id().alias("row_no")), "op1-keys")
-    n_blocks = max(1, min(max_blocks, -(-keys.count() * bits_per_row // BLOCK_BITS)))
-    repeated = materialize(repeated_bits(keys, n_blocks), "op1-filter")
-    asked = _addressed(keys, n_blocks).join(F.broadcast(repeated), "block", "left")
-    hit = F.lit(True)
-    for i in range(LANES):
-        hit = hit & F.expr(f"coalesce(lane{i} & shiftleft(1L, bit{i}), 0L) != 0L")
-    asked = asked.select("doc_id", "text_sha256", "row_no", hit.alias("possible"))
+    n_blocks = bloom.blocks_for(keys.count(), bits_per_row, max_blocks)
+    repeated = materialize(bloom.build(keys, "text_sha256", n_blocks, at_least=2), "op1-filter")
+    asked = bloom.ask(keys, "text_sha256", n_blocks, repeated)
     single = asked.filter("not possible").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256", "row_no")
@@ -79,8 +53,8 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without later copies, with its own columns. Rows to drop leave through an anti join
-    on (id, hash), then repeated rows of one id and text fold into one."""
+    """``docs`` without later copies, with its own columns. ``docs`` is a stored table: its scan runs
+    twice, and rows are matched by their number in it."""
     marks = mark_copies(docs, id_col, text_col)
     gone = marks.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("row_no").alias("__row"))
     numbered = docs.withColumn("__row_no", F.monotonically_increasing_id())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselake.llm import decontaminate, exact_dedup
+from caselake.llm import decontaminate, exact_dedup, pii, url_filter
 
 
 def table(spark, sf_dir: str, name: str):
@@ -15,6 +15,23 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents")).drop("row_no")
 
 
+def op2_pii(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of("spans", kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("spans", pii.BASE_KINDS), 256).alias("base_sha256"),
+                        pii.listed("spans").alias("spans"))
+
+
+# Words in host names that put a page's URL on the list.
+LISTED_WORDS = ["adult", "ads", "bets", "casino", "pills", "spam"]
+
+
+def op5_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = url_filter.pages_to_list(pages, LISTED_WORDS)
+    return url_filter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_decontaminate(spark, sf_dir):
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -24,6 +41,8 @@ def op7_decontaminate(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_pii": op2_pii,
+    "op5_url_filter": op5_url_filter,
     "op7_decontaminate": op7_decontaminate,
 }
 
@@ -35,6 +54,32 @@ with h as (
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = min(doc_id) over w as kept, text_sha256
 from h window w as (partition by text_sha256)""",
+    "op5_url_filter": r"""
+with p as (
+  select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest
+  from pages),
+q as (
+  select page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path,
+         regexp_extract(url, '^[^#?]*(\?[^#]*)', 1) as query
+  from p),
+c as (
+  select *, case when host <> '' then regexp_replace(regexp_replace(host, '^www\.', ''), ':[0-9]*$', '')
+         || regexp_replace(path, '/+$', '') || case when query like '?utm_%' then '' else query end end as canon
+  from q),
+r as (
+  select *, case
+    when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
+    when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
+    when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
+    when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule
+  from c),
+l as (select distinct canon from c where regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)'))
+select page_id, host, path, rule,
+       case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+            when canon in (select canon from l where canon is not null) then 'block' else 'allow' end as verdict
+from r""",
     "op7_decontaminate": r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
