@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselake.llm import decontaminate, exact_dedup, pii, url_filter
+from caselake.llm import decontaminate, exact_dedup, pii, quality, toxicity, url_filter
 
 
 def table(spark, sf_dir: str, name: str):
@@ -22,6 +22,10 @@ def op2_pii(spark, sf_dir):
                         pii.listed("spans").alias("spans"))
 
 
+def op3_quality(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # Words in host names that put a page's URL on the list.
 LISTED_WORDS = ["adult", "ads", "bets", "casino", "pills", "spam"]
 
@@ -39,11 +43,17 @@ def op7_decontaminate(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
+    "op3_quality": op3_quality,
     "op5_url_filter": op5_url_filter,
     "op7_decontaminate": op7_decontaminate,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
