@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselake.llm import decontaminate, exact_dedup, pii, quality, toxicity, url_filter
+from caselake.llm import decontaminate, exact_dedup, ngram_join, pii, quality, toxicity, url_filter
 
 
 def table(spark, sf_dir: str, name: str):
@@ -47,6 +47,10 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -54,6 +58,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op7_decontaminate": op7_decontaminate,
     "op9_toxicity": op9_toxicity,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL = {
@@ -112,4 +117,23 @@ t as (
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join n using (doc_id) left join t using (doc_id)""",
+    "op10_ngram_join": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y using (g) where x.doc_id <> y.doc_id group by all),
+l as (
+  select a, b, k = x.n and k = y.n as same
+  from c join n x on x.doc_id = a join n y on y.doc_id = b where k * 1000 >= 800 * (x.n + y.n - k)),
+r as (select a as doc_id, b as other from l union select r.doc_id, l.b from r join l on r.other = l.a),
+g as (select doc_id, min(other) as other from r group by doc_id),
+m as (select a as doc_id, min(b) filter (where same) as twin, count(*) filter (where same) as twins, count(*) as links
+      from l group by a)
+select d.doc_id, least(d.doc_id, coalesce(other, d.doc_id)) as class_id, least(d.doc_id, coalesce(twin, d.doc_id)) as copy_id,
+       coalesce(twins, 0) + 1 as n_copies, coalesce(links, 0) as n_links
+from d left join g using (doc_id) left join m using (doc_id)""",
 }

@@ -36,3 +36,37 @@ def contamination(docs, items, n=10):
                     held |= found
         out[doc] = (len(words), len(hit), sorted(map(str, held)))
     return out
+
+
+def near_links(docs, n=5, threshold=0.8):
+    """doc_id -> (class_id, copy_id, n_links) by comparing all pairs."""
+    sets = {}
+    for doc, text in docs:
+        words = letters(text)
+        sets[doc] = frozenset(tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+    holders = defaultdict(set)
+    for doc, grams in sets.items():
+        for g in grams:
+            holders[g].add(doc)
+    links = defaultdict(set)
+    for doc, grams in sets.items():
+        shared = defaultdict(int)
+        for g in grams:
+            for other in holders[g]:
+                shared[other] += 1
+        for other, common in shared.items():
+            if other != doc and common >= threshold * (len(grams) + len(sets[other]) - common) - 1e-12:
+                links[doc].add(other)
+    group = {}
+    for doc in sorted(sets):
+        if doc not in group:
+            todo = [doc]
+            while todo:
+                d = todo.pop()
+                if d not in group:
+                    group[d] = doc
+                    todo.extend(links[d])
+    same = {}
+    for doc in sorted(sets):
+        same.setdefault(sets[doc] or (doc,), doc)
+    return {d: (group[d], same[sets[d] or (d,)], len(links[d])) for d in sets}
