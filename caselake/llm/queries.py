@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselake.llm import decontaminate, exact_dedup, ngram_join, pii, quality, toxicity, url_filter
+from caselake.llm import decontaminate, exact_dedup, ngram_join, pii, quality, substring, toxicity, url_filter
 
 
 def table(spark, sf_dir: str, name: str):
@@ -43,6 +43,10 @@ def op7_decontaminate(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op5_url_filter": op5_url_filter,
     "op7_decontaminate": op7_decontaminate,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
 }
@@ -117,6 +122,21 @@ t as (
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join n using (doc_id) left join t using (doc_id)""",
+    "op8_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (
+  select doc_id, i, array_to_string(w[i:i + 19], ' ') as g
+  from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+r as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as k from win) where k > 1),
+c as (select distinct doc_id, unnest(range(i, i + 20)) as p from r),
+x as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+k as (
+  select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as n
+  from x anti join c using (doc_id, p) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (doc_id)""",
     "op10_ngram_join": r"""
 with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

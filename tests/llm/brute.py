@@ -70,3 +70,18 @@ def near_links(docs, n=5, threshold=0.8):
     for doc in sorted(sets):
         same.setdefault(sets[doc] or (doc,), doc)
     return {d: (group[d], same[sets[d] or (d,)], len(links[d])) for d in sets}
+
+
+def repeated_windows(docs, size=20):
+    """doc_id -> n_words, n_removed, sha of the kept words."""
+    split = {doc: re.findall(r"[^\x20\x09-\x0D]+", text or "") for doc, text in docs}
+    seen, out = set(), {}
+    for doc in sorted(split):
+        words, gone = split[doc], set()
+        for i in range(len(words) - size + 1):
+            window = tuple(words[i:i + size])
+            if window in seen:
+                gone.update(range(i, i + size))
+            seen.add(window)
+        out[doc] = (len(words), len(gone), sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
+    return out
