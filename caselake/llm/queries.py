@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from caselake.llm import decontaminate, exact_dedup, ngram_join, pii, quality, substring, toxicity, url_filter
+from caselake.llm import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, substring, toxicity, url_filter
 
 
 def table(spark, sf_dir: str, name: str):
@@ -36,6 +37,12 @@ def op5_url_filter(spark, sf_dir):
     return url_filter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_bpe(spark, sf_dir, tokenizer_path=None):
+    path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode(table(spark, sf_dir, "documents"), path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_decontaminate(spark, sf_dir):
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -60,6 +67,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_quality": op3_quality,
     "op5_url_filter": op5_url_filter,
+    "op6_bpe": op6_bpe,
     "op7_decontaminate": op7_decontaminate,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
