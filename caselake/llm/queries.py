@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from caselake.llm import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, substring, toxicity, url_filter
+from caselake.llm import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, substring, token_rollup, toxicity, url_filter
 
 
 def table(spark, sf_dir: str, name: str):
@@ -27,6 +27,29 @@ def op3_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# The patterns of the tokenizer versions that the rollup counts.
+TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "runs-1": r"[0-9]+|[A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]"}
+
+
+def op4_token_rollup(spark, sf_dir):
+    """All documents come in by two batches, one for each version; a third revises the counts of the
+    second version (a document's stored length replaces its count where the document has more than
+    1,000 characters) and deletes documents with an odd id below that length. Batches are sent
+    again, which changes nothing."""
+    rollup = token_rollup.scratch(spark)
+    rows = token_rollup.counted(table(spark, sf_dir, "documents"), TOKENIZERS)
+    for version in TOKENIZERS:
+        arrived = rows.filter(F.col("version") == version).withColumns({"op": F.lit("insert"), "seq": F.lit(0)})
+        rollup.commit(f"insert-{version}", arrived)
+    longer = F.col("n_chars") > 1000
+    changes = table(spark, sf_dir, "documents").filter(longer | (F.col("doc_id") % 2 == 1)).select(
+        "doc_id", "source", "lang", F.lit("runs-1").alias("version"), F.col("n_chars").alias("n_tokens"), F.lit(1).alias("seq"),
+        F.when(longer, "revise").otherwise("delete").alias("op"))
+    for _ in range(2):
+        rollup.commit("revise-runs-1", changes)
+    return rollup.totals()
+
+
 # Words in host names that put a page's URL on the list.
 LISTED_WORDS = ["adult", "ads", "bets", "casino", "pills", "spam"]
 
@@ -66,6 +89,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
     "op3_quality": op3_quality,
+    "op4_token_rollup": op4_token_rollup,
     "op5_url_filter": op5_url_filter,
     "op6_bpe": op6_bpe,
     "op7_decontaminate": op7_decontaminate,
@@ -82,6 +106,16 @@ with h as (
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = min(doc_id) over w as kept, text_sha256
 from h window w as (partition by text_sha256)""",
+    "op4_token_rollup": r"""
+with w as (
+  select source, lang, 'words-1' as version, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n
+  from documents
+  union all
+  select source, lang, 'runs-1',
+         case when n_chars > 1000 then n_chars
+              else len(regexp_extract_all(coalesce(text, ''), '[0-9]+|[A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]')) end
+  from documents where n_chars > 1000 or doc_id % 2 = 0)
+select source, lang, version, count(*) as n_docs, cast(sum(n) as bigint) as n_tokens from w group by all""",
     "op5_url_filter": r"""
 with p as (
   select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest
