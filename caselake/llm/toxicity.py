@@ -214,7 +214,7 @@ def evidence(docs: DataFrame, model, extra: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in extra] + [pa.array(x) for x in rows.T], [*extra, *EVIDENCE])
 
-    return docs.select(*extra, "text").mapInArrow(run, ", ".join([fields, *(f"{c} double" for c in EVIDENCE)]))
+    return docs.select(*dict.fromkeys([*extra, "text"])).mapInArrow(run, ", ".join([fields, *(f"{c} double" for c in EVIDENCE)]))
 
 
 def fitted(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -232,23 +232,19 @@ def fitted(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: int
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * centre / scale).sum())
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
-          parts: int = 3, held: int = 1, threshold: float = 0.7, buckets: int = BUCKETS,
-          calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted and the columns EVIDENCE.
-    Rows whose id's crc32 leaves ``held`` modulo ``parts`` are never learnt from."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _scored(texts: DataFrame, labels: DataFrame, extra: list[str], label: str, parts: int, held: int, threshold: float,
+            buckets: int, calibration_rows: int) -> DataFrame:
+    """Rows of (doc_id, text, ...) with score, predicted and EVIDENCE beside the columns ``extra``."""
+    spark = texts.sparkSession
     train = materialize(folds.training_labels(labels, label, parts, held), "op9-labels")
     counts = dict(train.groupBy("label").count().collect())
     rows = sum(counts.values())
     toxic = counts.get(1, 0)
-    out = texts.withColumn("held_out", folds.remainder("doc_id", parts) == held)
     if not toxic or toxic == rows:
-        return out.select("doc_id", "held_out", F.lit(toxic / rows if rows else 0.0).alias("score"),
-                          F.lit(int(bool(toxic) and 1 >= threshold)).alias("predicted"),
-                          *(F.lit(0.0).alias(c) for c in EVIDENCE))
-    learnt = materialize(folds.labelled(texts, train, rows), "op9-rows")
+        return texts.select(*extra, F.lit(toxic / rows if rows else 0.0).alias("score"),
+                            F.lit(int(bool(toxic) and 1 >= threshold)).alias("predicted"),
+                            *(F.lit(0.0).alias(c) for c in EVIDENCE))
+    learnt = materialize(folds.labelled(texts.select("doc_id", "text"), train, rows), "op9-rows")
     aside = folds.share("doc_id", "curve", CALIBRATION_SHARE)
     counted = materialize(_counted(learnt.filter(~aside)), "op9-counts")
     model = spark.sparkContext.broadcast(Model(*hashed(ratios(counted), buckets)))
@@ -257,8 +253,28 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = evidence(learnt.filter(drawn), model, ["label"]).toPandas()
     w = fitted(sample[EVIDENCE].to_numpy(), sample["label"].to_numpy(float)) if sample["label"].nunique() > 1 \
         else np.array([0.0, 2.0, 0.0, 0.0, 0.0, math.log(toxic / (rows - toxic))])
-    found = evidence(out, model, ["doc_id", "held_out"])
     line = sum((F.col(c) * float(x) for c, x in zip(EVIDENCE, w)), F.lit(float(w[-1])))
-    value = 1 / (1 + F.exp(-line))
-    return found.withColumn("score", value).select(
-        "doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *EVIDENCE)
+    return evidence(texts, model, extra).withColumn("score", 1 / (1 + F.exp(-line))).withColumn(
+        "predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
+          parts: int = 3, held: int = 1, threshold: float = 0.7, buckets: int = BUCKETS,
+          calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, score, predicted and the columns EVIDENCE.
+    Rows whose id's crc32 leaves ``held`` modulo ``parts`` are never learnt from."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _scored(texts, labels, ["doc_id"], label, parts, held, threshold, buckets, calibration_rows).select(
+        "doc_id", (folds.remainder("doc_id", parts) == held).alias("held_out"), "score", "predicted", *EVIDENCE)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
+               parts: int = 3, held: int = 1, threshold: float = 0.7, buckets: int = BUCKETS,
+               calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
+    """``docs`` without the rows predicted toxic. All columns ride along, so no row is moved."""
+    inner = {id_col: "doc_id", text_col: "text"}
+    inner.update({c: f"column_{i}" for i, c in enumerate(docs.columns) if c not in inner})
+    rows = docs.select(*[F.col(f"`{c}`").alias(inner[c]) for c in docs.columns])
+    kept = _scored(rows, labels, list(inner[c] for c in docs.columns), label, parts, held, threshold, buckets,
+                   calibration_rows).filter("predicted = 0")
+    return kept.select(*[F.col(inner[c]).alias(c) for c in docs.columns])

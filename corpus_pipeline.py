@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselake.llm import exact_dedup
+from caselake.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
 from caselake.session import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models reject go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by a similarity of 0.8 or more the one with the smallest id stays."""
+    return ngram_join.drop_near_copies(docs)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items are cut out; a document that is mostly such passages goes."""
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.remove_spans(docs, found)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers) and their decoded text."""
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
+    ("ngram_join", drop_near_copies),
+    ("decontaminate", drop_benchmark_passages),
+    ("bpe", tokenize),
 ]
 
+#: Language models and tokens have no SQL; tests compare with a plain version.
 ORACLE_SQL = None
 
 
