@@ -21,8 +21,9 @@ inside it compares its blocks pairwise, which the result (links per document) as
 
 Words: runs of digits, A-Z in lower case, a-z and everything from 0x80 on. A text with fewer words
 than ``n`` has one n-gram of all its words. Null texts and texts without words have no n-grams, no
-links, and are groups of their own. Null ids are left out. Rows with the same id are one document;
-its first text in the order of the hashes counts."""
+links, and are groups of their own. Null ids are left out. Rows with the same id are one document,
+the first of them in the scan counts. ``docs`` is a stored table: rows are matched by their number in
+its scan."""
 
 from __future__ import annotations
 
@@ -81,7 +82,7 @@ def minhashes(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, set_hash (16 bytes) and the band hashes of each document."""
+    """row_no, doc_id, size, two hashes of the set and the band hashes of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -102,12 +103,12 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
                             np.column_stack([own, np.full((len(own), 1), b)]).ravel().astype(np.uint64), ROWS + 1)[::ROWS + 1]
                 offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(sets[:, 0].view(np.int64)),
+                    [part.column("row_no"), part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(sets[:, 0].view(np.int64)),
                      pa.array(sets[:, 1].view(np.int64)),
                      pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))],
-                    ["doc_id", "size", "set_a", "set_b", "bands"])
+                    ["row_no", "doc_id", "size", "set_a", "set_b", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, size long, set_a long, set_b long, bands array<long>")
+    return docs.mapInArrow(run, f"row_no long, doc_id {kind}, size long, set_a long, set_b long, bands array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -242,16 +243,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_links (other documents with a similarity of at least ``threshold``, equal ones included)."""
     if n > 1 and BANDS * ROWS % 16:
         raise ValueError("MinHash values are compared in steps of 16")
-    texts = docs.filter(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"),
+                        F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     rows = materialize(_described(texts, n), "op10-rows")
+    again = materialize(rows.groupBy(F.col("doc_id").alias("again_id")).agg(
+        F.min("row_no").alias("first_row"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "op10-again")
+    if not again.isEmpty():
+        rows = rows.join(again, F.col("doc_id") == F.col("again_id"), "left").filter(
+            "first_row is null or first_row = row_no").drop("again_id", "first_row", "n")
     filled = rows.filter("size > 0")
     classes = materialize(filled.groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("copy_id"), F.countDistinct("doc_id").alias("n_copies")), "op10-classes")
-    members = materialize(filled.select("doc_id", "set_a", "set_b").distinct().join(classes, ["set_a", "set_b"]).select(
+        F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies")), "op10-classes")
+    members = materialize(filled.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select(
         "doc_id", "copy_id", "n_copies"), "op10-members")
     stands = members.filter("doc_id = copy_id").select(F.col("doc_id").alias("stand"), "n_copies")
-    sized = filled.groupBy("doc_id").agg(F.max("size").alias("size"))
+    sized = filled.select("doc_id", "row_no", "size")
     banded = filled.join(stands, F.col("doc_id") == F.col("stand"), "left_semi").select(
         "doc_id", F.explode("bands").alias("band"))
     smallest = banded.groupBy("band").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("in_band")).filter(
@@ -259,12 +265,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = banded.join(smallest, "band").filter("doc_id <> least").select(
         F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     clusters = components(stars, "op10-clusters")
-    sizes = clusters.join(sized, F.col("node") == F.col("doc_id")).groupBy("root").agg(F.greatest(
+    clusters = clusters.join(sized, F.col("node") == F.col("doc_id")).drop("doc_id")
+    sizes = clusters.groupBy("root").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), "blocks")
+    placed = clusters.join(sizes, "root").select("node", "row_no", F.col("root").alias("cluster"), "blocks")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = materialize(placed.join(stands, F.col("node") == F.col("stand")).drop("stand"), "op10-placed")
-    grams = materialize(_sets(texts.join(placed, F.col("doc_id") == F.col("node"), "left_semi"), n), "op10-sets")
+    grams = materialize(_sets(texts.join(placed, "row_no", "left_semi"), n), "op10-sets")
     sent = grams.join(placed, F.col("doc_id") == F.col("node")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("first_block"), F.greatest("block", "other").alias("second_block"),
@@ -277,7 +284,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links, F.col("copy_id") == F.col("linked"), "left").select(
         "doc_id", F.coalesce("root", "copy_id").alias("class_id"), "copy_id", "n_copies",
         (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    empty = rows.filter("size = 0").select("doc_id").distinct().join(members.select("doc_id"), "doc_id", "left_anti").select(
+    empty = rows.filter("size = 0").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"),
         F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return named.unionByName(empty)

@@ -85,3 +85,31 @@ def repeated_windows(docs, size=20):
             seen.add(window)
         out[doc] = (len(words), len(gone), sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
     return out
+
+
+KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _valid(kind, found):
+    digits = re.sub(r"[^0-9]", "", found)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in found.split("."))
+    if kind == "card":
+        doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+        return 16 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def personal_data(text):
+    """Base spans as "kind:start:end", by kind, then start."""
+    return [f"{kind}:{m.start()}:{m.end()}" for kind, pattern in KINDS.items()
+            for m in re.finditer(pattern, text or "") if _valid(kind, m[0])]
+
+
+def spaced(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
