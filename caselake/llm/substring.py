@@ -213,11 +213,12 @@ def earliest(words: Words, off: np.ndarray, key: np.ndarray, doc: np.ndarray, wo
     return docs, places
 
 
-_FOUND = "fold_a long, fold_b long, firsts array<decimal(38,0)>"
+#: A folded suffix' earliest place and the windows (bits) that begin nowhere earlier than there.
+_FOUND = "fold_a long, fold_b long, first_place decimal(38,0), owned int"
 
 
 def _subtrees(folded: DataFrame) -> DataFrame:
-    """Earliest places of the windows of folded suffixes, for those that have something to remove. Rows
+    """Windows that folded suffixes own, for those that have something to remove. Rows
     of one prefix are neighbours; whole prefixes are gathered into trees of some 100,000 suffixes."""
 
     def solve(rows: pa.Table):
@@ -232,12 +233,11 @@ def _subtrees(folded: DataFrame) -> DataFrame:
         used = np.arange(SPAN) < windows[:, None]
         earlier = ((docs != doc[:, None]) | (places != word[:, None] + np.arange(SPAN))) & used
         keep = earlier.any(1) | (np.asarray(column("n")) > 1)
-        used &= keep[:, None]
-        offsets = np.concatenate([[0], np.cumsum(windows[keep])]).astype(np.int32)
-        firsts = pa.ListArray.from_arrays(pa.array(offsets), _places(docs[used], places[used]))
+        owned = ((used & ~earlier) << np.arange(SPAN)).sum(1).astype(np.int32)
         chosen = pa.array(keep)
         return pa.RecordBatch.from_arrays(
-            [column("fold_a").filter(chosen), column("fold_b").filter(chosen), firsts], ["fold_a", "fold_b", "firsts"])
+            [column("fold_a").filter(chosen), column("fold_b").filter(chosen), column("place").filter(chosen),
+             pa.array(owned[keep])], ["fold_a", "fold_b", "first_place", "owned"])
 
     def run(batches):
         held, rows = [], 0
@@ -280,8 +280,9 @@ def _whole_windows(folded: DataFrame) -> DataFrame:
     rows = folded.select("fold_a", "fold_b", "n", "words", "place").mapInArrow(
         run, "fold_a long, fold_b long, n long, j int, window_a long, window_b long, place decimal(38,0)")
     least = rows.groupBy("window_a", "window_b").agg(F.min("place").alias("first"))
-    return rows.join(least, ["window_a", "window_b"]).groupBy("fold_a", "fold_b").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("j", "first"))), lambda x: x["first"]).alias("firsts"))
+    return rows.join(least, ["window_a", "window_b"]).groupBy("fold_a", "fold_b").agg(
+        F.min("place").alias("first_place"),
+        F.sum(F.expr("if(place = first, shiftleft(1, j), 0)")).cast("int").alias("owned"))
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -310,8 +311,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pre
     own = suffixes.select("row_no", "place", "windows", F.col("fold_a").alias("a"), F.col("fold_b").alias("b"))
     marked = own.join(found, (F.col("a") == F.col("fold_a")) & (F.col("b") == F.col("fold_b"))).select(
         "row_no", F.expr(f"cast(place % {1 << _PLACE_BITS} as long)").alias("start"),
-        F.expr("aggregate(sequence(0, windows - 1), 0, (m, j) -> m + "
-               "if(firsts[j] < place + cast(j as decimal(10,0)), shiftleft(1, j), 0))").alias("mask")).filter("mask <> 0")
+        F.expr("(shiftleft(1, windows) - 1) & ~if(place = first_place, owned, 0)").alias("mask")).filter("mask <> 0")
     return marked.groupBy("row_no").agg(F.collect_list(F.struct("start", "mask")).alias("windows"))
 
 
