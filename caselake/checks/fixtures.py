@@ -39,8 +39,8 @@ def _placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """landed daily rows as text, with header echoes, aggregate codes, two date formats,
-    bad dates, blanks, negatives and duplicates."""
+    """landed daily rows as text, with header echoes, aggregate codes, six ways to write a date,
+    bad dates, blanks, negatives, absurd counts and duplicates."""
     return _placed_orders(spark, sf_dir).selectExpr(
         "o_orderkey as id",
         """case when o_orderkey % 29 = 0 then 'iso_code'
@@ -50,13 +50,18 @@ def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_name as location",
         """case when o_orderkey % 23 = 0 then 'n/a'
                 when o_orderkey % 19 = 0 then date_format(o_orderdate, 'dd/MM/yyyy')
+                when o_orderkey % 13 = 0 then date_format(o_orderdate, 'd/M/yyyy')
+                when o_orderkey % 11 = 0 then date_format(o_orderdate, 'yyyy-M-d')
+                when o_orderkey % 9 = 0 then date_format(o_orderdate, ' yyyy-MM-dd 00:00:00')
+                when o_orderkey % 8 = 0 then date_format(o_orderdate, "yyyy-MM-dd'T'23:59:59.5'Z'")
                 else cast(cast(o_orderdate as date) as string) end as date_raw""",
         """case when o_orderkey % 31 = 0 then '' when o_orderkey % 37 = 0 then '-5'
                 else cast(o_custkey % 500 as string) end as new_cases""",
         "cast(o_orderkey % 7 - 1 as string) as new_deaths",
         "cast((o_orderkey * 3) % 1000 as string) as total_cases",
         "cast(o_orderkey % 50 as string) as total_deaths",
-        "case when o_orderkey % 5 = 0 then null else cast(o_custkey as string) end as people_vaccinated",
+        """case when o_orderkey % 5 = 0 then null when o_orderkey % 53 = 0 then '500000000000000'
+                else cast(o_custkey as string) end as people_vaccinated""",
         "cast(2000 * (n_nationkey + 1) as string) as population",
     )
 
@@ -163,12 +168,14 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that name a place in their own spelling; some name none that is known."""
+    """Rows that name a place in their own spelling; some name none that is known, some names
+    are longer than 255 characters."""
     joined = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.selectExpr(
         "c_custkey as row_id",
         f"""case when c_custkey % 9 = 0 then concat('Xã ', n_name)
+                 when c_custkey % 10 = 0 then concat(repeat('Dài ', 80), n_name, ' ', cast(c_custkey as string))
                  when c_custkey % 2 = 0 then upper(concat({_PLACE_PREFIX}, n_name))
                  else concat({_PLACE_PREFIX}, n_name, ' Province') end as province_name""",
         "c_custkey % 250 as doses_per_100",

@@ -30,12 +30,14 @@ def count(x: str) -> str:
 
 
 def iso_or_day_first(x: str) -> str:
-    return (f"coalesce(cast(try_strptime({strip(x)}, '%Y-%m-%d') as date), "
-            f"cast(try_strptime({strip(x)}, '%d/%m/%Y') as date))")
+    day = f"regexp_replace({strip(x)}, '[T ]\\d{{1,2}}:\\d{{2}}(:\\d{{2}}([.]\\d+)?)?(Z|[+-]\\d{{2}}:?\\d{{2}})?$', '')"
+    return (f"coalesce(cast(try_strptime({day}, '%Y-%m-%d') as date), "
+            f"cast(try_strptime({day}, '%d/%m/%Y') as date))")
 
 
-def percent(a: str, b: str) -> str:
-    return (f"case when {b} <> 0 then (case when ({a} < 0) <> ({b} < 0) then -1 else 1 end) "
+def percent(a: str, b: str, rows: bool = True) -> str:
+    limit = f"and abs({a}) <= 400000000000000 and abs({b}) <= 400000000000000" if rows else ""
+    return (f"case when {b} <> 0 {limit} then (case when ({a} < 0) <> ({b} < 0) then -1 else 1 end) "
             f"* cast((20000 * abs(cast({a} as hugeint)) + abs({b})) // (2 * abs({b})) as bigint) / 100::double end")
 
 
@@ -91,7 +93,7 @@ def place_key(x: str) -> str:
 
 def clean_place(x: str) -> str:
     text = f"trim(regexp_replace(regexp_replace(replace({x}, '{NBSP}', ' '), '\\[[^\\]]+\\]', '', 'g'), '\\s+', ' ', 'g'))"
-    return f"case when starts_with({text}, 'Cả nước') then 'Cả nước' else substring({text}, 1, 255) end"
+    return f"case when starts_with({text}, 'Cả nước') then 'Cả nước' else {text} end"
 
 
 def html_text(x: str) -> str:
@@ -129,13 +131,18 @@ CTES = {
           r_name as continent, n_name as location,
           case when o_orderkey % 23 = 0 then 'n/a'
                when o_orderkey % 19 = 0 then strftime(o_orderdate, '%d/%m/%Y')
+               when o_orderkey % 13 = 0 then strftime(o_orderdate, '%-d/%-m/%Y')
+               when o_orderkey % 11 = 0 then strftime(o_orderdate, '%Y-%-m-%-d')
+               when o_orderkey % 9 = 0 then strftime(o_orderdate, ' %Y-%m-%d 00:00:00')
+               when o_orderkey % 8 = 0 then strftime(o_orderdate, '%Y-%m-%dT23:59:59.5Z')
                else strftime(o_orderdate, '%Y-%m-%d') end as date_raw,
           case when o_orderkey % 31 = 0 then '' when o_orderkey % 37 = 0 then '-5'
                else cast(o_custkey % 500 as varchar) end as new_cases,
           cast(o_orderkey % 7 - 1 as varchar) as new_deaths,
           cast((o_orderkey * 3) % 1000 as varchar) as total_cases,
           cast(o_orderkey % 50 as varchar) as total_deaths,
-          case when o_orderkey % 5 = 0 then null else cast(o_custkey as varchar) end as people_vaccinated,
+          case when o_orderkey % 5 = 0 then null when o_orderkey % 53 = 0 then '500000000000000'
+               else cast(o_custkey as varchar) end as people_vaccinated,
           cast(2000 * (n_nationkey + 1) as varchar) as population
         from placed""",
     "f2": f"""
@@ -202,6 +209,7 @@ CTES = {
     "f7_rows": f"""
         select c_custkey as row_id,
           case when c_custkey % 9 = 0 then concat('Xã ', n_name)
+               when c_custkey % 10 = 0 then concat(repeat('Dài ', 80), n_name, ' ', cast(c_custkey as varchar))
                when c_custkey % 2 = 0 then upper(concat({PREFIX}, n_name))
                else concat({PREFIX}, n_name, ' Province') end as province_name,
           c_custkey % 250 as doses_per_100
@@ -266,7 +274,7 @@ CTES = {
     "summary": f"""
         select l.iso_code, a.country_name, l.total_cases as latest_total_cases, l.total_deaths as latest_total_deaths,
           r.vaccination_rate as latest_vaccination_rate,
-          case when p.n > 0 then {percent('(s.n - p.n)', 'p.n')} end as trend_7d_cases, l.full_date as last_updated
+          case when p.n > 0 then {percent('(s.n - p.n)', 'p.n', False)} end as trend_7d_cases, l.full_date as last_updated
         from latest l join attributes a using (iso_code) left join known_rate r on r.iso_code = l.iso_code
         left join last7 s on s.iso_code = l.iso_code left join prev7 p on p.iso_code = l.iso_code""",
     "older": f"""
@@ -285,7 +293,7 @@ CTES = {
         from (select {strip("replace(province_name, ' province', '')")} as province_name,
                 {', '.join(f"{count(plain_number(c))} as {c}" for c in ('population', 'doses_distributed', 'doses_administered'))},
                 {half_up_2(number(plain_number('doses_per_100')))} as published
-              from f2 where {strip("replace(province_name, ' province', '')")} <> '' and lower(province_name) <> 'nan')
+              from f2 where {strip("replace(province_name, ' province', '')")} <> '')
         where population is not null and doses_administered is not null""",
     "province_days": f"""
         select * from (
@@ -438,9 +446,7 @@ SELECTS = {
     "schema_evolve": """
         select iso_code, full_date, new_cases, 0::bigint as total_deaths from older
         union all select iso_code, full_date, new_cases, total_deaths from recent""",
-    "strict_date": """
-        select id, cast(date_raw as date) as full_date from f1
-        where regexp_matches(date_raw, '^\\d{4}-\\d{2}-\\d{2}$')""",
+    "strict_date": "select o_orderkey as id, cast(o_orderdate as date) as full_date from orders",
     "tolerant_date": f"select id, date_raw, {iso_or_day_first('date_raw')} as full_date from f1",
     "fixed_format_date": """
         select province_name, date_raw, cast(try_strptime(date_raw, '%m-%d-%Y') as date) as full_date from f4""",
@@ -529,12 +535,12 @@ SELECTS = {
     "vaccination_kpis": f"""
         select count(*) as province_count, sum(population)::bigint as population,
           sum(doses_distributed)::bigint as doses_distributed, sum(doses_administered)::bigint as doses_administered,
-          {percent('sum(doses_administered)', 'sum(population)')} as doses_per_100,
+          {percent('sum(doses_administered)', 'sum(population)', False)} as doses_per_100,
           {mean_rate('doses_per_100')} as avg_doses_per_100, date '{SNAPSHOT}' as last_updated
         from localities""",
     "vaccination_trend": f"""
         select full_date, sum(people_vaccinated)::bigint as doses_administered,
-          {percent('sum(people_vaccinated)', 'sum(population)')} as doses_per_100
+          {percent('sum(people_vaccinated)', 'sum(population)', False)} as doses_per_100
         from clean group by full_date order by full_date desc limit 30""",
     "latest_timeline_row": f"""
         select full_date as latest_date, total_cases, total_deaths, new_cases, new_deaths,

@@ -35,7 +35,6 @@ HEADER_ECHO = "iso_code"
 BLANK_NUMBER_WORDS = ["-", "—", "nan"]
 TOTAL_LABEL = "Cả nước"
 PROVINCE_SUFFIX = " province"
-MAX_NAME_LENGTH = 255
 NULL_WORDS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
@@ -45,7 +44,8 @@ JOB_STATUSES = ["success", "failed", "running"]
 
 # --- fixed values: dates and limits -----------------------------------------------
 ISO_DATE = "yyyy-MM-dd"
-DAY_FIRST_DATE = "dd/MM/yyyy"
+TOLERANT_DATES = ["yyyy-MM-dd", "yyyy-M-d", "d/M/yyyy"]
+TIME_OF_DAY = r"[T ]\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
 PROVINCE_DATES = ["MM-dd-yyyy", "M-d-yyyy"]
 TIMELINE_DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 DAYS_TO_KEEP = 400

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from ..fixed_values import DAY_FIRST_DATE, ISO_DATE, PROVINCE_DATES, TIMELINE_DATE_PATTERN
+from ..fixed_values import ISO_DATE, PROVINCE_DATES, TIME_OF_DAY, TIMELINE_DATE_PATTERN, TOLERANT_DATES
 from .text import strip
 
 
@@ -30,15 +30,18 @@ def _parsed(text: Column, fmt: str) -> Column:
     return F.when(text.rlike(_shape(fmt)), F.try_to_date(text, fmt))
 
 
-def tolerant_date(c: Column, formats=(ISO_DATE, DAY_FIRST_DATE)) -> Column:
-    """Trim, then the first format that parses; null when none does."""
+def tolerant_date(c: Column, formats=tuple(TOLERANT_DATES), times: bool = True) -> Column:
+    """Trim, then the first format that parses; null when none does. ``times`` lets a time of day
+    follow the date; it is left out."""
     text = strip(c)
+    if times:
+        text = F.when(text.contains(":"), F.regexp_replace(text, TIME_OF_DAY, "")).otherwise(text)
     return F.coalesce(*[_parsed(text, f) for f in formats])
 
 
 def province_date(c: Column) -> Column:
     """Month-day-year, with or without leading zeros; else null."""
-    return tolerant_date(c, PROVINCE_DATES)
+    return tolerant_date(c, PROVINCE_DATES, times=False)
 
 
 def is_timeline_date(c: Column) -> Column:

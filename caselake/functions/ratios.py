@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 WIDE = "decimal(38,0)"
+LARGEST_COUNT = 400_000_000_000_000  # 20000 times this fits a bigint
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -15,11 +16,13 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def percent(a: Column, b: Column) -> Column:
-    """100*a/b of two bigint row values, two digits, halves away from zero; null on b = 0."""
+    """100*a/b of two bigint row values, two digits, halves away from zero; null on b = 0 and for
+    values beyond LARGEST_COUNT, which are junk and must not end the run by an overflow."""
+    sane = a.between(-LARGEST_COUNT, LARGEST_COUNT) & b.between(-LARGEST_COUNT, LARGEST_COUNT)
     size = F.abs(b)
     hundredths = _div(F.lit(20000) * F.abs(a) + size, F.lit(2) * size)
     signed = F.when((a < 0) != (b < 0), -hundredths).otherwise(hundredths)
-    return F.when(b != 0, signed / 100.0)
+    return F.when(sane & (b != 0), signed / 100.0)
 
 
 def percent_of_sums(a: Column, b: Column) -> Column:

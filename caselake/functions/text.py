@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column, functions as F
 
 from ..fixed_values import (
-    MAX_NAME_LENGTH, NULL_WORDS, PLACE_KEY_ALIASES, PROVINCE_SUFFIX, TOTAL_LABEL,
+    NULL_WORDS, PLACE_KEY_ALIASES, PROVINCE_SUFFIX, TOTAL_LABEL,
 )
 
 NBSP = "\u00a0"
@@ -26,12 +26,11 @@ def null_if_missing_word(c: Column, words=NULL_WORDS) -> Column:
 
 
 def clean_place_name(c: Column) -> Column:
-    """Footnotes dropped, spaces collapsed, one label for the total row, bounded length."""
+    """Footnotes dropped, spaces collapsed, one label for the total row."""
     text = F.regexp_replace(c, NBSP, " ")
     text = F.regexp_replace(text, r"\[[^\]]+\]", "")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(text.startswith(TOTAL_LABEL), F.lit(TOTAL_LABEL)).otherwise(
-        F.substring(text, 1, MAX_NAME_LENGTH))
+    return F.when(text.startswith(TOTAL_LABEL), F.lit(TOTAL_LABEL)).otherwise(text)
 
 
 def drop_province_suffix(c: Column) -> Column:

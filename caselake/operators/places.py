@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..fixed_values import PLACE_COORDINATES
+from ..functions import place_name_key
 from .clean import keep_last
 
 DEGREE_PARTS = 10_000_000.0
@@ -17,6 +18,14 @@ def coordinates(spark: SparkSession, table: dict | None = None) -> DataFrame:
         [(name, *lon_lat) for name, lon_lat in table.items()], "name_key string, lon double, lat double")
 
 
+def keyed_coordinates(spark: SparkSession) -> DataFrame:
+    """The map by the same key as the rows': its names pass through ``place_name_key`` as well. Of names
+    that fold to one key the first in the alphabet counts (larger ``_n``)."""
+    named = coordinates(spark)
+    return named.withColumn("_n", -F.row_number().over(Window.orderBy("name_key"))).withColumn(
+        "name_key", place_name_key(F.col("name_key")))  # one row per literal, a bounded table
+
+
 def lookup_places(rows: DataFrame, places: DataFrame, key: str, order: str, how: str = "inner") -> DataFrame:
     """Join ``places`` by name key. Of places sharing a key the one with the largest
     ``order`` counts (a later entry replaces an earlier one)."""

@@ -31,6 +31,18 @@ def run(store: TableStore, name: str, n: int | None = None, **options) -> DataFr
     return REPORTS[name](store, n=n, **options) if n is not None else REPORTS[name](store, **options)
 
 
+def most_rows(name: str, n: int | None) -> int | None:
+    """Rows that a report has at most by its own limit; None for reports without one."""
+    limited = {"trend_chart": n, "timeline_chart": None, "province_cases_top": "province_cases"}
+    single = {"global_kpis": 1, "vaccination_kpis": 1, "latest_timeline_row": 1, "top_versus_rest": 2, "cfr_ranking": 8}
+    if name in single:
+        return single[name]
+    if name == "top_coverage":
+        return 8 if n is None else n
+    limit = limited.get(name, name)
+    return reports.checked(limit, n) if limit in reports.LIMITS else limit if isinstance(limit, int) else None
+
+
 def _dated(store: TableStore, table: str) -> DataFrame:
     return serving.with_dates(store.read(table), store.read("dim_date"))
 
@@ -105,19 +117,25 @@ def top_versus_rest(store):
 
 
 @report
-def trend_chart(store, n=365):
-    """Daily totals of the horizon in chunks of one, seven or thirty rows."""
-    daily = global_trend(store, n).withColumn("place", F.lit("all"))
+def trend_chart(store, n=None):
+    """Daily totals in chunks of one, seven or thirty rows: the newest n days, all days without n."""
+    if n is None:
+        daily, step = _dated(store, "agg_daily_global"), DOWNSAMPLE_LAST_STEP
+    else:
+        daily, step = global_trend(store, n), series.downsample_step(n)
     return series.chunk_downsample(
-        daily, ["place"], "full_date", series.downsample_step(n),
+        daily.withColumn("place", F.lit("all")), ["place"], "full_date", step,
         {"total_new_cases": "mean_new_cases", "total_new_deaths": "mean_new_deaths"}).drop("place")
 
 
 @report
-def timeline_chart(store, n=3000):
-    days = reports.checked("timeline_trend", n)
+def timeline_chart(store, n=None):
+    """Every series in chunks of thirty rows: all days, or the newest n of each series."""
+    daily = _timeline(store, None)
+    if n is not None:
+        daily = series.newest_rows_per_series(daily, ["series"], "full_date", n)
     return series.chunk_downsample(
-        series.newest_rows_per_series(_timeline(store, None), ["series"], "full_date", days), ["series"], "full_date", DOWNSAMPLE_LAST_STEP,
+        daily, ["series"], "full_date", DOWNSAMPLE_LAST_STEP,
         {"new_cases": "mean_new_cases", "new_deaths": "mean_new_deaths"},
         {"total_cases": "total_cases", "total_deaths": "total_deaths"})
 
@@ -136,7 +154,7 @@ def coverage_classes(store):
 def map_points(store):
     """Provinces with their coordinates; a province without coordinates is left out."""
     rows = store.read("agg_vaccination_summary").withColumn("name_key", place_name_key(F.col("province_name")))
-    return places.lookup_places(rows, places.coordinates(store.spark).withColumn("_n", F.lit(1)), "name_key", "_n")
+    return places.lookup_places(rows, places.keyed_coordinates(store.spark), "name_key", "_n")
 
 
 def map_features(store: TableStore, features: DataFrame, name: str = "NAME_1") -> DataFrame:

@@ -5,11 +5,13 @@ import pytest
 import __spark_entry__ as entry_module
 from compare import differences
 
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+from caselake.checks.oracle import ORACLE_SQL as SQL
+from caselake.checks.queries import QUERIES
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
 
 
 NOT_IN_A_PLAN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas",
