@@ -23,9 +23,9 @@ def _now():
 
 def extract_global(spark, store, args):
     path = delimited.first_existing(spark, args.input)
-    dated = delimited.read_columns_csv(spark, path).withColumn("date", strict_date(F.col("date")))
-    recent = landing.recent_days(dated, "date", args.days).withColumn("id", F.monotonically_increasing_id())
-    print(global_daily.extract(store, landing.land_daily(recent, path.rsplit("/", 1)[-1], _now())))
+    dated = delimited.read_columns_csv(spark, path, order="id").withColumn("date", strict_date(F.col("date")))
+    delivered = landing.land_daily(dated, path.rsplit("/", 1)[-1], _now())
+    print(global_daily.extract(store, delivered, args.days))
 
 
 def transform_global(spark, store, args):
@@ -59,7 +59,16 @@ def load_timeline(spark, store, args):
 
 
 def report(spark, store, args):
-    portal.run(store, args.name, args.n).show(args.n or 100, truncate=False)
+    """All rows to ``--output`` (Parquet, or CSV if the path ends so); without it, the rows of a report
+    that has a limit of its own."""
+    rows = portal.run(store, args.name, args.n)
+    if args.output:
+        (rows.write.option("header", True).csv if args.output.endswith(".csv") else rows.write.parquet)(args.output)
+        return
+    most = portal.most_rows(args.name, args.n)
+    if most is None:
+        raise SystemExit(f"{args.name} may have any number of rows: give --output")
+    rows.show(most, truncate=False)
 
 
 def reply(spark, store, args):
@@ -75,7 +84,8 @@ def main(argv=None) -> None:
     parser.add_argument("job", choices=[job.__name__ for job in JOBS])
     parser.add_argument("--store", required=True, help="root folder of the tables")
     parser.add_argument("--input", nargs="+", default=[], help="candidate paths, the first that exists is read")
-    parser.add_argument("--days", type=int, default=landing.DAYS_TO_KEEP)
+    parser.add_argument("--days", type=int, help="keep so many days before the newest one; all without it")
+    parser.add_argument("--output", help="folder for a report's rows")
     parser.add_argument("--snapshot", help="snapshot day, yyyy-mm-dd")
     parser.add_argument("--source-url", default="")
     parser.add_argument("--name", help="report name")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import materialize
+
 BUCKET_DIGITS = 2
 
 
@@ -19,6 +21,8 @@ def number_keys(df: DataFrame, natural: str, id_name: str, start=None, digits: i
     buckets before it. Only the bucket counts (at most 16^digits rows, a fixed bound) meet
     in one task; the rows never do. The order depends on the keys alone, so a re-run gives
     the same ids. ``df`` is read twice: pass a stored table, not a long plan."""
+    if not 1 <= digits <= 3:
+        raise ValueError("digits must be 1, 2 or 3: the bucket counts are broadcast and meet in one task")
     start = F.lit(0) if start is None else start
     bucketed = df.withColumn("_bucket", key_bucket(natural, digits))
     ranked = bucketed.withColumn(
@@ -35,14 +39,18 @@ def number_keys(df: DataFrame, natural: str, id_name: str, start=None, digits: i
 
 def with_new_keys(existing: DataFrame, incoming: DataFrame, natural: str, id_name: str) -> DataFrame:
     """Dimension after a load: known keys keep their id and take the incoming attributes,
-    new keys are numbered after the largest id. Keys missing from the load stay."""
-    known = incoming.join(existing.select(id_name, natural), natural, "inner")
-    new = incoming.join(existing.select(natural), natural, "left_anti")
-    last = F.coalesce(existing.agg(F.max(id_name)).scalar(), F.lit(0))
-    numbered = number_keys(new, natural, id_name, last)
-    untouched = existing.join(incoming.select(natural), natural, "left_anti")
-    columns = existing.columns
-    return untouched.unionByName(known.select(*columns)).unionByName(numbered.select(*columns))
+    new keys are numbered after the largest id. Keys missing from the load stay. ``incoming`` is read
+    once."""
+    attributes = [c for c in existing.columns if c not in (id_name, natural)]
+    old = existing.select(natural, id_name, *[F.col(c).alias(f"_old_{c}") for c in attributes])
+    new = incoming.select(natural, *attributes, F.lit(True).alias("_delivered"))
+    # One join tells known, new and untouched keys; its rows are stored because numbering reads them twice.
+    joined = materialize(old.join(new, natural, "full_outer"), "keys")
+    last = F.coalesce(joined.agg(F.max(id_name)).scalar(), F.lit(0))
+    known = joined.filter(F.col(id_name).isNotNull()).select(id_name, natural, *[
+        F.when(F.col("_delivered"), F.col(c)).otherwise(F.col(f"_old_{c}")).alias(c) for c in attributes])
+    numbered = number_keys(joined.filter(F.col(id_name).isNull()).drop(id_name), natural, id_name, last)
+    return known.unionByName(numbered.select(*known.columns)).select(*existing.columns)
 
 
 def lookup_key(df: DataFrame, dim: DataFrame, natural: str, id_name: str) -> DataFrame:

@@ -30,8 +30,9 @@ def upsert_columns(target: DataFrame, source: DataFrame, keys: list[str], update
         kind = target.schema[c].dataType
         return F.col(f"s.{c}").cast(kind) if c in source.columns else F.lit(defaults.get(c)).cast(kind)
 
-    columns = [F.col(k) for k in keys]
-    columns += [F.when(F.col("_in_source"), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in update]
+    columns = [F.col(k).cast(target.schema[k].dataType).alias(k) for k in keys]
+    columns += [F.when(F.col("_in_source"), F.col(f"s.{c}").cast(target.schema[c].dataType)).otherwise(
+        F.col(f"t.{c}")).alias(c) for c in update]
     columns += [F.when(F.col("_in_target"), F.col(f"t.{c}")).otherwise(fresh(c)).alias(c) for c in others]
     return joined.select(*columns).select(*target.columns)
 

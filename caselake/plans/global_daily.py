@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import strict_date
 from ..operators.clean import check_clean, clean_daily, quality_counts
 from ..operators.keys import with_new_keys
 from ..operators.merge import insert_if_absent
 from ..session import materialize
 from ..sources.joblog import JobLog
-from ..sources.landing import check_landing
+from ..sources.landing import check_landing, recent_days
 from ..sources.store import TableStore
 from . import serving
 
@@ -17,11 +18,19 @@ JOB = "load_global_daily"
 FACT = "fact_global_daily"
 
 
-def extract(store: TableStore, delivered: DataFrame) -> int:
-    """Replace the landing table by a delivery (as shaped by ``land_daily``)."""
-    check_landing(delivered)
+def extract(store: TableStore, delivered: DataFrame, days: int | None = None) -> int:
+    """Replace the landing table by a delivery (as shaped by ``land_daily``). The delivery is read once
+    and checked as landed, before it becomes current. ``days`` keeps the rows of the last days only
+    (their dates are ISO text); how many were left out is noted with the table."""
     with JobLog(store.spark, store.root).run("extract_global_daily") as done:
-        rows = store.replace("raw_daily", delivered)
+        if days is None:
+            rows = store.replace("raw_daily", delivered, notes={"left_out_rows": 0}, check=check_landing)
+        else:
+            landed = materialize(delivered, "landed")
+            check_landing(landed)
+            dated = landed.withColumn("_day", strict_date(F.col("date_raw")))
+            left_out = landed.count() - recent_days(dated, "_day", days).count()
+            rows = store.replace("raw_daily", recent_days(dated, "_day", days).drop("_day"), notes={"left_out_rows": left_out})
         done(rows)
     return rows
 
@@ -32,8 +41,8 @@ def transform_load(store: TableStore, as_of: Column) -> DataFrame:
     with JobLog(store.spark, store.root).run(JOB) as done:
         clean = materialize(clean_daily(store.read("raw_daily")), "clean-daily")
         check_clean(clean)
-        store.replace("dim_country", with_new_keys(
-            store.read("dim_country"), serving.country_attributes(clean), "iso_code", "country_id"))
+        attributes = materialize(serving.country_attributes(clean), "attributes")
+        store.replace("dim_country", with_new_keys(store.read("dim_country"), attributes, "iso_code", "country_id"))
         store.replace("dim_date", insert_if_absent(store.read("dim_date"), serving.dim_date(clean), ["date_id"]))
         fact = serving.global_fact(clean, store.read("dim_country"))
         rows = store.merge(FACT, fact, ["country_id", "date_id"], "month_id", ["country_id", "date_id"])
@@ -50,4 +59,6 @@ def refresh_serving(store: TableStore, as_of: Column) -> None:
 
 
 def accounting(store: TableStore) -> DataFrame:
-    return quality_counts(store.read("raw_daily"))
+    """Row counts of the current landing, with the rows that its date filter left out."""
+    left_out = store.notes("raw_daily").get("left_out_rows", 0)
+    return quality_counts(store.read("raw_daily")).withColumn("left_out_rows", F.lit(left_out).cast("bigint"))

@@ -20,32 +20,45 @@ FACT = "fact_province_daily"
 
 def clean_province(raw: DataFrame) -> DataFrame:
     """Text columns province_name, new_cases, total_cases, total_deaths, date_raw -> one typed
-    row per (province, date). Rows without a name or a date are dropped; of several rows of
-    one day the one with the largest totals counts."""
+    row per (province, date). Rows without a name or a date are dropped. Of several rows of one day
+    the last one counts where ``raw`` has an ``id`` in the order of delivery, else the one with the
+    largest totals."""
+    ordered = ["id"] if "id" in raw.columns else []
     typed = raw.select(
         strip(F.col("province_name")).alias("province_name"),
         province_date(F.col("date_raw")).alias("full_date"),
-        *[dotted_thousands(F.col(c)).alias(c) for c in ("new_cases", "total_cases", "total_deaths")],
+        *[dotted_thousands(F.col(c)).alias(c) for c in ("new_cases", "total_cases", "total_deaths")], *ordered,
     ).dropna(subset=["province_name", "full_date"])
-    order = [F.col(c).desc() for c in ("total_cases", "total_deaths", "new_cases")]
-    return keep_last(typed, ["province_name", "full_date"], order)
-
-
-def province_fact(clean: DataFrame, provinces: DataFrame, derive_deaths: bool = False) -> DataFrame:
-    """Fact rows; the measures this source does not deliver are zero. ``derive_deaths`` fills
-    the daily deaths from the running total of a delivery instead."""
-    zero = F.lit(0).cast("bigint")
-    if derive_deaths:
-        clean = cumulative_to_daily(clean, ["province_name"], "full_date", {"total_deaths": "new_deaths"})
-    else:
-        clean = clean.withColumn("new_deaths", zero)
+    order = [F.col(c).desc() for c in ordered or ("total_cases", "total_deaths", "new_cases")]
+    return keep_last(typed, ["province_name", "full_date"], order).drop("id")
+
+
+#: The measures a delivery sets. The others keep their stored values; rows of new days have 0.
+DELIVERED = ["new_cases", "total_cases", "total_deaths"]
+
+
+def province_fact(clean: DataFrame, provinces: DataFrame) -> DataFrame:
+    """The delivered measures per (province, day)."""
     keyed = lookup_key(clean, provinces, "province_name", "province_id")
     return keyed.select(
-        "province_id", date_id(F.col("full_date")).alias("date_id"), "new_cases", "new_deaths",
-        "total_cases", "total_deaths", zero.alias("recovered"), zero.alias("active_cases"),
+        "province_id", date_id(F.col("full_date")).alias("date_id"), *DELIVERED,
         month_id(F.col("full_date")).alias("month_id"))
 
 
+def with_daily_deaths(delivered: DataFrame, stored: DataFrame) -> DataFrame:
+    """Delivered rows with the daily deaths that follow from the running totals, stored days included:
+    the first delivered day counts from the day before it, and the stored day after a delivered one,
+    whose difference changes, is added. Reads the stored rows of the delivered provinces only."""
+    key = ["province_id", "date_id"]
+    columns = [*key, *DELIVERED, "month_id"]
+    others = stored.join(delivered.select("province_id").distinct(), "province_id", "left_semi").join(
+        delivered.select(*key), key, "left_anti").select(*columns, F.col("new_deaths").alias("_before"))
+    series = delivered.select(*columns, F.lit(None).cast("bigint").alias("_before"), F.lit(True).alias("_new")).unionByName(
+        others.withColumn("_new", F.lit(False)))
+    daily = cumulative_to_daily(series, ["province_id"], "date_id", {"total_deaths": "new_deaths"})
+    return daily.filter("_new or not (_before <=> new_deaths)").select(*columns, "new_deaths")
+
+
 def province_names(clean: DataFrame) -> DataFrame:
     return clean.select("province_name").distinct().select(
         "province_name", F.lit(None).cast("string").alias("region"), F.lit(None).cast("bigint").alias("population"))
@@ -67,12 +80,15 @@ def load(store: TableStore, raw: DataFrame, as_of: Column, derive_deaths: bool =
         clean = materialize(clean_province(raw), "clean-province")
         check_clean(clean)
         existing = store.read("dim_province")
-        store.replace("dim_province", with_new_keys(
-            existing, keep_known_attributes(existing, province_names(clean)), "province_name", "province_id"))
+        names = materialize(keep_known_attributes(existing, province_names(clean)), "province-names")
+        store.replace("dim_province", with_new_keys(existing, names, "province_name", "province_id"))
         store.replace("dim_date", insert_if_absent(store.read("dim_date"), serving.dim_date(clean), ["date_id"]))
         provinces = store.read("dim_province")
-        rows = store.merge(FACT, province_fact(clean, provinces, derive_deaths), ["province_id", "date_id"], "month_id",
-                           ["province_id", "date_id"])
+        delivered, update = province_fact(clean, provinces), DELIVERED
+        if derive_deaths:
+            delivered, update = with_daily_deaths(delivered, store.read(FACT)), [*DELIVERED, "new_deaths"]
+        delivered = materialize(delivered, "province-fact")
+        rows = store.merge(FACT, delivered, ["province_id", "date_id"], "month_id", ["province_id", "date_id"], update)
         fact = store.read(FACT)
         store.replace("agg_province_summary", serving.province_summary(fact, provinces, as_of))
         store.replace("agg_daily_province", serving.daily_totals(fact))

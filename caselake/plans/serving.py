@@ -36,9 +36,8 @@ def dim_date(*sources: DataFrame, day: str = "full_date") -> DataFrame:
 
 
 def with_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
-    """Attach ``full_date``. The hint is safe: dim_date has one row per calendar day, at most
-    3,652,059 rows for four-digit years and a few thousand in practice."""
-    return df.join(F.broadcast(dates.select("date_id", "full_date")), "date_id")
+    """Attach ``full_date``. No hint: dim_date is stored, so the planner knows its size."""
+    return df.join(dates.select("date_id", "full_date"), "date_id")
 
 
 # --- facts ------------------------------------------------------------------------

@@ -53,7 +53,7 @@ def timeline_daily(text: DataFrame) -> DataFrame:
 def province_cases(text: DataFrame) -> DataFrame:
     """Cleaned names with counts, an unreadable count as 0; nameless rows go."""
     named = text.withColumn("province_name", clean_place_name(F.col("province_name"))).filter(
-        (F.col("province_name") != "") & (F.lower("province_name") != "nan"))
+        F.col("province_name") != "")
     return named.withColumns({
         c: F.coalesce(first_digit_run(F.col(c)), F.lit(0).cast("bigint"))
         for c in ("total_cases", "total_deaths", "new_cases")

@@ -41,7 +41,7 @@ def clean_localities(text: DataFrame) -> DataFrame:
     """Human-formatted text -> numbers; rows without a name, population or administered doses
     are dropped; a missing rate is computed."""
     named = text.withColumn("province_name", drop_province_suffix(F.col("province_name"))).filter(
-        (F.col("province_name") != "") & (F.lower("province_name") != "nan"))
+        F.col("province_name") != "")
     typed = named.withColumns({
         **{c: clean_integer_text(F.col(c)) for c in COUNTS},
         "doses_per_100": clean_decimal_text(F.col("doses_per_100")),
@@ -74,7 +74,8 @@ def load(store: TableStore, text: DataFrame, snapshot: date, source_url: str, as
             clean, ["province_name"], [F.col("doses_administered").desc(), F.col("population").desc()]
         ).select("province_name", "population")
         regions = existing.select("province_name", "region")
-        incoming = populations.join(regions, "province_name", "left").select("province_name", "region", "population")
+        incoming = materialize(populations.join(regions, "province_name", "left").select(
+            "province_name", "region", "population"), "province-names")
         store.replace("dim_province", with_new_keys(existing, incoming, "province_name", "province_id"))
         day = store.spark.range(1).select(F.lit(snapshot).alias("full_date"))
         store.replace("dim_date", insert_if_absent(store.read("dim_date"), serving.dim_date(day), ["date_id"]))

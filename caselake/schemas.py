@@ -64,6 +64,11 @@ SCHEMAS: dict[str, T.StructType] = {
         "error_message:string"),
 }
 
+# Values of columns in rows that were written, or are delivered, without them.
+DEFAULTS: dict[str, dict] = {
+    "fact_province_daily": {"new_deaths": 0, "recovered": 0, "active_cases": 0},
+}
+
 # Column groups that must be unique / must exist in a dimension (not enforced, audited).
 UNIQUE_KEYS = {
     "dim_country": ["iso_code"],
@@ -87,17 +92,17 @@ REFERENCES = [
 
 def one_row(spark: SparkSession, table: str, **values) -> DataFrame:
     """A single literal row of a table, without a detour through Python workers."""
-    return conform(spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]), table)
+    return conform(spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]), SCHEMAS[table])
 
 
-def empty(spark: SparkSession, table: str) -> DataFrame:
-    """The table without rows, in a form the optimizer sees as empty and prunes around."""
-    return conform(spark.range(1).filter(F.lit(False)), table)
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows of a schema, in a form the optimizer sees as empty and prunes around."""
+    return conform(spark.range(1).filter(F.lit(False)), schema)
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select and cast to the table's columns; a missing column becomes null."""
     return df.select(*[
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in SCHEMAS[table].fields
+        for f in schema.fields
     ])

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -48,9 +50,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_RUN: ContextVar[str | None] = ContextVar("caselake_run", default=None)
+
+
+@contextmanager
+def scratch_run(spark: SparkSession):
+    """Intermediate tables of the block go to one folder that is removed when the block ends, well or
+    badly. What the block returns must not read them: loads return stored tables."""
+    folder = os.path.join(shared_dir(spark), f"caselake-run-{uuid.uuid4().hex}")
+    token = _RUN.set(folder)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; never reused, so no run reads another's rows."""
-    return os.path.join(shared_dir(spark), f"caselake-{label}-{uuid.uuid4().hex}")
+    """A new path below the run's or the shared folder; never reused, so no run reads another's rows."""
+    return os.path.join(_RUN.get() or shared_dir(spark), f"caselake-{label}-{uuid.uuid4().hex}")
 
 
 def materialize(df, label: str):

@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..fixed_values import DAILY_COLUMNS, PROVINCE_HEADERS
 
 
-def read_columns_csv(spark: SparkSession, path, columns=tuple(DAILY_COLUMNS)) -> DataFrame:
+def read_columns_csv(spark: SparkSession, path, columns=tuple(DAILY_COLUMNS), order: str | None = None) -> DataFrame:
     """Header CSV, only the named columns, all text. The header line gives the names (one
-    small read); no type inference pass over the data. Column pruning reaches the parser."""
+    small read); no type inference pass over the data. Column pruning reaches the parser.
+    ``order`` names an extra column that grows with file name and position in the file."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns not in the file: {missing}")
-    return df.select(*columns)
+    return df.select(*columns) if order is None else _in_file_order(spark, df, columns, order)
+
+
+def _in_file_order(spark: SparkSession, df: DataFrame, columns, order: str) -> DataFrame:
+    """Number = file's place among the sorted names, then block start plus the row's place in its task.
+    A row takes more than one byte, so rows of one block stay below the start of the next."""
+    # Spark writes one place in two ways, file:/a and file:///a.
+    files = spark.createDataFrame([(re.sub("^([^:/]*):/+", r"\1:/", name), i) for i, name in enumerate(sorted(df.inputFiles()))],
+                                  "_file string, _file_no long")
+    placed = df.select(
+        *columns, F.regexp_replace("_metadata.file_path", "^([^:/]*):/+", "$1:/").alias("_file"), (F.col("_metadata.file_block_start") + (
+            F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))).alias("_at"))
+    numbered = placed.join(files, "_file", "left")
+    return numbered.select((F.shiftleft(F.coalesce("_file_no", F.raise_error(F.concat(F.lit("unlisted file "), "_file")).cast(
+        "long")), 42) + F.col("_at")).alias(order), *columns)
 
 
 def first_existing(spark: SparkSession, paths) -> str:
@@ -28,17 +46,24 @@ def first_existing(spark: SparkSession, paths) -> str:
 
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """Encoding by byte-order mark. ``limit(1)`` reads the head of one file only."""
-    head = (
-        spark.read.text(path).limit(1)
-        .select(F.hex(F.col("value").cast("binary")).alias("bytes")).collect()
-    )
-    start = head[0]["bytes"] if head else ""
-    if start.startswith("FFFE"):
-        return "UTF-16LE"
-    if start.startswith("FEFF"):
-        return "UTF-16BE"
-    return "UTF-8"
+    """Encoding by byte-order mark: two bytes of the file are read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        start = (stream.read(), stream.read())
+    finally:
+        stream.close()
+    return {(0xFF, 0xFE): "UTF-16LE", (0xFE, 0xFF): "UTF-16BE"}.get(start, "UTF-8")
+
+
+def _data_files(spark: SparkSession, path: str) -> list[str]:
+    """The file itself, or the files of a folder that Spark would read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(where).isFile():
+        return [path]
+    return sorted(s.getPath().toString() for s in fs.listStatus(where)
+                  if s.isFile() and s.getPath().getName()[0] not in "._" and s.getLen() > 0)
 
 
 def _clean_header(name: str) -> str:
@@ -46,15 +71,25 @@ def _clean_header(name: str) -> str:
 
 
 def read_tsv(spark: SparkSession, path: str, rename=None, encoding: str | None = None) -> DataFrame:
-    """Tab-separated text in UTF-16 or UTF-8 (with or without mark), headers renamed.
+    """Tab-separated text in UTF-16 or UTF-8 (with or without mark), headers renamed. Each file of a
+    folder is read in its own encoding; columns are matched by their names.
 
     The line separator is given in the file's own encoding, so UTF-16 files split like any
     other text; the alternative, ``multiLine``, would push each file through one task."""
     rename = PROVINCE_HEADERS if rename is None else rename
-    encoding = encoding or sniff_encoding(spark, path)
+    if encoding is not None:
+        return _read_encoded(spark, [path], rename, encoding)
+    by_encoding: dict[str, list[str]] = {}
+    for file in _data_files(spark, path):
+        by_encoding.setdefault(sniff_encoding(spark, file), []).append(file)
+    parts = [_read_encoded(spark, files, rename, kind) for kind, files in sorted(by_encoding.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_encoded(spark: SparkSession, paths: list[str], rename, encoding: str) -> DataFrame:
     df = (
         spark.read.option("sep", "\t").option("header", True).option("inferSchema", False)
-        .option("encoding", encoding).option("lineSep", "\n").csv(path)
+        .option("encoding", encoding).option("lineSep", "\n").csv(paths)
     )
     names = [rename.get(_clean_header(c), _clean_header(c)) for c in df.columns]
     df = df.toDF(*names)

@@ -18,24 +18,27 @@ def recent_days(df: DataFrame, date_column: str = "date", days: int = DAYS_TO_KE
 
 def land_daily(df: DataFrame, source_file: str, ingested_at: Column | None = None,
                null_words=tuple(NULL_WORDS)) -> DataFrame:
-    """Every value as text or null, plus the file name and the given load time."""
+    """Every value as text or null, plus the file name and the given load time. ``df`` has an ``id``
+    that grows in the order of delivery: of rows with one key the last one counts."""
+    if "id" not in df.columns:
+        raise ValueError("a landing needs an id that gives the order of its rows")
+
     def text(name: str) -> Column:
         return null_if_missing_word(F.col(name).cast("string"), null_words)
 
     columns = [text(c).alias("date_raw" if c == "date" else c) for c in DAILY_COLUMNS]
-    keep_id = [F.col("id")] if "id" in df.columns else []
     return df.select(
-        *keep_id, *columns,
+        "id", *columns,
         (ingested_at if ingested_at is not None else F.lit(None).cast("timestamp")).alias("ingested_at"),
         F.lit(source_file).alias("source_file"),
     )
 
 
 def check_landing(df: DataFrame) -> None:
-    """Refuse an empty delivery and one whose code column holds header words only. A good
-    delivery is cleared by the first row that carries a code: one short job."""
+    """Refuse an empty delivery and one whose code column holds header words only. Meant for landed
+    rows: a good delivery is cleared by the first row that carries a code, one short job."""
     if not df.filter(F.col("iso_code").isNull() | (F.col("iso_code") != HEADER_ECHO)).isEmpty():
         return
     if df.isEmpty():
-        raise ValueError("the delivery has no row after the date filter")
+        raise ValueError("the delivery has no row")
     raise ValueError("the code column holds only header words; the file was read wrongly")

@@ -1,93 +1,170 @@
 """Named Parquet tables below one root folder.
 
-Small tables (dimensions, serving) are replaced as a whole: each write goes to a new
-version folder that counts once its write has committed, so a reader never sees a
-half-written table and a table may be rebuilt from itself. Facts are partitioned by
-month and merged per partition, so a daily delta rewrites the months it touches and no more."""
+A table is a list of data folders. Every write goes to new folders; a small list file, written last
+under the next number, makes them current in one step. A reader opens the folders of the newest list,
+so it never sees half of a write, a failed write leaves the old list in force, and no folder is ever
+overwritten, which object stores allow as well. Facts are split by month: a merge writes the months it
+touches and lists the others where they are. One writer per table at a time; a second one fails at its
+list file.
+
+``KEEP`` newest lists and what they name are kept; older folders are removed after a write."""
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..operators.merge import upsert
-from ..schemas import SCHEMAS, conform, empty
+from ..operators.merge import upsert, upsert_columns
+from ..schemas import DEFAULTS, SCHEMAS, conform, empty
+
+KEEP = 3
+_PART = "part"
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root
-
-    def _current(self, name: str) -> tuple[int, str] | None:
-        """(version, folder) of the newest finished write, or None. Lists one folder; the
-        marker file that Spark writes on commit tells a finished version from a broken one."""
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        base = hadoop_path(os.path.join(self.root, name))
-        fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(base):
-            return None
-        finished = [
-            status.getPath().getName() for status in fs.listStatus(base)
-            if fs.exists(hadoop_path(status.getPath(), "_SUCCESS"))
-        ]
-        if not finished:
-            return None
-        folder = max(finished)
-        return int(folder[1:].split("-")[0]), os.path.join(self.root, name, folder)
+    def __init__(self, spark: SparkSession, root: str, schemas: dict | None = None, defaults: dict | None = None):
+        """``defaults``: per table, the value of a column in rows written before the column existed."""
+        self.spark, self.root = spark, root
+        self.schemas = SCHEMAS if schemas is None else schemas
+        self.defaults = DEFAULTS if defaults is None else defaults
+
+    # --- lists ------------------------------------------------------------------
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.root, *parts))
+
+    def _fs(self):
+        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, *parts: str) -> list[str]:
+        fs, where = self._fs(), self._path(*parts)
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+    def _numbers(self, name: str) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._names(name, "_lists") if n.endswith(".json") and n[:-5].isdigit())
+
+    def _list(self, name: str, number: int) -> dict:
+        stream = self._fs().open(self._path(name, "_lists", f"{number:08d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
+    def _newest(self, name: str) -> dict | None:
+        numbers = self._numbers(name)
+        return self._list(name, numbers[-1]) if numbers else None
+
+    def _publish(self, name: str, folders: list[dict], notes: dict | None) -> None:
+        """Write the next list under a name of its own and rename it: the step that counts."""
+        fs = self._fs()
+        number = (self._numbers(name) or [0])[-1] + 1
+        final, draft = self._path(name, "_lists", f"{number:08d}.json"), self._path(name, "_lists", f"{uuid.uuid4().hex}.draft")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps({"folders": folders, "notes": notes or {}}).encode()))
+        out.close()
+        if fs.exists(final) or not fs.rename(draft, final):
+            raise RuntimeError(f"another writer changed {name}")
+        self._remove_old(name)
+
+    def _remove_old(self, name: str) -> None:
+        fs, numbers = self._fs(), self._numbers(name)
+        if len(numbers) <= KEEP:
+            return
+        top = lambda lists: {f["path"].split("/")[0] for x in lists for f in x["folders"]}
+        old = [self._list(name, n) for n in numbers[:-KEEP]]
+        kept = top(self._list(name, n) for n in numbers[-KEEP:])
+        for folder in top(old) - kept:
+            fs.delete(self._path(name, folder), True)
+        for n in numbers[:-KEEP]:
+            fs.delete(self._path(name, "_lists", f"{n:08d}.json"), False)
+
+    # --- reading ----------------------------------------------------------------
     def exists(self, name: str) -> bool:
-        return self._current(name) is not None
-
-    def read(self, name: str) -> DataFrame:
-        """The table with its declared schema; an unwritten table reads as empty."""
-        current = self._current(name)
-        if current is None:
-            return empty(self.spark, name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(current[1])
-
-    def replace(self, name: str, df: DataFrame, partition_by: str | None = None, sort_by=()) -> int:
-        """Write a new version and make it current. Returns its row count, observed during
-        the write (no second pass)."""
-        current = self._current(name)
-        version = 1 if current is None else current[0] + 1
-        folder = os.path.join(self.root, name, f"v{version:06d}-{uuid.uuid4().hex[:8]}")
-        return self._write(conform(df, name), folder, "errorifexists", partition_by, sort_by)
-
-    def merge(self, name: str, updates: DataFrame, keys: list[str], partition_by: str,
-              sort_by=()) -> int:
-        """Insert new keys and overwrite existing ones in the partitions the updates touch.
-
-        The touched partition values (calendar months, a few hundred integers at most) come to
-        the driver and become a literal filter, so the target's scan is pruned to those
-        partitions before it starts; the dynamic overwrite replaces only them. A key must not
-        move to another partition (the partition follows from the date in the key). One writer
-        at a time; a reader that opens the table while the partitions are being swapped should
-        read again."""
-        current = self._current(name)
-        updates = conform(updates, name)
-        if current is None:
-            return self.replace(name, updates, partition_by, sort_by)
-        touched = [row[0] for row in updates.select(partition_by).distinct().collect()]
-        if not touched:
-            return 0
-        merged = upsert(self.read(name).filter(F.col(partition_by).isin(touched)), updates, keys)
-        return self._write(merged, current[1], "overwrite", partition_by, sort_by)
+        return bool(self._numbers(name))
 
-    def _write(self, df: DataFrame, folder: str, mode: str, partition_by: str | None, sort_by) -> int:
+    def notes(self, name: str) -> dict:
+        """What the writer of the current rows noted about them."""
+        return (self._newest(name) or {}).get("notes", {})
+
+    def folders(self, name: str) -> list[dict]:
+        return (self._newest(name) or {"folders": []})["folders"]
+
+    def read(self, name: str, parts: list | None = None) -> DataFrame:
+        """The table with its declared schema, or only some of its parts (the others' files are not
+        opened). An unwritten table reads as empty. A column that a folder was written without has
+        its default there; nulls that were delivered stay null."""
+        wanted = None if parts is None else {str(p) for p in parts}
+        return self._opened(name, [f for f in self.folders(name) if wanted is None or f["part"] in wanted])
+
+    def _opened(self, name: str, folders: list[dict]) -> DataFrame:
+        schema, defaults = self.schemas[name], self.defaults.get(name, {})
+        groups: dict[tuple, list[str]] = {}
+        for f in folders:
+            lacking = tuple(c for c in defaults if c not in f["columns"])
+            groups.setdefault(lacking, []).append(os.path.join(self.root, name, f["path"]))
+        out = None
+        for lacking, paths in groups.items():
+            rows = self.spark.read.schema(schema).parquet(*paths)
+            rows = rows.withColumns({c: F.lit(defaults[c]).cast(schema[c].dataType) for c in lacking}) if lacking else rows
+            out = rows if out is None else out.unionByName(rows)
+        return empty(self.spark, schema) if out is None else out
+
+    # --- writing ----------------------------------------------------------------
+    def _written(self, name: str, df: DataFrame, partition_by: str | None, sort_by) -> tuple[list[dict], int]:
+        """New folders with the rows, not yet current, and how many rows there are."""
         if partition_by:
-            # One right-sized set of files per partition value; adaptive execution splits a hot
-            # month and joins small ones, where a plain repartition would leave one huge task.
+            # One right-sized set of files per part; adaptive execution splits a hot month and joins
+            # small ones, where a plain repartition would leave one huge task.
             df = df.hint("rebalance", partition_by)
         if sort_by:
             df = df.sortWithinPartitions(*([partition_by] if partition_by else []), *sort_by)
         # Counted in the writing tasks themselves: a retried shuffle stage cannot count twice.
         counted = Observation()
+        columns = df.columns
         df = df.observe(counted, F.count(F.lit(1)).alias("rows"))
-        writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(folder)
-        return counted.get["rows"]
+        folder = f"v-{uuid.uuid4().hex}"
+        writer = (df.withColumn(_PART, F.col(partition_by)).write.partitionBy(_PART) if partition_by else df.write)
+        writer.parquet(os.path.join(self.root, name, folder))
+        if not partition_by:
+            return [{"path": folder, "part": None, "columns": columns}], counted.get["rows"]
+        found = [n for n in self._names(name, folder) if n.startswith(f"{_PART}=")]
+        return [{"path": f"{folder}/{n}", "part": n[len(_PART) + 1:], "columns": columns} for n in found], counted.get["rows"]
+
+    def replace(self, name: str, df: DataFrame, partition_by: str | None = None, sort_by=(), notes: dict | None = None,
+                check=None) -> int:
+        """New rows instead of the current ones; returns how many. ``check`` gets the written rows before
+        they become current and may refuse them by an error."""
+        folders, rows = self._written(name, conform(df, self.schemas[name]), partition_by, sort_by)
+        if check is not None:
+            check(self._opened(name, folders))
+        self._publish(name, folders, notes)
+        return rows
+
+    def append(self, name: str, df: DataFrame) -> int:
+        """Add rows; earlier ones stay in the folders (and with the columns) they were written with."""
+        folders, rows = self._written(name, conform(df, self.schemas[name]), None, ())
+        self._publish(name, self.folders(name) + folders, None)
+        return rows
+
+    def merge(self, name: str, updates: DataFrame, keys: list[str], partition_by: str, sort_by=(),
+              update: list[str] | None = None) -> int:
+        """Insert new keys and overwrite existing ones in the months the updates touch; returns the rows
+        of those months. ``update``: only these columns of existing rows change; others of new rows take
+        the table's defaults.
+
+        The touched months (integers of the calendar) come to the driver and select the folders to
+        read. A key must not move to another month (the month follows from the date in the key)."""
+        touched = [row[0] for row in updates.select(partition_by).distinct().collect()]
+        if not touched:
+            return 0
+        current = self.read(name, touched)
+        if update is None:
+            merged = upsert(current, conform(updates, self.schemas[name]), keys)
+        else:
+            merged = upsert_columns(current, updates, keys, update, self.defaults.get(name, {}))
+        folders, rows = self._written(name, merged, partition_by, sort_by)
+        parts = {str(p) for p in touched}
+        self._publish(name, [f for f in self.folders(name) if f["part"] not in parts] + folders, None)
+        return rows

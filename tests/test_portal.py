@@ -3,9 +3,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from caselake.__main__ import main
-from caselake.plans import portal
+from caselake.plans import global_daily, portal
 from caselake.sources.store import TableStore
 
 PAGE = """<table><tr><td>x</td></tr></table>
@@ -33,7 +34,7 @@ def filled(spark, tmp_path_factory):
         "Long An\t2.96\t10\t0\t01-25-2021\n").encode("utf-16"))
     spark.createDataFrame([(1, PAGE)], "page_id bigint, html string").write.parquet(str(root / "pages"))
     lake = str(root / "store")
-    main(["extract_global", "--store", lake, "--input", str(root / "missing.csv"), str(root / "daily.csv")])
+    main(["extract_global", "--store", lake, "--input", str(root / "missing.csv"), str(root / "daily.csv"), "--days", "400"])
     main(["transform_global", "--store", lake])
     main(["refresh_serving", "--store", lake])
     main(["load_province", "--store", lake, "--input", str(root / "province.tsv")])
@@ -49,6 +50,8 @@ def rows(store, name, *columns, **options):
 def test_landing_keeps_recent_days_as_text(filled):
     raw = filled.read("raw_daily")
     assert raw.count() == 58 and raw.filter("location = 'Land CCC'").isEmpty()
+    counts = global_daily.accounting(filled).first()
+    assert (counts.landed_rows, counts.left_out_rows) == (58, 1)
     row = raw.filter("iso_code = 'AAA' and date_raw = '2021-01-03'").first()
     assert (row.new_cases, row.source_file) == ("6.0", "daily.csv") and row.ingested_at is not None
 
@@ -95,6 +98,40 @@ def test_job_history_lists_every_run(filled):
     assert {status for _, status in jobs} == {"success"}
 
 
+def test_report_comes_out_whole(spark, filled, tmp_path, capsys):
+    """A report without a limit of its own is written, not printed; charts take all days."""
+    dates = [dt.date(2000, 1, 1) + dt.timedelta(days=i) for i in range(4000)]
+    lake = TableStore(spark, str(tmp_path / "long"))
+    lake.replace("dim_date", spark.createDataFrame([(int(d.strftime("%Y%m%d")), d) for d in dates], "date_id int, full_date date"))
+    lake.replace("fact_timeline_daily", spark.createDataFrame(
+        [("s", int(d.strftime("%Y%m%d")), i, 0, 1, 0, "u", d.year * 100 + d.month) for i, d in enumerate(dates)],
+        "series string, date_id int, total_cases bigint, total_deaths bigint, new_cases bigint, new_deaths bigint, "
+        "source_url string, month_id int"))
+    lake.replace("agg_daily_global", spark.createDataFrame(
+        [(int(d.strftime("%Y%m%d")), 1, 1) for d in dates], "date_id int, total_new_cases bigint, total_new_deaths bigint"))
+    for name in ("timeline_chart", "trend_chart"):
+        main(["report", "--store", lake.root, "--name", name, "--output", str(tmp_path / name)])
+        out = spark.read.parquet(str(tmp_path / name))
+        assert out.count() == 134 and out.agg({"n_days": "sum"}).first()[0] == 4000
+    with pytest.raises(SystemExit, match="--output"):
+        main(["report", "--store", lake.root, "--name", "timeline_chart"])
+    assert sum(n for (n,) in rows(lake, "timeline_chart", "n_days", n=50)) == 50
+    main(["report", "--store", lake.root, "--name", "global_trend", "--n", "150"])
+    assert capsys.readouterr().out.count("2010-") == 150
+
+
+def test_every_coordinate_name_is_found(spark):
+    """Each name of the coordinate table, written as it is there, finds a point."""
+    from caselake.fixed_values import PLACE_COORDINATES
+    from caselake.functions import place_name_key
+    from caselake.operators import places
+
+    named = spark.createDataFrame([(n,) for n in [*PLACE_COORDINATES, "Ho Chi Minh City"]], "name string")
+    found = places.lookup_places(named.withColumn("name_key", place_name_key(F.col("name"))),
+                                 places.keyed_coordinates(spark), "name_key", "_n")
+    assert found.count() == named.count()
+
+
 def test_unknown_report_and_bad_limit(filled):
     with pytest.raises(ValueError):
         portal.run(filled, "nothing")

@@ -54,6 +54,48 @@ def test_csv_columns(spark, tmp_path):
         delimited.first_existing(spark, [str(tmp_path / "no.csv")])
 
 
+def test_order_over_several_files(spark, tmp_path):
+    """Of rows with one key the last row of the last file wins, however Spark packs the files."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(12):
+        lines = ["iso_code,date", *[f"K{i}-{j},2021-01-01" for j in range(40 * (12 - i))]]
+        (folder / f"part-{i:02d}.csv").write_text("\n".join(lines) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for limit in ("700", size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+        try:
+            df = delimited.read_columns_csv(spark, str(folder), ["iso_code", "date"], order="id")
+            names = [r.iso_code for r in df.orderBy("id").collect()]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert names == [f"K{i}-{j}" for i in range(12) for j in range(40 * (12 - i))]
+    with pytest.raises(ValueError, match="id"):
+        landing.land_daily(df.drop("id"), "x.csv")
+
+
+def test_folder_with_files_of_several_encodings(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    for i, (encoding, mark) in enumerate([("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-8", b"\xef\xbb\xbf"), ("utf-8", b"")]):
+        (folder / f"{i}.tsv").write_bytes(mark + ("\n".join(LINES) + "\n").encode(encoding))
+    df = delimited.read_tsv(spark, str(folder))
+    assert df.count() == 8 and df.groupBy("province_name", "total_cases").count().count() == 2
+
+
+def test_scratch_of_a_run_is_removed(spark):
+    from caselake.session import materialize, scratch_run
+
+    with pytest.raises(RuntimeError):
+        with scratch_run(spark):
+            path = scratch_path(spark, "x")
+            materialize(spark.range(3), "y")
+            folder = os.path.dirname(path).removeprefix("file://")
+            assert len([n for n in os.listdir(folder)]) == 1
+            raise RuntimeError
+    assert not os.path.exists(folder)
+
+
 def test_recent_days_is_inclusive(spark):
     df = spark.range(0, 10).select(F.date_add(F.lit(dt.date(2021, 1, 1)), F.col("id").cast("int")).alias("date"))
     assert landing.recent_days(df, "date", 4).count() == 5
@@ -142,10 +184,57 @@ def test_replace_and_read(spark, store):
 def test_unfinished_version_is_ignored(spark, store):
     days = spark.createDataFrame([(20210101,)], "date_id int")
     store.replace("dim_date", days)
-    os.makedirs(os.path.join(store.root, "dim_date", "v000009-broken"))
+    os.makedirs(os.path.join(store.root, "dim_date", "v-broken"))
+    open(os.path.join(store.root, "dim_date", "_lists", "abc.draft"), "w").close()
     assert store.read("dim_date").count() == 1
 
 
+def test_write_that_breaks_leaves_the_old_rows(spark, store):
+    """An error in the middle of a merge's write, and one in the check of a landing."""
+    keys, name = ["province_id", "date_id"], "fact_province_daily"
+    store.merge(name, fact(spark, (1, 20200101, 1), (1, 20210101, 2)), keys, "month_id")
+    before = sorted(map(str, store.read(name).collect()))
+    bad = fact(spark, (1, 20210101, 9), (2, 20210102, 9)).withColumn(
+        "new_cases", F.when(F.col("province_id") == 2, F.raise_error(F.lit("broken half-way"))).otherwise(F.col("new_cases")))
+    with pytest.raises(PySparkException):
+        store.merge(name, bad, keys, "month_id")
+    assert sorted(map(str, store.read(name).collect())) == before
+    with pytest.raises(ValueError, match="refused"):
+        store.replace(name, fact(spark, (7, 20200101, 1)), check=lambda rows: (_ for _ in ()).throw(ValueError("refused")))
+    assert sorted(map(str, store.read(name).collect())) == before
+
+
+def test_old_folders_go_after_a_stated_number_of_writes(spark, store):
+    days = spark.createDataFrame([(20210101,)], "date_id int")
+    for _ in range(6):
+        store.replace("dim_date", days)
+    names = os.listdir(os.path.join(store.root, "dim_date"))
+    assert len([n for n in names if n.startswith("v-")]) == 3 and store.read("dim_date").count() == 1
+
+
+def test_added_column_has_its_default_in_older_rows_only(spark, store):
+    from pyspark.sql import types as T
+
+    from caselake.sources.store import TableStore
+
+    old = T.StructType().add("k", T.IntegerType())
+    new = T.StructType().add("k", T.IntegerType()).add("n", T.LongType())
+    TableStore(spark, store.root, {"t": old}, {}).replace("t", spark.createDataFrame([(1,)], "k int"))
+    later = TableStore(spark, store.root, {"t": new}, {"t": {"n": 0}})
+    later.append("t", spark.createDataFrame([(2, None), (3, 5)], "k int, n bigint"))
+    assert {r.k: r.n for r in later.read("t").collect()} == {1: 0, 2: None, 3: 5}
+
+
+def test_merge_of_some_columns(spark, store):
+    keys, name = ["province_id", "date_id"], "fact_province_daily"
+    full = fact(spark, (1, 20210101, 2)).withColumns({c: F.lit(7).cast("bigint") for c in (
+        "new_deaths", "total_cases", "total_deaths", "recovered", "active_cases")})
+    store.merge(name, full, keys, "month_id")
+    store.merge(name, fact(spark, (1, 20210101, 5), (2, 20210101, 6)), keys, "month_id", update=["new_cases"])
+    got = {r.province_id: (r.new_cases, r.new_deaths, r.recovered, r.total_cases) for r in store.read(name).collect()}
+    assert got == {1: (5, 7, 7, 7), 2: (6, 0, 0, None)}
+
+
 def fact(spark, *rows):
     return spark.createDataFrame(
         [(p, d, n, d // 100) for p, d, n in rows], "province_id int, date_id int, new_cases bigint, month_id int")
@@ -155,14 +244,14 @@ def test_merge_rewrites_touched_months_only(spark, store):
     keys = ["province_id", "date_id"]
     name = "fact_province_daily"
     store.merge(name, fact(spark, (1, 20200101, 1), (1, 20210101, 2), (2, 20210101, 3)), keys, "month_id")
-    folder = store._current(name)[1]
-    untouched = sorted(os.listdir(os.path.join(folder, "month_id=202001")))
+    untouched = [f for f in store.folders(name) if f["part"] == "202001"]
     delta = fact(spark, (1, 20210101, 20), (3, 20210102, 30))
     store.merge(name, delta, keys, "month_id")
     store.merge(name, delta, keys, "month_id")  # again: nothing changes
     got = {(r.province_id, r.date_id): r.new_cases for r in store.read(name).collect()}
     assert got == {(1, 20200101): 1, (1, 20210101): 20, (2, 20210101): 3, (3, 20210102): 30}
-    assert sorted(os.listdir(os.path.join(folder, "month_id=202001"))) == untouched
+    assert [f for f in store.folders(name) if f["part"] == "202001"] == untouched
+    assert store.read(name, [202101]).count() == 3
 
 
 def test_run_log(spark, store):
@@ -173,9 +262,12 @@ def test_run_log(spark, store):
         with log.run("two"):
             raise RuntimeError("broken")
     rows = log.read().orderBy("job_id").collect()
-    assert [(r.job_id, r.job_name, r.status, r.rows_processed, r.error_message) for r in rows] == [
-        (1, "one", "success", 7, None), (2, "two", "failed", 0, "broken")]
-    assert all(r.finished_at >= r.started_at for r in rows)
+    assert [(r.job_name, r.status, r.rows_processed, r.error_message) for r in rows] == [
+        ("one", "success", 7, None), ("two", "failed", 0, "broken")]
+    assert all(r.finished_at >= r.started_at for r in rows) and rows[0].job_id < rows[1].job_id
+    with log.run("three"):
+        last = log.read().orderBy(F.col("job_id").desc()).first()
+        assert (last.job_name, last.status, last.finished_at) == ("three", "running", None)
     with pytest.raises(ValueError):
         log.append("x", "odd", 0, rows[0].started_at, None)
 
