@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..fixed_values import MESSAGE_RULES
 from ..functions import NBSP
 
 
@@ -117,18 +118,21 @@ def province_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """every page of ``pages``, whole, with four tables appended before its end."""
+    """every page of ``pages``, whole, with four tables made of its own first link and number, and
+    with tables that must not count: in a comment before them, in a script between them."""
     dotted = "replace(format_number({0}, 0), ',', '.')"
+    link = "regexp_extract(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)"
     tables = f"""concat(
-      '<table class="nav"><tr><td>x</td></tr></table>',
+      '<!-- <table><tr><td>hidden</td></tr></table> -->', '<table class="nav"><tr><td>x</td></tr></table>',
+      '<script>document.write("<table><tr><td>written</td></tr></table>")</script>',
       '<table class="wikitable">\n<tr><th>Name</th><th>Cases</th><th>Deaths</th><th>New</th></tr>\n',
-      '<tr><td><a href="/p">Tỉnh ', cast(page_id as string), '</a><sup>[5]</sup></td><td>',
+      '<tr><td><a href="/p">Tỉnh ', {link}, ' ', cast(page_id as string), '</a><sup>[5]</sup></td><td>',
       {dotted.format('page_id * 1237 + 10')}, '</td><td>', cast(page_id % 50 as string), '</td><td>n.a.</td></tr>\n',
       '<tr class="total"><td>Cả nước&nbsp;(all)</td><td>', {dotted.format('page_id * 2000 + 90')},
       '</td><td>', cast(page_id % 90 as string), '</td><td>7</td></tr></table>',
       '<table>\n<tr><th scope="col">Locality</th><th>Population</th><th>Doses\n distributed</th>',
       '<th>Doses administered</th><th>Doses administered per 100 people</th></tr>',
-      '<tr><td>Place ', cast(page_id as string), ' province</td><td>', format_number(page_id * 1000 + 7, 0),
+      '<tr><td>Place ', {link}, ' ', cast(page_id as string), ' province</td><td>', format_number(page_id * 1000 + 7, 0),
       '</td><td>', cast(page_id * 13 as string), '</td><td>', format_number(page_id * 11 + 3, 0),
       '</td><td>', case when page_id % 4 = 0 then '—' else concat(cast(page_id % 150 as string), '.5') end,
       '</td></tr></table>',
@@ -149,6 +153,27 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 
 
+def ruled_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations, whole, each with a keyword of a message rule behind it by its turn; every
+    seventh turn has two rules' keywords."""
+    words = [rule[1][0] for rule in MESSAGE_RULES]
+    some = F.array(*[F.lit(w) for w in words])
+    n = F.lit(len(words) + 1)
+    first = F.coalesce(F.get(some, F.col("turn") % n), F.lit(""))
+    second = F.when(F.col("turn") % 7 == 0, F.get(some, F.col("conv_id") % F.lit(len(words)))).otherwise("")
+    return messages(spark, sf_dir).withColumn("text", F.concat_ws(" ", "text", first, second))
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9, nested: a feature per user, a polygon per event type, an outer ring of all its events' points
+    and an inner ring that does not count."""
+    points = vertices(spark, sf_dir).groupBy("feature_id", "ring_id").agg(F.transform(F.array_sort(F.collect_list(
+        F.struct("pos", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("ring"))
+    hole = F.array(F.struct(F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat")))
+    return points.groupBy("feature_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring_id", "ring"))),
+                                                        lambda p: F.array(p["ring"], hole)).alias("polygons"))
+
+
 MESSAGE_TEST_RULES = [("first", ["tion"], "reply one"), ("second", ["thou"], "reply two")]
 MESSAGE_TEST_DEFAULT = ("default", "reply three")
 

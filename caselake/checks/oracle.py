@@ -118,6 +118,8 @@ DOTTED_GROUPS = "replace(format('{{:,}}', cast({0} as bigint)), ',', '.')"
 PREFIX = ("case n_nationkey % 5 when 0 then 'Đắk ' when 1 then 'Thừa Thiên-' when 2 then 'Hà ' "
           "when 3 then 'Ho Chi Minh ' else 'Bà Rịa-' end")
 
+FIRST_LINK = "regexp_extract(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)"
+
 # --- derived inputs and shared steps, each may name earlier ones -------------------
 CTES = {
     "placed": """
@@ -177,16 +179,16 @@ CTES = {
               from (select n_name, cast(o_orderdate as date) as dt, count(*) as n, sum(o_custkey % 200) as x
                     from placed group by all))""",
     "f5": f"""
-        select page_id, html || '<table class="nav"><tr><td>x</td></tr></table>'
+        select page_id, '<table class="nav"><tr><td>x</td></tr></table>'
           || '<table class="wikitable">\n<tr><th>Name</th><th>Cases</th><th>Deaths</th><th>New</th></tr>\n'
-          || '<tr><td><a href="/p">Tỉnh ' || page_id || '</a><sup>[5]</sup></td><td>'
+          || '<tr><td><a href="/p">Tỉnh ' || {FIRST_LINK} || ' ' || page_id || '</a><sup>[5]</sup></td><td>'
           || {DOTTED_GROUPS.format('page_id * 1237 + 10')} || '</td><td>' || (page_id % 50)
           || '</td><td>n.a.</td></tr>\n'
           || '<tr class="total"><td>Cả nước&nbsp;(all)</td><td>' || {DOTTED_GROUPS.format('page_id * 2000 + 90')}
           || '</td><td>' || (page_id % 90) || '</td><td>7</td></tr></table>'
           || '<table>\n<tr><th scope="col">Locality</th><th>Population</th><th>Doses\n distributed</th>'
           || '<th>Doses administered</th><th>Doses administered per 100 people</th></tr>'
-          || '<tr><td>Place ' || page_id || ' province</td><td>' || format('{{:,}}', page_id * 1000 + 7)
+          || '<tr><td>Place ' || {FIRST_LINK} || ' ' || page_id || ' province</td><td>' || format('{{:,}}', page_id * 1000 + 7)
           || '</td><td>' || (page_id * 13) || '</td><td>' || format('{{:,}}', page_id * 11 + 3)
           || '</td><td>' || case when page_id % 4 = 0 then '—' else (page_id % 150) || '.5' end
           || '</td></tr></table>'
@@ -383,12 +385,15 @@ def _chunks(step: int, short_label: str) -> str:
 
 def _message_replies() -> str:
     hits = [" or ".join(f"contains(lower(text), '{word}')" for word in words) for _, words, _ in MESSAGE_RULES]
+    words = "[" + ", ".join(f"'{rule[1][0]}'" for rule in MESSAGE_RULES) + "]"
     labels = " ".join(f"when {hit} then '{label}'" for hit, (label, _, _) in zip(hits, MESSAGE_RULES))
     replies = " ".join(f"when {hit} then '{reply}'" for hit, (_, _, reply) in zip(hits, MESSAGE_RULES))
     return f"""
         select conv_id, turn, case {labels} else '{DEFAULT_MESSAGE_RULE[0]}' end as label,
           case {replies} else '{DEFAULT_MESSAGE_RULE[1]}' end as reply
-        from conversations"""
+        from (select conv_id, turn, concat_ws(' ', text, coalesce({words}[turn % {len(MESSAGE_RULES) + 1} + 1], ''),
+                case when turn % 7 = 0 then {words}[conv_id % {len(MESSAGE_RULES)} + 1] else '' end) as text
+              from conversations)"""
 
 
 _CLASSES = " ".join(f"when ratio >= {cut} then {level}" for level, cut in enumerate(CLASS_CUTS, 1))
@@ -410,7 +415,7 @@ SELECTS = {
         select page_id, item_no::integer as item_no, {html_text('raw')} as item
         from (select page_id, unnest(range(len(i))) as item_no, unnest(i) as raw
               from (select page_id, regexp_extract_all(
-                      html, '(?is)<li[^>]*>\\s*(<a\\s[^>]*>.*?</a>)\\s*</li>', 1) as i from pages))""",
+                      html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) as i from pages))""",
     "html_locality_rows": """
         select page_id, c[1] as province_name, c[2] as population, c[3] as doses_distributed,
           c[4] as doses_administered, c[5] as doses_per_100
@@ -673,4 +678,65 @@ SELECTS = {
           '{SOURCE_URL}' as source_url from timeline_days""",
 }
 
+_RATES = f"""
+          case when new_cases < 0 then 0 else new_cases end as new_cases,
+          case when new_deaths < 0 then 0 else new_deaths end as new_deaths,
+          total_cases, total_deaths, people_vaccinated,
+          {percent('people_vaccinated', 'population')} as vaccination_rate,
+          {percent('total_deaths', 'total_cases')} as case_fatality_rate"""
+SELECTS |= {
+    "load_global_second": f"""
+        select iso_code, {date_id('full_date')} as date_id, {_RATES}
+        from (select *, row_number() over (partition by iso_code, full_date order by delivery desc, id desc) as k
+              from (select *, 1 as delivery from typed where id % 4 <> 0
+                    union all select *, 2 from typed where id % 2 = 0))
+        where k = 1""",
+    "load_province_restated": f"""
+        select province_name, {date_id('full_date')} as date_id, new_cases,
+          coalesce(greatest(total_deaths - lag(total_deaths) over (partition by province_name order by full_date), 0), 0)::bigint
+            as new_deaths, total_cases, total_deaths, 0::bigint as recovered, 0::bigint as active_cases
+        from province_days""",
+    "load_vaccination_pages": f"""
+        select cast(row_number() over (order by substring(md5(province_name), 1, 2), province_name) as integer)
+            as province_id, province_name, page_id * 1000 + 7 as population, page_id * 13 as doses_distributed,
+          page_id * 11 + 3 as doses_administered,
+          case when page_id % 4 = 0 then {percent('(page_id * 11 + 3)', '(page_id * 1000 + 7)')}
+               else page_id % 150 + 0.5::double end as doses_per_100
+        from (select page_id, {strip("'Place ' || " + FIRST_LINK + " || ' ' || page_id")} as province_name from pages)""",
+    "load_timeline_pages": f"""
+        select series, date_id::integer as date_id, total_cases, total_deaths,
+          coalesce(greatest(total_cases - lag(total_cases) over w, 0), 0)::bigint as new_cases,
+          coalesce(greatest(total_deaths - lag(total_deaths) over w, 0), 0)::bigint as new_deaths, '{SOURCE_URL}' as source_url
+        from (select cast(page_id as varchar) as series, 20210301 as date_id, page_id * 9 + 100 as total_cases, page_id % 11 as total_deaths from pages
+              union all select cast(page_id as varchar), 20210302, page_id * 10 + 90, page_id % 13 + 2 from pages
+              union all select cast(page_id as varchar), 20210304, page_id * 12 + 95, page_id % 13 + 5 from pages)
+        window w as (partition by series order by date_id)""",
+    "load_timeline_provinces": f"""
+        select trim(regexp_replace('Tỉnh ' || {FIRST_LINK} || ' ' || page_id, '\\s+', ' ', 'g')) as province_name,
+          page_id * 1237 + 10 as total_cases, page_id % 50 as total_deaths, 0::bigint as new_cases from pages
+        union all
+        select * from (select 'Cả nước', page_id * 2000 + 90 as c, page_id % 90, 7::bigint from pages order by c desc limit 1)""",
+    "serving_refresh": f"""
+        select {date_id('full_date')} as date_id, sum(new_cases)::bigint as total_new_cases,
+          sum(new_deaths)::bigint as total_new_deaths from clean group by full_date""",
+    "job_log_runs": """
+        select 'extract_global_daily' as job_name, 'success' as status, (select count(*) from f1) as rows_processed,
+          cast(null as varchar) as error_message
+        union all select 'load_global_daily', 'success', (select count(*) from clean), null
+        union all select 'extract_global_daily', 'failed', 0,
+          'the code column holds only header words; the file was read wrongly'""",
+    "schema_evolve_store": """
+        select iso_code, full_date, new_cases, 0::bigint as total_deaths from older
+        union all select iso_code, full_date, new_cases, total_deaths from recent""",
+    "scan_tsv_mixed": "select province_name, date_raw, new_cases, total_cases, total_deaths from f4",
+    "polygon_vertex_centre_nested": """
+        select feature_id, (dense_rank() over (partition by feature_id order by ring_id) - 1)::integer as ring_id,
+          n_vertices, lon, lat
+        from (select feature_id, ring_id, count(*) as n_vertices,
+                sum(cast(round(lon * 10000000) as bigint))::double / count(*) / 10000000 as lon,
+                sum(cast(round(lat * 10000000) as bigint))::double / count(*) / 10000000 as lat
+              from f9 group by feature_id, ring_id)
+        qualify row_number() over (partition by feature_id order by n_vertices desc, ring_id) = 1""",
+}
+
 ORACLE_SQL = {name: sql(select) for name, select in SELECTS.items()}

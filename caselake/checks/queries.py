@@ -15,6 +15,7 @@ from ..operators import (
 from ..plans import global_daily, province, reports, serving, timeline, vaccination
 from ..session import materialize, scratch_path
 from ..sources import delimited, html, landing
+from ..sources.joblog import JobLog
 from ..sources.store import TableStore
 from . import fixtures as fx
 
@@ -555,8 +556,8 @@ def keyword_route_counts(spark, sf):
 
 @query
 def message_replies(spark, sf):
-    """The product's own message rules over every message."""
-    return routing.route_messages(fx.messages(spark, sf)).select("conv_id", "turn", "label", "reply")
+    """The product's own message rules over every message; each rule has its turns."""
+    return routing.route_messages(fx.ruled_messages(spark, sf)).select("conv_id", "turn", "label", "reply")
 
 
 @query
@@ -617,3 +618,116 @@ def load_vaccination(spark, sf):
 def load_timeline(spark, sf):
     loaded = timeline.load(new_store(spark), fx.timeline_text(spark, sf), SOURCE_URL, as_of())
     return loaded.drop("month_id")
+
+
+@query
+def load_global_second(spark, sf):
+    """Two deliveries that overlap: three of four rows, then every second one. The fact afterwards."""
+    store = new_store(spark)
+    rows = fx.raw_daily(spark, sf).withColumnRenamed("date_raw", "date")
+    for part in (rows.filter("id % 4 <> 0"), rows.filter("id % 2 = 0")):
+        global_daily.extract(store, landing.land_daily(part, "raw-daily.csv", as_of(), null_words=("",)))
+        global_daily.transform_load(store, as_of())
+    return store.read(global_daily.FACT).join(store.read("dim_country").select("country_id", "iso_code"), "country_id").select(
+        "iso_code", "date_id", "new_cases", "new_deaths", "total_cases", "total_deaths", "people_vaccinated",
+        F.col("vaccination_rate").cast("double").alias("vaccination_rate"),
+        F.col("case_fatality_rate").cast("double").alias("case_fatality_rate"))
+
+
+@query
+def load_province_restated(spark, sf):
+    """Two overlapping deliveries with derived daily deaths, then a plain one, which leaves them alone.
+    The fact afterwards."""
+    store, rows = new_store(spark), fx.province_text(spark, sf)
+    day = F.substring("date_raw", 4, 2).cast("int")
+    province.load(store, rows.filter(day < 20), as_of(), derive_deaths=True)
+    province.load(store, rows.filter(day >= 15), as_of(), derive_deaths=True)
+    province.load(store, rows.filter(day == 17), as_of())
+    return store.read(province.FACT).join(store.read("dim_province").select("province_id", "province_name"), "province_id").select(
+        "province_name", "date_id", "new_cases", "new_deaths", "total_cases", "total_deaths", "recovered", "active_cases")
+
+
+@query
+def load_vaccination_pages(spark, sf):
+    """The vaccination load from the pages on."""
+    text = html.locality_rows(fx.html_pages(spark, sf)).drop("page_id")
+    loaded = vaccination.load(new_store(spark), text, SNAPSHOT, SOURCE_URL, as_of())
+    return loaded.withColumn("doses_per_100", F.col("doses_per_100").cast("double")).drop("last_updated")
+
+
+def _timeline_store(spark, sf) -> TableStore:
+    store, pages = new_store(spark), fx.html_pages(spark, sf)
+    timeline.load(store, timeline.page_timeline_text(pages), SOURCE_URL, as_of(), timeline.page_province_text(pages))
+    return store
+
+
+@query
+def load_timeline_pages(spark, sf):
+    """The timeline load from the pages on: the fact."""
+    return _timeline_store(spark, sf).read(timeline.FACT).drop("month_id")
+
+
+@query
+def load_timeline_provinces(spark, sf):
+    """The timeline load from the pages on: the province list."""
+    return _timeline_store(spark, sf).read("agg_province_cases").drop("last_updated")
+
+
+@query
+def serving_refresh(spark, sf):
+    """The serving tables built anew from the stored fact."""
+    store = new_store(spark)
+    delivered = landing.land_daily(
+        fx.raw_daily(spark, sf).withColumnRenamed("date_raw", "date"), "raw-daily.csv", as_of(), null_words=("",))
+    global_daily.extract(store, delivered)
+    global_daily.transform_load(store, as_of())
+    store.replace("agg_daily_global", store.read("agg_daily_global").filter("false"))
+    global_daily.refresh_serving(store, as_of())
+    return store.read("agg_daily_global")
+
+
+@query
+def job_log_runs(spark, sf):
+    """What two loads, one of them refused, leave in the run log (without its times and ids)."""
+    store = new_store(spark)
+    rows = fx.raw_daily(spark, sf).withColumnRenamed("date_raw", "date")
+    global_daily.extract(store, landing.land_daily(rows, "raw-daily.csv", as_of(), null_words=("",)))
+    global_daily.transform_load(store, as_of())
+    try:
+        global_daily.extract(store, landing.land_daily(rows.withColumn("iso_code", F.lit("iso_code")), "bad.csv", as_of()))
+    except ValueError:
+        pass
+    return JobLog(spark, store.root).read().select("job_name", "status", "rows_processed", "error_message")
+
+
+@query
+def schema_evolve_store(spark, sf):
+    """Older rows written before a column existed, newer ones with it, read through the store."""
+    older, recent = first_and_restated(spark, sf)
+    old = older.select("iso_code", "full_date", "new_cases")
+    new = recent.select("iso_code", "full_date", "new_cases", "total_deaths")
+    root = scratch_path(spark, "evolved")
+    TableStore(spark, root, {"t": old.schema}, {}).replace("t", old)
+    store = TableStore(spark, root, {"t": new.schema}, {"t": {"total_deaths": 0}})
+    store.append("t", new)
+    return store.read("t")
+
+
+@query
+def scan_tsv_mixed(spark, sf):
+    """One folder with files in UTF-16 and in UTF-8 with and without mark."""
+    path = scratch_path(spark, "mixed")
+    names = {column: header for header, column in PROVINCE_HEADERS.items()}
+    rows = fx.province_text(spark, sf).withColumnsRenamed(names)
+    day = F.substring(F.col(names["date_raw"]), 4, 2).cast("int") % 3
+    marked = [F.col(c).alias("\ufeff" + c if i == 0 else c) for i, c in enumerate(rows.columns)]
+    for number, (encoding, columns) in enumerate((("UTF-16", rows.columns), ("UTF-8", rows.columns), ("UTF-8", marked))):
+        rows.filter(day == number).select(*columns).write.mode("append").option("header", True).option("sep", "\t").option(
+            "encoding", encoding).csv(path)
+    return delimited.read_tsv(spark, path).select("province_name", "date_raw", "new_cases", "total_cases", "total_deaths")
+
+
+@query
+def polygon_vertex_centre_nested(spark, sf):
+    """Polygons of outer and inner rings, as map files have them, to their mean vertices."""
+    return place_ops.vertex_centre(place_ops.polygon_vertices(fx.features(spark, sf), "feature_id"))

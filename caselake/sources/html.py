@@ -1,11 +1,13 @@
 """Tables and lists out of a column of HTML pages.
 
-A page is cut into table, row and cell fragments by regular expressions. The wanted table
-is picked inside its page, by header words or by position, and only the cells of that table
-are turned into text, so nothing is shuffled and a row never grows beyond its page.
-``posexplode_outer`` plus a null filter is used on purpose: for the inner form Spark infers
-a size filter that evaluates the whole extraction a second time. Tables nested inside a
-cell and ``rowspan`` are not resolved; ``colspan`` repeats the cell."""
+Comments, scripts and styles are removed first. A page is cut at its table tags, and counting open
+and closed ones gives each piece its depth: a table is its own pieces plus the plain text of tables
+nested in its cells, and a nested table is a table of its own, in document order. The wanted table is
+picked inside its page, by header words or by position, and only the cells of that table are turned
+into text, so nothing is shuffled and a row never grows beyond its page. ``posexplode_outer`` plus a
+null filter is used on purpose: for the inner form Spark infers a size filter that evaluates the whole
+extraction a second time. ``colspan`` repeats the cell, ``rowspan`` puts it into the rows below; spans
+beyond the limits of the HTML standard (1,000 columns, 65,534 rows) count as those limits."""
 
 from __future__ import annotations
 
@@ -14,13 +16,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..fixed_values import LOCALITY_HEADERS, LOCALITY_REQUIRED, LOCALITY_TABLE_WORDS
 from ..functions import NBSP
 
-TABLE = r"(?is)<table[^>]*>(.*?)</table\s*>"
-ROW = r"(?is)<tr[^>]*>(.*?)</tr\s*>"
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>"
+TABLE_EDGE = r"(?i)(?=<table[\s>])|(?<=</table>)"
+STRUCTURE = r"(?i)</?(?:table|caption|thead|tbody|tfoot|tr|td|th)(?:\s[^>]*)?>"
+ROW = r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr\s*>"
 CELL = r"(?is)<t[dh](?:\s[^>]*)?>.*?</t[dh]\s*>"
 CELL_BODY = r"(?is)^<t[dh](?:\s[^>]*)?>(.*)</t[dh]\s*>$"
-COLSPAN = r"(?is)^<t[dh]\s[^>]*?colspan\s*=\s*[\"']?([0-9]+)"
-DATA_CELL = r"(?is)<td[\s>]"
-LINK_ITEM = r"(?is)<li[^>]*>\s*(<a\s[^>]*>.*?</a>)\s*</li>"
+SPAN = r"(?is)^<t[dh]\s[^>]*?{0}\s*=\s*[\"']?([0-9]+)"
+COLSPAN, ROWSPAN = SPAN.format("colspan"), SPAN.format("rowspan")
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+DATA_CELL = r"(?is)^<td[\s>]"
+LIST_ITEM = r"(?is)<li(?:\s[^>]*)?>(.*?)</li\s*>"
 TAG = r"(?s)<[^>]*>"
 ENTITIES = [
     ("&nbsp;", NBSP), ("&#160;", NBSP), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
@@ -38,23 +44,68 @@ def html_text(fragment: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
 
 
-def raw_tables(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(TABLE), F.lit(1))
+def visible(html: Column) -> Column:
+    """The page without comments, scripts and styles."""
+    return F.when(html.rlike(r"(?i)<!--|<script|<style"), F.regexp_replace(html, HIDDEN, "")).otherwise(html)
 
 
-def raw_rows(table: Column) -> Column:
-    return F.regexp_extract_all(table, F.lit(ROW), F.lit(1))
+def with_tables(pages: DataFrame, keep: list[str], html: str) -> DataFrame:
+    """``keep`` and ``tables``: the page's tables as text, in document order. A table that never closes
+    ends with the page."""
+    closed = F.regexp_replace(visible(F.col(html)), r"(?i)</table\s+>", "</table>")
+    pieces = pages.select(*keep, F.split(closed, TABLE_EDGE).alias("_p"))
+    flagged = pieces.select(*keep, "_p", F.transform("_p", lambda p: F.struct(
+        p.rlike(r"(?i)^<table[\s>]").alias("opens"), p.rlike(r"(?i)</table>$").alias("closes"))).alias("_f"))
+    counted = flagged.select(*keep, "_p", "_f", F.expr("""aggregate(_f,
+        named_struct('depth', 0, 'all', cast(array() as array<int>)),
+        (a, f) -> named_struct('depth', a.depth + int(f.opens) - int(f.closes), 'all', concat(a.all, array(a.depth + int(f.opens)))),
+        a -> a.all)""").alias("_d"))
+    placed = counted.select(*keep, "_p", "_d", F.expr("""transform(
+        filter(sequence(0, size(_p) - 1), i -> _f[i].opens), i -> named_struct('first', i, 'last', coalesce(
+            element_at(filter(sequence(i, size(_p) - 1), j -> _d[j] = _d[i] and _f[j].closes), 1), size(_p) - 1)))""").alias("_t"))
+    return placed.select(*keep, F.transform("_t", lambda t: F.array_join(F.transform(
+        F.sequence(t["first"], t["last"]), lambda j: F.when(F.get("_d", j) == F.get("_d", t["first"]), F.get("_p", j)).otherwise(
+            F.regexp_replace(F.get("_p", j), STRUCTURE, " "))), "")).alias("tables"))
+
+
+def _span(cell: Column, pattern: str, most: int) -> Column:
+    given = F.coalesce(F.regexp_extract(cell, pattern, 1).try_cast("int"), F.lit(1))
+    return F.least(F.greatest(given, F.lit(1)), F.lit(most))
 
 
 def raw_cells(row: Column) -> Column:
     """Cell fragments of a row, a spanning cell repeated."""
     cells = F.regexp_extract_all(row, F.lit(CELL), F.lit(0))
-
-    def spread(cell: Column) -> Column:
-        span = F.coalesce(F.regexp_extract(cell, COLSPAN, 1).try_cast("int"), F.lit(1))
-        return F.array_repeat(cell, F.greatest(span, F.lit(1)))
-
-    return F.when(row.rlike("(?i)colspan"), F.flatten(F.transform(cells, spread))).otherwise(cells)
+    return F.when(row.rlike("(?i)colspan"), F.flatten(F.transform(
+        cells, lambda cell: F.array_repeat(cell, _span(cell, COLSPAN, MOST_COLUMNS))))).otherwise(cells)
+
+
+_PLACED = "array<struct<col:int,more:int,cell:string>>"
+# Rows from top to bottom; ``held`` are cells from above that still reach into the row, by column. Each
+# of the row's own cells goes to the next free column. ``more`` counts the rows a cell reaches further.
+GRID = f"""aggregate(_spans, named_struct('held', cast(array() as {_PLACED}), 'rows', cast(array() as array<array<string>>)),
+  (a, row) -> element_at(transform(array(aggregate(row, named_struct('col', 0, 'out', cast(array() as {_PLACED})),
+      (s, c) -> element_at(transform(array(aggregate(a.held, s.col, (x, h) -> if(h.col = x, x + 1, x))), free -> named_struct(
+          'col', free + c.wide, 'out', concat(s.out, transform(sequence(0, c.wide - 1),
+              k -> named_struct('col', free + k, 'more', c.high - 1, 'cell', c.cell))))), 1),
+      s -> s.out)),
+    own -> named_struct(
+      'held', array_sort(concat(
+          filter(transform(a.held, h -> named_struct('col', h.col, 'more', h.more - 1, 'cell', h.cell)), h -> h.more > 0),
+          filter(own, h -> h.more > 0))),
+      'rows', concat(a.rows, array(transform(array_sort(concat(a.held, own)), h -> h.cell))))), 1),
+  a -> a.rows)"""
+
+
+def with_rows(df: DataFrame, keep: list[str], table: str) -> DataFrame:
+    """``keep`` and ``rows``: the table's rows as arrays of cell fragments."""
+    fragments = df.select(*keep, F.col(table).rlike(r"(?i)\srowspan").alias("_tall"),
+                          F.regexp_extract_all(F.col(table), F.lit(ROW), F.lit(1)).alias("_rows"))
+    spans = F.transform("_rows", lambda row: F.transform(F.regexp_extract_all(row, F.lit(CELL), F.lit(0)), lambda cell: F.struct(
+        cell.alias("cell"), _span(cell, COLSPAN, MOST_COLUMNS).alias("wide"), _span(cell, ROWSPAN, MOST_ROWS).alias("high"))))
+    spread = fragments.select(*keep, "_tall", "_rows", F.when(F.col("_tall"), spans).alias("_spans"))
+    return spread.select(*keep, F.when(F.col("_tall"), F.expr(GRID)).otherwise(
+        F.transform("_rows", raw_cells)).alias("rows"))
 
 
 def cell_text(cell: Column) -> Column:
@@ -67,16 +118,19 @@ def _numbered(df: DataFrame, keep: list[str], items: Column, number: str, name:
 
 def html_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per cell: key, table_no, row_no, cell_no, cell (numbers from 0)."""
-    tables = _numbered(pages, [key], raw_tables(F.col(html)), "table_no", "t")
-    rows = _numbered(tables, [key, "table_no"], raw_rows(F.col("t")), "row_no", "r")
-    cells = _numbered(rows, [key, "table_no", "row_no"], raw_cells(F.col("r")), "cell_no", "c")
+    tables = _numbered(with_tables(pages, [key], html), [key], F.col("tables"), "table_no", "t")
+    rows = _numbered(with_rows(tables, [key, "table_no"], "t"), [key, "table_no"], F.col("rows"), "row_no", "r")
+    cells = _numbered(rows, [key, "table_no", "row_no"], F.col("r"), "cell_no", "c")
     return cells.select(key, "table_no", "row_no", "cell_no", cell_text(F.col("c")).alias("cell"))
 
 
 def html_list_items(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per linked list item: key, item_no, item text."""
-    items = F.regexp_extract_all(F.col(html), F.lit(LINK_ITEM), F.lit(1))
-    return _numbered(pages, [key], items, "item_no", "i").select(key, "item_no", html_text(F.col("i")).alias("item"))
+    """One row per list item that is one link and nothing else: key, item_no, item text."""
+    items = F.transform(F.regexp_extract_all(visible(F.col(html)), F.lit(LIST_ITEM), F.lit(1)),
+                        lambda item: F.btrim(item, F.lit(" \t\r\n")))
+    links = F.filter(items, lambda item: item.rlike(r"(?i)^<a\s") & (
+        F.instr(F.lower(item), "</a>") == F.length(item) - 3))
+    return _numbered(pages, [key], links, "item_no", "i").select(key, "item_no", html_text(F.col("i")).alias("item"))
 
 
 def table_with_words(tables: Column, words=tuple(LOCALITY_TABLE_WORDS)) -> Column:
@@ -102,7 +156,7 @@ def header_role(cell: Column, rules=tuple(LOCALITY_HEADERS)) -> Column:
 
 def _body(rows: Column) -> Column:
     """Rows with at least one data cell (header rows go)."""
-    return F.filter(rows, lambda row: row.rlike(DATA_CELL))
+    return F.filter(rows, lambda row: F.exists(row, lambda cell: cell.rlike(DATA_CELL)))
 
 
 def _required(value: Column, strict: bool, message: str) -> Column:
@@ -114,16 +168,15 @@ def locality_rows(pages: DataFrame, key: str = "page_id", html: str = "html",
     """Rows of each page's locality table with columns named by its header words.
     ``strict`` fails the run on a page without the table or without a required column."""
     names = [name for _, name in LOCALITY_HEADERS]
-    table = _required(
-        table_with_words(raw_tables(F.col(html))), strict, "no locality table on the page")
-    rows = pages.select(key, raw_rows(table).alias("rows"))
-    headed = rows.select(key, "rows", F.transform(
-        raw_cells(F.try_element_at("rows", F.lit(1))), lambda cell: header_role(cell_text(cell))).alias("roles"))
+    found = with_tables(pages, [key], html)
+    picked = found.select(key, _required(table_with_words(F.col("tables")), strict, "no locality table on the page").alias("t"))
+    headed = with_rows(picked, [key], "t").select(key, "rows", F.transform(
+        F.try_element_at("rows", F.lit(1)), lambda cell: header_role(cell_text(cell))).alias("roles"))
     for name in LOCALITY_REQUIRED if strict else []:
         headed = headed.withColumn("roles", F.when(F.array_contains(F.col("roles"), name), F.col("roles"))
                                    .otherwise(F.raise_error(F.lit(f"no column for {name}"))))
     body = _numbered(headed, [key, "roles"], _body(F.col("rows")), "row_no", "r")
-    cells = body.select(key, "roles", raw_cells(F.col("r")).alias("cells"))
+    cells = body.select(key, "roles", F.col("r").alias("cells"))
 
     def named(name: str) -> Column:
         position = F.array_position("roles", F.lit(name)).cast("int")
@@ -136,11 +189,11 @@ def positional_rows(pages: DataFrame, table_no: int, columns: dict[str, int], ke
                     html: str = "html", skip: int = 0, min_tables: int = 4, strict: bool = True) -> DataFrame:
     """Body rows of the table at ``table_no`` (from 0) with cells picked by position.
     ``skip`` body rows are left out; ``strict`` fails on a page with too few tables."""
-    found = pages.select(key, raw_tables(F.col(html)).alias("tables"))
+    found = with_tables(pages, [key], html)
     enough = F.when(F.size("tables") >= min_tables, F.try_element_at("tables", F.lit(table_no + 1)))
-    table = _required(enough, strict, "too few tables on the page")
-    body = _numbered(found, [key], _body(raw_rows(table)), "row_no", "r").filter(F.col("row_no") >= skip)
-    cells = body.select(key, "row_no", raw_cells(F.col("r")).alias("cells"))
+    picked = found.select(key, _required(enough, strict, "too few tables on the page").alias("t"))
+    body = _numbered(with_rows(picked, [key], "t"), [key], _body(F.col("rows")), "row_no", "r").filter(F.col("row_no") >= skip)
+    cells = body.select(key, "row_no", F.col("r").alias("cells"))
     return cells.select(key, "row_no", *[
         cell_text(F.try_element_at("cells", F.lit(position + 1))).alias(name) for name, position in columns.items()
     ])

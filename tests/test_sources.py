@@ -133,6 +133,43 @@ def test_tables_of_a_real_looking_page(spark):
     assert got[2, 0, 2] == "Doses distributed" and got[3, 2, 2] == "2021-01-02" and got[3, 2, 3] == "70"
 
 
+def cells_of(spark, page):
+    rows = {}
+    for r in html.html_cells(pages(spark, page)).orderBy("table_no", "row_no", "cell_no").collect():
+        rows.setdefault((r.table_no, r.row_no), []).append(r.cell)
+    return rows
+
+
+def test_hidden_tables_are_no_tables(spark):
+    page = ("<!-- <table><tr><td>no</td></tr></table> --><script>var t='<table><tr><td>no</td></tr></table>';</script>"
+            "<style>td{}</style><TABLE><track src=x><tr><td>yes</td></tr></TABLE><!-- <table><tr><td>open comment")
+    assert cells_of(spark, page) == {(0, 0): ["yes"]}
+
+
+def test_nested_tables(spark):
+    page = ("<table><tr><td>a<table><tr><td>n1</td><td>n2</td></tr><tr><td>n3<table><tr><td>deep</td></tr></table></td></tr></table></td>"
+            "<td>b</td></tr><tr><td>c</td></tr></table><table><tr><td>last</td></tr></table >")
+    assert cells_of(spark, page) == {
+        (0, 0): ["a n1 n2 n3 deep", "b"], (0, 1): ["c"], (1, 0): ["n1", "n2"], (1, 1): ["n3 deep"], (2, 0): ["deep"], (3, 0): ["last"]}
+
+
+def test_spans_in_both_directions(spark):
+    page = ("<table><tr><th rowspan=2>h</th><th colspan='2'>w</th></tr><tr><th>x</th><th>y</th></tr>"
+            "<tr><td>1</td><td rowspan=\"3\">2</td><td>3</td></tr><tr><td>4</td><td>5</td></tr><tr><td colspan=1>6</td><td>7</td></tr>"
+            "<tr><td>8</td></tr></table>")
+    assert cells_of(spark, page) == {
+        (0, 0): ["h", "w", "w"], (0, 1): ["h", "x", "y"], (0, 2): ["1", "2", "3"], (0, 3): ["4", "2", "5"], (0, 4): ["6", "2", "7"],
+        (0, 5): ["8"]}
+    wide = cells_of(spark, "<table><tr><td colspan=999999999>x</td><td>y</td></tr></table>")
+    assert len(wide[0, 0]) == 1001
+
+
+def test_list_items(spark):
+    page = ("<ul><li><a href=1>One</a> (2020)</li><li><a href=2>Two</a></li><li class=x> <A href=3><b>Three</b></A>\n</li>"
+            "<link><li><a href=4>Four</a> and <a href=5>five</a></li><!-- <li><a href=6>Six</a></li> --></ul>")
+    assert [r["item"] for r in html.html_list_items(pages(spark, page)).orderBy("item_no").collect()] == ["Two", "Three"]
+
+
 def test_locality_table_by_header_words(spark):
     rows = html.locality_rows(pages(spark, PAGE)).collect()
     assert [r.asDict() for r in rows] == [{
