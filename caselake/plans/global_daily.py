@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import strict_date
+from ..functions import month_id, strict_date
 from ..operators.clean import check_clean, clean_daily, quality_counts
 from ..operators.keys import with_new_keys
 from ..operators.merge import insert_if_absent
 from ..session import materialize
 from ..sources.joblog import JobLog
 from ..sources.landing import check_landing, recent_days
-from ..sources.store import TableStore
+from ..sources.store import TableStore, parts_of
 from . import serving
 
 JOB = "load_global_daily"
@@ -45,17 +45,24 @@ def transform_load(store: TableStore, as_of: Column) -> DataFrame:
         store.replace("dim_country", with_new_keys(store.read("dim_country"), attributes, "iso_code", "country_id"))
         store.replace("dim_date", insert_if_absent(store.read("dim_date"), serving.dim_date(clean), ["date_id"]))
         fact = serving.global_fact(clean, store.read("dim_country"))
-        rows = store.merge(FACT, fact, ["country_id", "date_id"], "month_id", ["country_id", "date_id"])
-        refresh_serving(store, as_of)
+        months = parts_of(clean.select(month_id(F.col("full_date")).alias("month_id")), "month_id")
+        rows = store.merge(FACT, fact, ["country_id", "date_id"], "month_id", ["country_id", "date_id"], touched=months)
+        refresh_serving(store, as_of, months)
         done(rows)
     return store.read("agg_country_summary")
 
 
-def refresh_serving(store: TableStore, as_of: Column) -> None:
-    """Rebuild the serving tables from the stored fact alone."""
-    fact = store.read(FACT)
-    store.replace("agg_daily_global", serving.daily_totals(fact))
-    store.replace("agg_country_summary", serving.country_summary(fact, store.read("dim_country"), as_of))
+def refresh_serving(store: TableStore, as_of: Column, months: list | None = None) -> None:
+    """Rebuild the serving tables from the stored fact alone. With ``months`` (those a load touched) the
+    daily totals of the other months stay, and only those months' files are read for them; the country
+    summary, whose trend moves with the newest day, is built anew in one narrow scan."""
+    if months is None or not store.exists("agg_daily_global"):
+        daily = serving.daily_totals(store.read(FACT))
+    else:
+        others = store.read("agg_daily_global").filter(~F.floor(F.col("date_id") / 100).cast("int").isin(months))
+        daily = others.unionByName(serving.daily_totals(store.read(FACT, months)))
+    store.replace("agg_daily_global", daily)
+    store.replace("agg_country_summary", serving.country_summary(store.read(FACT), store.read("dim_country"), as_of))
 
 
 def accounting(store: TableStore) -> DataFrame:

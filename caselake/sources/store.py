@@ -24,6 +24,11 @@ KEEP = 3
 _PART = "part"
 
 
+def parts_of(rows: DataFrame, partition_by: str) -> list:
+    """The parts that rows belong to, few and bounded by the calendar."""
+    return [row[0] for row in rows.select(partition_by).distinct().collect()]
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str, schemas: dict | None = None, defaults: dict | None = None):
         """``defaults``: per table, the value of a column in rows written before the column existed."""
@@ -149,14 +154,15 @@ class TableStore:
         return rows
 
     def merge(self, name: str, updates: DataFrame, keys: list[str], partition_by: str, sort_by=(),
-              update: list[str] | None = None) -> int:
+              update: list[str] | None = None, touched: list | None = None) -> int:
         """Insert new keys and overwrite existing ones in the months the updates touch; returns the rows
         of those months. ``update``: only these columns of existing rows change; others of new rows take
         the table's defaults.
 
         The touched months (integers of the calendar) come to the driver and select the folders to
-        read. A key must not move to another month (the month follows from the date in the key)."""
-        touched = [row[0] for row in updates.select(partition_by).distinct().collect()]
+        read; a caller that knows them gives them. A key must not move to another month (the month
+        follows from the date in the key)."""
+        touched = parts_of(updates, partition_by) if touched is None else touched
         if not touched:
             return 0
         current = self.read(name, touched)
