@@ -112,3 +112,26 @@ def test_pipeline_stage_by_stage(spark, con, sf_dir):
                 assert bytes(after[d].ids) == np.array(ids, "<u4").tobytes() and after[d].n_tokens == len(ids)
                 assert after[d].decoded == tokenizer.decode(ids, skip_special_tokens=False)
     assert corpus_pipeline.run(spark, sf_dir).count() == len(after)
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path, odd, empty):
+    """Nulls, repeated rows, very long texts and clashing column names pass through every stage."""
+    spark.createDataFrame([(i, i % 2, int(i == 13)) for i in range(1, 19)] + [(None, None, None)],
+                          "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one two three"), (2, None), (None, "shared1 shared2 shared3 shared4 shared5")],
+                          "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table in (odd, empty):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs
+            docs = materialize(stage(spark, docs, str(tmp_path)), f"odd-{name}")
+            assert docs.count() <= before.count()
+            if name != "bpe":
+                assert docs.columns == table.columns
+        if table is odd:
+            left = {r.doc_id: r for r in docs.collect()}
+            assert {3, 6, 11} <= set(left)  # of the empty texts the first, the long one, one of a kind
+            assert 7 not in left and 2 not in left  # near and exact copies
+            assert before.filter("text like '%shared2 %'").isEmpty()
+        else:
+            assert docs.count() == 0
