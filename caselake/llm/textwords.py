@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in slices of about so many bytes, which bounds a task's arrays.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _SEGMENT = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
