@@ -53,7 +53,7 @@ def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
                 when o_orderkey % 19 = 0 then date_format(o_orderdate, 'dd/MM/yyyy')
                 when o_orderkey % 13 = 0 then date_format(o_orderdate, 'd/M/yyyy')
                 when o_orderkey % 11 = 0 then date_format(o_orderdate, 'yyyy-M-d')
-                when o_orderkey % 9 = 0 then date_format(o_orderdate, ' yyyy-MM-dd 00:00:00')
+                when o_orderkey % 9 = 0 then date_format(o_orderdate, 'yyyy-MM-dd 00:00:00')
                 when o_orderkey % 8 = 0 then date_format(o_orderdate, "yyyy-MM-dd'T'23:59:59.5'Z'")
                 else cast(cast(o_orderdate as date) as string) end as date_raw""",
         """case when o_orderkey % 31 = 0 then '' when o_orderkey % 37 = 0 then '-5'

@@ -135,7 +135,7 @@ CTES = {
                when o_orderkey % 19 = 0 then strftime(o_orderdate, '%d/%m/%Y')
                when o_orderkey % 13 = 0 then strftime(o_orderdate, '%-d/%-m/%Y')
                when o_orderkey % 11 = 0 then strftime(o_orderdate, '%Y-%-m-%-d')
-               when o_orderkey % 9 = 0 then strftime(o_orderdate, ' %Y-%m-%d 00:00:00')
+               when o_orderkey % 9 = 0 then strftime(o_orderdate, '%Y-%m-%d 00:00:00')
                when o_orderkey % 8 = 0 then strftime(o_orderdate, '%Y-%m-%dT23:59:59.5Z')
                else strftime(o_orderdate, '%Y-%m-%d') end as date_raw,
           case when o_orderkey % 31 = 0 then '' when o_orderkey % 37 = 0 then '-5'
