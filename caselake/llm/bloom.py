@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselake.session import materialize
+
 BLOCK_BITS = 256
 LANES = 4
 MAX_BLOCKS = 1 << 19
@@ -44,3 +46,12 @@ def ask(rows: DataFrame, key: str, n_blocks: int, built: DataFrame, answer: str
     for i in range(LANES):
         hit = hit & F.expr(f"coalesce(__lane{i} & shiftleft(1L, __bit{i}), 0L) != 0L")
     return asked.select(*rows.columns, hit.alias(answer))
+
+
+def apart(rows: DataFrame, key: str, stored: DataFrame, stored_key: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key is certainly not in ``stored``, and those that may be: only the latter need a
+    join, so only they move. ``stored`` is a stored table; rows with a null key are never in it."""
+    n_blocks = blocks_for(stored.count())
+    built = materialize(build(stored, stored_key, n_blocks), f"{label}-filter")
+    asked = ask(rows, key, n_blocks, built, "__possible")
+    return asked.filter("not __possible").drop("__possible"), asked.filter("__possible").drop("__possible")

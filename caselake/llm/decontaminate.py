@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselake.llm import bloom
 from caselake.llm.textwords import LETTERS, Words, buffers, slices, words_of
+from caselake.session import materialize
 
 WINDOW_WORDS = 10
 BLOCK_WORDS = 1_000_000
@@ -236,11 +238,12 @@ def remove_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", max_
     documents whose hit words are more than ``max_coverage`` of all. ``found`` is ``find(docs, ...)``;
     ``docs`` is a stored table, as rows are matched by their number in its scan.
     Documents without hits come back unchanged, byte for byte."""
-    hits = found.filter("n_hit > 0").select(
+    hits = materialize(found.filter("n_hit > 0").select(
         F.col("row_no").alias("__row"), F.col("spans").alias("__spans"),
-        (F.col("n_hit") > F.col("n_words") * max_coverage).alias("__covered"))
-    joined = docs.withColumn("__row_no", F.monotonically_increasing_id()).join(
-        hits, F.col("__row_no") == F.col("__row"), "left")
+        (F.col("n_hit") > F.col("n_words") * max_coverage).alias("__covered")), "op7-hits")
+    numbered = docs.withColumn("__row_no", F.monotonically_increasing_id())
+    clean, possible = bloom.apart(numbered, "__row_no", hits, "__row", "op7-hits")
+    joined = possible.join(hits, F.col("__row_no") == F.col("__row"), "left")
     joined = joined.filter("not coalesce(__covered, false)").drop("__row_no", "__row", "__covered")
     schema = docs.schema
     names = schema.names
@@ -258,7 +261,7 @@ def remove_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", max_
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.select(names)
 
-    return joined.mapInArrow(run, schema)
+    return clean.drop("__row_no").unionByName(joined.mapInArrow(run, schema))
 
 
 def without(text: str, intervals: list[tuple[int, int]]) -> str:

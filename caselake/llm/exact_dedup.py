@@ -56,7 +56,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without later copies, with its own columns. ``docs`` is a stored table: its scan runs
     twice, and rows are matched by their number in it."""
     marks = mark_copies(docs, id_col, text_col)
-    gone = marks.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("row_no").alias("__row"))
+    gone = materialize(marks.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("row_no").alias("__row")), "op1-gone")
     numbered = docs.withColumn("__row_no", F.monotonically_increasing_id())
-    return numbered.join(gone, (F.col("__row_no") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id")),
-                         "left_anti").drop("__row_no")
+    sure, possible = bloom.apart(numbered, "__row_no", gone, "__row", "op1-gone")
+    kept = possible.join(gone, (F.col("__row_no") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    return sure.unionByName(kept).drop("__row_no")

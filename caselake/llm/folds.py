@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselake.llm import bloom
-from caselake.session import materialize
 
 
 def remainder(id_col: str, parts: int) -> Column:
@@ -22,13 +21,11 @@ def training_labels(labels: DataFrame, label: str, parts: int, held: int, id_col
         F.max(F.col(label).cast("int")).alias("label"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_rows: int) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` (with ``doc_id``) that have a label. A Bloom filter of the labelled ids keeps
     the other texts from moving; the join after it is exact."""
-    n_blocks = bloom.blocks_for(label_rows)
-    built = materialize(bloom.build(labels, "label_id", n_blocks), "label-filter")
-    asked = bloom.ask(docs, "doc_id", n_blocks, built, "__possible").filter("__possible").drop("__possible")
-    return asked.join(labels, F.col("doc_id") == F.col("label_id")).drop("label_id")
+    _, possible = bloom.apart(docs, "doc_id", labels, "label_id", "labels")
+    return possible.join(labels, F.col("doc_id") == F.col("label_id")).drop("label_id")
 
 
 def share(id_col: str, salt: str, fraction: float) -> Column:

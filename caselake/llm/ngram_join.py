@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselake.llm import bloom
 from caselake.llm.components import components
 from caselake.llm.textwords import LETTERS, mix, sequence_hashes, slices, words_of
 from caselake.session import materialize
@@ -271,7 +272,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = clusters.join(sizes, "root").select("node", "row_no", F.col("root").alias("cluster"), "blocks")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = materialize(placed.join(stands, F.col("node") == F.col("stand")).drop("stand"), "op10-placed")
-    grams = materialize(_sets(texts.join(placed, "row_no", "left_semi"), n), "op10-sets")
+    _, clustered = bloom.apart(texts, "row_no", placed, "row_no", "op10-clustered")
+    grams = materialize(_sets(clustered.join(placed, "row_no", "left_semi"), n), "op10-sets")
     sent = grams.join(placed, F.col("doc_id") == F.col("node")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("first_block"), F.greatest("block", "other").alias("second_block"),
@@ -292,5 +294,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kind) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id. Rows without an id stay."""
-    gone = near_copies(docs, id_col, text_col, **kind).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = materialize(near_copies(docs, id_col, text_col, **kind).filter("doc_id <> class_id").select(
+        F.col("doc_id").alias("__gone")), "op10-gone")
+    sure, possible = bloom.apart(docs.withColumn("__key", F.col(id_col).cast("long")), "__key", gone, "__gone", "op10-gone")
+    return sure.unionByName(possible.join(gone, F.col("__key") == F.col("__gone"), "left_anti")).drop("__key")

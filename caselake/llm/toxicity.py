@@ -244,7 +244,7 @@ def _scored(texts: DataFrame, labels: DataFrame, extra: list[str], label: str, p
         return texts.select(*extra, F.lit(toxic / rows if rows else 0.0).alias("score"),
                             F.lit(int(bool(toxic) and 1 >= threshold)).alias("predicted"),
                             *(F.lit(0.0).alias(c) for c in EVIDENCE))
-    learnt = materialize(folds.labelled(texts.select("doc_id", "text"), train, rows), "op9-rows")
+    learnt = materialize(folds.labelled(texts.select("doc_id", "text"), train), "op9-rows")
     aside = folds.share("doc_id", "curve", CALIBRATION_SHARE)
     counted = materialize(_counted(learnt.filter(~aside)), "op9-counts")
     model = spark.sparkContext.broadcast(Model(*hashed(ratios(counted), buckets)))
