@@ -3,6 +3,8 @@
 A window is ``WINDOW`` consecutive words of one document. A word goes when a window covers it whose
 word sequence also starts earlier (smaller doc_id, or earlier in the same document).
 
+0. Whole copies: a document with the same words as one with a smaller id loses all of them (if it has
+   a window at all) and adds nothing to the index; narrow hashes of whole documents find these.
 1. Which suffixes matter: each window is anchored at its K-word sequence with the smallest hash, a
    choice that depends on the window's words alone, so equal windows have equal anchors. Only
    suffixes that begin at an anchor are indexed, about one word in seven. Anchor sequences are
@@ -290,11 +292,45 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(text_col).cast("string").alias("text"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_rows: int = PREFIX_ROWS) -> DataFrame:
-    """(row_no, windows): for each row that loses words, the starts of its windows that begin earlier
-    elsewhere, as structs of a word number and a bit mask of the windows from there on."""
-    narrow = _numbered(docs, id_col, text_col)
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(materialize(_anchor_counts(narrow), "op8-anchors")))
+def _whole_copies(narrow: DataFrame) -> DataFrame:
+    """(row_no, doc_id, n_words) of the rows whose words, WINDOW or more, are those of a row with a smaller id."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = words_of(part.column("text"), UNSPACED)
+                counts = words.counts()
+                at = np.flatnonzero(counts >= WINDOW)
+                if not len(at):
+                    continue
+                place = (np.arange(len(words.hashes)) - np.repeat(words.first[:-1], counts)).astype(np.uint64)
+                chosen = pa.array(at)
+                a, b = (np.add.reduceat(mix(words.hashes + place * factor), words.first[:-1][counts > 0])[
+                    np.cumsum(counts > 0)[at] - 1].view(np.int64)
+                    for factor in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row_no").take(chosen), part.column("doc_id").take(chosen), pa.array(counts[at]),
+                     pa.array(a), pa.array(b)], ["row_no", "doc_id", "n_words", "a", "b"])
+
+    rows = materialize(narrow.mapInArrow(run, "row_no long, doc_id long, n_words long, a long, b long"), "op8-whole")
+    place = F.coalesce("doc_id", F.lit(_LAST))
+    first = rows.groupBy("a", "b", "n_words").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return materialize(rows.join(first, ["a", "b", "n_words"]).filter(place > F.col("first")).select(
+        "row_no", "doc_id", "n_words"), "op8-copies")
+
+
+def _without(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """Rows that are no whole copies. Those that the filter cannot tell are few and stored."""
+    sure, possible = bloom.apart(rows, "row_no", copies, "row_no", "op8-copies")
+    return sure.unionByName(materialize(possible.join(copies.select("row_no"), "row_no", "left_anti").select(
+        *rows.columns), "op8-unsure"))
+
+
+def repeats(narrow: DataFrame, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
+    """(row_no, windows) of rows (row_no, doc_id, text): for each row that loses words, the starts of its
+    windows that begin earlier elsewhere, as structs of a word number and a bit mask of the windows from
+    there on."""
+    bits = narrow.sparkSession.sparkContext.broadcast(_filter(materialize(_anchor_counts(narrow), "op8-anchors")))
     hashed = _suffixes(narrow, bits).withColumns({
         "fold_a": F.xxhash64("key", "off", "words"), "fold_b": F.xxhash64("words", F.lit(8), "off")})
     suffixes = materialize(hashed, "op8-suffixes")
@@ -352,34 +388,41 @@ def _digests(rows: DataFrame, windows: bool) -> DataFrame:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_rows: int = PREFIX_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256. Rows that lose nothing are
     digested in the scan; a Bloom filter of the others' numbers keeps their texts from moving."""
-    marks = materialize(repeats(docs, id_col, text_col, prefix_rows), "op8-marks")
     narrow = _numbered(docs, id_col, text_col)
-    n_blocks = bloom.blocks_for(marks.count())
-    built = materialize(bloom.build(marks, "row_no", n_blocks), "op8-losers")
-    asked = bloom.ask(narrow, "row_no", n_blocks, built, "loses")
-    kept = _digests(asked.filter("not loses").drop("loses"), False)
-    cut = _digests(asked.filter("loses").drop("loses").join(marks.withColumnRenamed("row_no", "marked"),
-                                                            F.col("row_no") == F.col("marked"), "left").drop("marked"), True)
-    return kept.unionByName(cut).drop("row_no")
+    copies = _whole_copies(narrow)
+    indexed = _without(narrow, copies)
+    marks = materialize(repeats(indexed, prefix_rows), "op8-marks")
+    unmarked, possible = bloom.apart(indexed, "row_no", marks, "row_no", "op8-marks")
+    cut = _digests(possible.join(marks.withColumnRenamed("row_no", "marked"),
+                                 F.col("row_no") == F.col("marked"), "left").drop("marked"), True)
+    gone = copies.select("row_no", "doc_id", "n_words", F.col("n_words").alias("n_removed"),
+                         F.sha2(F.lit(""), 256).alias("kept_sha256"))
+    return _digests(unmarked, False).unionByName(cut).unionByName(gone).drop("row_no")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    prefix_rows: int = PREFIX_ROWS) -> DataFrame:
     """``docs`` with texts less their repeated words; what is left of a changed text is joined by single
     spaces. Rows that lose nothing come back unchanged."""
-    marks = materialize(repeats(docs, id_col, text_col, prefix_rows), "op8-marks").withColumnsRenamed(
-        {"row_no": "__marked", "windows": "__windows"})
-    joined = docs.withColumn("__row_no", F.monotonically_increasing_id()).join(
-        marks, F.col("__row_no") == F.col("__marked"), "left").drop("__row_no", "__marked")
+    narrow = _numbered(docs, id_col, text_col)
+    copies = _whole_copies(narrow)
+    marks = repeats(_without(narrow, copies), prefix_rows).withColumn("copy", F.lit(False)).unionByName(copies.select(
+        "row_no", F.lit(True).alias("copy")), allowMissingColumns=True)
+    marks = materialize(marks.withColumnsRenamed({"row_no": "__marked", "windows": "__windows", "copy": "__copy"}), "op8-marks")
+    numbered = docs.withColumn("__row_no", F.monotonically_increasing_id())
+    unmarked, possible = bloom.apart(numbered, "__row_no", marks, "__marked", "op8-marks")
+    joined = possible.join(marks, F.col("__row_no") == F.col("__marked"), "left").drop("__row_no", "__marked")
     schema = docs.schema
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             marks = batch.column(batch.schema.get_field_index("__windows")).to_pylist()
-            if any(marks):
-                texts = [_joined(t, w)[2].decode() if w else t for t, w in zip(batch.column(at).to_pylist(), marks)]
+            copies = batch.column(batch.schema.get_field_index("__copy")).to_pylist()
+            if any(marks) or any(copies):
+                texts = ["" if c else _joined(t, w)[2].decode() if w else t
+                         for t, w, c in zip(batch.column(at).to_pylist(), marks, copies)]
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.select(schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return unmarked.drop("__row_no").unionByName(joined.mapInArrow(run, schema))
