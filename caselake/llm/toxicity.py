@@ -9,11 +9,14 @@ very short words). A document has the length-normalised ratio of its whole text,
 third strongest word, the positive part of the ratio and the share of strong words. A logistic
 curve through these, fitted on labelled rows the counts have not seen, gives the score.
 
-Counts come from all labelled training rows and are gathered by shuffles that grow with them. Only
-the finished model is broadcast: a hashed table of ``buckets`` entries of 6 bytes (2**22: 25 MB),
-whatever the corpus holds; of two sequences in one bucket the more frequent one stays, and the
-other one scores as an unseen sequence of its context. The curve is fitted on at most about
-``calibration_rows`` rows of each class, drawn evenly by a hash of the id.
+Counts come from the labelled training rows that are not set aside for the curve. The model is a stored table of all sequences and
+contexts that grows with them; it is joined, never hashed or sent through the driver. The corpus is
+read once: a slice of texts becomes its distinct words and, per text, their numbers (two or four bytes
+each). The distinct words of all slices are cut into sequences, which meet the model in a shuffle
+join by key and are summed per word; each slice gets the evidence of its words back.
+
+The curve is fitted on at most about ``calibration_rows`` rows of each class, drawn evenly by a hash
+of the id from a quarter of the training rows that is set aside.
 
 Defined cases: null and empty texts and texts without words have evidence 0 and are scored by the
 curve like others. Without rows of both classes every score is the share of toxic training rows
@@ -30,19 +33,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselake.llm import folds
-from caselake.llm.textwords import LETTERS, Words, buffers, mix, slices
+from caselake.llm import bloom, folds
+from caselake.llm.textwords import LETTERS, Words, buffers, slices
 from caselake.session import materialize
 
 ORDER = 6
 DISCOUNT = 0.75
-BUCKETS = 1 << 22
 CALIBRATION_ROWS = 20_000
 CALIBRATION_SHARE = 0.25
 _SHORT = 3
 _STRONG = 0.3
 EVIDENCE = ["mean", "top", "third", "positive", "strong"]
-_GRAM, _CONTEXT = np.uint64(0x5BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _words(texts: pa.Array) -> Words:
@@ -119,8 +120,8 @@ def _shared(counted: DataFrame) -> DataFrame:
 
 
 def ratios(counted: DataFrame) -> DataFrame:
-    """(kind, key, value, weight): log-likelihood ratio of each seen sequence (kind 0) and of an unseen
-    one after each seen context (kind 1)."""
+    """(kind, key, value): log-likelihood ratio of each seen sequence (kind 0) and of an unseen one after
+    each seen context (kind 1)."""
     keyed = counted.withColumn("context", F.expr("shiftright(gram, 8)"))
     sums = [F.sum(c).alias(f"{c}_total") for c in ("toxic", "ordinary")]
     kinds = [F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in ("toxic", "ordinary")]
@@ -131,90 +132,112 @@ def ratios(counted: DataFrame) -> DataFrame:
     seen = keyed.join(contexts, "context").join(_shared(counted), F.expr("gram & 4294967295") == F.col("low_key"))
     log = {c: F.ln(F.expr(f"if({c}_total > 0, greatest({c} - {DISCOUNT}D, 0D) / greatest({c}_total, 1L), 0D) + {c}_left * low"))
            for c in ("toxic", "ordinary")}
-    return seen.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), (log["toxic"] - log["ordinary"]).alias("value"),
-                       (F.col("toxic") + F.col("ordinary")).alias("weight")).unionByName(contexts.select(
+    return seen.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), (log["toxic"] - log["ordinary"]).alias("value")).unionByName(contexts.select(
         F.lit(1).alias("kind"), F.col("context").alias("key"),
-        (F.ln("toxic_left") - F.ln("ordinary_left")).alias("value"),
-        (F.col("toxic_total") + F.col("ordinary_total")).alias("weight")))
-
+        (F.ln("toxic_left") - F.ln("ordinary_left")).alias("value")))
 
-def _slots(keys: np.ndarray, kind: np.uint64, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and a tag from 1 to 65,535 that tells most sequences of one bucket apart."""
-    spread = mix(keys ^ kind)
-    return (spread % np.uint64(buckets)).astype(np.int64), (
-        (spread >> np.uint64(48)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
 
-
-def hashed(values: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The model as tags and values by bucket: at most ``buckets`` rows reach the driver."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """The texts of (key, text) in slices, as rows of two sorts: (chunk, number, word) for each distinct
+    word of a slice, (chunk, key, codes) for each text with its words' numbers."""
+    kind = docs.schema["key"].dataType
+    fields = f"chunk long, number int, word binary, key {kind.simpleString()}, codes binary"
 
     def run(batches):
         for batch in batches:
-            kind = np.where(np.asarray(batch.column("kind")) == 0, _GRAM, _CONTEXT)
-            slot, tag = _slots(np.asarray(batch.column("key")).astype(np.uint64), kind, buckets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(tag.astype(np.int32)), batch.column("value"), batch.column("weight")],
-                ["slot", "tag", "value", "weight"])
-
-    placed = values.mapInArrow(run, "slot long, tag int, value double, weight long")
-    best = placed.groupBy("slot").agg(F.max_by(F.struct("tag", "value"), F.struct("weight", "tag", "value")).alias("best"))
-    table = best.select("slot", "best.tag", F.col("best.value").cast("float").alias("value")).toArrow()
-    tags, numbers = np.zeros(buckets, np.uint16), np.zeros(buckets, np.float32)
-    slot = table.column("slot").to_numpy()
-    tags[slot], numbers[slot] = table.column("tag").to_numpy(), table.column("value").to_numpy()
-    return tags, numbers
-
-
-class Model:
-    """Evidence of texts under the hashed model."""
-
-    def __init__(self, tags: np.ndarray, values: np.ndarray):
-        self.tags, self.values = tags, values
-
-    def _lookup(self, keys, kind):
-        slot, tag = _slots(keys, kind, len(self.tags))
-        return self.tags[slot] == tag, self.values[slot]
-
-    def evidence(self, texts: pa.Array) -> np.ndarray:
-        """One row per text, columns as in EVIDENCE."""
-        words = _words(texts)
-        out = np.zeros((len(texts), len(EVIDENCE)))
-        if not len(words.starts):
-            return out
-        chosen, number, _ = _distinct(words)
-        keys, at = grams(words, chosen)
-        seen, value = self._lookup(keys, _GRAM)
-        known, left = self._lookup(keys >> np.uint64(8), _CONTEXT)
-        ratio = np.add.reduceat(np.where(seen, value, np.where(known, left, 0)).astype(np.float64), at[:-1])
-        size = np.diff(at)
-        strength = np.clip(ratio / (size + _SHORT), -50, 50)[number]
-        ratio, size = ratio[number], size[number]
-        counts = words.counts()
-        filled = np.flatnonzero(counts)
-        begins, ends, counts = words.first[:-1][filled], words.first[1:][filled], counts[filled]
-        length = np.add.reduceat(size, begins)
-        # Sorted within each text: texts are a thousand apart, strengths less than a hundred.
-        rank = np.sort(np.repeat(np.arange(len(filled)) * 1000.0, counts) + strength)
-        out[filled] = np.column_stack([
-            np.add.reduceat(ratio, begins) / length, np.maximum.reduceat(strength, begins),
-            rank[np.maximum(ends - 3, begins)] - np.arange(len(filled)) * 1000.0,
-            np.add.reduceat(np.maximum(ratio, 0), begins) / length,
-            np.add.reduceat((strength > _STRONG).astype(np.float64), begins) / counts])
-        return out
+            for part in slices(batch, "text"):
+                words = _words(part.column("text"))
+                chunk = part.column("row_no")[0].as_py()
+                chosen, number, _ = _distinct(words) if len(words.starts) else (np.zeros(0, np.int64),) * 3
+                n, rows = len(chosen), part.num_rows
+                folded = LETTERS[words.data].tobytes()
+                spelt = [folded[a:b] for a, b in zip(words.starts[chosen].tolist(), words.ends[chosen].tolist())]
+                keys, none = part.column("key"), pa.nulls(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, chunk)), pa.array(np.arange(n, dtype=np.int32)), pa.array(spelt, pa.binary()),
+                     pa.nulls(n, keys.type), pa.nulls(n, pa.binary())], ["chunk", "number", "word", "key", "codes"])
+                codes = number.astype(_code_type(n))
+                offsets = pa.py_buffer((words.first * codes.itemsize).astype(np.int64).tobytes())
+                lists = pa.Array.from_buffers(pa.large_binary(), rows, [None, offsets, pa.py_buffer(codes.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(rows, chunk)), none, pa.nulls(rows, pa.binary()), keys, lists.cast(pa.binary())],
+                    ["chunk", "number", "word", "key", "codes"])
 
+    return docs.select(F.monotonically_increasing_id().alias("row_no"), "key", "text").mapInArrow(run, fields)
 
-def evidence(docs: DataFrame, model, extra: list[str]) -> DataFrame:
-    """The columns EVIDENCE for each row of ``docs``, with the columns ``extra`` (``text`` is read)."""
-    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
+
+def _code_type(words: int):
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
+
+def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
+    """(word_no, ratio): a word's sequences summed over the model's table; a sequence that was not seen
+    counts as an unseen one of its context, and as 0 after an unseen context."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                rows = model.value.evidence(part.column("text"))
+            for part in slices(batch.set_column(batch.schema.get_field_index("word"), "word",
+                                                batch.column("word").cast(pa.large_binary()).view(pa.large_string())), "word"):
+                data, offsets = buffers(part.column("word"))
+                split = Words(data, offsets, LETTERS, hashed=False)
+                keys, at = grams(split, np.arange(len(split.starts)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in extra] + [pa.array(x) for x in rows.T], [*extra, *EVIDENCE])
-
-    return docs.select(*dict.fromkeys([*extra, "text"])).mapInArrow(run, ", ".join([fields, *(f"{c} double" for c in EVIDENCE)]))
+                    [pa.array(np.repeat(np.asarray(part.column("word_no")), np.diff(at))), pa.array(keys.astype(np.int64)),
+                     pa.array((keys >> np.uint64(8)).astype(np.int64))], ["word_no", "gram", "context"])
+
+    cut = words.select("word_no", "word").mapInArrow(run, "word_no long, gram long, context long")
+    seen = model.filter("kind = 0").select(F.col("key").alias("gram"), F.col("value").alias("seen"))
+    left = model.filter("kind = 1").select(F.col("key").alias("context"), F.col("value").alias("left_over"))
+    return cut.join(seen, "gram", "left").join(left, "context", "left").groupBy("word_no").agg(
+        F.sum(F.coalesce("seen", "left_over", F.lit(0.0))).alias("ratio"))
+
+
+def _of_texts(codes: list[np.ndarray], ratio: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One row per text, columns as in EVIDENCE; a text is the numbers of its words."""
+    out = np.zeros((len(codes), len(EVIDENCE)))
+    counts = np.array([len(c) for c in codes], np.int64)
+    filled = np.flatnonzero(counts)
+    if not len(filled):
+        return out
+    number = np.concatenate([codes[i] for i in filled])
+    strength = np.clip(ratio / (size + _SHORT), -50, 50)[number]
+    ratio, size = ratio[number], size[number]
+    counts = counts[filled]
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    length = np.add.reduceat(size, begins)
+    # Sorted within each text: texts are a thousand apart, strengths less than a hundred.
+    rank = np.sort(np.repeat(np.arange(len(filled)) * 1000.0, counts) + strength)
+    out[filled] = np.column_stack([
+        np.add.reduceat(ratio, begins) / length, np.maximum.reduceat(strength, begins),
+        rank[np.maximum(ends - 3, begins)] - np.arange(len(filled)) * 1000.0,
+        np.add.reduceat(np.maximum(ratio, 0), begins) / length,
+        np.add.reduceat((strength > _STRONG).astype(np.float64), begins) / counts])
+    return out
+
+
+def evidence(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """``key`` and the columns EVIDENCE for each row of (key, text) under the stored table ``model``."""
+    kind = docs.schema["key"].dataType.simpleString()
+    packed = materialize(_packed(docs), "op9-packed")
+    placed = packed.filter("word is not null").select("chunk", "number", "word")
+    words = materialize(placed.groupBy("word").agg(F.count(F.lit(1)).alias("chunks")).select(
+        F.monotonically_increasing_id().alias("word_no"), "word"), "op9-words")
+    valued = materialize(words.join(word_ratios(words, model), "word_no").select("word", "ratio"), "op9-ratios")
+    back = placed.join(valued, "word").select(
+        F.col("chunk").alias("slice"), "number", "ratio", (F.octet_length("word") + 1).cast("long").alias("size"))
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        n = found.num_rows
+        ratio, size = np.zeros(n), np.zeros(n, np.int64)
+        number = found.column("number").to_numpy()
+        ratio[number], size[number] = found.column("ratio").to_numpy(), found.column("size").to_numpy()
+        codes = [np.frombuffer(x, _code_type(n)) for x in texts.column("codes").to_pylist()]
+        rows = _of_texts(codes, ratio, size)
+        return pa.table([texts.column("key"), *(pa.array(x) for x in rows.T)], names=["key", *EVIDENCE])
+
+    return packed.filter("codes is not null").select("chunk", "key", "codes").groupBy("chunk").cogroup(
+        back.groupBy("slice")).applyInArrow(run, ", ".join([f"key {kind}", *(f"{c} double" for c in EVIDENCE)]))
 
 
 def fitted(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -232,49 +255,47 @@ def fitted(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: int
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * centre / scale).sum())
 
 
-def _scored(texts: DataFrame, labels: DataFrame, extra: list[str], label: str, parts: int, held: int, threshold: float,
-            buckets: int, calibration_rows: int) -> DataFrame:
-    """Rows of (doc_id, text, ...) with score, predicted and EVIDENCE beside the columns ``extra``."""
-    spark = texts.sparkSession
+def _scored(texts: DataFrame, labels: DataFrame, label: str, parts: int, held: int, threshold: float,
+            calibration_rows: int) -> DataFrame:
+    """Rows of (key, doc_id, text) as key, score, predicted and EVIDENCE."""
     train = materialize(folds.training_labels(labels, label, parts, held), "op9-labels")
     counts = dict(train.groupBy("label").count().collect())
     rows = sum(counts.values())
     toxic = counts.get(1, 0)
     if not toxic or toxic == rows:
-        return texts.select(*extra, F.lit(toxic / rows if rows else 0.0).alias("score"),
+        return texts.select("key", F.lit(toxic / rows if rows else 0.0).alias("score"),
                             F.lit(int(bool(toxic) and 1 >= threshold)).alias("predicted"),
                             *(F.lit(0.0).alias(c) for c in EVIDENCE))
     learnt = materialize(folds.labelled(texts.select("doc_id", "text"), train), "op9-rows")
     aside = folds.share("doc_id", "curve", CALIBRATION_SHARE)
-    counted = materialize(_counted(learnt.filter(~aside)), "op9-counts")
-    model = spark.sparkContext.broadcast(Model(*hashed(ratios(counted), buckets)))
+    model = materialize(ratios(materialize(_counted(learnt.filter(~aside)), "op9-counts")), "op9-model")
     drawn = aside & F.when(F.col("label") == 1, folds.share("doc_id", "draw", calibration_rows / (CALIBRATION_SHARE * toxic))) \
         .otherwise(folds.share("doc_id", "draw", calibration_rows / (CALIBRATION_SHARE * (rows - toxic))))
-    sample = evidence(learnt.filter(drawn), model, ["label"]).toPandas()
-    w = fitted(sample[EVIDENCE].to_numpy(), sample["label"].to_numpy(float)) if sample["label"].nunique() > 1 \
+    sample = evidence(learnt.filter(drawn).select(F.col("label").alias("key"), "text"), model).toPandas()
+    w = fitted(sample[EVIDENCE].to_numpy(), sample["key"].to_numpy(float)) if sample["key"].nunique() > 1 \
         else np.array([0.0, 2.0, 0.0, 0.0, 0.0, math.log(toxic / (rows - toxic))])
     line = sum((F.col(c) * float(x) for c, x in zip(EVIDENCE, w)), F.lit(float(w[-1])))
-    return evidence(texts, model, extra).withColumn("score", 1 / (1 + F.exp(-line))).withColumn(
+    return evidence(texts.select("key", "text"), model).withColumn("score", 1 / (1 + F.exp(-line))).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
-          parts: int = 3, held: int = 1, threshold: float = 0.7, buckets: int = BUCKETS,
-          calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
+          parts: int = 3, held: int = 1, threshold: float = 0.7, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted and the columns EVIDENCE.
     Rows whose id's crc32 leaves ``held`` modulo ``parts`` are never learnt from."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _scored(texts, labels, ["doc_id"], label, parts, held, threshold, buckets, calibration_rows).select(
+    texts = docs.select(F.col(id_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _scored(texts, labels, label, parts, held, threshold, calibration_rows).withColumnRenamed("key", "doc_id").select(
         "doc_id", (folds.remainder("doc_id", parts) == held).alias("held_out"), "score", "predicted", *EVIDENCE)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
-               parts: int = 3, held: int = 1, threshold: float = 0.7, buckets: int = BUCKETS,
-               calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
-    """``docs`` without the rows predicted toxic. All columns ride along, so no row is moved."""
-    inner = {id_col: "doc_id", text_col: "text"}
-    inner.update({c: f"column_{i}" for i, c in enumerate(docs.columns) if c not in inner})
-    rows = docs.select(*[F.col(f"`{c}`").alias(inner[c]) for c in docs.columns])
-    kept = _scored(rows, labels, list(inner[c] for c in docs.columns), label, parts, held, threshold, buckets,
-                   calibration_rows).filter("predicted = 0")
-    return kept.select(*[F.col(inner[c]).alias(c) for c in docs.columns])
+               parts: int = 3, held: int = 1, threshold: float = 0.7, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
+    """``docs``, a stored table, without the rows predicted toxic. Rows are matched by their number in the
+    scan, so only those that may go are moved."""
+    texts = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"),
+                        F.col(text_col).cast("string").alias("text"))
+    gone = materialize(_scored(texts, labels, label, parts, held, threshold, calibration_rows).filter(
+        "predicted = 1").select(F.col("key").alias("__gone")), "op9-gone")
+    numbered = docs.withColumn("__key", F.monotonically_increasing_id())
+    sure, possible = bloom.apart(numbered, "__key", gone, "__gone", "op9-gone")
+    return sure.unionByName(possible.join(gone, F.col("__key") == F.col("__gone"), "left_anti")).drop("__key")
