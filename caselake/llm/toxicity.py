@@ -9,14 +9,15 @@ very short words). A document has the length-normalised ratio of its whole text,
 third strongest word, the positive part of the ratio and the share of strong words. A logistic
 curve through these, fitted on labelled rows the counts have not seen, gives the score.
 
-Counts come from the labelled training rows that are not set aside for the curve. The model is a stored table of all sequences and
-contexts that grows with them; it is joined, never hashed or sent through the driver. The corpus is
-read once: a slice of texts becomes its distinct words and, per text, their numbers (two or four bytes
-each). The distinct words of all slices are cut into sequences, which meet the model in a shuffle
-join by key and are summed per word; each slice gets the evidence of its words back.
+Counts come from all labelled training rows. The model is a stored table of all sequences and
+contexts and grows with them. Its most frequent entries, ``held`` at most, are broadcast with their whole keys (16 bytes each): words all of whose
+sequences are among them are done where they are read. If the table is larger than that, the other
+words leave as (row, word, count); the distinct ones are cut into sequences that meet the whole table
+in shuffle joins by key, are summed per word, and go back to their rows. Every entry counts either way.
 
-The curve is fitted on at most about ``calibration_rows`` rows of each class, drawn evenly by a hash
-of the id from a quarter of the training rows that is set aside.
+The curve is cross-fitted: at most about ``calibration_rows`` rows of each class, drawn evenly by a
+hash of the id, get their evidence from the counts of all training rows outside their own fold (of
+``FOLDS``). All other texts get theirs from the counts of all training rows.
 
 Defined cases: null and empty texts and texts without words have evidence 0 and are scored by the
 curve like others. Without rows of both classes every score is the share of toxic training rows
@@ -25,9 +26,11 @@ Words: runs of digits, letters in lower case, and anything beyond ASCII."""
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -40,7 +43,8 @@ from caselake.session import materialize
 ORDER = 6
 DISCOUNT = 0.75
 CALIBRATION_ROWS = 20_000
-CALIBRATION_SHARE = 0.25
+FOLDS = 3
+HELD = 1 << 21
 _SHORT = 3
 _STRONG = 0.3
 EVIDENCE = ["mean", "top", "third", "positive", "strong"]
@@ -76,14 +80,15 @@ def _distinct(words: Words):
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """(gram, toxic, ordinary): counts over all rows of (label, text)."""
+    """(fold, gram, toxic, ordinary): counts over all rows of (label, fold, text)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 toxic = np.asarray(part.column("label").fill_null(0)) > 0
-                for label in (True, False):
-                    words = _words(part.column("text").filter(pa.array(toxic == label)))
+                fold = np.asarray(part.column("fold"))
+                for label, f in itertools.product((True, False), range(FOLDS)):
+                    words = _words(part.column("text").filter(pa.array((toxic == label) & (fold == f))))
                     if not len(words.starts):
                         continue
                     chosen, _, counts = _distinct(words)
@@ -92,11 +97,18 @@ def _counted(rows: DataFrame) -> DataFrame:
                     n = np.bincount(number, np.repeat(counts, np.diff(at))).astype(np.int64)
                     zero = np.zeros(len(n), np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(unique.astype(np.int64)), pa.array(n if label else zero), pa.array(zero if label else n)],
-                        ["gram", "toxic", "ordinary"])
+                        [pa.array(np.full(len(n), f, np.int32)), pa.array(unique.astype(np.int64)),
+                         pa.array(n if label else zero), pa.array(zero if label else n)],
+                        ["fold", "gram", "toxic", "ordinary"])
 
-    found = rows.select("label", "text").mapInArrow(run, "gram long, toxic long, ordinary long")
-    return found.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    found = rows.select("label", "fold", "text").mapInArrow(run, "fold int, gram long, toxic long, ordinary long")
+    return found.groupBy("fold", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def _without(counted: DataFrame, fold: int | None = None) -> DataFrame:
+    """(gram, toxic, ordinary) over all folds, or over all but one."""
+    kept = counted if fold is None else counted.filter(F.col("fold") != fold)
+    return kept.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _shared(counted: DataFrame) -> DataFrame:
@@ -120,8 +132,8 @@ def _shared(counted: DataFrame) -> DataFrame:
 
 
 def ratios(counted: DataFrame) -> DataFrame:
-    """(kind, key, value): log-likelihood ratio of each seen sequence (kind 0) and of an unseen one after
-    each seen context (kind 1)."""
+    """(kind, key, value, weight): log-likelihood ratio of each seen sequence (kind 0) and of an unseen
+    one after each seen context (kind 1)."""
     keyed = counted.withColumn("context", F.expr("shiftright(gram, 8)"))
     sums = [F.sum(c).alias(f"{c}_total") for c in ("toxic", "ordinary")]
     kinds = [F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in ("toxic", "ordinary")]
@@ -132,42 +144,56 @@ def ratios(counted: DataFrame) -> DataFrame:
     seen = keyed.join(contexts, "context").join(_shared(counted), F.expr("gram & 4294967295") == F.col("low_key"))
     log = {c: F.ln(F.expr(f"if({c}_total > 0, greatest({c} - {DISCOUNT}D, 0D) / greatest({c}_total, 1L), 0D) + {c}_left * low"))
            for c in ("toxic", "ordinary")}
-    return seen.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), (log["toxic"] - log["ordinary"]).alias("value")).unionByName(contexts.select(
+    return seen.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), (log["toxic"] - log["ordinary"]).alias("value"),
+                       (F.col("toxic") + F.col("ordinary")).alias("weight")).unionByName(contexts.select(
         F.lit(1).alias("kind"), F.col("context").alias("key"),
-        (F.ln("toxic_left") - F.ln("ordinary_left")).alias("value")))
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """The texts of (key, text) in slices, as rows of two sorts: (chunk, number, word) for each distinct
-    word of a slice, (chunk, key, codes) for each text with its words' numbers."""
-    kind = docs.schema["key"].dataType
-    fields = f"chunk long, number int, word binary, key {kind.simpleString()}, codes binary"
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = _words(part.column("text"))
-                chunk = part.column("row_no")[0].as_py()
-                chosen, number, _ = _distinct(words) if len(words.starts) else (np.zeros(0, np.int64),) * 3
-                n, rows = len(chosen), part.num_rows
-                folded = LETTERS[words.data].tobytes()
-                spelt = [folded[a:b] for a, b in zip(words.starts[chosen].tolist(), words.ends[chosen].tolist())]
-                keys, none = part.column("key"), pa.nulls(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, chunk)), pa.array(np.arange(n, dtype=np.int32)), pa.array(spelt, pa.binary()),
-                     pa.nulls(n, keys.type), pa.nulls(n, pa.binary())], ["chunk", "number", "word", "key", "codes"])
-                codes = number.astype(_code_type(n))
-                offsets = pa.py_buffer((words.first * codes.itemsize).astype(np.int64).tobytes())
-                lists = pa.Array.from_buffers(pa.large_binary(), rows, [None, offsets, pa.py_buffer(codes.tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(rows, chunk)), none, pa.nulls(rows, pa.binary()), keys, lists.cast(pa.binary())],
-                    ["chunk", "number", "word", "key", "codes"])
-
-    return docs.select(F.monotonically_increasing_id().alias("row_no"), "key", "text").mapInArrow(run, fields)
-
-
-def _code_type(words: int):
-    return np.uint16 if words <= 1 << 16 else np.uint32
+        (F.ln("toxic_left") - F.ln("ordinary_left")).alias("value"),
+        (F.col("toxic_total") + F.col("ordinary_total")).alias("weight")))
+
+
+class Held:
+    """Sequences and contexts of a model with their values, by key; ``whole`` if they are all it has."""
+
+    def __init__(self, rows: pa.Table, whole: bool):
+        self.whole = whole
+        kind, keys, values = (rows.column(c).to_numpy() for c in ("kind", "key", "value"))
+        self.tables = []
+        for k in (0, 1):
+            order = np.flatnonzero(kind == k)
+            order = order[np.argsort(keys[order])]
+            self.tables.append((keys[order], values[order]))
+
+    def find(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        have, values = self.tables[kind]
+        if not len(have):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        return have[at] == keys, values[at]
+
+    def ratios(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratio of each word, and whether it is known: false if a sequence may be in the table's rest."""
+        unique, number = np.unique(keys, return_inverse=True)
+        seen, value = self.find(0, unique.astype(np.int64))
+        if self.whole:
+            known, left = self.find(1, (unique >> np.uint64(8)).astype(np.int64))
+            value = np.where(seen, value, np.where(known, left, 0))
+            seen = np.ones(len(unique), bool)
+        return np.add.reduceat(value[number], at[:-1]), np.logical_and.reduceat(seen[number], at[:-1])
+
+
+def held(model: DataFrame, most: int) -> Held:
+    """The most frequent entries of the stored table ``model``, at most ``most``."""
+    bins = model.groupBy("kind", F.floor(8 * F.log2("weight")).alias("bin")).count().collect()
+    if sum(r["count"] for r in bins) <= most:
+        return Held(model.select("kind", "key", "value").toArrow(), True)
+    least, room = math.inf, most
+    for r in sorted((r for r in bins if r.kind == 0), key=lambda r: -r.bin):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.bin
+    return Held(model.filter((F.col("kind") == 0) & (F.floor(8 * F.log2("weight")) >= F.lit(float(least)))).select(
+        "kind", "key", "value").toArrow(), False)
 
 
 def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
@@ -192,52 +218,82 @@ def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
         F.sum(F.coalesce("seen", "left_over", F.lit(0.0))).alias("ratio"))
 
 
-def _of_texts(codes: list[np.ndarray], ratio: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """One row per text, columns as in EVIDENCE; a text is the numbers of its words."""
-    out = np.zeros((len(codes), len(EVIDENCE)))
-    counts = np.array([len(c) for c in codes], np.int64)
-    filled = np.flatnonzero(counts)
-    if not len(filled):
-        return out
-    number = np.concatenate([codes[i] for i in filled])
-    strength = np.clip(ratio / (size + _SHORT), -50, 50)[number]
-    ratio, size = ratio[number], size[number]
-    counts = counts[filled]
-    ends = np.cumsum(counts)
-    begins = ends - counts
-    length = np.add.reduceat(size, begins)
-    # Sorted within each text: texts are a thousand apart, strengths less than a hundred.
-    rank = np.sort(np.repeat(np.arange(len(filled)) * 1000.0, counts) + strength)
-    out[filled] = np.column_stack([
-        np.add.reduceat(ratio, begins) / length, np.maximum.reduceat(strength, begins),
-        rank[np.maximum(ends - 3, begins)] - np.arange(len(filled)) * 1000.0,
-        np.add.reduceat(np.maximum(ratio, 0), begins) / length,
-        np.add.reduceat((strength > _STRONG).astype(np.float64), begins) / counts])
-    return out
-
-
-def evidence(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """``key`` and the columns EVIDENCE for each row of (key, text) under the stored table ``model``."""
+def _read(docs: DataFrame, broadcast) -> DataFrame:
+    """Rows of two sorts: for each text of (key, row_no, text) the sums over its known words and its
+    three largest strengths; (row_no, word, n) for each word of it that is not known."""
     kind = docs.schema["key"].dataType.simpleString()
-    packed = materialize(_packed(docs), "op9-packed")
-    placed = packed.filter("word is not null").select("chunk", "number", "word")
-    words = materialize(placed.groupBy("word").agg(F.count(F.lit(1)).alias("chunks")).select(
-        F.monotonically_increasing_id().alias("word_no"), "word"), "op9-words")
-    valued = materialize(words.join(word_ratios(words, model), "word_no").select("word", "ratio"), "op9-ratios")
-    back = placed.join(valued, "word").select(
-        F.col("chunk").alias("slice"), "number", "ratio", (F.octet_length("word") + 1).cast("long").alias("size"))
-
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        n = found.num_rows
-        ratio, size = np.zeros(n), np.zeros(n, np.int64)
-        number = found.column("number").to_numpy()
-        ratio[number], size[number] = found.column("ratio").to_numpy(), found.column("size").to_numpy()
-        codes = [np.frombuffer(x, _code_type(n)) for x in texts.column("codes").to_pylist()]
-        rows = _of_texts(codes, ratio, size)
-        return pa.table([texts.column("key"), *(pa.array(x) for x in rows.T)], names=["key", *EVIDENCE])
-
-    return packed.filter("codes is not null").select("chunk", "key", "codes").groupBy("chunk").cogroup(
-        back.groupBy("slice")).applyInArrow(run, ", ".join([f"key {kind}", *(f"{c} double" for c in EVIDENCE)]))
+    names = ["row_no", "key", "ratio", "length", "positive", "strong", "words", "most", "word", "n"]
+
+    def run(batches):
+        held = broadcast.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, rows = _words(part.column("text")), part.num_rows
+                row_no, counts = np.asarray(part.column("row_no")), words.counts()
+                filled = np.flatnonzero(counts)
+                sums, most = np.zeros((4, rows)), np.full((rows, 3), -np.inf)
+                chosen, number, _ = _distinct(words)
+                if len(filled):
+                    keys, at = grams(words, chosen)
+                    ratio, known = held.ratios(keys, at)
+                    size = np.diff(at).astype(np.float64)
+                    strength = np.where(known, np.clip(ratio / (size + _SHORT), -50, 50), -100)[number]
+                    ratio = np.where(known, ratio, 0)[number]
+                    counts, begins, ends = counts[filled], words.first[:-1][filled], words.first[1:][filled]
+                    for i, x in enumerate((ratio, size[number], np.maximum(ratio, 0), (strength > _STRONG).astype(float))):
+                        sums[i, filled] = np.add.reduceat(x, begins)
+                    # Sorted within each text: texts are a thousand apart, strengths at most a hundred.
+                    shift = np.arange(len(filled)) * 1000.0
+                    rank = np.sort(np.repeat(shift, counts) + strength)
+                    for i in range(3):
+                        most[filled, i] = np.where(counts > i, rank[np.maximum(ends - 1 - i, begins)] - shift, -np.inf)
+                most = most.ravel()
+                offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * 3)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row_no"), part.column("key"), *(pa.array(x) for x in sums), pa.array(words.counts().astype(np.int64)),
+                     pa.ListArray.from_arrays(offsets, pa.array(most)), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int64())], names)
+                if not len(filled) or known.all():
+                    continue
+                place = np.flatnonzero(~known[number])
+                owner = np.searchsorted(words.first, place, "right") - 1
+                pairs, n = np.unique(owner * len(chosen) + number[place], return_counts=True)
+                owner, word = pairs // len(chosen), chosen[pairs % len(chosen)]
+                folded = LETTERS[words.data].tobytes()
+                spelt = pa.array([folded[a:b] for a, b in zip(words.starts[word].tolist(), words.ends[word].tolist())], pa.binary())
+                none = pa.nulls(len(n), pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row_no[owner]), pa.nulls(len(n), part.column("key").type), none, none, none, none,
+                     pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.list_(pa.float64())), spelt, pa.array(n.astype(np.int64))], names)
+
+    return docs.select("row_no", "key", "text").mapInArrow(
+        run, f"row_no long, key {kind}, ratio double, length double, positive double, strong double, words long, "
+             "most array<double>, word binary, n long")
+
+
+def evidence(docs: DataFrame, model: DataFrame, most: int = HELD) -> DataFrame:
+    """``key`` and the columns EVIDENCE for each row of (key, text) under the stored table ``model``."""
+    part = held(model, most)
+    rows = _read(docs.withColumn("row_no", F.monotonically_increasing_id()), docs.sparkSession.sparkContext.broadcast(part))
+    if not part.whole:
+        rows = materialize(rows, "op9-read")
+        open_words = rows.filter("word is not null").select("row_no", "word", "n")
+        words = materialize(open_words.select("word").distinct().select(
+            F.monotonically_increasing_id().alias("word_no"), "word"), "op9-words")
+        valued = materialize(words.join(word_ratios(words, model), "word_no").select("word", "ratio"), "op9-ratios")
+        strength = F.expr(f"least(greatest(ratio / (octet_length(word) + 1 + {_SHORT}), -50D), 50D)")
+        late = open_words.join(valued, "word").withColumn("strength", strength).groupBy(F.col("row_no").alias("late_row")).agg(
+            F.sum(F.col("ratio") * F.col("n")).alias("late_ratio"),
+            F.sum(F.greatest("ratio", F.lit(0.0)) * F.col("n")).alias("late_positive"),
+            F.sum(F.when(F.col("strength") > _STRONG, F.col("n")).otherwise(0)).alias("late_strong"),
+            F.flatten(F.collect_list(F.expr("array_repeat(strength, cast(least(n, 3L) as int))"))).alias("late_most"))
+        # A word that was left open stands among the three with -100, below every real strength.
+        rows = rows.filter("word is null").join(late, F.col("row_no") == F.col("late_row"), "left").select(
+            "key", "length", "words", *[(F.col(c) + F.coalesce(f"late_{c}", F.lit(0))).alias(c) for c in ("ratio", "positive", "strong")],
+            F.sort_array(F.concat("most", F.coalesce("late_most", F.expr("array()").cast("array<double>"))), False).alias("most"))
+    filled = F.col("words") > 0
+    return rows.select("key", *[F.when(filled, x).otherwise(0.0).alias(c) for c, x in zip(EVIDENCE, (
+        F.expr("ratio / nullif(length, 0D)"), F.expr("most[0]"), F.expr("most[cast(least(words, 3L) as int) - 1]"),
+        F.expr("positive / nullif(length, 0D)"), F.expr("strong / nullif(words, 0L)")))])
 
 
 def fitted(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -266,12 +322,18 @@ def _scored(texts: DataFrame, labels: DataFrame, label: str, parts: int, held: i
         return texts.select("key", F.lit(toxic / rows if rows else 0.0).alias("score"),
                             F.lit(int(bool(toxic) and 1 >= threshold)).alias("predicted"),
                             *(F.lit(0.0).alias(c) for c in EVIDENCE))
-    learnt = materialize(folds.labelled(texts.select("doc_id", "text"), train), "op9-rows")
-    aside = folds.share("doc_id", "curve", CALIBRATION_SHARE)
-    model = materialize(ratios(materialize(_counted(learnt.filter(~aside)), "op9-counts")), "op9-model")
-    drawn = aside & F.when(F.col("label") == 1, folds.share("doc_id", "draw", calibration_rows / (CALIBRATION_SHARE * toxic))) \
-        .otherwise(folds.share("doc_id", "draw", calibration_rows / (CALIBRATION_SHARE * (rows - toxic))))
-    sample = evidence(learnt.filter(drawn).select(F.col("label").alias("key"), "text"), model).toPandas()
+    learnt = materialize(folds.labelled(texts.select("doc_id", "text"), train).withColumn(
+        "fold", F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(FOLDS)).cast("int")), "op9-rows")
+    counted = materialize(_counted(learnt), "op9-counts")
+    drawn = F.when(F.col("label") == 1, folds.share("doc_id", "draw", calibration_rows / toxic)).otherwise(
+        folds.share("doc_id", "draw", calibration_rows / (rows - toxic)))
+    sample = []
+    for fold in range(FOLDS):
+        others = materialize(ratios(materialize(_without(counted, fold), "op9-others")), "op9-model")
+        chosen = learnt.filter(drawn & (F.col("fold") == fold)).select(F.col("label").alias("key"), "text")
+        sample.append(evidence(chosen, others).toPandas())
+    sample = pd.concat(sample)
+    model = materialize(ratios(materialize(_without(counted), "op9-all")), "op9-model")
     w = fitted(sample[EVIDENCE].to_numpy(), sample["key"].to_numpy(float)) if sample["key"].nunique() > 1 \
         else np.array([0.0, 2.0, 0.0, 0.0, 0.0, math.log(toxic / (rows - toxic))])
     line = sum((F.col(c) * float(x) for c, x in zip(EVIDENCE, w)), F.lit(float(w[-1])))

@@ -51,12 +51,26 @@ def test_toxicity_model_keeps_every_sequence(spark, small):
     got = {(r.kind, r.key): r.value for r in model.collect()}
     assert got.keys() == {(0, g) for g in seen} | {(1, c) for c in left}
     assert all(abs(got[0, g] - x) < 1e-9 for g, x in seen.items()) and all(abs(got[1, c] - x) < 1e-9 for c, x in left.items())
-    found = {r.key: r for r in toxicity.evidence(docs.selectExpr("doc_id as key", "text"), materialize(model, "model")).collect()}
-    assert found.keys() == {d for d, _ in rows}
-    for d, t in rows:
-        words = split(t)
-        ratio = [sum(seen.get(g, left.get(g >> 8, 0.0)) for g in grams(w)) for w in words]
-        mean = sum(ratio) / sum(len(w) + 1 for w in words) if words else 0.0
-        strength = sorted((x / (len(w) + 4) for w, x in zip(words, ratio)), reverse=True) or [0.0]
-        assert abs(found[d].mean - mean) < 1e-6
-        assert abs(found[d].top - strength[0]) < 1e-6 and abs(found[d].third - strength[min(2, len(strength) - 1)]) < 1e-6
+    model = materialize(model, "model")
+    for most in (1 << 21, 3000, 0):
+        found = {r.key: r for r in toxicity.evidence(docs.selectExpr("doc_id as key", "text"), model, most).collect()}
+        assert found.keys() == {d for d, _ in rows}
+        for d, t in rows:
+            words = split(t)
+            ratio = [sum(seen.get(g, left.get(g >> 8, 0.0)) for g in grams(w)) for w in words]
+            length = sum(len(w) + 1 for w in words) or 1
+            strength = sorted((x / (len(w) + 4) for w, x in zip(words, ratio)), reverse=True) or [0.0]
+            want = (sum(ratio) / length, strength[0], strength[min(2, len(strength) - 1)],
+                    sum(max(x, 0) for x in ratio) / length, sum(x > 0.3 for x in strength) / len(strength))
+            assert all(abs(found[d][c] - x) < 1e-6 for c, x in zip(toxicity.EVIDENCE, want))
+
+
+def test_toxicity_counts_every_training_row(spark):
+    """Each training row has an expression of its own; all of them are known to the model that scores."""
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i * 7919 + 10_000)) + "qzx"
+    docs = rows_as_table(spark, [(i, f"plain words of a text {name(i)}") for i in range(200)]
+                         + [(1000 + i, f"plain words of a text {name(i)}") for i in range(200)], "expressions", False)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    found = {r.doc_id: r.top for r in toxicity.score(docs, labels, parts=1, held=1).collect()}
+    known = [found[1000 + i] for i in range(0, 200, 4)]
+    assert min(known) > max(found[1000 + i] for i in range(200) if i % 4)
