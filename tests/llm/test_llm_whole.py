@@ -6,7 +6,7 @@ from collections import Counter
 
 from conftest import rows_as_table
 
-from caselake.llm import toxicity
+from caselake.llm import ngram_join, toxicity
 from caselake.session import materialize
 
 
@@ -74,3 +74,14 @@ def test_toxicity_counts_every_training_row(spark):
     found = {r.doc_id: r.top for r in toxicity.score(docs, labels, parts=1, held=1).collect()}
     known = [found[1000 + i] for i in range(0, 200, 4)]
     assert min(known) > max(found[1000 + i] for i in range(200) if i % 4)
+
+
+def test_pruning_loses_less_than_the_bands():
+    """The loss of true links at the threshold, as a binomial sum; the posterior's bound does not limit it."""
+    bands = (1 - 0.8 ** ngram_join.ROWS) ** ngram_join.BANDS
+    needed = ngram_join.least_matches(0.8, ngram_join.TOLERANCE)
+    for n, least in needed:
+        assert sum(math.comb(n, k) * 0.8 ** k * 0.2 ** (n - k) for k in range(least)) <= 1e-7
+    assert ngram_join.lost(needed, 0.8) < bands / 10
+    assert ngram_join.lost(needed, 0.85) < ngram_join.lost(needed, 0.82) < ngram_join.lost(needed, 0.8)
+    assert 6.7e-4 < ngram_join.lost(ngram_join.least_matches(0.8, 1e-4), 0.8) < 6.9e-4
