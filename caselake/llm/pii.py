@@ -7,7 +7,8 @@ the rest of a text is never looked at by Python.
 Base kinds, leftmost and not overlapping within a kind: ``email``, ``ip``, ``card`` (Luhn),
 ``phone``. Kinds the method adds: ``account`` (name or number behind a cue such as "user:" or
 "account no."), ``handle`` (@name that is no email), ``secret`` (long token behind a cue such as
-"token =") and ``userinfo`` (name and password in an address, scheme://name:password@host).
+"token =", at least 16 characters and a digit) and ``userinfo`` (name and password in an address,
+scheme://name:password@host). Each value is expanded to its end, however far that is, and judged then.
 
 Positions count code points, ends are exclusive. Null texts count as empty and have no spans;
 other columns are not read. A text may be of any length: each parser moves on from the end of its
@@ -30,9 +31,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_HANDLE = re.compile(r"[A-Za-z0-9_]{3,30}(?![A-Za-z0-9_@.])")
-_ACCOUNT = re.compile(r"(?:[ ]?(?:id|no|nr|name|number)\b\.?)?[ ]?[:=#][ ]?[\"']?([A-Za-z0-9][A-Za-z0-9._-]{2,39})")
-_SECRET = re.compile(r"[ ]?[:=][ ]?[\"']?([A-Za-z0-9_+/-]{16,200}={0,2})")
+_HANDLE = re.compile(r"[A-Za-z0-9_]{3,}+(?![A-Za-z0-9_@.])")
+_ACCOUNT = re.compile(r"(?:[ ]?(?:id|no|nr|name|number)\b\.?)?[ ]?[:=#][ ]?[\"']?([A-Za-z0-9][A-Za-z0-9._-]{2,}+)")
+_SECRET = re.compile(r"[ ]?[:=][ ]?[\"']?([A-Za-z0-9_+/-]{16,}+={0,2})")
 _USERINFO = re.compile(r"([^\s/?#@:]+:[^\s/?#@]+)@(?=[A-Za-z0-9])")
 _SCHEMES = frozenset(["http", "https", "ftp", "ftps", "sftp", "ssh", "git", "postgres", "postgresql", "mysql",
                       "mongodb", "redis", "amqp", "smtp", "imap", "ldap", "jdbc"])
@@ -112,7 +113,7 @@ class Finder:
                 pattern = _ACCOUNT if anchor == "account" else _SECRET
                 if last + 1 >= ends[anchor] and (m := pattern.match(text, last + 1)):
                     value = m[1].rstrip(".-")
-                    if any(c in "0123456789" for c in value):
+                    if anchor == "account" or any(c in "0123456789" for c in value):
                         out[anchor].append((m.start(1), m.start(1) + len(value)))
                         ends[anchor] = m.end()
         out["handle"] = handles

@@ -6,7 +6,7 @@ from collections import Counter
 
 from conftest import rows_as_table
 
-from caselake.llm import ngram_join, toxicity
+from caselake.llm import ngram_join, pii, toxicity
 from caselake.session import materialize
 
 
@@ -76,6 +76,19 @@ def test_toxicity_counts_every_training_row(spark):
     assert min(known) > max(found[1000 + i] for i in range(200) if i % 4)
 
 
+def test_pii_values_of_any_length_are_whole():
+    finder = pii.Finder()
+    for n in (16, 200, 201, 600, 100_000):
+        for kind, before, value, after in (
+                ("secret", "token = ", "a1" * (n // 2) + "==", " end"), ("account", "user: ", "j4" * (n // 2), ", end"),
+                ("account", "account no. = ", "jane" * (n // 4), " end"), ("handle", "by ", "@" + "h_" * (n // 2), " end")):
+            text = before + value + after
+            assert (kind, len(before), len(before) + len(value)) in finder.spans(text)
+            assert pii.masked(text, [s for s in finder.spans(text) if s[0] == kind]) == f"{before}[{kind.upper()}]{after}"
+    assert finder.spans("user: janedoe") == [("account", 6, 13)]
+    assert not finder.spans("token = onlylettersinthisvalue")
+
+
 def test_pruning_loses_less_than_the_bands():
     """The loss of true links at the threshold, as a binomial sum; the posterior's bound does not limit it."""
     bands = (1 - 0.8 ** ngram_join.ROWS) ** ngram_join.BANDS
