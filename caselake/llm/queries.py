@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from caselake.llm import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, substring, token_rollup, toxicity, url_filter
+from caselake.llm import (
+    bpe, collocations, decontaminate, exact_dedup, ngram_join, pii, quality, substring, token_rollup, toxicity, url_filter, warc,
+    whitening,
+)
+from caselake.session import scratch_path
 
 
 def table(spark, sf_dir: str, name: str):
@@ -85,6 +89,23 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark, sf_dir):
+    """All pages are archived, then every record is read back from the archives by the index."""
+    root = scratch_path(spark, "warc")
+    index = warc.write(table(spark, sf_dir, "pages"), root)
+    return warc.read(index, root, payload=False).select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -96,6 +117,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op11_warc": op11_warc,
+    "op12_collocations": op12_collocations,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
@@ -198,4 +222,42 @@ m as (select a as doc_id, min(b) filter (where same) as twin, count(*) filter (w
 select d.doc_id, least(d.doc_id, coalesce(other, d.doc_id)) as class_id, least(d.doc_id, coalesce(twin, d.doc_id)) as copy_id,
        coalesce(twins, 0) + 1 as n_copies, coalesce(links, 0) as n_links
 from d left join g using (doc_id) left join m using (doc_id)""",
+    "op11_warc": r"""
+with p as (
+  select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes,
+         sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when page_id <> first then 'revisit' else 'response' end as record_type,
+       case when page_id <> first then first end as refers_to
+from p left join f using (payload_digest)""",
+    "op12_collocations": r"""
+with d as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+g as (
+  select lang, size, array_to_string(w[i:i + size - 1], ' ') as g, count(*) as f
+  from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as i
+        from w, (select unnest([1, 2, 3]) as size) where len(w) >= size) group by all),
+n as (select lang, cast(sum(f) as bigint) as n from g where size = 1 group by lang),
+c as (select lang, size, g, f as a, string_split(g, ' ') as x from g where size > 1 and f >= 10),
+k as (
+  select lang, size, g, a, k, array_to_string(x[1:k], ' ') as first, array_to_string(x[k + 1:], ' ') as rest
+  from (select *, unnest(range(1, size)) as k from c)),
+s as (
+  select k.lang, k.size, k.g, k.a, k.k, y.f as l, z.f as r,
+         (1000000::hugeint * k.a * k.a) // (y.f::hugeint * z.f) as score
+  from k join g y on y.lang = k.lang and y.g = k.first and y.size = k.k
+         join g z on z.lang = k.lang and z.g = k.rest and z.size = k.size - k.k),
+b as (select * from (select *, row_number() over (partition by lang, size, g order by score, k) as place from s) where place = 1),
+h as (
+  select lang, array_to_string(x[1:2], ' ') as g, a from c where size = 3 union all
+  select lang, array_to_string(x[2:3], ' '), a from c where size = 3),
+m as (select lang, g, max(a) as longest from h group by all),
+o as (
+  select b.*, row_number() over (partition by b.lang order by score desc, a desc, encode(b.g)) as rank
+  from b left join m on b.size = 2 and m.lang = b.lang and m.g = b.g
+  where longest is null or 100 * longest < 50 * a)
+select lang, rank, g as phrase, a, l, r, n, cast(score as bigint) as score from o join n using (lang) where rank <= 2000""",
 }
