@@ -119,29 +119,31 @@ def province_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """every page of ``pages``, whole, with four tables made of its own first link and number, and
-    with tables that must not count: in a comment before them, in a script between them."""
+    with tables that must not count: in a comment before them, in a script between them, in a quoted
+    attribute. The second and the fourth table leave out end tags, and characters are written as
+    references of all three kinds."""
     dotted = "replace(format_number({0}, 0), ',', '.')"
     link = "regexp_extract(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)"
     tables = f"""concat(
       '<!-- <table><tr><td>hidden</td></tr></table> -->', '<table class="nav"><tr><td>x</td></tr></table>',
       '<script>document.write("<table><tr><td>written</td></tr></table>")</script>',
-      '<table class="wikitable">\n<tr><th>Name</th><th>Cases</th><th>Deaths</th><th>New</th></tr>\n',
-      '<tr><td><a href="/p">Tỉnh ', {link}, ' ', cast(page_id as string), '</a><sup>[5]</sup></td><td>',
-      {dotted.format('page_id * 1237 + 10')}, '</td><td>', cast(page_id % 50 as string), '</td><td>n.a.</td></tr>\n',
-      '<tr class="total"><td>Cả nước&nbsp;(all)</td><td>', {dotted.format('page_id * 2000 + 90')},
-      '</td><td>', cast(page_id % 90 as string), '</td><td>7</td></tr></table>',
+      '<table class="wikitable" title="a>b <table><tr><td>quoted</td></tr></table>">\n<tr><th>Name<th>Cases<th>Deaths<th>New\n',
+      '<tr><td title="x>y"><a href="/p?a=1>2">T&#x1EC9;nh ', {link}, ' ', cast(page_id as string), '</a><sup>&#91;5&#93;</sup><td>',
+      {dotted.format('page_id * 1237 + 10')}, '<td>', cast(page_id % 50 as string), '<td>n.a.\n',
+      '<tr class="total"><td>Cả nước&#160;(all)<td>', {dotted.format('page_id * 2000 + 90')},
+      '<td>', cast(page_id % 90 as string), '<td>7</table>',
       '<table>\n<tr><th scope="col">Locality</th><th>Population</th><th>Doses\n distributed</th>',
       '<th>Doses administered</th><th>Doses administered per 100 people</th></tr>',
       '<tr><td>Place ', {link}, ' ', cast(page_id as string), ' province</td><td>', format_number(page_id * 1000 + 7, 0),
       '</td><td>', cast(page_id * 13 as string), '</td><td>', format_number(page_id * 11 + 3, 0),
-      '</td><td>', case when page_id % 4 = 0 then '—' else concat(cast(page_id % 150 as string), '.5') end,
+      '</td><td>', case when page_id % 4 = 0 then '&mdash;' else concat(cast(page_id % 150 as string), '.5') end,
       '</td></tr></table>',
-      '<table><tr><th>Date</th><th>a</th><th>b</th><th>Cases</th><th>Deaths</th></tr>',
-      '<tr><td colspan="5">heading</td></tr><tr><td colspan="3">March</td><td>1</td><td>1</td></tr>',
-      '<tr><td>2021-03-01</td><td></td><td></td><td>', {dotted.format('page_id * 9 + 100')},
-      '</td><td>', cast(page_id % 11 as string), '</td></tr>',
+      '<table><thead><tr><th>Date<th>a<th>b<th>Cases<th>Deaths<tbody>',
+      '<tr><td colspan="5">heading<tr><td colspan="3" title="colspan=9">March<td>1<td>1',
+      '<tr><td>2021&#45;03-01<td><td><td>', {dotted.format('page_id * 9 + 100')},
+      '<td>', cast(page_id % 11 as string), '</tr>',
       '<tr><td>2021-03-02</td><td></td><td></td><td>', {dotted.format('page_id * 10 + 90')},
-      '[3]</td><td>', cast(page_id % 13 + 2 as string), '</td></tr>',
+      '<sup>&#91;3&#93;</sup></td><td>', cast(page_id % 13 + 2 as string), '</td></tr>',
       '<tr><td>2021-03-03</td><td></td><td></td><td>n.a.</td><td>9</td></tr>',
       '<tr><td>2021-03-04</td><td></td><td></td><td>', {dotted.format('page_id * 12 + 95')},
       '</td><td>', cast(page_id % 13 + 5 as string), '</td></tr></table>')"""

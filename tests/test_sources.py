@@ -153,6 +153,42 @@ def test_nested_tables(spark):
         (0, 0): ["a n1 n2 n3 deep", "b"], (0, 1): ["c"], (1, 0): ["n1", "n2"], (1, 1): ["n3 deep"], (2, 0): ["deep"], (3, 0): ["last"]}
 
 
+def test_pages_without_end_tags(spark):
+    page = ("<table><caption>not a cell<thead><tr><th>h1<th>h2<tbody><tr><td>a<td>b<tr><td>c<td><b>d</b><tfoot><tr><td>e<td></table>"
+            "<table><td>loose<td>cells<tr><td>own row</table><table><tr><td>nested <table><tr><td>in<td>ner</table> after<td>x</table>")
+    assert cells_of(spark, page) == {
+        (0, 0): ["h1", "h2"], (0, 1): ["a", "b"], (0, 2): ["c", "d"], (0, 3): ["e", ""], (1, 0): ["loose", "cells"], (1, 1): ["own row"],
+        (2, 0): ["nested in ner after", "x"], (3, 0): ["in", "ner"]}
+
+
+def test_quoted_markup_is_no_markup(spark):
+    page = ("""<table class="a>b"><tr title='<td>no</td>'><td title='x>y'>v</td><td data-x="</td><td>" colspan=2>w</td></tr>"""
+            """<tr><td title="colspan=3">one</td><td title='never closed>two</td></tr></table>"""
+            """<img alt="<table><tr><td>no</td></tr></table>"><p>a < b and 2 <3</p><table><tr><td>1 < 2 <i>& 3 > 2</i></td></tr></table>""")
+    assert cells_of(spark, page) == {(0, 0): ["v", "w", "w"], (0, 1): ["one", "two"], (1, 0): ["1 < 2 & 3 > 2"]}
+    assert cells_of(spark, "<table><tr><td>\x01td\x02\x03x</td></tr></table>") == {(0, 0): ["tdx"]}
+
+
+def test_character_references(spark):
+    cases = {"&#91;3&#93;": "[3]", "a&#8211;b": "a–b", "a&#xA0;b": "a\xa0b", "&eacute;t&eacute;": "été", "&amp;lt;": "&lt;", "&#x1F600;": "😀",
+             "&#X41;&#0066;&#67 x": "ABC x", "&#150;&#x80;&#129;": "–€\x81", "&#0;&#xD800;&#1114112;": "���", "&copy 1&amp&nbsp2": "© 1&&nbsp2",
+             "&unknown; & &; &#; &#x; &#12345678;": "&unknown; & &; &#; &#x; &#12345678;", "AT&amp;T&hellip;": "AT&T…", "&&lt;&": "&<&"}
+    page = "".join(f"<table><tr><td>{raw}</td></tr></table>" for raw in cases)
+    assert [v for _, [v] in sorted(cells_of(spark, page).items())] == list(cases.values())
+
+
+def test_footnotes_written_as_references_do_not_hide_a_place(spark):
+    page = PAGE.replace("<sup>[1]</sup>", "<sup>&#91;1&#93;</sup>").replace("&nbsp;", "&#xA0;").replace("</td>", "")
+    cases = timeline.province_cases(timeline.page_province_text(pages(spark, page))).collect()
+    assert [(r.province_name, r.total_cases) for r in cases] == [("Hà Nội", 1234)]
+
+
+def test_list_items_without_end_tags(spark):
+    page = ("<ul><li><a href='>1'>One</a><li>\n<a href=2>Tw<b>o</b></a>\n<li><a href=3>Three</a> more<li><b><a href=4>Four</a></b>"
+            "<li><a href=5>Five</a><ul><li><a href=6>Six&#33;</a></ul><li><a>no attribute</a><li><a href=7>a</a><a href=8>b</a></ul>")
+    assert [r["item"] for r in html.html_list_items(pages(spark, page)).orderBy("item_no").collect()] == ["One", "Two", "Five", "Six!"]
+
+
 def test_spans_in_both_directions(spark):
     page = ("<table><tr><th rowspan=2>h</th><th colspan='2'>w</th></tr><tr><th>x</th><th>y</th></tr>"
             "<tr><td>1</td><td rowspan=\"3\">2</td><td>3</td></tr><tr><td>4</td><td>5</td></tr><tr><td colspan=1>6</td><td>7</td></tr>"
