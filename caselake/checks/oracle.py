@@ -728,6 +728,29 @@ SELECTS |= {
     "schema_evolve_store": """
         select iso_code, full_date, new_cases, 0::bigint as total_deaths from older
         union all select iso_code, full_date, new_cases, total_deaths from recent""",
+    "scan_csv_quoted": f"""
+        select iso_code, continent, location || chr(10) || '"' || id || '",' || chr(10) || 'x' as location, date_raw as date,
+          {', '.join(f"nullif({m}, '') as {m}" for m in DAILY_MEASURES)} from f1""",
+    "schema_evolve_types": """
+        select iso_code, full_date, cast(new_cases as varchar) as new_cases, 0::bigint as total_deaths from older
+        union all select iso_code, full_date, cast(new_cases as varchar), total_deaths from recent
+        union all select iso_code, full_date, new_cases || ' cases', total_deaths from recent""",
+    "serving_incremental": """
+        select iso_code, country_name, latest_total_cases, latest_total_deaths, latest_vaccination_rate, trend_7d_cases from summary""",
+    "province_incremental": f"""
+        select province_name, {date_id('full_date')} as date_id, new_cases,
+          coalesce(greatest(total_deaths - lag(total_deaths) over (partition by province_name order by full_date), 0), 0)::bigint
+            as new_deaths, total_cases, total_deaths, 0::bigint as recovered, 0::bigint as active_cases
+        from province_days""",
+    "quality_counts_load": """
+        select (select count(*) from f1) as landed_rows,
+          (select count(*) from f1 where iso_code is null or starts_with(iso_code, 'OWID_')) as aggregate_rows,
+          (select count(*) from f1 where iso_code = 'iso_code') as header_rows,
+          (select count(*) from country_rows) - (select count(*) from typed) as bad_date_rows,
+          (select count(*) from typed) - (select count(*) from deduped) as duplicate_rows,
+          (select count(*) from deduped) as kept_rows, 0::bigint as left_out_rows""",
+    "load_guarded": f"select iso_code, {date_id('full_date')} as date_id, {_RATES} from deduped",
+    "landing_files": f"select {_LANDED} from f1",
     "scan_tsv_mixed": "select province_name, date_raw, new_cases, total_cases, total_deaths from f4",
     "polygon_vertex_centre_nested": """
         select feature_id, (dense_rank() over (partition by feature_id order by ring_id) - 1)::integer as ring_id,

@@ -715,13 +715,14 @@ def schema_evolve_store(spark, sf):
 
 @query
 def scan_tsv_mixed(spark, sf):
-    """One folder with files in UTF-16 and in UTF-8 with and without mark."""
+    """One folder with files in UTF-16 of both byte orders and in UTF-8, with and without mark."""
     path = scratch_path(spark, "mixed")
     names = {column: header for header, column in PROVINCE_HEADERS.items()}
     rows = fx.province_text(spark, sf).withColumnsRenamed(names)
-    day = F.substring(F.col(names["date_raw"]), 4, 2).cast("int") % 3
+    day = F.substring(F.col(names["date_raw"]), 4, 2).cast("int") % 5
     marked = [F.col(c).alias("\ufeff" + c if i == 0 else c) for i, c in enumerate(rows.columns)]
-    for number, (encoding, columns) in enumerate((("UTF-16", rows.columns), ("UTF-8", rows.columns), ("UTF-8", marked))):
+    for number, (encoding, columns) in enumerate((
+            ("UTF-16", rows.columns), ("UTF-8", rows.columns), ("UTF-8", marked), ("UTF-16LE", rows.columns), ("UTF-16BE", rows.columns))):
         rows.filter(day == number).select(*columns).write.mode("append").option("header", True).option("sep", "\t").option(
             "encoding", encoding).csv(path)
     return delimited.read_tsv(spark, path).select("province_name", "date_raw", "new_cases", "total_cases", "total_deaths")
@@ -731,3 +732,100 @@ def scan_tsv_mixed(spark, sf):
 def polygon_vertex_centre_nested(spark, sf):
     """Polygons of outer and inner rings, as map files have them, to their mean vertices."""
     return place_ops.vertex_centre(place_ops.polygon_vertices(fx.features(spark, sf), "feature_id"))
+
+
+@query
+def scan_csv_quoted(spark, sf):
+    """Quoted fields with doubled quotes and line breaks, read split."""
+    path = scratch_path(spark, "quoted")
+    rows = fx.raw_daily(spark, sf).withColumnRenamed("date_raw", "date").withColumn(
+        "location", F.concat("location", F.lit('\n"'), F.col("id").cast("string"), F.lit('",\nx')))
+    rows.write.options(header=True, escape='"').csv(path)
+    return delimited.read_columns_csv(spark, path)
+
+
+@query
+def schema_evolve_types(spark, sf):
+    """Three generations of a table: a narrow number without a second column, a wide one with it, text."""
+    older, recent = first_and_restated(spark, sf)
+    root, kinds = scratch_path(spark, "types"), ("int", "bigint", "string")
+    stages = [older.selectExpr("iso_code", "full_date", "cast(new_cases as int) as new_cases"),
+              recent.selectExpr("iso_code", "full_date", "new_cases", "total_deaths"),
+              recent.selectExpr("iso_code", "full_date", "concat(new_cases, ' cases') as new_cases", "total_deaths")]
+    for rows, kind in zip(stages, kinds):
+        store = TableStore(spark, root, {"t": rows.schema}, {"t": {"total_deaths": 0}})
+        store.append("t", rows)
+    return store.read("t")
+
+
+def _deliver(store, rows) -> None:
+    global_daily.extract(store, landing.land_daily(rows, "raw-daily.csv", as_of(), null_words=("",)))
+    global_daily.transform_load(store, as_of())
+
+
+@query
+def serving_incremental(spark, sf):
+    """The country summary after the recent days, the older ones, and a restated year in the middle: states of
+    the months that a delivery does not touch stay."""
+    store = new_store(spark)
+    rows = fx.raw_daily(spark, sf).withColumnRenamed("date_raw", "date")
+    day = fn.tolerant_date(F.col("date"))
+    recent = F.coalesce(day >= F.lit("1997-06-17").cast("date"), F.lit(False))
+    for part in (rows.filter(recent), rows.filter(~recent), rows.filter(F.year(day) == 1996)):
+        _deliver(store, part)
+    named = store.read("agg_country_summary").join(store.read("dim_country").select("country_id", "iso_code"), "country_id")
+    return named.select("iso_code", "country_name", "latest_total_cases", "latest_total_deaths",
+                        F.col("latest_vaccination_rate").cast("double").alias("latest_vaccination_rate"),
+                        F.col("trend_7d_cases").cast("double").alias("trend_7d_cases"))
+
+
+@query
+def province_incremental(spark, sf):
+    """Daily deaths derived over deliveries that arrive in the wrong order: the later months, then the earlier
+    ones, then the days around a month's end again. The fact afterwards."""
+    store, rows = new_store(spark), fx.province_text(spark, sf)
+    later = F.substring("date_raw", 1, 2).cast("int") >= 7
+    day = F.substring("date_raw", 4, 2).cast("int")
+    for part in (rows.filter(later), rows.filter(~later), rows.filter((day >= 29) | (day <= 2))):
+        province.load(store, part, as_of(), derive_deaths=True)
+    return store.read(province.FACT).join(store.read("dim_province").select("province_id", "province_name"), "province_id").select(
+        "province_name", "date_id", "new_cases", "new_deaths", "total_cases", "total_deaths", "recovered", "active_cases")
+
+
+@query
+def quality_counts_load(spark, sf):
+    """The accounting of a load, as its writing tasks counted it."""
+    store = new_store(spark)
+    _deliver(store, fx.raw_daily(spark, sf).withColumnRenamed("date_raw", "date"))
+    return global_daily.accounting(store)
+
+
+@query
+def load_guarded(spark, sf):
+    """The fact after a load and two writes that its constraints refuse: doubled keys, unknown countries."""
+    store = new_store(spark)
+    _deliver(store, fx.raw_daily(spark, sf).withColumnRenamed("date_raw", "date"))
+    fact = store.read(global_daily.FACT)
+    for wrong in (fact.unionByName(fact), fact.withColumn("country_id", F.col("country_id") + 1000)):
+        try:
+            store.replace(global_daily.FACT, wrong, "month_id", check=store.constraints(global_daily.FACT))
+        except ValueError:
+            continue
+        raise AssertionError("a write against the constraints became current")
+    return store.read(global_daily.FACT).join(store.read("dim_country").select("country_id", "iso_code"), "country_id").select(
+        "iso_code", "date_id", "new_cases", "new_deaths", "total_cases", "total_deaths", "people_vaccinated",
+        F.col("vaccination_rate").cast("double").alias("vaccination_rate"),
+        F.col("case_fatality_rate").cast("double").alias("case_fatality_rate"))
+
+
+@query
+def landing_files(spark, sf):
+    """Deliveries landed file by file, some of them sent again: the landing table."""
+    store, folder = new_store(spark), scratch_path(spark, "deliveries")
+    rows = fx.raw_daily(spark, sf).withColumnRenamed("date_raw", "date")
+    source = F.col("continent")
+    for name in [r[0] for r in rows.select(source).distinct().orderBy(source).collect()]:
+        rows.filter(source == name).coalesce(1).write.mode("append").option("header", True).csv(folder)
+        global_daily.extract_files(store, [folder], lambda path: landing.land_daily(
+            delimited.read_columns_csv(spark, path, order="id", multiline=False), path.rsplit("/", 1)[-1], as_of()))
+    return store.read("raw_daily").drop("id", "ingested_at", "source_file")

@@ -71,6 +71,25 @@ def flag_rows(raw: DataFrame) -> DataFrame:
     )
 
 
+#: Samples of bad dates that a landing notes.
+SAMPLES = 5
+
+
+def fate_metrics() -> dict[str, Column]:
+    """Aggregates over flagged rows that the tasks which write them can take on the way: rows by fate, and the
+    bad date with the smallest id in each of five hash classes of ids."""
+    def rows(fate: str) -> Column:
+        return F.count(F.when(F.col("fate") == fate, 1))
+
+    def sample(i: int) -> Column:
+        text = F.concat_ws(" ", F.col("id").cast("string"), "code", "date_raw")
+        wanted = (F.col("fate") == "bad_date") & (F.pmod(F.xxhash64("id"), F.lit(SAMPLES)) == i)
+        return F.min_by(F.when(wanted, text), F.when(wanted, F.col("id")))
+
+    return {"landed_rows": F.count(F.lit(1)), "aggregate_rows": rows("aggregate"), "header_rows": rows("header"),
+            "bad_date_rows": rows("bad_date"), "valid_rows": rows("valid"), "bad_date_samples": F.array(*[sample(i) for i in range(SAMPLES)])}
+
+
 def quality_counts(raw: DataFrame) -> DataFrame:
     """One row of counts: landed, aggregate, header, bad dates, duplicates, kept.
 

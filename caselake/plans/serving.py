@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import TREND_DAYS
@@ -76,6 +78,57 @@ def country_summary(fact: DataFrame, countries: DataFrame, as_of: Column) -> Dat
         as_of.alias("last_updated"))
 
 
+# --- serving from monthly states ----------------------------------------------------
+def country_months(fact: DataFrame) -> DataFrame:
+    """Per country and month what the summary needs of it: the newest row's totals, the newest known rate, and
+    the new cases of its days (at most 31). A month's state follows from that month's rows alone, so
+    states of other months stay as they are, however old the restated day."""
+    known = F.when(F.col("vaccination_rate").isNotNull(), F.col("date_id"))
+    return fact.groupBy("country_id", "month_id").agg(
+        F.max("date_id").alias("newest_date_id"),
+        F.max_by("total_cases", "date_id").alias("total_cases"), F.max_by("total_deaths", "date_id").alias("total_deaths"),
+        F.max(known).alias("rate_date_id"), F.max_by("vaccination_rate", known).alias("vaccination_rate"),
+        F.collect_list(F.when(F.col("new_cases").isNotNull(), F.struct("date_id", "new_cases"))).alias("days"))
+
+
+def trend_months(newest_date_id: int) -> list[int]:
+    """The months that the two trend windows before the newest day reach into."""
+    newest = date(newest_date_id // 10000, newest_date_id // 100 % 100, newest_date_id % 100)
+    days = [newest - timedelta(days=i) for i in range(2 * TREND_DAYS)]
+    return sorted({d.year * 100 + d.month for d in days})
+
+
+def country_summary_from_months(months: DataFrame, recent_months: DataFrame, newest_date_id: int, countries: DataFrame,
+                                as_of: Column) -> DataFrame:
+    """``country_summary`` out of the states: latest values from one narrow row per country and month, the
+    trend from the days of ``recent_months`` (``trend_months``)."""
+    newest = date_from_id(F.lit(newest_date_id))
+    latest = months.groupBy("country_id").agg(
+        F.max_by("total_cases", "newest_date_id").alias("latest_total_cases"),
+        F.max_by("total_deaths", "newest_date_id").alias("latest_total_deaths"),
+        F.max_by("vaccination_rate", "rate_date_id").alias("latest_vaccination_rate"))
+    days = recent_months.select("country_id", F.explode("days").alias("day")).select("country_id", "day.*")
+    recent, before = window_sums(date_from_id(F.col("date_id")), F.col("new_cases"), newest, TREND_DAYS)
+    sums = days.groupBy("country_id").agg(recent.alias("recent"), before.alias("before"))
+    return latest.join(countries.select("country_id", "country_name"), "country_id").join(sums, "country_id", "left").select(
+        "country_id", "country_name", "latest_total_cases", "latest_total_deaths", "latest_vaccination_rate",
+        guarded_trend(F.col("recent"), F.col("before")).alias("trend_7d_cases"), as_of.alias("last_updated"))
+
+
+def province_months(fact: DataFrame) -> DataFrame:
+    """Per province and month its newest and its first row."""
+    first = {f"first_{c}": F.min_by(c, "date_id") for c in ("new_cases", "total_cases", "total_deaths", "new_deaths")}
+    newest = {c: F.max_by(c, "date_id") for c in ("new_cases", "total_cases", "total_deaths", "active_cases")}
+    return fact.groupBy("province_id", "month_id").agg(
+        F.max("date_id").alias("newest_date_id"), F.min("date_id").alias("first_date_id"),
+        *[c.alias(k) for k, c in (newest | first).items()])
+
+
+def province_summary_from_months(months: DataFrame, provinces: DataFrame, as_of: Column) -> DataFrame:
+    """``province_summary`` out of the states."""
+    return province_summary(months.withColumnRenamed("newest_date_id", "date_id"), provinces, as_of)
+
+
 def country_summary_from_clean(clean: DataFrame, newest: Column) -> DataFrame:
     """The same summary straight from cleaned rows in one pass, keyed by the country code.
 

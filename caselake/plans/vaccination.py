@@ -12,6 +12,7 @@ from ..operators.clean import check_clean, keep_last
 from ..operators.keys import lookup_key, with_new_keys
 from ..operators.merge import insert_if_absent
 from ..session import materialize
+from ..sources.delimited import write_csv_snapshot
 from ..sources.joblog import JobLog
 from ..sources.store import TableStore
 from . import serving
@@ -60,12 +61,16 @@ def vaccination_fact(clean: DataFrame, provinces: DataFrame, snapshot: date) ->
         F.lit(snapshot.year * 100 + snapshot.month).alias("month_id"))
 
 
-def load(store: TableStore, text: DataFrame, snapshot: date, source_url: str, as_of: Column) -> DataFrame:
+def load(store: TableStore, text: DataFrame, snapshot: date, source_url: str, as_of: Column,
+         snapshot_path: str | None = None) -> DataFrame:
     """Replace the landing table, merge the dimensions, write the snapshot's fact rows and
-    rebuild the summary. Region and other provinces' rows are left as they are."""
+    rebuild the summary. Region and other provinces' rows are left as they are. ``snapshot_path``: a new folder
+    for the cleaned rows as CSV."""
     with JobLog(store.spark, store.root).run(JOB) as done:
         clean = materialize(clean_localities(text), "clean-localities")
         check_clean(clean)
+        if snapshot_path:
+            write_csv_snapshot(clean, snapshot_path, source_url, F.lit(snapshot))
         store.replace("raw_vaccination", clean.select(
             "*", F.lit(snapshot).alias("snapshot_date"), F.lit(source_url).alias("source_url"),
             as_of.alias("ingested_at")))
@@ -80,7 +85,7 @@ def load(store: TableStore, text: DataFrame, snapshot: date, source_url: str, as
         day = store.spark.range(1).select(F.lit(snapshot).alias("full_date"))
         store.replace("dim_date", insert_if_absent(store.read("dim_date"), serving.dim_date(day), ["date_id"]))
         provinces = store.read("dim_province")
-        rows = store.replace(FACT, vaccination_fact(clean, provinces, snapshot), "month_id", ["province_id"])
+        rows = store.replace(FACT, vaccination_fact(clean, provinces, snapshot), "month_id", ["province_id"], check=store.constraints(FACT))
         store.replace("agg_vaccination_summary", serving.vaccination_summary(
             store.read(FACT), provinces, int(snapshot.strftime("%Y%m%d")), as_of))
         done(rows)

@@ -8,6 +8,7 @@ RATE = T.DecimalType(18, 2)
 _TYPES = {
     "int": T.IntegerType(), "long": T.LongType(), "string": T.StringType(), "date": T.DateType(),
     "time": T.TimestampType(), "rate": RATE,
+    "days": T.ArrayType(T.StructType([T.StructField("date_id", T.IntegerType()), T.StructField("new_cases", T.LongType())])),
 }
 
 
@@ -44,6 +45,14 @@ SCHEMAS: dict[str, T.StructType] = {
     "fact_timeline_daily": _table(
         "series:string date_id:int total_cases:long total_deaths:long new_cases:long new_deaths:long "
         "source_url:string month_id:int"),
+    # what the serving tables need of each place and month, so that a load reads the months it touches only
+    "state_country_monthly": _table(
+        "country_id:int month_id:int newest_date_id:int total_cases:long total_deaths:long rate_date_id:int "
+        "vaccination_rate:rate days:days"),
+    "state_province_monthly": _table(
+        "province_id:int month_id:int newest_date_id:int new_cases:long total_cases:long total_deaths:long "
+        "active_cases:long first_date_id:int first_new_cases:long first_total_cases:long first_total_deaths:long "
+        "first_new_deaths:long"),
     # serving
     "agg_country_summary": _table(
         "country_id:int country_name:string latest_total_cases:long latest_total_deaths:long "
@@ -69,7 +78,7 @@ DEFAULTS: dict[str, dict] = {
     "fact_province_daily": {"new_deaths": 0, "recovered": 0, "active_cases": 0},
 }
 
-# Column groups that must be unique / must exist in a dimension (not enforced, audited).
+# Column groups that must be unique / must exist in a dimension (the loads enforce them, audits look them up).
 UNIQUE_KEYS = {
     "dim_country": ["iso_code"],
     "dim_province": ["province_name"],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..fixed_values import DAILY_COLUMNS, DAYS_TO_KEEP, HEADER_ECHO, NULL_WORDS
 from ..functions import null_if_missing_word
@@ -42,3 +42,16 @@ def check_landing(df: DataFrame) -> None:
     if df.isEmpty():
         raise ValueError("the delivery has no row")
     raise ValueError("the code column holds only header words; the file was read wrongly")
+
+
+def file_states(spark: SparkSession, paths) -> list[tuple[str, str, int, int]]:
+    """(path, name, length, time of change) of the files among ``paths`` and in the folders among them."""
+    found = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        status = fs.getFileStatus(where)
+        for s in [status] if status.isFile() else fs.listStatus(where):
+            if s.isFile() and s.getPath().getName()[0] not in "._" and s.getLen() > 0:
+                found.append((s.getPath().toString(), s.getPath().getName(), s.getLen(), s.getModificationTime()))
+    return sorted(found)

@@ -177,7 +177,7 @@ def test_timeline_with_province_list(spark, store):
 
 
 def test_every_table_of_the_model_is_declared():
-    assert len(SCHEMAS) == 17
+    assert len(SCHEMAS) == 19
 
 
 def test_golden_values_worked_out_by_hand(spark, store):
@@ -211,3 +211,141 @@ def test_refresh_of_touched_months_equals_the_rebuild(spark, store):
     got = [sorted(map(str, store.read(t).collect())) for t in tables]
     global_daily.refresh_serving(store, as_of())
     assert got == [sorted(map(str, store.read(t).collect())) for t in tables]
+
+
+def _spied(store, monkeypatch, name):
+    """The parts of a table that are opened, as lists; None is the whole table."""
+    opened, read = [], type(store).read
+    monkeypatch.setattr(type(store), "read", lambda self, table, parts=None: (
+        opened.append(parts) if table == name else None, read(self, table, parts))[1])
+    return opened
+
+
+def test_states_equal_the_rebuild_over_random_deliveries(spark, store, monkeypatch):
+    """Each delivery touches a few days of some months, old ones too; the summary from the states is the
+    one of the whole fact, and of the fact only touched months are opened."""
+    import random
+
+    draw = random.Random(11)
+    for n in range(5):
+        months = draw.sample(["2020-11", "2020-12", "2021-01", "2021-02", "2021-03"], 2)
+        rows = [day(i, draw.choice(["AAA", "BBB", "CCC"]), f"{draw.choice(months)}-{draw.randint(1, 28):02d}", draw.choice(["", "5", "70", "3"]),
+                    str(draw.randint(1, 99)), draw.choice(["10", "20", None])) for i in range(40)]
+        global_daily.extract(store, delivery(spark, *rows))
+        opened = _spied(store, monkeypatch, global_daily.FACT)
+        global_daily.transform_load(store, as_of())
+        monkeypatch.undo()
+        wanted = {int(m.replace("-", "")) for m in months}
+        assert n == 0 or (opened and all(parts is not None and set(parts) <= wanted for parts in opened))
+        got = sorted(map(str, store.read("agg_country_summary").collect()))
+        from caselake.plans import serving
+        whole = serving.country_summary(store.read(global_daily.FACT), store.read("dim_country"), as_of())
+        assert got == sorted(map(str, whole.select(*store.read("agg_country_summary").columns).withColumn(
+            "trend_7d_cases", F.col("trend_7d_cases").cast("decimal(18,2)")).collect()))
+
+
+def test_province_states_equal_the_rebuild(spark, store, monkeypatch):
+    """Deaths per day over deliveries in any order equal those of one delivery; only touched months are opened."""
+    import random
+
+    from caselake.plans import serving
+    from caselake.sources.store import TableStore
+
+    draw, deaths = random.Random(5), 0
+    days = [dt.date(2021, 1, 20) + dt.timedelta(days=3 * i) for i in range(25)]
+    rows = []
+    for name in ("A", "B"):
+        for d in days:
+            deaths += draw.randint(0, 4)
+            rows.append((name, "1", str(deaths), str(deaths), d.strftime("%m-%d-%Y")))
+    kind = "province_name string, new_cases string, total_cases string, total_deaths string, date_raw string"
+    parts = [rows[i::7] for i in (3, 0, 6, 1, 5, 2, 4)]
+    for n, part in enumerate([*parts, rows[4:6]]):
+        opened = _spied(store, monkeypatch, province.FACT)
+        province.load(store, spark.createDataFrame(part, kind), as_of(), derive_deaths=True)
+        monkeypatch.undo()
+        assert n == 0 or all(parts is not None for parts in opened)
+    once = TableStore(spark, store.root + "-once")
+    province.load(once, spark.createDataFrame(rows, kind), as_of(), derive_deaths=True)
+    for table in (province.FACT, "agg_province_summary", "agg_daily_province", province.STATE):
+        assert sorted(map(str, store.read(table).collect())) == sorted(map(str, once.read(table).collect())), table
+    summary = serving.province_summary(store.read(province.FACT), store.read("dim_province"), as_of())
+    assert sorted(map(str, summary.select(*store.read("agg_province_summary").columns).collect())) == sorted(
+        map(str, store.read("agg_province_summary").collect()))
+
+
+def test_accounting_comes_from_the_writing_tasks(spark, store):
+    rows = [day(1, "AAA", "2021-01-01", "5", "5"), day(2, "AAA", "2021-01-01", "6", "5"), day(3, "OWID_X", "2021-01-01", "1", "1"),
+            day(4, "iso_code", "date", "1", "1"), day(5, "BBB", "31-31-2021", "1", "1"), day(6, None, "2021-01-01", "1", "1"),
+            day(7, "BBB", "soon", "1", "1"), day(8, "BBB", "2021-01-02", "1", "1")]
+    global_daily.extract(store, delivery(spark, *rows))
+    counted = global_daily.accounting(store).first()  # nothing is loaded yet: counted anew
+    global_daily.transform_load(store, as_of())
+    assert global_daily.accounting(store).first() == counted
+    assert counted.asDict() == {"landed_rows": 8, "aggregate_rows": 2, "header_rows": 1, "bad_date_rows": 2, "duplicate_rows": 1,
+                                "kept_rows": 2, "left_out_rows": 0}
+    plan = global_daily.accounting(store)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Exchange" not in plan
+    assert set(global_daily.bad_dates(store)) <= {"5 BBB 31-31-2021", "7 BBB soon"} and global_daily.bad_dates(store)
+    global_daily.extract(store, delivery(spark, *[day(i, "AAA", f"2021-01-{i:02d}", "1", "1") for i in range(1, 11)]), days=3)
+    global_daily.transform_load(store, as_of())
+    row = global_daily.accounting(store).first()
+    assert (row.landed_rows, row.left_out_rows, row.kept_rows) == (4, 6, 4)
+
+
+def test_a_load_against_the_constraints_is_refused(spark, store, monkeypatch):
+    from caselake.plans import serving
+
+    global_daily.extract(store, delivery(spark, day(1, "AAA", "2021-01-01", "5", "5")))
+    global_daily.transform_load(store, as_of())
+    before = {t: store.folders(t) for t in (global_daily.FACT, "dim_country")}
+    made = serving.global_fact
+    for change, message in ((lambda f: f.unionByName(f), "share the key"),
+                            (lambda f: f.withColumn("country_id", F.lit(77)), "77 is not in dim_country"),
+                            (lambda f: f.withColumn("date_id", F.lit(20300101)), "not in dim_date")):
+        monkeypatch.setattr(serving, "global_fact", lambda clean, countries: change(made(clean, countries)))
+        with pytest.raises(ValueError, match=message):
+            global_daily.transform_load(store, as_of())
+        monkeypatch.undo()
+        assert store.folders(global_daily.FACT) == before[global_daily.FACT]
+    assert {r.status for r in JobLog(spark, store.root).read().collect()} == {"success", "failed"}
+
+
+def test_deliveries_are_landed_once(spark, store, tmp_path):
+    lines = "iso_code,continent,location,date,new_cases,new_deaths,total_cases,total_deaths,people_vaccinated,population\n"
+    (tmp_path / "a.csv").write_text(lines + "AAA,Asia,A,2021-01-01,1,1,1,1,1,9\n")
+    (tmp_path / "b.csv").write_text(lines + "AAA,Asia,A,2021-01-02,2,1,1,1,1,9\n")
+    assert global_daily.extract_files(store, [str(tmp_path)]) == ["a.csv", "b.csv"]
+    assert global_daily.extract_files(store, [str(tmp_path)]) == []
+    (tmp_path / "a.csv").write_text(lines + "AAA,Asia,A,2021-01-01,70,1,1,1,1,9\nBBB,Asia,B,2021-01-01,3,1,1,1,1,9\n")
+    (tmp_path / "0.csv").write_text(lines + "CCC,Asia,C,2021-01-01,4,1,1,1,1,9\n")
+    assert global_daily.extract_files(store, [str(tmp_path)]) == ["0.csv", "a.csv"]
+    landed = store.read("raw_daily")
+    assert sorted((r.iso_code, r.new_cases, r.source_file) for r in landed.collect()) == [
+        ("AAA", "1", "a.csv"), ("AAA", "2", "b.csv"), ("AAA", "70", "a.csv"), ("BBB", "3", "a.csv"), ("CCC", "4", "0.csv")]
+    global_daily.transform_load(store, as_of())
+    fact = {(r.date_id, r.new_cases) for r in store.read(global_daily.FACT).collect()}
+    assert {(20210101, 70), (20210102, 2), (20210101, 3), (20210101, 4)} == fact  # the file sent again wins
+    (tmp_path / "c.csv").write_text(lines)
+    with pytest.raises(ValueError, match="no row"):
+        global_daily.extract_files(store, [str(tmp_path)])
+    assert store.read("raw_daily").count() == 5
+
+
+def test_vaccination_load_writes_its_snapshot(spark, store, tmp_path):
+    rows = spark.createDataFrame([("Long An province", "1,000", "2,600", "2,500", "250.00")],
+                                 "province_name string, population string, doses_distributed string, doses_administered string, doses_per_100 string")
+    vaccination.load(store, rows, dt.date(2022, 1, 31), "https://example.org", as_of(), str(tmp_path / "snapshot"))
+    [file] = [p for p in (tmp_path / "snapshot").iterdir() if p.suffix == ".csv"]
+    assert file.read_text("utf-8-sig").splitlines()[1] == "Long An,1000,2600,2500,250.0,https://example.org,2022-01-31"
+
+
+def test_columns_that_changed_their_type_stay_readable(spark, tmp_path):
+    from caselake.sources.store import TableStore
+
+    for kind in ("k int, v int", "k int, v bigint, w string", "k int, v string, w string"):
+        schema = spark.createDataFrame([], kind).schema
+        store = TableStore(spark, str(tmp_path / "t"), {"t": schema}, {"t": {"w": "none"}})
+        store.append("t", spark.createDataFrame([(1, "9", "x")], "k int, v string, w string").selectExpr(
+            *[f"cast({c} as {k}) as {c}" for c, k in spark.createDataFrame([], kind).dtypes]))
+    assert sorted(tuple(r) for r in store.read("t").collect()) == [(1, "9", "none"), (1, "9", "x"), (1, "9", "x")]

@@ -1,6 +1,8 @@
 """Files, pages, the table store and the run log."""
 
+import csv
 import datetime as dt
+import io
 import os
 
 import pytest
@@ -54,6 +56,76 @@ def test_csv_columns(spark, tmp_path):
         delimited.first_existing(spark, [str(tmp_path / "no.csv")])
 
 
+RECORDS = [("a", "plain", "1"), ("b", "q \"z\"", "2"), ("c", "two\nlines", "3"), ("d", "a,b", "4"), ("e", "\"\n\n\"x\n,", "5"), ("f", "", "6"),
+           ("g", "n" * 30, "7"), ("h", "\"", "8"), ("i", "end\n", "9")]
+
+
+def _csv_text(rows):
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows(rows)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("limit", ["40", "1000", "128m"])
+def test_csv_records_over_several_lines_and_blocks(spark, tmp_path, limit):
+    """Equal to a plain reader, however the files are split; bad records are told apart."""
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    rows = [(f"{k}{i}", v, n) for i in range(30) for k, v, n in RECORDS]
+    (folder / "a.csv").write_text(_csv_text([("k", "v", "n"), *rows]))
+    (folder / "b.csv").write_text(_csv_text([("k", "v", "n"), ("z", "one", "1")]) + "\n \nshort,row\nx,1,2,3\n" + _csv_text([("y", "l\n1", "2")])
+                                  + "open,\"never closed\nmore,1\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    try:
+        good, bad = delimited.read_records(spark, str(folder), ["k", "v", "n"], order="id")
+        got = [(r.k, r.v, r.n) for r in good.orderBy("id").collect()]
+        assert got == [(k, v or None, n) for k, v, n in rows] + [("z", "one", "1"), ("short", "row", None), ("y", "l\n1", "2")]
+        assert sorted((r.file.endswith("/b.csv"), r.record, r.reason) for r in bad.collect()) == [
+            (True, 'open,"never closed\nmore,1', "quote not closed"), (True, "x,1,2,3", "more fields than the header")]
+        found = delimited.read_columns_csv(spark, str(folder / "a.csv"), ["n", "k"], order="id")
+        assert [(r.k, r.n) for r in found.orderBy("id").collect()] == [(k, n) for k, _, n in rows]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_csv_with_doubled_quotes_on_one_line(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('k,v\n1,"q ""z"""\n2,"a,""b"""\n')
+    df = delimited.read_columns_csv(spark, str(tmp_path / "q.csv"), ["k", "v"])
+    assert sorted(map(tuple, df.collect())) == [("1", 'q "z"'), ("2", 'a,"b"')]
+    assert "FileScan csv" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tsv_without_a_mark_and_with_bad_bytes(spark, tmp_path):
+    text = "\n".join(LINES) + "\n"
+    for encoding in ("utf-16-le", "utf-16-be"):
+        (tmp_path / "unmarked.tsv").write_bytes(text.encode(encoding))
+        assert delimited.read_tsv(spark, str(tmp_path / "unmarked.tsv")).count() == 2
+    (tmp_path / "latin.tsv").write_bytes(text.replace("Đắk Lắk", "Lé").replace("Bà Rịa", "La").replace("ỉ", "i").replace("ổ", "o").replace(
+        "ố", "o").replace("ễ", "e").replace("ớ", "o").replace("ử", "u").encode("latin-1"))
+    with pytest.raises(ValueError, match="latin.tsv.*UTF-8 at 0"):
+        delimited.read_tsv(spark, str(tmp_path / "latin.tsv"))
+    read = delimited.read_tsv(spark, str(tmp_path / "latin.tsv"), fallbacks=["ISO-8859-1"])
+    assert "Lé" in {r[0] for r in read.collect()}
+    (tmp_path / "half.tsv").write_bytes(b"\xff\xfe" + text.encode("utf-16-le").replace("R".encode("utf-16-le"), b"\x00\xd8"))
+    with pytest.raises(ValueError, match="half.tsv.*UTF-16LE"):
+        delimited.read_tsv(spark, str(tmp_path / "half.tsv"))
+
+
+def test_snapshot_files_begin_with_a_mark(spark, tmp_path):
+    rows = spark.createDataFrame([('say "hi"', 1), ("two\nlines", 2)], "province_name string, population long").coalesce(1)
+    delimited.write_csv_snapshot(rows, str(tmp_path / "s"), "u", F.lit(dt.date(2024, 1, 1)))
+    [file] = [p for p in (tmp_path / "s").iterdir() if p.suffix == ".csv"]
+    assert file.read_bytes().startswith(b"\xef\xbb\xbfprovince_name,population,source_url,snapshot_date\n")
+    plain = list(csv.reader(io.StringIO(file.read_text("utf-8-sig"))))
+    assert plain[1:] == [['say "hi"', "1", "u", "2024-01-01"], ["two\nlines", "2", "u", "2024-01-01"]]
+    one = rows.filter("population = 1")
+    delimited.write_csv_snapshot(one, str(tmp_path / "one"), "u", F.lit(dt.date(2024, 1, 1)))
+    schema = one.withColumn("source_url", F.lit("")).withColumn("snapshot_date", F.lit(dt.date(2024, 1, 1))).schema
+    assert [tuple(r) for r in delimited.read_csv_snapshot(spark, str(tmp_path / "one"), schema).collect()] == [
+        ('say "hi"', 1, "u", dt.date(2024, 1, 1))]
+
+
 def test_order_over_several_files(spark, tmp_path):
     """Of rows with one key the last row of the last file wins, however Spark packs the files."""
     folder = tmp_path / "many"
