@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselake.llm import bloom
+from caselake.llm import bloom, rowkeys
 from caselake.llm.textwords import LETTERS, Words, buffers, slices, words_of
 from caselake.session import materialize
 
@@ -200,7 +200,7 @@ def _scan(docs: DataFrame, items: list[tuple[object, str]], n: int, id_type: str
                      pa.array(spans, span_type), pa.array(held, pa.list_(pa.string()))],
                     names=["row_no", "doc_id", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, f"row_no long, doc_id {id_type}, n_words long, spans {_SPANS}, items array<string>")
+    return docs.mapInArrow(run, f"row_no {rowkeys.KEY_TYPE}, doc_id {id_type}, n_words long, spans {_SPANS}, items array<string>")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -209,7 +209,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """One row per row of ``docs``: doc_id, n_words, spans (merged word intervals), n_hit, items
     (ids as sorted strings), row_no."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"),
+    narrow = rowkeys.stored(docs, "op7-docs").select(rowkeys.row_key().alias("row_no"), F.col(id_col).alias("doc_id"),
                          F.col(text_col).cast("string").alias("text"))
     scans = [_scan(narrow, items, n, id_type) for items in item_blocks(benchmark, item_col, item_text, block_words)]
     if not scans:
@@ -236,12 +236,12 @@ def remove_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", max_
                  max_coverage: float = 0.5) -> DataFrame:
     """``docs`` without spans of more than ``max_words`` hit words (0: every span goes) and without
     documents whose hit words are more than ``max_coverage`` of all. ``found`` is ``find(docs, ...)``;
-    ``docs`` is a stored table, as rows are matched by their number in its scan.
+    ``docs`` is the stored table that was searched: rows are matched by their place in its files.
     Documents without hits come back unchanged, byte for byte."""
     hits = materialize(found.filter("n_hit > 0").select(
         F.col("row_no").alias("__row"), F.col("spans").alias("__spans"),
         (F.col("n_hit") > F.col("n_words") * max_coverage).alias("__covered")), "op7-hits")
-    numbered = docs.withColumn("__row_no", F.monotonically_increasing_id())
+    numbered = rowkeys.with_key(rowkeys.required(docs), "__row_no")
     clean, possible = bloom.apart(numbered, "__row_no", hits, "__row", "op7-hits")
     joined = possible.join(hits, F.col("__row_no") == F.col("__row"), "left")
     joined = joined.filter("not coalesce(__covered, false)").drop("__row_no", "__row", "__covered")

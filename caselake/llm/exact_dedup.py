@@ -9,14 +9,15 @@ scan and never move.
 Defined cases: a null text counts as empty. Of equal texts the row with the smallest doc_id
 stays, null ids last; rows repeated with the same id are rows like others, exactly one of a group
 stays. An empty table gives an empty result. Other columns, whatever their names, are not read
-by ``mark_copies`` and come back unchanged from ``drop_copies``."""
+by ``mark_copies`` and come back unchanged from ``drop_copies``. Rows are told apart by their place in the
+table's files (``rowkeys``), so it does not matter how two scans are split into tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselake.llm import bloom
+from caselake.llm import bloom, rowkeys
 from caselake.session import materialize
 
 def normalized(text: str) -> F.Column:
@@ -27,11 +28,11 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 max_blocks: int = bloom.MAX_BLOCKS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, row_no.
 
-    ``row_no`` tells rows apart that share an id; it follows the order of the scan."""
-    spark = docs.sparkSession
+    ``row_no`` is the row's key in the stored table; it tells rows apart that share an id."""
+    docs = rowkeys.stored(docs, "op1-docs")
     keys = materialize(docs.select(
         F.col(id_col).alias("doc_id"), F.sha2(normalized(text_col), 256).alias("text_sha256"),
-        F.monotonically_increasing_id().alias("row_no")), "op1-keys")
+        rowkeys.row_key().alias("row_no")), "op1-keys")
     n_blocks = bloom.blocks_for(keys.count(), bits_per_row, max_blocks)
     repeated = materialize(bloom.build(keys, "text_sha256", n_blocks, at_least=2), "op1-filter")
     asked = bloom.ask(keys, "text_sha256", n_blocks, repeated)
@@ -53,11 +54,12 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without later copies, with its own columns. ``docs`` is a stored table: its scan runs
-    twice, and rows are matched by their number in it."""
+    """``docs`` without later copies, with its own columns. A table that is not stored is stored
+    first: its rows are matched by their place in its files."""
+    docs = rowkeys.stored(docs, "op1-docs")
     marks = mark_copies(docs, id_col, text_col)
     gone = materialize(marks.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("row_no").alias("__row")), "op1-gone")
-    numbered = docs.withColumn("__row_no", F.monotonically_increasing_id())
+    numbered = rowkeys.with_key(docs, "__row_no")
     sure, possible = bloom.apart(numbered, "__row_no", gone, "__row", "op1-gone")
     kept = possible.join(gone, (F.col("__row_no") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
     return sure.unionByName(kept).drop("__row_no")

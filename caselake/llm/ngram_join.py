@@ -22,9 +22,11 @@ inside it compares its blocks pairwise, which the result (links per document) as
 
 Words: runs of digits, A-Z in lower case, a-z and everything from 0x80 on. A text with fewer words
 than ``n`` has one n-gram of all its words. Null texts and texts without words have no n-grams, no
-links, and are groups of their own. Null ids are left out. Rows with the same id are one document,
-the first of them in the scan counts. ``docs`` is a stored table: rows are matched by their number in
-its scan."""
+links, and are groups of their own. Every row is a document of its own: one without an id, and one whose id
+stands in an earlier row, is compared like the others under a number that is larger than all ids, and
+comes back with its own id; its group has the smallest id of the others, or its own. Rows are matched by
+their place in the files of the table (``rowkeys``); one that is not stored is stored first. An empty
+table gives an empty result."""
 
 from __future__ import annotations
 
@@ -35,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselake.llm import bloom
+from caselake.llm import bloom, rowkeys
 from caselake.llm.components import components
-from caselake.llm.textwords import LETTERS, mix, sequence_hashes, slices, words_of
+from caselake.llm.textwords import LETTERS, mix, release, sequence_hashes, slices, words_of
 from caselake.session import materialize
 
 N, THRESHOLD = 5, 0.8
@@ -110,7 +112,7 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
                      pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))],
                     ["row_no", "doc_id", "size", "set_a", "set_b", "bands"])
 
-    return docs.mapInArrow(run, f"row_no long, doc_id {kind}, size long, set_a long, set_b long, bands array<long>")
+    return docs.mapInArrow(run, f"row_no {rowkeys.KEY_TYPE}, doc_id {kind}, size long, set_a long, set_b long, bands array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -240,6 +242,7 @@ def _blocks_compared(members: DataFrame, threshold: float, tolerance: float) ->
         np.add.at(counts, b + len(x.ids), x.weight[a])
         linked = counts > 0
         forest = _forest(x.ids[a], y.ids[b])
+        release()
         nodes = np.array([v for v, _ in forest], np.int64)
         roots = np.array([r for _, r in forest], np.int64)
         return pa.table({
@@ -251,26 +254,38 @@ def _blocks_compared(members: DataFrame, threshold: float, tolerance: float) ->
     return members.groupBy("cluster", "first_block", "second_block").applyInArrow(run, "doc_id long, links long, root long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD,
-                tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its group of linked documents), copy_id
-    (smallest id with the same n-grams), n_copies (documents with the same n-grams, itself included),
-    n_links (other documents with a similarity of at least ``threshold``, equal ones included)."""
+_LAST = (1 << 63) - 1
+
+
+def _odd_rows(rows: DataFrame) -> DataFrame:
+    """Rows without an id and those whose id stands in an earlier row: odd_row, odd_id and a number of its own
+    for each, counted down from the largest, which stands in for the id."""
+    again = rows.filter("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).agg(
+        F.min("row_no").alias("first_row"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = rows.join(again, F.col("doc_id") == F.col("again_id")).filter("row_no <> first_row").select("row_no", "doc_id")
+    # Stored at once: the numbers are given in one pass and only read from then on.
+    return materialize(rows.filter("doc_id is null").select("row_no", "doc_id").unionByName(later).select(
+        F.col("row_no").alias("odd_row"), F.col("doc_id").alias("odd_id"), (F.lit(_LAST) - F.monotonically_increasing_id()).alias("stand_in")),
+        "op10-odd")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, tolerance: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Per row of the stored table ``docs``: row_no, doc_id, class_id, copy_id (numbers that may stand in for ids), n_copies,
+    n_links; and the rows that numbers stand in for."""
     if n > 1 and BANDS * ROWS % 16:
         raise ValueError("MinHash values are compared in steps of 16")
-    texts = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"),
-                        F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
+    texts = docs.select(rowkeys.row_key().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"),
+                        F.col(text_col).cast("string").alias("text"))
     rows = materialize(_described(texts, n), "op10-rows")
-    again = materialize(rows.groupBy(F.col("doc_id").alias("again_id")).agg(
-        F.min("row_no").alias("first_row"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "op10-again")
-    if not again.isEmpty():
-        rows = rows.join(again, F.col("doc_id") == F.col("again_id"), "left").filter(
-            "first_row is null or first_row = row_no").drop("again_id", "first_row", "n")
+    odd = _odd_rows(rows)
+    if not odd.isEmpty():
+        rows = materialize(rows.join(odd, F.col("row_no") == F.col("odd_row"), "left").withColumn(
+            "doc_id", F.coalesce("stand_in", "doc_id")).drop("odd_row", "odd_id", "stand_in"), "op10-rows")
     filled = rows.filter("size > 0")
     classes = materialize(filled.groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies")), "op10-classes")
-    members = materialize(filled.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select(
-        "doc_id", "copy_id", "n_copies"), "op10-members")
+    members = materialize(filled.select("row_no", "doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select(
+        "row_no", "doc_id", "copy_id", "n_copies"), "op10-members")
     stands = members.filter("doc_id = copy_id").select(F.col("doc_id").alias("stand"), "n_copies")
     sized = filled.select("doc_id", "row_no", "size")
     banded = filled.join(stands, F.col("doc_id") == F.col("stand"), "left_semi").select(
@@ -287,7 +302,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = materialize(placed.join(stands, F.col("node") == F.col("stand")).drop("stand"), "op10-placed")
     _, clustered = bloom.apart(texts, "row_no", placed, "row_no", "op10-clustered")
-    grams = materialize(_sets(clustered.join(placed, "row_no", "left_semi"), n), "op10-sets")
+    of_placed = clustered.drop("doc_id").join(placed.select("row_no", F.col("node").alias("doc_id")), "row_no")
+    grams = materialize(_sets(of_placed, n), "op10-sets")
     sent = grams.join(placed, F.col("doc_id") == F.col("node")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("first_block"), F.greatest("block", "other").alias("second_block"),
@@ -298,17 +314,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         "op10-groups")
     named = members.join(groups, F.col("copy_id") == F.col("node"), "left").join(
         links, F.col("copy_id") == F.col("linked"), "left").select(
-        "doc_id", F.coalesce("root", "copy_id").alias("class_id"), "copy_id", "n_copies",
+        "row_no", "doc_id", F.coalesce("root", "copy_id").alias("class_id"), "copy_id", "n_copies",
         (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
     empty = rows.filter("size = 0").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"),
+        "row_no", "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"),
         F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return named.unionByName(empty)
+    return named.unionByName(empty), odd
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kind) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id. Rows without an id stay."""
-    gone = materialize(near_copies(docs, id_col, text_col, **kind).filter("doc_id <> class_id").select(
-        F.col("doc_id").alias("__gone")), "op10-gone")
-    sure, possible = bloom.apart(docs.withColumn("__key", F.col(id_col).cast("long")), "__key", gone, "__gone", "op10-gone")
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD,
+                tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest id of its group of linked documents), copy_id
+    (smallest id with the same n-grams), n_copies (documents with the same n-grams, itself included),
+    n_links (other documents with a similarity of at least ``threshold``, equal ones included)."""
+    found, odd = _classes(rowkeys.stored(docs, "op10-docs"), id_col, text_col, n, threshold, tolerance, block)
+    found = found.drop("row_no")
+    if odd.isEmpty():
+        return found
+    for c in ("doc_id", "class_id", "copy_id"):
+        own = odd.select(F.col("stand_in").alias("__stand"), F.col("odd_id").alias("__own"))
+        found = found.join(own, F.col(c) == F.col("__stand"), "left").withColumn(
+            c, F.when(F.col("__stand").isNotNull(), F.col("__own")).otherwise(F.col(c))).drop("__stand", "__own")
+    return found
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD,
+                     tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest id, or one of them if none has an id."""
+    docs = rowkeys.stored(docs, "op10-docs")
+    found, _ = _classes(docs, id_col, text_col, n, threshold, tolerance, block)
+    gone = materialize(found.filter("doc_id <> class_id").select(F.col("row_no").alias("__gone")), "op10-gone")
+    sure, possible = bloom.apart(rowkeys.with_key(docs, "__key"), "__key", gone, "__gone", "op10-gone")
     return sure.unionByName(possible.join(gone, F.col("__key") == F.col("__gone"), "left_anti")).drop("__key")

@@ -9,7 +9,7 @@ from caselake.llm import (
     bpe, collocations, decontaminate, exact_dedup, ngram_join, pii, quality, substring, token_rollup, toxicity, url_filter, warc,
     whitening,
 )
-from caselake.session import scratch_path
+from caselake.session import materialize, scratch_path
 
 
 def table(spark, sf_dir: str, name: str):
@@ -36,21 +36,19 @@ TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "runs-1": r"[0-9]+|[A-Za-z\x{80}-
 
 
 def op4_token_rollup(spark, sf_dir):
-    """All documents come in by two batches, one for each version; a third revises the counts of the
-    second version (a document's stored length replaces its count where the document has more than
-    1,000 characters) and deletes documents with an odd id below that length. Batches are sent
-    again, which changes nothing."""
-    rollup = token_rollup.scratch(spark)
-    rows = token_rollup.counted(table(spark, sf_dir, "documents"), TOKENIZERS)
-    for version in TOKENIZERS:
-        arrived = rows.filter(F.col("version") == version).withColumns({"op": F.lit("insert"), "seq": F.lit(0)})
-        rollup.commit(f"insert-{version}", arrived)
-    longer = F.col("n_chars") > 1000
-    changes = table(spark, sf_dir, "documents").filter(longer | (F.col("doc_id") % 2 == 1)).select(
-        "doc_id", "source", "lang", F.lit("runs-1").alias("version"), F.col("n_chars").alias("n_tokens"), F.lit(1).alias("seq"),
-        F.when(longer, "revise").otherwise("delete").alias("op"))
-    for _ in range(2):
-        rollup.commit("revise-runs-1", changes)
+    """All documents come in with a provisional count, their stored length; then every count is revised by the
+    real one of the whole text. The documents with more than a thousand tokens are deleted and come in
+    again. Each batch is sent twice, which changes nothing. In the end both versions hold every document
+    with its own count."""
+    rollup, docs = token_rollup.scratch(spark), table(spark, sf_dir, "documents")
+    counts = materialize(token_rollup.counted(docs, TOKENIZERS), "op4-counts")
+    versions = F.explode(F.array(*[F.lit(v) for v in TOKENIZERS])).alias("version")
+    longer = counts.filter("n_tokens > 1000")
+    for batch, op, rows in (
+            ("arrived", "insert", docs.select("doc_id", "source", "lang", F.col("n_chars").alias("n_tokens"), versions)),
+            ("counted", "revise", counts), ("withdrawn", "delete", longer), ("returned", "insert", longer)):
+        for _ in range(2):
+            rollup.commit(batch, rows.withColumns({"op": F.lit(op), "seq": F.lit(0)}))
     return rollup.totals()
 
 
@@ -135,10 +133,8 @@ with w as (
   select source, lang, 'words-1' as version, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n
   from documents
   union all
-  select source, lang, 'runs-1',
-         case when n_chars > 1000 then n_chars
-              else len(regexp_extract_all(coalesce(text, ''), '[0-9]+|[A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]')) end
-  from documents where n_chars > 1000 or doc_id % 2 = 0)
+  select source, lang, 'runs-1', len(regexp_extract_all(coalesce(text, ''), '[0-9]+|[A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]'))
+  from documents)
 select source, lang, version, count(*) as n_docs, cast(sum(n) as bigint) as n_tokens from w group by all""",
     "op5_url_filter": r"""
 with p as (

@@ -35,3 +35,13 @@ def stored(docs: DataFrame, label: str) -> DataFrame:
 def with_key(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` (from ``stored``) with its row key in a further column."""
     return docs.select("*", row_key().alias(name))
+
+
+def required(docs: DataFrame) -> DataFrame:
+    """``docs``, or an error if its rows have no place in files: for steps that match rows with an earlier result
+    about the same table."""
+    try:
+        docs.select(row_key())
+    except AnalysisException as error:
+        raise ValueError("a stored Parquet table is needed, the one that the earlier step read") from error
+    return docs

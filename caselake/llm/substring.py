@@ -26,8 +26,8 @@ word sequence also starts earlier (smaller doc_id, or earlier in the same docume
 Texts move only for documents that lose words. Words are compared by 64-bit hashes. Words: runs of
 anything but space and 0x09 to 0x0D, unchanged. Null texts have no words; a null doc_id counts as
 larger than every other. Rows with one doc_id are separate documents that start at equal places, so
-none of them removes the other's window at the same start. ``docs`` is a stored table: rows are
-matched by their number in its scan."""
+none of them removes the other's window at the same start. Rows are matched by their place in the files
+of the table (``rowkeys``); one that is not stored is stored first."""
 
 from __future__ import annotations
 
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselake.llm import bloom
+from caselake.llm import bloom, rowkeys
 from caselake.llm.textwords import UNSPACED, Words, buffers, mix, sequence_hashes, slices, words_of
 from caselake.session import materialize
 
@@ -160,12 +160,12 @@ def _suffixes(docs: DataFrame, bits) -> DataFrame:
                 text = pa.Array.from_buffers(pa.large_binary(), len(at), [
                     None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.asarray(part.column("row_no"))[owner]), _places(ids, start - words.first[:-1][owner]),
+                    part.column("row_no").take(pa.array(owner)), _places(ids, start - words.first[:-1][owner]),
                     pa.array(windows.astype(np.int32)), pa.array(runs.key[at].view(np.int64)),
                     pa.array((runs.anchor[at] - start).astype(np.int32)), text.cast(pa.binary())],
                     ["row_no", "place", "windows", "key", "off", "words"])
 
-    return docs.mapInArrow(run, "row_no long, place decimal(38,0), windows int, key long, off int, words binary")
+    return docs.mapInArrow(run, "row_no decimal(38,0), place decimal(38,0), windows int, key long, off int, words binary")
 
 
 def _node(order: np.ndarray, columns: list[np.ndarray], group: np.ndarray) -> list[np.ndarray]:
@@ -288,7 +288,7 @@ def _whole_windows(folded: DataFrame) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"),
+    return docs.select(rowkeys.row_key().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"))
 
 
@@ -312,7 +312,7 @@ def _whole_copies(narrow: DataFrame) -> DataFrame:
                     [part.column("row_no").take(chosen), part.column("doc_id").take(chosen), pa.array(counts[at]),
                      pa.array(a), pa.array(b)], ["row_no", "doc_id", "n_words", "a", "b"])
 
-    rows = materialize(narrow.mapInArrow(run, "row_no long, doc_id long, n_words long, a long, b long"), "op8-whole")
+    rows = materialize(narrow.mapInArrow(run, "row_no decimal(38,0), doc_id long, n_words long, a long, b long"), "op8-whole")
     place = F.coalesce("doc_id", F.lit(_LAST))
     first = rows.groupBy("a", "b", "n_words").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return materialize(rows.join(first, ["a", "b", "n_words"]).filter(place > F.col("first")).select(
@@ -382,12 +382,13 @@ def _digests(rows: DataFrame, windows: bool) -> DataFrame:
                  pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string())],
                 ["row_no", "doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.mapInArrow(run, "row_no long, doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(run, "row_no decimal(38,0), doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_rows: int = PREFIX_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256. Rows that lose nothing are
     digested in the scan; a Bloom filter of the others' numbers keeps their texts from moving."""
+    docs = rowkeys.stored(docs, "op8-docs")
     narrow = _numbered(docs, id_col, text_col)
     copies = _whole_copies(narrow)
     indexed = _without(narrow, copies)
@@ -404,12 +405,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    prefix_rows: int = PREFIX_ROWS) -> DataFrame:
     """``docs`` with texts less their repeated words; what is left of a changed text is joined by single
     spaces. Rows that lose nothing come back unchanged."""
+    docs = rowkeys.stored(docs, "op8-docs")
     narrow = _numbered(docs, id_col, text_col)
     copies = _whole_copies(narrow)
     marks = repeats(_without(narrow, copies), prefix_rows).withColumn("copy", F.lit(False)).unionByName(copies.select(
         "row_no", F.lit(True).alias("copy")), allowMissingColumns=True)
     marks = materialize(marks.withColumnsRenamed({"row_no": "__marked", "windows": "__windows", "copy": "__copy"}), "op8-marks")
-    numbered = docs.withColumn("__row_no", F.monotonically_increasing_id())
+    numbered = rowkeys.with_key(docs, "__row_no")
     unmarked, possible = bloom.apart(numbered, "__row_no", marks, "__marked", "op8-marks")
     joined = possible.join(marks, F.col("__row_no") == F.col("__marked"), "left").drop("__row_no", "__marked")
     schema = docs.schema

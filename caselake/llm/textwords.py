@@ -5,11 +5,14 @@ tables keep every byte from 0x80 on, so characters beyond ASCII are never cut.""
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+
 import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in slices of about so many bytes, which bounds a task's arrays.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _SEGMENT = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -130,6 +133,17 @@ def words_of(texts: pa.Array, table: np.ndarray, hashed: bool = True) -> Words:
     return Words(*buffers(texts), table, hashed)
 
 
+_LIBC = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6", use_errno=True)
+
+
+def release() -> None:
+    """Give freed memory back to the system. A Python worker lives as long as its executor and would otherwise
+    keep what the largest batch of any stage took."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES):
     """The batch in runs of rows with about ``limit`` bytes of text each; a longer text is alone."""
     if not batch.num_rows:
@@ -140,3 +154,4 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()

@@ -6,7 +6,8 @@ the totals; nothing is counted anew. What a document counted before is taken fro
 delete or a revision cannot take off more than was put in.
 
 Layout below ``root`` (any path Spark can write):
-  changes/<batch>   the batch's last change per document and version (the ledger's newest layer)
+  changes/<batch>/bucket=<n>   the batch's last change per document and version (the ledger's newest layer), by a
+                               hash bucket of the document: a batch reads the buckets of its own documents only
   deltas/<batch>    signed sums per group
   commits/<batch>   one row, written last
 A batch counts from the moment its commit exists. Committing it again does nothing, and a commit that
@@ -22,6 +23,7 @@ documents are all gone stay out of the totals. Other columns are not read."""
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from caselake.session import scratch_path
 
 OPS = ["insert", "delete", "revise"]
-_STATE = "doc_id long, version string, op string, source string, lang string, n_tokens long, batch_no long"
+_STATE = "doc_id long, version string, op string, source string, lang string, n_tokens long, batch_no long, bucket int"
+#: Hash buckets of the ledger.
+BUCKETS = 64
 _DELTA = "source string, lang string, version string, n_docs long, n_tokens long"
 
 
@@ -56,11 +60,16 @@ class TokenRollup:
         done = self.batches()
         if not done:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[self._path(part, b) for b in done])
-
-    def state(self) -> DataFrame:
-        """(doc_id, version, source, lang, n_tokens) of the documents that count now."""
+        paths = [self._path(part, b) for b in done]
+        if part != "changes":
+            return self.spark.read.schema(schema).parquet(*paths)
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(p) for p in paths])
+
+    def state(self, buckets: list[int] | None = None) -> DataFrame:
+        """(doc_id, version, source, lang, n_tokens) of the documents that count now, or of those in some
+        buckets; files of the others are not opened."""
         layers = self._read("changes", _STATE)
+        layers = layers if buckets is None else layers.filter(F.col("bucket").isin(buckets))
         newest = layers.groupBy("doc_id", "version").agg(F.max("batch_no").alias("newest")).withColumnsRenamed(
             {"doc_id": "d", "version": "v"})
         return layers.join(newest, (F.col("doc_id") == F.col("d")) & (F.col("version") == F.col("v"))
@@ -84,10 +93,12 @@ class TokenRollup:
             F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"), F.col("seq").cast("long"))
         last = rows.groupBy("doc_id", "version").agg(
             F.max(F.struct("seq", "op", "source", "lang", "n_tokens")).alias("last")).select(
-            "doc_id", "version", "last.op", "last.source", "last.lang", "last.n_tokens", F.lit(number).cast("long").alias("batch_no"))
-        last.write.mode("overwrite").parquet(self._path("changes", batch))
+            "doc_id", "version", "last.op", "last.source", "last.lang", "last.n_tokens", F.lit(number).cast("long").alias("batch_no"),
+            F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        last.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._path("changes", batch))
         new = self.spark.read.schema(_STATE).parquet(self._path("changes", batch))
-        before = self.state().join(new.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
+        buckets = [r.bucket for r in new.select("bucket").distinct().collect()]
+        before = self.state(buckets).join(new.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
         signed = new.filter("op <> 'delete'").select("source", "lang", "version", "n_tokens", F.lit(1).alias("sign")).unionByName(
             before.select("source", "lang", "version", "n_tokens", F.lit(-1).alias("sign")))
         delta = signed.groupBy("source", "lang", "version").agg(

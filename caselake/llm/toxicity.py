@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselake.llm import bloom, folds
+from caselake.llm import bloom, folds, rowkeys
 from caselake.llm.textwords import LETTERS, Words, buffers, slices
 from caselake.session import materialize
 
@@ -352,12 +352,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
                parts: int = 3, held: int = 1, threshold: float = 0.7, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
-    """``docs``, a stored table, without the rows predicted toxic. Rows are matched by their number in the
-    scan, so only those that may go are moved."""
-    texts = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"),
+    """``docs`` without the rows predicted toxic. Rows are matched by their place in the files of the table (one
+    that is not stored is stored first), so only those that may go are moved."""
+    docs = rowkeys.stored(docs, "op9-docs")
+    texts = docs.select(rowkeys.row_key().alias("key"), F.col(id_col).alias("doc_id"),
                         F.col(text_col).cast("string").alias("text"))
     gone = materialize(_scored(texts, labels, label, parts, held, threshold, calibration_rows).filter(
         "predicted = 1").select(F.col("key").alias("__gone")), "op9-gone")
-    numbered = docs.withColumn("__key", F.monotonically_increasing_id())
+    numbered = rowkeys.with_key(docs, "__key")
     sure, possible = bloom.apart(numbered, "__key", gone, "__gone", "op9-gone")
     return sure.unionByName(possible.join(gone, F.col("__key") == F.col("__gone"), "left_anti")).drop("__key")
