@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselake.llm.textwords import UNSPACED, slices, words_of
+from caselake.llm.textwords import UNSPACED, release, slices, words_of
 
 CHUNK_BYTES = 8 << 20
 _GATHER_WORDS = 1 << 18
@@ -141,6 +141,7 @@ def _encoded(words: DataFrame, tokenizer) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("chunk"), batch.column("part"), batch.column("check"),
                  pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["chunk", "part", "check", "a", "b"])
+            release()
 
     return words.repartition("part").mapInArrow(run, _FIELDS)
 
@@ -190,6 +191,7 @@ def _put_together(rows: pa.Table, pieces: list[str]):
              pa.array([" ".join(texts[x:y]) for x, y in zip(words[:-1].tolist(), words[1:].tolist())], pa.string())],
             ["doc_id", "n_tokens", "ids", "decoded"])
         at = to
+    release()
 
 
 def pieces_of(tokenizer_json: str) -> list[str]:

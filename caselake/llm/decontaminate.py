@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselake.llm import bloom, rowkeys
-from caselake.llm.textwords import LETTERS, Words, buffers, slices, words_of
+from caselake.llm.textwords import LETTERS, Words, buffers, release, slices, words_of
 from caselake.session import materialize
 
 WINDOW_WORDS = 10
@@ -260,6 +260,7 @@ def remove_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", max_
                         texts[i] = without(texts[i], long)
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.select(names)
+            release()
 
     return clean.drop("__row_no").unionByName(joined.mapInArrow(run, schema))
 

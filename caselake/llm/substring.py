@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselake.llm import bloom, rowkeys
-from caselake.llm.textwords import UNSPACED, Words, buffers, mix, sequence_hashes, slices, words_of
+from caselake.llm.textwords import UNSPACED, Words, buffers, mix, release, sequence_hashes, slices, words_of
 from caselake.session import materialize
 
 WINDOW, K = 20, 8
@@ -381,6 +381,7 @@ def _digests(rows: DataFrame, windows: bool) -> DataFrame:
                  pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()),
                  pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string())],
                 ["row_no", "doc_id", "n_words", "n_removed", "kept_sha256"])
+            release()
 
     return rows.mapInArrow(run, "row_no decimal(38,0), doc_id long, n_words long, n_removed long, kept_sha256 string")
 

@@ -144,6 +144,18 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
+#: Rows that Spark hands to a Python worker at once, where the session does not say.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark) -> None:
+    """Let Spark send texts in smaller batches than its default of 10,000 rows, which both the executor and its
+    Python workers hold several times. A session that chose a number of its own keeps it."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES):
     """The batch in runs of rows with about ``limit`` bytes of text each; a longer text is alone."""
     if not batch.num_rows:
