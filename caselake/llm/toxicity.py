@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselake.llm import bloom, folds, rowkeys
-from caselake.llm.textwords import LETTERS, Words, buffers, slices
+from caselake.llm.textwords import LETTERS, Words, buffers, release, slices
 from caselake.session import materialize
 
 ORDER = 6
@@ -273,8 +273,11 @@ def _read(docs: DataFrame, broadcast) -> DataFrame:
 def evidence(docs: DataFrame, model: DataFrame, most: int = HELD) -> DataFrame:
     """``key`` and the columns EVIDENCE for each row of (key, text) under the stored table ``model``."""
     part = held(model, most)
-    rows = _read(docs.withColumn("row_no", F.monotonically_increasing_id()), docs.sparkSession.sparkContext.broadcast(part))
-    if not part.whole:
+    whole, sent = part.whole, docs.sparkSession.sparkContext.broadcast(part)
+    # What collecting and pickling the model took goes back; the driver keeps one copy.
+    release()
+    rows = _read(docs.withColumn("row_no", F.monotonically_increasing_id()), sent)
+    if not whole:
         rows = materialize(rows, "op9-read")
         open_words = rows.filter("word is not null").select("row_no", "word", "n")
         words = materialize(open_words.select("word").distinct().select(
@@ -332,6 +335,7 @@ def _scored(texts: DataFrame, labels: DataFrame, label: str, parts: int, held: i
         others = materialize(ratios(materialize(_without(counted, fold), "op9-others")), "op9-model")
         chosen = learnt.filter(drawn & (F.col("fold") == fold)).select(F.col("label").alias("key"), "text")
         sample.append(evidence(chosen, others).toPandas())
+        release()
     sample = pd.concat(sample)
     model = materialize(ratios(materialize(_without(counted), "op9-all")), "op9-model")
     w = fitted(sample[EVIDENCE].to_numpy(), sample["key"].to_numpy(float)) if sample["key"].nunique() > 1 \
