@@ -46,7 +46,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers) and their decoded text, one row per document; none
     and empty for a text without words. Other columns are not read."""
     bounded_batches(spark)
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), chunk_bytes=2 << 20)
 
 
 STAGES = [
