@@ -23,6 +23,7 @@ whose two scans differ ends the run with an error instead of a wrong result."""
 from __future__ import annotations
 
 import json
+import os
 import zlib
 
 import numpy as np
@@ -117,6 +118,10 @@ def _chunks(docs: DataFrame, partitions: int, chunk_bytes: int, texts: bool) ->
     return docs.mapInArrow(run, fields)
 
 
+#: Words whose ids a task keeps; beyond that it begins anew.
+_KNOWN_WORDS = 1 << 16
+
+
 def _encoded(words: DataFrame, tokenizer) -> DataFrame:
     """The words' ids instead of the words: ``a`` ids, ``b`` how many each word has."""
 
@@ -126,8 +131,12 @@ def _encoded(words: DataFrame, tokenizer) -> DataFrame:
         encoder, known = Tokenizer.from_str(tokenizer.value), {}
         encoder.no_truncation()
         encoder.no_padding()
+        # One thread per task, as Spark counts them; threads of the library would each keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for batch in batches:
             ids, counts = [], []
+            if len(known) > _KNOWN_WORDS:
+                known.clear()
             for blob, size in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
                 own = pa.decompress(blob, int.from_bytes(size, "little"), codec="zstd", asbytes=True).decode().split(" ")
                 new = [w for w in dict.fromkeys(own) if w not in known]

@@ -225,6 +225,7 @@ def _blocks_compared(members: DataFrame, threshold: float, tolerance: float) ->
     needed = least_matches(threshold, tolerance)
 
     def run(rows: pa.Table) -> pa.Table:
+        release()  # what the blocks before have left
         side = np.asarray(rows.column("block"))
         numbers = np.unique(side)
         x = _Side(rows.filter(pa.array(side == numbers[0])))
@@ -242,7 +243,6 @@ def _blocks_compared(members: DataFrame, threshold: float, tolerance: float) ->
         np.add.at(counts, b + len(x.ids), x.weight[a])
         linked = counts > 0
         forest = _forest(x.ids[a], y.ids[b])
-        release()
         nodes = np.array([v for v, _ in forest], np.int64)
         roots = np.array([r for _, r in forest], np.int64)
         return pa.table({

@@ -145,7 +145,7 @@ def release() -> None:
 
 
 #: Rows that Spark hands to a Python worker at once, where the session does not say.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def bounded_batches(spark) -> None:
