@@ -21,11 +21,11 @@ def blocks_for(keys: int, bits_per_key: int = 16, most: int = MAX_BLOCKS) -> int
     return max(1, min(most, -(-keys * bits_per_key // BLOCK_BITS)))
 
 
-def addressed(rows: DataFrame, key: str, n_blocks: int) -> DataFrame:
-    """Adds the key's block and its bit in each lane."""
+def addressed(rows: DataFrame, key: str, n_blocks: int, mark: str = "__") -> DataFrame:
+    """Adds the key's block and its bit in each lane, names begin with ``mark``."""
     second = F.xxhash64(key, F.lit(1))
-    bits = [F.shiftrightunsigned(second, 6 * i).bitwiseAND(63).cast("int").alias(f"__bit{i}") for i in range(LANES)]
-    return rows.select("*", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("__block"), *bits)
+    bits = [F.shiftrightunsigned(second, 6 * i).bitwiseAND(63).cast("int").alias(f"{mark}bit{i}") for i in range(LANES)]
+    return rows.select("*", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias(f"{mark}block"), *bits)
 
 
 def build(keys: DataFrame, key: str, n_blocks: int, at_least: int = 1) -> DataFrame:
@@ -40,11 +40,16 @@ def build(keys: DataFrame, key: str, n_blocks: int, at_least: int = 1) -> DataFr
 
 
 def ask(rows: DataFrame, key: str, n_blocks: int, built: DataFrame, answer: str = "possible") -> DataFrame:
-    """``rows`` with a boolean: false is certain. A null key is never in the filter."""
-    asked = addressed(rows, key, n_blocks).join(F.broadcast(built), "__block", "left")
+    """``rows`` with a boolean: false is certain. A null key is never in the filter. Columns of the rows may
+    have any names but the answer's."""
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in rows.columns if c != key):
+        mark += "_"
+    lanes = built.select(*[F.col(c).alias(c.replace("__", mark)) for c in built.columns])
+    asked = addressed(rows, key, n_blocks, mark).join(F.broadcast(lanes), f"{mark}block", "left")
     hit: Column = F.col(key).isNotNull()
     for i in range(LANES):
-        hit = hit & F.expr(f"coalesce(__lane{i} & shiftleft(1L, __bit{i}), 0L) != 0L")
+        hit = hit & F.expr(f"coalesce({mark}lane{i} & shiftleft(1L, {mark}bit{i}), 0L) != 0L")
     return asked.select(*rows.columns, hit.alias(answer))
 
 
@@ -53,5 +58,8 @@ def apart(rows: DataFrame, key: str, stored: DataFrame, stored_key: str, label:
     join, so only they move. ``stored`` is a stored table; rows with a null key are never in it."""
     n_blocks = blocks_for(stored.count())
     built = materialize(build(stored, stored_key, n_blocks), f"{label}-filter")
-    asked = ask(rows, key, n_blocks, built, "__possible")
-    return asked.filter("not __possible").drop("__possible"), asked.filter("__possible").drop("__possible")
+    answer = "possible"
+    while answer in rows.columns:
+        answer = f"_{answer}"
+    asked = ask(rows, key, n_blocks, built, answer)
+    return asked.filter(~F.col(answer)).drop(answer), asked.filter(answer).drop(answer)

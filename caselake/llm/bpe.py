@@ -155,26 +155,31 @@ def _encoded(words: DataFrame, tokenizer) -> DataFrame:
     return words.repartition("part").mapInArrow(run, _FIELDS)
 
 
-def _put_together(rows: pa.Table, pieces: list[str]):
+def _spelled(offsets: np.ndarray, parts: pa.Array) -> pa.Array:
+    """Runs of ``parts`` between the offsets, each joined by single spaces."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets.astype(np.int64)), parts), pa.scalar(" ", pa.large_string()))
+
+
+def _put_together(rows: pa.Table, pieces: pa.Array):
     """(doc_id, n_tokens, ids, text) of one chunk's texts."""
     part = np.asarray(rows.column("part"))
     own = int(np.flatnonzero(part == -1)[0])
     if len(set(rows.column("check").to_pylist())) > 1:
         raise RuntimeError("a chunk differs between two scans; the input has to be a stored table")
     a, b = rows.column("a"), rows.column("b")
-    positions, partition = _unpacked(a[own].as_py()), _unpacked(b[own].as_py())
-    size, start = np.zeros(len(partition), np.int64), np.zeros(len(partition), np.int64)
-    ids, total = [], 0
-    for i in np.flatnonzero(part >= 0).tolist():
-        ranks = np.flatnonzero(partition == part[i])
-        counts = _unpacked(b[i].as_py()).astype(np.int64)
-        size[ranks] = counts
-        start[ranks] = total + np.cumsum(counts) - counts
-        ids.append(_unpacked(a[i].as_py()))
-        total += len(ids[-1])
-    ids = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-    of = [pieces[i] for i in ids.tolist()]  # the id-to-piece join, once for each distinct word
-    spelled = np.array([" ".join(of[s:s + n]) for s, n in zip(start.tolist(), size.tolist())], object)
+    partition = _unpacked(b[own].as_py())
+    # The words came back by partition, within it in their own order.
+    back = np.flatnonzero(part >= 0)
+    back = back[np.argsort(part[back])].tolist()
+    slot = np.empty(len(partition), np.int64)
+    slot[np.argsort(partition, kind="stable")] = np.arange(len(partition))
+    positions = slot[_unpacked(a[own].as_py())]
+    none = [np.zeros(0, "<u4")]
+    size = np.concatenate([_unpacked(b[i].as_py()) for i in back] or none).astype(np.int64)
+    ids = np.concatenate([_unpacked(a[i].as_py()) for i in back] or none)
+    start = np.concatenate([[0], np.cumsum(size)])
+    # The id-to-piece join, once for each distinct word.
+    spelled = _spelled(start, pieces.take(pa.array(ids.astype(np.int64))))
     doc_ids = rows.column("doc_ids")[own].values
     counts = np.asarray(rows.column("counts")[own].values)
     ends = np.cumsum(counts)
@@ -192,12 +197,11 @@ def _put_together(rows: pa.Table, pieces: list[str]):
         flat = ids[index].astype("<u4")
         offsets = np.concatenate([[0], np.cumsum(tokens)]) * 4
         words = np.concatenate([[0], np.cumsum(np.bincount(place_of, minlength=to - at))])
-        texts = spelled[place]
         yield pa.RecordBatch.from_arrays(
             [doc_ids.slice(at, to - at), pa.array(tokens),
              pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()),
                                                                pa.py_buffer(flat.tobytes())]).cast(pa.binary()),
-             pa.array([" ".join(texts[x:y]) for x, y in zip(words[:-1].tolist(), words[1:].tolist())], pa.string())],
+             _spelled(words, spelled.take(pa.array(place))).cast(pa.string())],
             ["doc_id", "n_tokens", "ids", "decoded"])
         at = to
     release()
@@ -224,6 +228,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     if json.loads(tokenizer.value).get("decoder") is not None:
         raise ValueError("only tokenizers without a decoder of their own are put together word by word")
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    pieces = spark.sparkContext.broadcast(pa.array(pieces_of(tokenizer.value), pa.large_string()))
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _chunks(narrow, partitions, chunk_bytes, True)
     ids = _encoded(_chunks(narrow, partitions, chunk_bytes, False), tokenizer)
@@ -231,7 +236,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(rows: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(_put_together(rows.combine_chunks(), pieces_of(tokenizer.value)),
+        return pa.Table.from_batches(_put_together(rows.combine_chunks(), pieces.value),
                                      schema=pa.schema([("doc_id", rows.schema.field("doc_ids").type.value_type),
                                                        ("n_tokens", pa.int64()), ("ids", pa.binary()),
                                                        ("decoded", pa.string())]))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselake.llm import bloom, rowkeys
-from caselake.llm.textwords import LETTERS, Words, buffers, release, slices, words_of
+from caselake.llm.textwords import LETTERS, Words, buffers, slices, words_of
 from caselake.session import materialize
 
 WINDOW_WORDS = 10
@@ -251,16 +251,16 @@ def remove_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", max_
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            spans = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
-            if any(spans):
-                texts = batch.column(at).to_pylist()
-                for i, intervals in enumerate(spans):
-                    long = [(s["start"], s["end"]) for s in intervals or () if s["end"] - s["start"] > max_words]
-                    if long:
-                        texts[i] = without(texts[i], long)
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch.select(names)
-            release()
+            for part in slices(batch, text_col):
+                spans = part.column(part.schema.get_field_index("__spans")).to_pylist()
+                if any(spans):
+                    texts = part.column(at).to_pylist()
+                    for i, intervals in enumerate(spans):
+                        long = [(s["start"], s["end"]) for s in intervals or () if s["end"] - s["start"] > max_words]
+                        if long:
+                            texts[i] = without(texts[i], long)
+                    part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                yield part.select(names)
 
     return clean.drop("__row_no").unionByName(joined.mapInArrow(run, schema))
 

@@ -10,8 +10,8 @@ Base kinds, leftmost and not overlapping within a kind: ``email``, ``ip``, ``car
 "token =", at least 16 characters and a digit) and ``userinfo`` (name and password in an address,
 scheme://name:password@host). Each value is expanded to its end, however far that is, and judged then.
 
-Positions count code points, ends are exclusive. Null texts count as empty and have no spans;
-other columns are not read. A text may be of any length: each parser moves on from the end of its
+Positions count code points, ends are exclusive. Null texts count as empty and have no spans; rows that
+repeat are searched each; an empty table gives none. ``find`` reads no other columns. A text may be of any length: each parser moves on from the end of its
 last match, so the work is linear in the text."""
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselake.llm.textwords import slices
+
 # The kinds in the order of results, and the patterns of the base kinds.
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "account", "handle", "secret", "userinfo"]
@@ -131,9 +133,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches):
         finder = Finder()
         for batch in batches:
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in finder.spans(text)] if text else []
-                     for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, _SPAN_TYPE)], ["doc_id", "spans"])
+            for part in slices(batch, "text"):
+                spans = [[{"kind": k, "start": a, "end": b} for k, a, b in finder.spans(text)] if text else []
+                         for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(spans, _SPAN_TYPE)], ["doc_id", "spans"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"doc_id {kind}, spans {_SPANS}")
@@ -148,8 +151,9 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
         finder = Finder()
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = [text and masked(text, finder.spans(text)) for text in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            for part in slices(batch, text_col):
+                texts = [text and masked(text, finder.spans(text)) for text in part.column(at).to_pylist()]
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
     return docs.mapInArrow(run, schema)
 

@@ -22,9 +22,10 @@ def op1_exact_dedup(spark, sf_dir):
 
 def op2_pii(spark, sf_dir):
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [pii.count_of("spans", kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.listed("spans", pii.BASE_KINDS), 256).alias("base_sha256"),
-                        pii.listed("spans").alias("spans"))
+    counts = {kind: pii.count_of("spans", kind).alias(f"n_{kind}") for kind in pii.KINDS}
+    base, added = [counts[k] for k in pii.BASE_KINDS], [counts[k] for k in pii.KINDS if k not in pii.BASE_KINDS]
+    return found.select("doc_id", *base, F.sha2(pii.listed("spans", pii.BASE_KINDS), 256).alias("base_sha256"),
+                        pii.listed("spans").alias("spans"), *added, F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_quality(spark, sf_dir):
@@ -144,12 +145,13 @@ q as (
   select page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
            'abcdefghijklmnopqrstuvwxyz') as host,
          regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path,
-         regexp_extract(url, '^[^#?]*(\?[^#]*)', 1) as query
+         string_split(regexp_extract(url, '^[^#?]*\?([^#]*)', 1), '&') as asked
   from p),
+k as (select *, coalesce(array_to_string([x for x in asked if not starts_with(x, 'utm_')], '&'), '') as query from q),
 c as (
   select *, case when host <> '' then regexp_replace(regexp_replace(host, '^www\.', ''), ':[0-9]*$', '')
-         || regexp_replace(path, '/+$', '') || case when query like '?utm_%' then '' else query end end as canon
-  from q),
+         || regexp_replace(path, '/+$', '') || case when query = '' then '' else '?' || query end end as canon
+  from k),
 r as (
   select *, case
     when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'

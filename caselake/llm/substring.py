@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselake.llm import bloom, rowkeys
-from caselake.llm.textwords import UNSPACED, Words, buffers, mix, release, sequence_hashes, slices, words_of
+from caselake.llm.textwords import UNSPACED, Words, buffers, mix, sequence_hashes, slices, words_of
 from caselake.session import materialize
 
 WINDOW, K = 20, 8
@@ -374,14 +374,15 @@ def _joined(text: str | None, windows) -> tuple[int, int, bytes]:
 def _digests(rows: DataFrame, windows: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
-            marks = batch.column(batch.schema.get_field_index("windows")).to_pylist() if windows else [None] * batch.num_rows
-            done = [_joined(t, w) for t, w in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), marks)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("row_no")), batch.column(batch.schema.get_field_index("doc_id")),
-                 pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()),
-                 pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string())],
-                ["row_no", "doc_id", "n_words", "n_removed", "kept_sha256"])
-            release()
+            for part in slices(batch, "text"):
+                marks = part.column(part.schema.get_field_index("windows")).to_pylist() if windows else [None] * part.num_rows
+                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                done = [(n, gone, hashlib.sha256(kept).hexdigest()) for n, gone, kept in map(_joined, texts, marks)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(part.schema.get_field_index("row_no")), part.column(part.schema.get_field_index("doc_id")),
+                     pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()),
+                     pa.array([d[2] for d in done], pa.string())],
+                    ["row_no", "doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return rows.mapInArrow(run, "row_no decimal(38,0), doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -420,12 +421,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            marks = batch.column(batch.schema.get_field_index("__windows")).to_pylist()
-            copies = batch.column(batch.schema.get_field_index("__copy")).to_pylist()
-            if any(marks) or any(copies):
-                texts = ["" if c else _joined(t, w)[2].decode() if w else t
-                         for t, w, c in zip(batch.column(at).to_pylist(), marks, copies)]
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch.select(schema.names)
+            for part in slices(batch, text_col):
+                marks = part.column(part.schema.get_field_index("__windows")).to_pylist()
+                copies = part.column(part.schema.get_field_index("__copy")).to_pylist()
+                if any(marks) or any(copies):
+                    texts = ["" if c else _joined(t, w)[2].decode() if w else t
+                             for t, w, c in zip(part.column(at).to_pylist(), marks, copies)]
+                    part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                yield part.select(schema.names)
 
     return unmarked.drop("__row_no").unionByName(joined.mapInArrow(run, schema))

@@ -7,7 +7,8 @@ a shuffle. Hosts and paths come from built-in functions, so nothing here runs Py
 Defined cases: host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in
 lower case; path is what follows up to ``?``, ``#`` or the end. A null url or one without ``://``
 has an empty host and path, fits no rule, is not listed and is allowed. Repeated pages stay
-separate rows; an empty list allows everything the rules do not block."""
+separate rows; an empty list allows everything the rules do not block. Columns of the pages named host,
+path, rule or verdict, or one of __rest, __host, __action, __key, __possible, are replaced; others stay."""
 
 from __future__ import annotations
 
@@ -38,11 +39,14 @@ def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
 
 def canonical(url: str) -> Column:
     """Canonical form of a url with parts: host without "www." and port, path without closing
-    slashes, query unless it only tracks; no scheme and no fragment. Null without a host."""
+    slashes, query without the parameters that only track (``utm_...``) and none if nothing is left of it; no scheme
+    and no fragment. Null without a host."""
     host = F.regexp_replace(F.regexp_replace("host", r"^www\.", ""), r":[0-9]*$", "")
-    query = F.regexp_extract(F.col(url), r"^[^#?]*(\?[^#]*)", 1)
-    query = F.when(query.rlike(r"^\?utm_"), "").otherwise(query)
-    return F.when(F.col("host") != "", F.concat(host, F.regexp_replace("path", r"/+$", ""), query))
+    query = F.regexp_extract(F.col(url), r"^[^#?]*\?([^#]*)", 1)
+    others = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.startswith("utm_")), "&")
+    query = F.when(query.rlike("(^|&)utm_"), others).otherwise(query)
+    return F.when(F.col("host") != "", F.concat(host, F.regexp_replace("path", r"/+$", ""),
+                                                F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
 def rule_of(rules: list[tuple[str, str]]) -> tuple[Column, Column]:

@@ -1,6 +1,7 @@
 """Plain single-process versions of the operators, for comparison on small tables."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -113,3 +114,44 @@ def personal_data(text):
 
 def spaced(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def surface(text):
+    """The features of the quality scorer, one by one."""
+    data = (text or "").encode()
+    if not data:
+        return [0.0] * 18
+    sets = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?", b"|<>{}[]=_\\/", b"#$%&*@^~+", b" \t", b".,;:'\"-()", b"\r\n"]
+    share = [sum(b in s for b in data) / len(data) for s in sets]
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    lines = [x for x in re.split(rb"[\r\n]+", data) if x]
+    n, size = max(len(words), 1), [len(w) for w in words]
+    mean = sum(size) / n
+    pure = sum(map(len, re.findall(rb"[0-9A-Za-z\x80-\xff]+", data)))
+    return [math.log1p(len(data)), share[0], share[1], 1 - sum(share), *share[2:7],
+            math.log1p(max(len(lines), 1)) / math.log1p(len(data)), mean,
+            math.sqrt(max(sum(s * s for s in size) / n - mean ** 2, 0)), len(set(words)) / n,
+            sum(a == b for a, b in zip(words, words[1:])) / n, len(set(lines)) / max(len(lines), 1),
+            pure / max(sum(size), 1), sum(65 <= w[0] <= 90 for w in words) / n, math.log1p(len(words))]
+
+
+def continuations(grams, discount):
+    """Kneser-Ney probability of the last byte of a four-byte sequence after the three before it, as a function of
+    (context, byte), from the six-byte sequences seen."""
+    four = defaultdict(int)
+    for g in set(grams):
+        four[g[2:]] += 1
+    two = defaultdict(int)
+    for f in four:
+        two[f[2:]] += 1
+
+    def p(level, lower, context, byte):
+        after = {k: n for k, n in level.items() if k[:-1] == context}
+        if not after:
+            return lower(context[1:], byte)
+        total = sum(after.values())
+        return (max(after.get(context + byte, 0) - discount, 0) + discount * len(after) * lower(context[1:], byte)) / total
+
+    def uniform(context, byte):
+        return 1 / 256
+    return lambda context, byte: p(four, lambda c, b: p(two, uniform, c[-1:], b), context, byte)

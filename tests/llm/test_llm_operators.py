@@ -5,6 +5,7 @@ from collections import Counter
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import LONG, ODD, PASSAGE, rows_as_table
 from hypothesis import given, settings
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 
 from caselake.llm import (bloom, bpe, components, decontaminate, exact_dedup, ngram_join, pii, quality, substring, token_rollup,
                           toxicity, url_filter)
+from caselake.session import materialize
 
 WITH_ID = [(d, t) for d, t in dict(ODD).items() if d is not None]
 
@@ -95,13 +97,50 @@ def test_toxicity_gathers_all_rows_and_never_reads_held_out_labels(spark, small)
 
 
 def test_kneser_ney_sums_to_one(spark):
-    """The shared lower-order model is a distribution over the next byte."""
-    counted = spark.createDataFrame([(int.from_bytes(w, "big"), 1, 2) for w in (b"     a", b"    ab", b"   abc", b"    xb")],
-                                    "gram long, toxic long, ordinary long")
-    low = {r.low_key: r.low for r in toxicity._shared(counted).collect()}
-    assert all(0 < p < 1 for p in low.values())
-    # After "  a" only "b" was seen: its probability and the mass left for unseen bytes make one.
-    assert low[int.from_bytes(b"  ab", "big")] > 0.25
+    """The shared lower-order model equals a plain one, which is a distribution over the next byte."""
+    grams = [w.rjust(6) for w in (b"a", b"ab", b"abc", b"xb", b"xab", b"zzab", b"yab ", b"ab ")]
+    counted = spark.createDataFrame([(int.from_bytes(w, "big"), 1, 2) for w in grams], "gram long, toxic long, ordinary long")
+    low = {r.low_key.to_bytes(4, "big"): r.low for r in toxicity._shared(counted).collect()}
+    plain = brute.continuations(grams, toxicity.DISCOUNT)
+    assert set(low) == {g[2:] for g in grams}
+    for key, p in low.items():
+        assert p == pytest.approx(plain(key[:3], key[3:]))
+        assert sum(plain(key[:3], bytes([b])) for b in range(256)) == pytest.approx(1)
+
+
+def test_quality_features_fit_and_threshold(spark, odd, small):
+    texts = [t for _, t in ODD] + [t for _, t in small[1]] + ["A  a a\r\n\r\nB!? <x> #1\x00", "\n", "é É é"]
+    got = quality.features(pa.array(texts, pa.string()))
+    assert np.allclose(got, [brute.surface(t) for t in texts], atol=1e-9)
+    draw = np.random.default_rng(1)
+    good, bad = draw.normal(0.4, 1, (300, 4)), draw.normal(0, 1, (200, 4))
+    w = quality.fit(good, bad, 2000)
+    pick = np.random.default_rng(7)
+    x = good[pick.integers(0, 300, 2000)] - bad[pick.integers(0, 200, 2000)]
+    loss = lambda v: np.log1p(np.exp(-x @ v)).sum() + 1e-3 * len(x) * (v @ v) / 2
+    assert all(loss(w) < loss(w + e) for e in draw.normal(0, 0.05, (50, 4)))
+    labels = spark.createDataFrame([(d, i % 3 != 0) for i, (d, _) in enumerate(small[1])], "doc_id long, q boolean").selectExpr(
+        "doc_id", "int(q) quality")
+    rows = [r for r in quality.score(small[0], labels).collect() if not r.held_out]
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    bad_rows = sum(known[r.doc_id] == 0 for r in rows)
+    assert abs(sum(r.predicted == 0 for r in rows) - bad_rows) <= max(2, 0.02 * len(rows))
+
+
+@pytest.mark.parametrize("query, want", [
+    ("", ""), ("?", ""), ("?utm_source=x", ""), ("?utm_source=x&id=1", "?id=1"), ("?id=2&utm_source=x", "?id=2"),
+    ("?id=2&utm_a=1&b=&&c", "?id=2&b=&&c"), ("?xutm_a=1", "?xutm_a=1"), ("?a=1?utm_b=2", "?a=1?utm_b=2"), ("?id=1#utm_a&x=2", "?id=1")])
+def test_canonical_query(spark, query, want):
+    pages = spark.createDataFrame([("https://www.A.example:80/p/" + query,)], "url string")
+    assert url_filter.with_parts(pages).select(url_filter.canonical("url")).first()[0] == "a.example/p" + want
+
+
+def test_filter_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(i, i, "x", True) for i in range(100)], "k long, __block long, __lane0 string, possible boolean")
+    keys = materialize(rows.filter("k < 10").select(F.col("k").alias("key")), "keys")
+    sure, possible = bloom.apart(rows, "k", keys, "key", "clash")
+    assert sure.columns == possible.columns == rows.columns
+    assert sure.count() + possible.count() == 100 and possible.filter("k < 10").count() == 10 and sure.count() > 60
 
 
 def _states(rows):
