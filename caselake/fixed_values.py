@@ -44,7 +44,8 @@ JOB_STATUSES = ["success", "failed", "running"]
 
 # --- fixed values: dates and limits -----------------------------------------------
 ISO_DATE = "yyyy-MM-dd"
-TOLERANT_DATES = ["yyyy-MM-dd", "yyyy-M-d", "d/M/yyyy"]
+SHORT_ISO_DATE = "yyyy-M-d"
+TOLERANT_DATES = ["yyyy-MM-dd", SHORT_ISO_DATE, "d/M/yyyy"]
 TIME_OF_DAY = r"[T ]\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
 PROVINCE_DATES = ["MM-dd-yyyy", "M-d-yyyy"]
 TIMELINE_DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from ..fixed_values import ISO_DATE, PROVINCE_DATES, TIME_OF_DAY, TIMELINE_DATE_PATTERN, TOLERANT_DATES
+from ..fixed_values import ISO_DATE, PROVINCE_DATES, SHORT_ISO_DATE, TIME_OF_DAY, TIMELINE_DATE_PATTERN, TOLERANT_DATES
 from .text import strip
 
 
@@ -23,19 +23,22 @@ def _shape(fmt: str) -> str:
 
 def _parsed(text: Column, fmt: str) -> Column:
     """Text of the format's shape as a date. A failed parse raises and catches an exception
-    per row inside Spark; the shape test keeps other text away from it. ISO text takes the
-    plain cast, which neither throws nor goes through a timestamp."""
-    if fmt == ISO_DATE:
+    per row inside Spark; the shape test keeps other text away from it. ISO text, with or without
+    leading zeros, takes the plain cast, which neither throws nor goes through a timestamp."""
+    if fmt in (ISO_DATE, SHORT_ISO_DATE):
         return F.when(text.rlike(_shape(fmt)), text.try_cast("date"))
     return F.when(text.rlike(_shape(fmt)), F.try_to_date(text, fmt))
 
 
 def tolerant_date(c: Column, formats=tuple(TOLERANT_DATES), times: bool = True) -> Column:
     """Trim, then the first format that parses; null when none does. ``times`` lets a time of day
-    follow the date; it is left out."""
+    follow the date; it is left out. The text stands in the expression twice per format, and a filter
+    on the date repeats the whole of it, so it is kept short: of the two ISO forms the wider one serves both."""
     text = strip(c)
     if times:
-        text = F.when(text.contains(":"), F.regexp_replace(text, TIME_OF_DAY, "")).otherwise(text)
+        text = F.regexp_replace(text, TIME_OF_DAY, "")
+    if SHORT_ISO_DATE in formats:
+        formats = [f for f in formats if f != ISO_DATE]
     return F.coalesce(*[_parsed(text, f) for f in formats])
 
 

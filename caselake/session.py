@@ -39,11 +39,13 @@ def build_session(app: str = "caselake", master: str | None = None, shuffle_part
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in
-    ``spark.checkpoint.dir``. Only a local session may fall back to a temporary one."""
+    ``spark.checkpoint.dir``. Only a session whose tasks run in its own process may fall back to a
+    temporary one (``local-cluster`` has executors of their own)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir is not set; a cluster run needs a shared folder")
     path = tempfile.mkdtemp(prefix="caselake-")
     spark.conf.set("spark.checkpoint.dir", path)

@@ -1,5 +1,7 @@
 """Shape of the physical plans that matter at scale."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from caselake.checks import fixtures as fx
 from caselake.checks.queries import QUERIES
 from caselake.operators.clean import deduplicate, typed_daily
 from caselake.plans import serving
-from caselake.session import materialize
+from caselake.session import materialize, shared_dir
 
 
 def plan(df) -> str:
@@ -82,3 +84,20 @@ def test_large_dimension_is_not_broadcast(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
+@pytest.mark.parametrize("name", ["rolling_7d_sums", "upsert_full", "country_summary"])
+def test_filters_on_typed_dates_compile(spark, sf_dir, name):
+    """Without the way back to interpreted stages, code beyond a method's 64 KB would end the run."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert QUERIES[name](spark, sf_dir).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+@pytest.mark.parametrize("master", ["local-cluster[2,1,1024]", "spark://host:7077", "yarn"])
+def test_shared_folder_has_to_be_named_where_executors_are_apart(master):
+    apart = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(apart)
