@@ -5,8 +5,11 @@ five before it. Toxic and ordinary rows have their own counts at that order; bel
 off to the same Kneser-Ney continuation counts (orders 4 and 2, then uniform), so an expression
 that is rare in one class is smoothed by what both classes share. A word's evidence is its
 log-likelihood ratio, toxic against ordinary, divided by its length (plus a constant that tempers
-very short words). A document has the length-normalised ratio of its whole text, its strongest and
-third strongest word, the positive part of the ratio and the share of strong words. A logistic
+very short words). Its onset is the ratio of its first six bytes alone: the bytes after a telling stem
+are often rare, and what the models say of them is mostly chance. A document has the length-normalised
+ratio of its whole text, its strongest and third strongest word, the positive part of the ratio, the
+share of strong words, its strongest and third strongest onset, how many onsets exceed 2, 3 and 4 nats and
+how many words it has (as logarithms, so the curve can weigh onsets against the length). A logistic
 curve through these, fitted on labelled rows the counts have not seen, gives the score.
 
 Counts come from all labelled training rows. The model is a stored table of all sequences and
@@ -47,7 +50,10 @@ FOLDS = 3
 HELD = 1 << 21
 _SHORT = 3
 _STRONG = 0.3
-EVIDENCE = ["mean", "top", "third", "positive", "strong"]
+#: An onset counts above each of these log-likelihood ratios.
+_ONSETS = (2, 3, 4)
+EVIDENCE = ["mean", "top", "third", "positive", "strong", "onset", "onset_third", *(f"onsets{x}" for x in _ONSETS), "size"]
+_SUMS = ["ratio", "length", "positive", "strong", *(f"onsets{x}" for x in _ONSETS)]
 
 
 def _words(texts: pa.Array) -> Words:
@@ -61,7 +67,7 @@ def grams(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, size = words.starts[chosen], words.ends[chosen] - words.starts[chosen]
     at = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size + 1, out=at[1:])
-    place = np.arange(at[-1]) - np.repeat(at[:-1], size + 1)
+    place = places(at)
     starts, size = np.repeat(starts, size + 1), np.repeat(size, size + 1)
     # Room for the bytes before the first word and after the last.
     data = np.concatenate([np.zeros(ORDER, np.uint8), LETTERS[words.data], np.zeros(ORDER, np.uint8)])
@@ -73,6 +79,11 @@ def grams(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+def places(at: np.ndarray) -> np.ndarray:
+    """Place of each sequence within its word, from where the words' sequences begin."""
+    return np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
+
+
 def _distinct(words: Words):
     """One place of each distinct word, each word's number among them, and how often it occurs."""
     _, chosen, number, counts = np.unique(words.hashes, return_index=True, return_inverse=True, return_counts=True)
@@ -170,15 +181,17 @@ class Held:
         at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
         return have[at] == keys, values[at]
 
-    def ratios(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ratio of each word, and whether it is known: false if a sequence may be in the table's rest."""
+    def ratios(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ratio and onset of each word, and whether it is known: false if a sequence may be in the table's rest."""
         unique, number = np.unique(keys, return_inverse=True)
         seen, value = self.find(0, unique.astype(np.int64))
         if self.whole:
             known, left = self.find(1, (unique >> np.uint64(8)).astype(np.int64))
             value = np.where(seen, value, np.where(known, left, 0))
             seen = np.ones(len(unique), bool)
-        return np.add.reduceat(value[number], at[:-1]), np.logical_and.reduceat(seen[number], at[:-1])
+        value, begins = value[number], at[:-1]
+        return (np.add.reduceat(value, begins), np.add.reduceat(np.where(places(at) < ORDER, value, 0), begins),
+                np.logical_and.reduceat(seen[number], begins))
 
 
 def held(model: DataFrame, most: int) -> Held:
@@ -197,8 +210,8 @@ def held(model: DataFrame, most: int) -> Held:
 
 
 def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
-    """(word_no, ratio): a word's sequences summed over the model's table; a sequence that was not seen
-    counts as an unseen one of its context, and as 0 after an unseen context."""
+    """(word_no, ratio, onset): a word's sequences, and its first six, summed over the model's table; a sequence
+    that was not seen counts as an unseen one of its context, and as 0 after an unseen context."""
 
     def run(batches):
         for batch in batches:
@@ -209,20 +222,30 @@ def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
                 keys, at = grams(split, np.arange(len(split.starts)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.asarray(part.column("word_no")), np.diff(at))), pa.array(keys.astype(np.int64)),
-                     pa.array((keys >> np.uint64(8)).astype(np.int64))], ["word_no", "gram", "context"])
+                     pa.array((keys >> np.uint64(8)).astype(np.int64)), pa.array(places(at) < ORDER)],
+                    ["word_no", "gram", "context", "early"])
 
-    cut = words.select("word_no", "word").mapInArrow(run, "word_no long, gram long, context long")
+    cut = words.select("word_no", "word").mapInArrow(run, "word_no long, gram long, context long, early boolean")
     seen = model.filter("kind = 0").select(F.col("key").alias("gram"), F.col("value").alias("seen"))
     left = model.filter("kind = 1").select(F.col("key").alias("context"), F.col("value").alias("left_over"))
+    value = F.coalesce("seen", "left_over", F.lit(0.0))
     return cut.join(seen, "gram", "left").join(left, "context", "left").groupBy("word_no").agg(
-        F.sum(F.coalesce("seen", "left_over", F.lit(0.0))).alias("ratio"))
+        F.sum(value).alias("ratio"), F.sum(F.when(F.col("early"), value).otherwise(0.0)).alias("onset"))
+
+
+def _largest(strength: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The three largest strengths of each text, which owns the words from ``begins`` to ``ends``."""
+    # Sorted within each text: texts are a thousand apart, strengths at most a hundred.
+    counts, shift = ends - begins, np.arange(len(begins)) * 1000.0
+    rank = np.sort(np.repeat(shift, counts) + strength)
+    return np.column_stack([np.where(counts > i, rank[np.maximum(ends - 1 - i, begins)] - shift, -np.inf) for i in range(3)])
 
 
 def _read(docs: DataFrame, broadcast) -> DataFrame:
-    """Rows of two sorts: for each text of (key, row_no, text) the sums over its known words and its
-    three largest strengths; (row_no, word, n) for each word of it that is not known."""
+    """Rows of two sorts: for each text of (key, row_no, text) the sums over its known words and their
+    three largest strengths and onsets; (row_no, word, n) for each word of it that is not known."""
     kind = docs.schema["key"].dataType.simpleString()
-    names = ["row_no", "key", "ratio", "length", "positive", "strong", "words", "most", "word", "n"]
+    names = ["row_no", "key", *_SUMS, "words", "most", "onsets", "word", "n"]
 
     def run(batches):
         held = broadcast.value
@@ -231,27 +254,26 @@ def _read(docs: DataFrame, broadcast) -> DataFrame:
                 words, rows = _words(part.column("text")), part.num_rows
                 row_no, counts = np.asarray(part.column("row_no")), words.counts()
                 filled = np.flatnonzero(counts)
-                sums, most = np.zeros((4, rows)), np.full((rows, 3), -np.inf)
+                sums, most = np.zeros((len(_SUMS), rows)), np.full((2, rows, 3), -np.inf)
                 chosen, number, _ = _distinct(words)
                 if len(filled):
                     keys, at = grams(words, chosen)
-                    ratio, known = held.ratios(keys, at)
+                    ratio, onset, known = held.ratios(keys, at)
                     size = np.diff(at).astype(np.float64)
                     strength = np.where(known, np.clip(ratio / (size + _SHORT), -50, 50), -100)[number]
+                    onset = np.where(known, np.clip(onset, -50, 50), -100)[number]
                     ratio = np.where(known, ratio, 0)[number]
-                    counts, begins, ends = counts[filled], words.first[:-1][filled], words.first[1:][filled]
-                    for i, x in enumerate((ratio, size[number], np.maximum(ratio, 0), (strength > _STRONG).astype(float))):
+                    begins, ends = words.first[:-1][filled], words.first[1:][filled]
+                    for i, x in enumerate((ratio, size[number], np.maximum(ratio, 0), (strength > _STRONG).astype(float),
+                                           *((onset > least).astype(float) for least in _ONSETS))):
                         sums[i, filled] = np.add.reduceat(x, begins)
-                    # Sorted within each text: texts are a thousand apart, strengths at most a hundred.
-                    shift = np.arange(len(filled)) * 1000.0
-                    rank = np.sort(np.repeat(shift, counts) + strength)
-                    for i in range(3):
-                        most[filled, i] = np.where(counts > i, rank[np.maximum(ends - 1 - i, begins)] - shift, -np.inf)
-                most = most.ravel()
+                    for i, x in enumerate((strength, onset)):
+                        most[i, filled] = _largest(x, begins, ends)
                 offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * 3)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row_no"), part.column("key"), *(pa.array(x) for x in sums), pa.array(words.counts().astype(np.int64)),
-                     pa.ListArray.from_arrays(offsets, pa.array(most)), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int64())], names)
+                    [part.column("row_no"), part.column("key"), *(pa.array(x) for x in sums), pa.array(counts.astype(np.int64)),
+                     *(pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in most), pa.nulls(rows, pa.binary()),
+                     pa.nulls(rows, pa.int64())], names)
                 if not len(filled) or known.all():
                     continue
                 place = np.flatnonzero(~known[number])
@@ -262,12 +284,12 @@ def _read(docs: DataFrame, broadcast) -> DataFrame:
                 spelt = pa.array([folded[a:b] for a, b in zip(words.starts[word].tolist(), words.ends[word].tolist())], pa.binary())
                 none = pa.nulls(len(n), pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row_no[owner]), pa.nulls(len(n), part.column("key").type), none, none, none, none,
-                     pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.list_(pa.float64())), spelt, pa.array(n.astype(np.int64))], names)
+                    [pa.array(row_no[owner]), pa.nulls(len(n), part.column("key").type), *[none] * len(_SUMS), pa.nulls(len(n), pa.int64()),
+                     *[pa.nulls(len(n), pa.list_(pa.float64()))] * 2, spelt, pa.array(n.astype(np.int64))], names)
 
     return docs.select("row_no", "key", "text").mapInArrow(
-        run, f"row_no long, key {kind}, ratio double, length double, positive double, strong double, words long, "
-             "most array<double>, word binary, n long")
+        run, f"row_no long, key {kind}, {', '.join(f'{c} double' for c in _SUMS)}, words long, "
+             "most array<double>, onsets array<double>, word binary, n long")
 
 
 def evidence(docs: DataFrame, model: DataFrame, most: int = HELD) -> DataFrame:
@@ -282,21 +304,27 @@ def evidence(docs: DataFrame, model: DataFrame, most: int = HELD) -> DataFrame:
         open_words = rows.filter("word is not null").select("row_no", "word", "n")
         words = materialize(open_words.select("word").distinct().select(
             F.monotonically_increasing_id().alias("word_no"), "word"), "op9-words")
-        valued = materialize(words.join(word_ratios(words, model), "word_no").select("word", "ratio"), "op9-ratios")
+        valued = materialize(words.join(word_ratios(words, model), "word_no").select("word", "ratio", "onset"), "op9-ratios")
         strength = F.expr(f"least(greatest(ratio / (octet_length(word) + 1 + {_SHORT}), -50D), 50D)")
-        late = open_words.join(valued, "word").withColumn("strength", strength).groupBy(F.col("row_no").alias("late_row")).agg(
+        thrice = lambda c: F.flatten(F.collect_list(F.expr(f"array_repeat({c}, cast(least(n, 3L) as int))")))
+        late = open_words.join(valued, "word").withColumn("strength", strength).withColumn(
+            "onset", F.expr("least(greatest(onset, -50D), 50D)")).groupBy(F.col("row_no").alias("late_row")).agg(
             F.sum(F.col("ratio") * F.col("n")).alias("late_ratio"),
             F.sum(F.greatest("ratio", F.lit(0.0)) * F.col("n")).alias("late_positive"),
             F.sum(F.when(F.col("strength") > _STRONG, F.col("n")).otherwise(0)).alias("late_strong"),
-            F.flatten(F.collect_list(F.expr("array_repeat(strength, cast(least(n, 3L) as int))"))).alias("late_most"))
+            *(F.sum(F.when(F.col("onset") > least, F.col("n")).otherwise(0)).alias(f"late_onsets{least}") for least in _ONSETS),
+            thrice("strength").alias("late_most"), thrice("onset").alias("late_onsets"))
         # A word that was left open stands among the three with -100, below every real strength.
         rows = rows.filter("word is null").join(late, F.col("row_no") == F.col("late_row"), "left").select(
-            "key", "length", "words", *[(F.col(c) + F.coalesce(f"late_{c}", F.lit(0))).alias(c) for c in ("ratio", "positive", "strong")],
-            F.sort_array(F.concat("most", F.coalesce("late_most", F.expr("array()").cast("array<double>"))), False).alias("most"))
-    filled = F.col("words") > 0
+            "key", "length", "words", *[(F.col(c) + F.coalesce(f"late_{c}", F.lit(0))).alias(c) for c in _SUMS if c != "length"],
+            *[F.sort_array(F.concat(c, F.coalesce(f"late_{c}", F.expr("array()").cast("array<double>"))), False).alias(c)
+              for c in ("most", "onsets")])
+    filled, third = F.col("words") > 0, "cast(least(words, 3L) as int) - 1"
     return rows.select("key", *[F.when(filled, x).otherwise(0.0).alias(c) for c, x in zip(EVIDENCE, (
-        F.expr("ratio / nullif(length, 0D)"), F.expr("most[0]"), F.expr("most[cast(least(words, 3L) as int) - 1]"),
-        F.expr("positive / nullif(length, 0D)"), F.expr("strong / nullif(words, 0L)")))])
+        F.expr("ratio / nullif(length, 0D)"), F.expr("most[0]"), F.expr(f"most[{third}]"),
+        F.expr("positive / nullif(length, 0D)"), F.expr("strong / nullif(words, 0L)"),
+        F.expr("onsets[0]"), F.expr(f"onsets[{third}]"), *(F.log1p(f"onsets{least}") for least in _ONSETS),
+        F.log1p("words")), strict=True)])
 
 
 def fitted(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -339,7 +367,7 @@ def _scored(texts: DataFrame, labels: DataFrame, label: str, parts: int, held: i
     sample = pd.concat(sample)
     model = materialize(ratios(materialize(_without(counted), "op9-all")), "op9-model")
     w = fitted(sample[EVIDENCE].to_numpy(), sample["key"].to_numpy(float)) if sample["key"].nunique() > 1 \
-        else np.array([0.0, 2.0, 0.0, 0.0, 0.0, math.log(toxic / (rows - toxic))])
+        else np.array([0.0, 2.0, *[0.0] * (len(EVIDENCE) - 2), math.log(toxic / (rows - toxic))])
     line = sum((F.col(c) * float(x) for c, x in zip(EVIDENCE, w)), F.lit(float(w[-1])))
     return evidence(texts.select("key", "text"), model).withColumn("score", 1 / (1 + F.exp(-line))).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,6 +1,7 @@
 """Results that a cut would change: every sequence, every row, every character counts."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -60,9 +61,32 @@ def test_toxicity_model_keeps_every_sequence(spark, small):
             ratio = [sum(seen.get(g, left.get(g >> 8, 0.0)) for g in grams(w)) for w in words]
             length = sum(len(w) + 1 for w in words) or 1
             strength = sorted((x / (len(w) + 4) for w, x in zip(words, ratio)), reverse=True) or [0.0]
+            onset = sorted((sum(seen.get(g, left.get(g >> 8, 0.0)) for g in grams(w)[:6]) for w in words), reverse=True) or [0.0]
             want = (sum(ratio) / length, strength[0], strength[min(2, len(strength) - 1)],
-                    sum(max(x, 0) for x in ratio) / length, sum(x > 0.3 for x in strength) / len(strength))
-            assert all(abs(found[d][c] - x) < 1e-6 for c, x in zip(toxicity.EVIDENCE, want))
+                    sum(max(x, 0) for x in ratio) / length, sum(x > 0.3 for x in strength) / len(strength),
+                    onset[0], onset[min(2, len(onset) - 1)], *(math.log1p(sum(x > least for x in onset)) for least in (2, 3, 4)),
+                    math.log1p(len(words)))
+            assert all(abs(found[d][c] - x) < 1e-6 for c, x in zip(toxicity.EVIDENCE, want, strict=True))
+
+
+def test_toxicity_learns_stems(spark):
+    """Words that share a stem only: most of those in the held-out rows were never seen in training."""
+    draw = random.Random(3)
+    syllables = ["ka", "lo", "mi", "ru", "te", "so", "ni", "va", "du", "pe"]
+    word = lambda: "".join(draw.choices(syllables, k=draw.randint(2, 5)))
+    rows = []
+    for i in range(600):
+        words = [word() for _ in range(draw.randint(20, 80))]
+        stems = max(3, len(words) // 15) if i % 6 == 0 else int(i % 6 == 1)
+        for _ in range(stems):
+            words[draw.randrange(len(words))] = "zugo" + word()
+        rows.append((i, " ".join(words)))
+    docs = rows_as_table(spark, rows, "stems", False)
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600)], "doc_id long, toxic int")
+    held = [r for r in toxicity.score(docs, labels).collect() if r.held_out]
+    bad = [r for r in held if r.doc_id % 6 == 0]
+    assert len(bad) > 20 and sum(r.predicted for r in bad) >= 0.9 * len(bad)
+    assert sum(r.predicted for r in held if r.doc_id % 6) <= 0.02 * len(held)
 
 
 def test_toxicity_counts_every_training_row(spark):
