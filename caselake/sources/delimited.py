@@ -13,6 +13,8 @@ from ..session import materialize
 
 #: A quote inside a quoted field is doubled, as common writers do.
 _QUOTED = {"quote": '"', "escape": '"'}
+#: Lines that one step over them in their order takes together: two to this power.
+PIECE = 14
 
 
 def read_columns_csv(spark: SparkSession, path, columns=tuple(DAILY_COLUMNS), order: str | None = None,
@@ -38,10 +40,12 @@ def _require(columns, found) -> None:
 
 
 def _lines(spark: SparkSession, path) -> DataFrame:
-    """Lines with their file, the start of their block in it, their number in the task and their quotes."""
+    """Lines with their file, the start of their block in it, their number in the task, their piece of the block and
+    their quotes."""
+    line = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     return spark.read.text(path).select(
         F.regexp_replace("_metadata.file_path", "^([^:/]*):/+", "$1:/").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("line"), F.col("value").alias("text"),
+        line.alias("line"), F.shiftright(line, PIECE).alias("piece"), F.col("value").alias("text"),
         (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
 
 
@@ -50,46 +54,49 @@ def read_records(spark: SparkSession, path, columns=tuple(DAILY_COLUMNS), order:
     columns as text, and the records that cannot be read (file, position, record, reason).
 
     A line begins a record where the quotes before it, from the start of the file, are even in number. Each
-    block of a file counts its own quotes; a running sum over the blocks (one row per block) says how each
-    begins, and a running sum inside each block says it for its lines. Records of one line, nearly all, are
-    parsed as they are; only the lines of longer ones are brought together, one small group per record. The
-    lines are stored once, so that both steps see the same blocks.
+    piece of a block (``PIECE``) counts its own quotes; a running sum over the pieces (one row per piece) says how
+    each begins, and a running sum inside each piece says it for its lines, so no task needs a whole block. Records
+    of one line, nearly all, are parsed as they are; only the lines of longer ones are brought together, one small
+    group per record. The lines are stored once, so that all steps see the same blocks; so are the rows per piece,
+    so that the planner knows that they are few.
 
     Unreadable is a record with more fields than the header, and one whose quote does not close before the
     file ends. A record with fewer fields has nulls. Lines of white space between records go."""
     names = [_clean_header(c) for c in spark.read.options(header=True, inferSchema=False, multiLine=True, **_QUOTED).csv(path).columns]
     _require(columns, names)
     lines = materialize(_lines(spark, path), "csv-lines")
-    in_file = Window.partitionBy("file").orderBy("block")
-    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes_in")).select(
-        "file", "block", (F.coalesce(F.sum("quotes_in").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2).alias("open"),
+    place = ["file", "block", "piece"]
+    in_file = Window.partitionBy("file").orderBy("block", "piece")
+    pieces = materialize(lines.groupBy(place).agg(F.sum("quotes").alias("quotes_in")).select(
+        *place, (F.coalesce(F.sum("quotes_in").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2).alias("open"),
         (F.sum("quotes_in").over(in_file) % 2).alias("open_after"),
-        (F.sum("quotes_in").over(Window.partitionBy("file")) % 2 == 1).alias("unclosed"))
-    in_block = Window.partitionBy("file", "block").orderBy("line")
-    placed = lines.join(blocks, ["file", "block"]).withColumn("before", (F.col("open") + F.sum("quotes").over(in_block) - F.col("quotes")) % 2)
+        (F.sum("quotes_in").over(Window.partitionBy("file")) % 2 == 1).alias("unclosed"),
+        (F.row_number().over(in_file) == 1).alias("leads")), "csv-pieces")
+    in_piece = Window.partitionBy(place).orderBy("line")
+    placed = lines.join(pieces, place).withColumn("before", (F.col("open") + F.sum("quotes").over(in_piece) - F.col("quotes")) % 2)
     begun = placed.withColumns({
-        "begins": F.col("before") == 0, "next_before": F.lead("before").over(in_block), "last_line": F.lead("line").over(in_block).isNull(),
-        "start_line": F.max(F.when(F.col("before") == 0, F.col("line"))).over(in_block)})
-    # A block that begins inside a record belongs to the last record of the block before it that begins one.
-    starts = begun.groupBy("file", "block").agg(F.max("start_line").alias("last_start"))
-    owner = starts.select("file", "block", F.max(F.when(F.col("last_start").isNotNull(), F.struct("block", "last_start"))).over(
-        in_file.rowsBetween(Window.unboundedPreceding, -1)).alias("owner"))
+        "begins": F.col("before") == 0, "next_before": F.lead("before").over(in_piece), "last_line": F.lead("line").over(in_piece).isNull(),
+        "header": F.col("leads") & F.lag("line").over(in_piece).isNull(),
+        "start_line": F.max(F.when(F.col("before") == 0, F.col("line"))).over(in_piece)})
     begun = materialize(begun.withColumn("alone", F.col("begins") & (F.coalesce("next_before", F.when(F.col("last_line"), F.col("open_after"))) == 0)),
                         "csv-records")
-    alone = begun.filter("alone").select("file", "block", "line", "text", F.lit(False).alias("unclosed"))
-    parts = begun.filter("not alone").join(owner, ["file", "block"])
+    # A piece that begins inside a record belongs to the last record of the pieces before it that begins one.
+    starts = begun.groupBy(place).agg(F.max("start_line").alias("last_start"))
+    owner = materialize(starts.select(*place, F.max(F.when(F.col("last_start").isNotNull(), F.struct("block", "last_start"))).over(
+        in_file.rowsBetween(Window.unboundedPreceding, -1)).alias("owner")), "csv-owners")
+    alone = begun.filter("alone").select("file", "block", "line", "text", F.lit(False).alias("unclosed"), "header")
+    parts = begun.filter("not alone").join(owner, place)
     at = F.when(F.col("start_line").isNotNull(), F.struct("block", F.col("start_line").alias("last_start"))).otherwise(F.col("owner"))
-    joined = parts.select("file", at.alias("at"), F.struct("block", "line", "text").alias("part"), "unclosed").groupBy("file", "at").agg(
-        F.array_sort(F.collect_list("part")).alias("parts"), F.max("unclosed").alias("of_unclosed")).select(
+    joined = parts.select("file", at.alias("at"), F.struct("block", "line", "text").alias("part"), "unclosed", "header").groupBy("file", "at").agg(
+        F.array_sort(F.collect_list("part")).alias("parts"), F.max("unclosed").alias("of_unclosed"), F.max("header").alias("header")).select(
         "file", F.col("at.block").alias("block"), F.col("at.last_start").alias("line"), F.array_join("parts.text", "\n").alias("text"),
         # Of a file that ends inside quotes only the last record is the unclosed one: its own quotes are odd.
         (F.col("of_unclosed") & ((F.length(F.array_join("parts.text", "")) - F.length(F.replace(F.array_join("parts.text", ""), F.lit('"'), F.lit("")))) % 2
-                                 == 1)).alias("unclosed"))
+                                 == 1)).alias("unclosed"), "header")
     records = alone.unionByName(joined)
-    first = begun.filter("begins").groupBy("file").agg(F.min(F.struct("block", "line")).alias("header"))
     # One more field than the header shows records that are too long.
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*names, "_more"])
-    parsed = records.join(first, "file").filter((F.struct("block", "line") != F.col("header")) & (F.trim("text") != "")).withColumn(
+    parsed = records.filter(~F.col("header") & (F.trim("text") != "")).withColumn(
         "_r", F.from_csv("text", schema, {**_QUOTED, "multiLine": "true"}))
     reason = F.when(F.col("unclosed"), "quote not closed").when(F.col("_r._more").isNotNull(), "more fields than the header")
     marked = parsed.withColumns({"reason": reason, "position": F.col("block") + F.col("line")})

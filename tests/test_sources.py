@@ -89,6 +89,32 @@ def test_csv_records_over_several_lines_and_blocks(spark, tmp_path, limit):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_csv_records_over_several_pieces_of_a_block(spark, tmp_path, monkeypatch, bits):
+    """Records, the header among them, that begin in one piece and end some pieces later."""
+    monkeypatch.setattr(delimited, "PIECE", bits, raising=False)
+    rows = [(f"{k}{i}", v, n) for i in range(5) for k, v, n in RECORDS]
+    (tmp_path / "a.csv").write_text(_csv_text([("k", "v", "a\nlong\nname"), *rows]))
+    (tmp_path / "b.csv").write_text(_csv_text([("k", "v", "a\nlong\nname"), ("z", "l\n\n\nm", "1")]) + "open,\"never\n\nclosed\nmore,1\n")
+    good, bad = delimited.read_records(spark, str(tmp_path), ["k", "v"], order="id")
+    assert [(r.k, r.v) for r in good.orderBy("id").collect()] == [(k, v or None) for k, v, _ in rows] + [("z", "l\n\n\nm")]
+    assert [(r.record, r.reason) for r in bad.collect()] == [('open,"never\n\nclosed\nmore,1', "quote not closed")]
+
+
+def test_csv_block_is_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    """One block, also if many lie in it, is no single task's."""
+    monkeypatch.setattr(delimited, "PIECE", 6, raising=False)
+    (tmp_path / "a.csv").write_text(_csv_text([("k", "v"), *((str(i), "l\n1" if i % 1000 == 0 else "x") for i in range(20_000))]))
+    small = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        good, _ = delimited.read_records(spark, str(tmp_path), ["k"])
+        dealt = [r["count"] for r in good.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", small)
+    assert sum(dealt) == 20_000 and max(dealt) < 10_000
+
+
 def test_csv_with_doubled_quotes_on_one_line(spark, tmp_path):
     (tmp_path / "q.csv").write_text('k,v\n1,"q ""z"""\n2,"a,""b"""\n')
     df = delimited.read_columns_csv(spark, str(tmp_path / "q.csv"), ["k", "v"])
