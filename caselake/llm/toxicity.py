@@ -20,7 +20,8 @@ in shuffle joins by key, are summed per word, and go back to their rows. Every e
 
 The curve is cross-fitted: at most about ``calibration_rows`` rows of each class, drawn evenly by a
 hash of the id, get their evidence from the counts of all training rows outside their own fold (of
-``FOLDS``). All other texts get theirs from the counts of all training rows.
+``FOLDS``). All other texts get theirs from the counts of all training rows. These ``FOLDS`` + 1 models are
+columns of one table, made in one pass over the counts.
 
 Defined cases: null and empty texts and texts without words have evidence 0 and are scored by the
 curve like others. Without rows of both classes every score is the share of toxic training rows
@@ -36,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselake.llm import bloom, folds, rowkeys
@@ -53,6 +54,8 @@ _STRONG = 0.3
 #: An onset counts above each of these log-likelihood ratios.
 _ONSETS = (2, 3, 4)
 EVIDENCE = ["mean", "top", "third", "positive", "strong", "onset", "onset_third", *(f"onsets{x}" for x in _ONSETS), "size"]
+#: Suffix of the columns of each model: the counts of all rows, and of all but one fold's.
+MODELS = ["", *(f"_but_{f}" for f in range(FOLDS))]
 _SUMS = ["ratio", "length", "positive", "strong", *(f"onsets{x}" for x in _ONSETS)]
 
 
@@ -91,7 +94,7 @@ def _distinct(words: Words):
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """(fold, gram, toxic, ordinary): counts over all rows of (label, fold, text)."""
+    """(gram, toxic, ordinary), the counts with the suffixes MODELS, over all rows of (label, fold, text)."""
 
     def run(batches):
         for batch in batches:
@@ -113,53 +116,65 @@ def _counted(rows: DataFrame) -> DataFrame:
                         ["fold", "gram", "toxic", "ordinary"])
 
     found = rows.select("label", "fold", "text").mapInArrow(run, "fold int, gram long, toxic long, ordinary long")
-    return found.groupBy("fold", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    each = found.groupBy("gram").agg(*(
+        F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in ("toxic", "ordinary")))
+    return each.select("gram", *(
+        sum((F.col(f"{c}{f}") for f in range(FOLDS) if m != f"_but_{f}"), F.lit(0)).cast("long").alias(f"{c}{m}")
+        for m in MODELS for c in ("toxic", "ordinary")))
 
 
-def _without(counted: DataFrame, fold: int | None = None) -> DataFrame:
-    """(gram, toxic, ordinary) over all folds, or over all but one."""
-    kept = counted if fold is None else counted.filter(F.col("fold") != fold)
-    return kept.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-
-def _shared(counted: DataFrame) -> DataFrame:
-    """(low, shared): Kneser-Ney probability of a four-byte sequence's last byte after the three
-    before it, from how many different sequences it ends, pooled over both classes."""
+def _shared(counted: DataFrame, models=("",)) -> DataFrame:
+    """(low_key, low): Kneser-Ney probability of a four-byte sequence's last byte after the three
+    before it, from how many different sequences it ends, pooled over both classes. Of each model a column."""
     lower = None
-    four = counted.select(F.expr("gram & 4294967295").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    two = four.select(F.expr("key & 65535").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    four = counted.select(F.expr("gram & 4294967295").alias("key"), *(F.expr(f"int(toxic{m} + ordinary{m} > 0)").alias(f"n{m}") for m in models))
+    four = four.groupBy("key").agg(*(F.sum(f"n{m}").alias(f"n{m}") for m in models))
+    two = four.groupBy(F.expr("key & 65535").alias("key")).agg(*(F.sum(F.expr(f"int(n{m} > 0)")).alias(f"n{m}") for m in models))
     for level in (two, four):
-        keyed = level.withColumn("context", F.expr("shiftright(key, 8)"))
-        totals = keyed.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        keyed = keyed.join(totals, "context")
+        context = Window.partitionBy("context")
+        keyed = level.withColumn("context", F.expr("shiftright(key, 8)")).select(
+            "*", *(F.sum(f"n{m}").over(context).alias(f"total{m}") for m in models),
+            *(F.sum(F.expr(f"int(n{m} > 0)")).over(context).alias(f"kinds{m}") for m in models))
         if lower is None:
-            keyed = keyed.withColumn("low", F.lit(1 / 256))
+            keyed = keyed.select("*", *(F.lit(1 / 256).alias(f"low{m}") for m in models))
         else:
             keyed = keyed.join(lower, F.expr("key & 65535") == F.col("low_key"))
-        lower = keyed.select(F.col("key").alias("low_key"), (
-            (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("low")) / F.col("total")
-        ).alias("low"))
+        lower = keyed.select(F.col("key").alias("low_key"), *((
+            (F.greatest(F.col(f"n{m}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds{m}") * F.col(f"low{m}"))
+            / F.nullif(F.col(f"total{m}"), F.lit(0))).alias(f"low{m}") for m in models))
     return lower
 
 
-def ratios(counted: DataFrame) -> DataFrame:
+def ratios(counted: DataFrame, models=("",)) -> DataFrame:
     """(kind, key, value, weight): log-likelihood ratio of each seen sequence (kind 0) and of an unseen
-    one after each seen context (kind 1)."""
-    keyed = counted.withColumn("context", F.expr("shiftright(gram, 8)"))
-    sums = [F.sum(c).alias(f"{c}_total") for c in ("toxic", "ordinary")]
-    kinds = [F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in ("toxic", "ordinary")]
-    contexts = keyed.groupBy("context").agg(*sums, *kinds)
-    for c in ("toxic", "ordinary"):
-        contexts = contexts.withColumn(f"{c}_left", F.expr(
-            f"if({c}_total > 0, {DISCOUNT}D * {c}_kinds / {c}_total, 1D)"))
-    seen = keyed.join(contexts, "context").join(_shared(counted), F.expr("gram & 4294967295") == F.col("low_key"))
-    log = {c: F.ln(F.expr(f"if({c}_total > 0, greatest({c} - {DISCOUNT}D, 0D) / greatest({c}_total, 1L), 0D) + {c}_left * low"))
-           for c in ("toxic", "ordinary")}
-    return seen.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), (log["toxic"] - log["ordinary"]).alias("value"),
-                       (F.col("toxic") + F.col("ordinary")).alias("weight")).unionByName(contexts.select(
-        F.lit(1).alias("kind"), F.col("context").alias("key"),
-        (F.ln("toxic_left") - F.ln("ordinary_left")).alias("value"),
-        (F.col("toxic_total") + F.col("ordinary_total")).alias("weight")))
+    one after each seen context (kind 1). Values and weights have the suffixes ``models``, as the counts do;
+    they are null where that model has no such entry."""
+    classes = ("toxic", "ordinary")
+    keyed = counted.join(_shared(counted, models), F.expr("gram & 4294967295") == F.col("low_key")).withColumn(
+        "context", F.expr("shiftright(gram, 8)"))
+    context = Window.partitionBy("context")
+    # A context has 256 sequences at most.
+    keyed = keyed.select("*", (F.row_number().over(context.orderBy("gram")) == 1).alias("leads"), *(
+        x for m in models for c in classes for x in (
+            F.sum(f"{c}{m}").over(context).alias(f"{c}_total{m}"),
+            F.sum((F.col(f"{c}{m}") > 0).cast("long")).over(context).alias(f"{c}_kinds{m}"))))
+    keyed = keyed.select("*", *(F.expr(f"if({c}_total{m} > 0, {DISCOUNT}D * {c}_kinds{m} / {c}_total{m}, 1D)").alias(f"{c}_left{m}")
+                                for m in models for c in classes))
+    seen, unseen = [F.lit(0).alias("kind"), F.col("gram").alias("key")], [F.lit(1).alias("kind"), F.col("context").alias("key")]
+    for m in models:
+        log = {c: F.ln(F.expr(f"if({c}_total{m} > 0, greatest({c}{m} - {DISCOUNT}D, 0D) / greatest({c}_total{m}, 1L), 0D)"
+                              f" + {c}_left{m} * low{m}")) for c in classes}
+        for entry, value, weight in ((seen, log["toxic"] - log["ordinary"], f"toxic{m} + ordinary{m}"), (
+                unseen, F.ln(f"toxic_left{m}") - F.ln(f"ordinary_left{m}"), f"toxic_total{m} + ordinary_total{m}")):
+            entry += [F.when(F.expr(f"{weight} > 0"), value).alias(f"value{m}"), F.expr(f"nullif({weight}, 0L)").alias(f"weight{m}")]
+    entries = F.when(F.col("leads"), F.array(F.struct(*seen), F.struct(*unseen))).otherwise(F.array(F.struct(*seen)))
+    return keyed.select(F.explode(entries).alias("entry")).select("entry.*")
+
+
+def model_of(models: DataFrame, name: str) -> DataFrame:
+    """(kind, key, value, weight) of one of the models of a stored table."""
+    return models.filter(F.col(f"weight{name}").isNotNull()).select(
+        "kind", "key", F.col(f"value{name}").alias("value"), F.col(f"weight{name}").alias("weight"))
 
 
 class Held:
@@ -355,21 +370,19 @@ def _scored(texts: DataFrame, labels: DataFrame, label: str, parts: int, held: i
                             *(F.lit(0.0).alias(c) for c in EVIDENCE))
     learnt = materialize(folds.labelled(texts.select("doc_id", "text"), train).withColumn(
         "fold", F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(FOLDS)).cast("int")), "op9-rows")
-    counted = materialize(_counted(learnt), "op9-counts")
+    models = materialize(ratios(materialize(_counted(learnt), "op9-counts"), MODELS), "op9-models")
     drawn = F.when(F.col("label") == 1, folds.share("doc_id", "draw", calibration_rows / toxic)).otherwise(
         folds.share("doc_id", "draw", calibration_rows / (rows - toxic)))
     sample = []
     for fold in range(FOLDS):
-        others = materialize(ratios(materialize(_without(counted, fold), "op9-others")), "op9-model")
         chosen = learnt.filter(drawn & (F.col("fold") == fold)).select(F.col("label").alias("key"), "text")
-        sample.append(evidence(chosen, others).toPandas())
+        sample.append(evidence(chosen, model_of(models, f"_but_{fold}")).toPandas())
         release()
     sample = pd.concat(sample)
-    model = materialize(ratios(materialize(_without(counted), "op9-all")), "op9-model")
     w = fitted(sample[EVIDENCE].to_numpy(), sample["key"].to_numpy(float)) if sample["key"].nunique() > 1 \
         else np.array([0.0, 2.0, *[0.0] * (len(EVIDENCE) - 2), math.log(toxic / (rows - toxic))])
     line = sum((F.col(c) * float(x) for c, x in zip(EVIDENCE, w)), F.lit(float(w[-1])))
-    return evidence(texts.select("key", "text"), model).withColumn("score", 1 / (1 + F.exp(-line))).withColumn(
+    return evidence(texts.select("key", "text"), model_of(models, "")).withColumn("score", 1 / (1 + F.exp(-line))).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
 
 

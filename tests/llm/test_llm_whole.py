@@ -69,6 +69,30 @@ def test_toxicity_model_keeps_every_sequence(spark, small):
             assert all(abs(found[d][c] - x) < 1e-6 for c, x in zip(toxicity.EVIDENCE, want, strict=True))
 
 
+def test_toxicity_models_of_all_folds_in_one_pass(spark, monkeypatch):
+    """Each fold's model is that of the other folds' counts alone; the counts become models once, not once per fold."""
+    draw = random.Random(5)
+    rows = [(i % 2, i % 3, " ".join("".join(draw.choices("abcd", k=draw.randint(1, 7))) for _ in range(12))) for i in range(30)]
+    models = toxicity.ratios(toxicity._counted(spark.createDataFrame(rows, "label int, fold int, text string")), toxicity.MODELS).cache()
+    for fold, name in [(None, ""), *((f, f"_but_{f}") for f in range(3))]:
+        counts = {}
+        for label, of, text in rows:
+            for w in text.encode().split() if of != fold else ():
+                for i in range(len(w) + 1):
+                    counts.setdefault(int.from_bytes((b"     " + w + b" ")[i:i + 6], "big"), [0, 0])[1 - label] += 1
+        seen, left = _plain_ratios(counts)
+        got = {(r.kind, r.key): (r.value, r.weight) for r in toxicity.model_of(models, name).collect()}
+        assert got.keys() == {(0, g) for g in seen} | {(1, c) for c in left}
+        assert all(abs(got[0, g][0] - x) < 1e-9 and got[0, g][1] == sum(counts[g]) for g, x in seen.items())
+        assert all(abs(got[1, c][0] - x) < 1e-9 for c, x in left.items())
+    stored = []
+    monkeypatch.setattr(toxicity, "materialize", lambda df, label: stored.append(label) or materialize(df, label))
+    docs = rows_as_table(spark, [(i, text) for i, (_, _, text) in enumerate(rows)], "folds", False)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    assert toxicity.score(docs, labels).count() == 30
+    assert len([x for x in stored if x.startswith("op9-model")]) == 1
+
+
 def test_toxicity_learns_stems(spark):
     """Words that share a stem only: most of those in the held-out rows were never seen in training."""
     draw = random.Random(3)
