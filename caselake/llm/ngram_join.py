@@ -16,8 +16,9 @@ probability (1 - 0.8^4)^24 = 3.2e-6. ``tolerance`` bounds a posterior, not the l
 is a binomial sum (``lost``): at the default a pair at 0.8 is dropped with probability below 4e-8 at each
 step and 1.4e-7 over all steps, a more similar one more rarely. Pairs that are reported are exact.
 
-Scale: what moves are 24 narrow rows per document, and sets only of documents in a cluster, once
-for each block of their cluster. A cluster larger than a block is split over tasks; counting links
+Scale: what moves are 24 narrow rows per representative (a Bloom filter of the other documents keeps
+them where they are), the texts of documents in a cluster, and their sets, made where the text has met its
+place, once for each block of their cluster. A cluster larger than a block is split over tasks; counting links
 inside it compares its blocks pairwise, which the result (links per document) asks for.
 
 Words: runs of digits, A-Z in lower case, a-z and everything from 0x80 on. A text with fewer words
@@ -116,8 +117,9 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and the set as bytes."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """``docs`` with the set of each text as bytes instead of the text."""
+    others = [c for c in docs.columns if c != "text"]
+    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
 
     def run(batches):
         for batch in batches:
@@ -126,9 +128,9 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 data = pa.py_buffer(keys.tobytes())
                 offsets = pa.py_buffer((first * 8).astype(np.int64).tobytes())
                 packed = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, offsets, data])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed.cast(pa.binary())], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), packed.cast(pa.binary())], [*others, "grams"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, grams binary")
+    return docs.mapInArrow(run, f"{fields}, grams binary")
 
 
 def least_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
@@ -288,7 +290,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
         "row_no", "doc_id", "copy_id", "n_copies"), "op10-members")
     stands = members.filter("doc_id = copy_id").select(F.col("doc_id").alias("stand"), "n_copies")
     sized = filled.select("doc_id", "row_no", "size")
-    banded = filled.join(stands, F.col("doc_id") == F.col("stand"), "left_semi").select(
+    # Most documents stand for themselves: only those that may be copies of others meet the table of copies.
+    copies = members.filter("doc_id <> copy_id").select(F.col("doc_id").alias("copy"))
+    sure, possible = bloom.apart(filled.select("doc_id", "bands"), "doc_id", copies, "copy", "op10-copies")
+    banded = sure.unionByName(possible.join(copies, F.col("doc_id") == F.col("copy"), "left_anti")).select(
         "doc_id", F.explode("bands").alias("band"))
     smallest = banded.groupBy("band").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("in_band")).filter(
         "in_band > 1").drop("in_band")
@@ -302,12 +307,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = materialize(placed.join(stands, F.col("node") == F.col("stand")).drop("stand"), "op10-placed")
     _, clustered = bloom.apart(texts, "row_no", placed, "row_no", "op10-clustered")
-    of_placed = clustered.drop("doc_id").join(placed.select("row_no", F.col("node").alias("doc_id")), "row_no")
-    grams = materialize(_sets(of_placed, n), "op10-sets")
-    sent = grams.join(placed, F.col("doc_id") == F.col("node")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    of_placed = clustered.select("row_no", "text").join(placed, "row_no").select(
+        "cluster", "blocks", "block", F.col("node").alias("doc_id"), F.col("n_copies").alias("copies"), "text")
+    sent = _sets(of_placed, n).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("first_block"), F.greatest("block", "other").alias("second_block"),
-        "block", "doc_id", F.col("n_copies").alias("copies"), "grams")
+        "block", "doc_id", "copies", "grams")
     found = materialize(_blocks_compared(sent, threshold, tolerance), "op10-links")
     links = found.filter("root is null").groupBy(F.col("doc_id").alias("linked")).agg(F.sum("links").alias("links"))
     groups = components(found.filter("root is not null").select(F.col("doc_id").alias("a"), F.col("root").alias("b")),

@@ -305,6 +305,25 @@ def test_near_copies_large_group(spark):
     assert got == want
 
 
+def test_near_copies_move_sets_once(spark, small, monkeypatch):
+    """Without broadcasts: sets are made behind the last join before the blocks, bands move only of rows that may be copies."""
+    plans, inner = {}, ngram_join._blocks_compared
+    monkeypatch.setattr(ngram_join, "_blocks_compared", lambda members, *a: plans.update(
+        sets=members._jdf.queryExecution().executedPlan().toString()) or inner(members, *a))
+    apart = ngram_join.bloom.apart
+    monkeypatch.setattr(ngram_join.bloom, "apart", lambda rows, key, stored, stored_key, label: plans.update(
+        {label: rows.columns}) or apart(rows, key, stored, stored_key, label))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ngram_join.near_copies(small[0]).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    after = plans["sets"].split("MapInArrow")[0]
+    assert "Join" not in after and "Exchange" not in after
+    assert plans["op10-copies"] == ["doc_id", "bands"]
+
+
 def test_pruning_bounds():
     """More similar pairs are never asked for fewer matches, and a pair at the threshold mostly stays."""
     bounds = ngram_join.least_matches(0.8, 1e-4)
